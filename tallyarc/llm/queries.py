@@ -23,3 +23,27 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyarc.llm.jaccard import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
+@query
+def op3_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyarc.llm.embedjoin import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), t=0.95)
+
+
+@query
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tallyarc.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op9_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyarc.llm.linededup import line_dedup
+
+    out = line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", "removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
