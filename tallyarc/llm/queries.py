@@ -47,3 +47,19 @@ def op9_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", "removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+@query
+def op2_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyarc.llm.licenses import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyarc.llm.pii import NAMES, pii_spans, spans_text
+
+    found = pii_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = [F.expr(f"cast(size(filter(base, x -> x.k = {k})) AS long)").alias(f"n_{name}") for k, name in enumerate(NAMES)]
+    return found.select("doc_id", *count, F.sha2(F.expr(spans_text("base")), 256).alias("base_sha256"), F.expr(spans_text("spans")).alias("spans"))
