@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyarc.llm.common import table
@@ -18,6 +18,11 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+def held_out(parts: int, rest: int) -> Column:
+    """Whether a row is of the fold that training must not see."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == rest
+
+
 @query
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyarc.llm.jaccard import jaccard_components
@@ -63,3 +68,21 @@ def op6_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = [F.expr(f"cast(size(filter(base, x -> x.k = {k})) AS long)").alias(f"n_{name}") for k, name in enumerate(NAMES)]
     return found.select("doc_id", *count, F.sha2(F.expr(spans_text("base")), 256).alias("base_sha256"), F.expr(spans_text("spans")).alias("spans"))
+
+
+@query
+def op1_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyarc.llm.quality import fit, quality_scores
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = quality_scores(docs, fit(docs, labels.where(~held_out(4, 2))))
+    return out.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op5_gated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyarc.llm.toxicity import fit, toxicity_scores
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = toxicity_scores(docs, fit(docs, labels.where(~held_out(5, 0))))
+    return out.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
