@@ -28,10 +28,14 @@ from tallyarc.llm.common import Scratch, bitmap, components, in_bitmap
 
 _MASK = (1 << 64) - 1
 _MIX1, _MIX2, _MIX3 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+#: Odd factors of the words of a shingle.
+_FACTORS = [pow(_MIX1, i + 1, 1 << 64) | 1 for i in range(16)]
 #: Size bands grow by this factor; a word table of a worker is emptied beyond this many words.
 BAND_GROWTH, WORDS_KEPT = 1.5, 400_000
 #: Bits of the arrays that spare shuffles of rows without a partner. They bound memory; results do not depend on them.
 FILTER_BITS = 25
+#: Sets on either side of one comparison, rounds that compare one component of each bucket with the rest of it.
+CHUNK, ROUNDS = 512, 4
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -60,10 +64,10 @@ def shingle_hashes(text: str | None, k: int) -> np.ndarray:
     if len(h) < k:
         return np.array([int.from_bytes(hashlib.blake2b(h.tobytes() + b"short", digest_size=8).digest(), "little")], np.uint64)
     n = len(h) - k + 1
-    out = np.zeros(n, np.uint64)
-    for i in range(k):
-        out = mix(out * np.uint64(_MIX1) + h[i : i + n] + np.uint64(i + 1))
-    return np.unique(out)
+    out = h[:n] * np.uint64(_FACTORS[0])
+    for i in range(1, k):
+        out += h[i : i + n] * np.uint64(_FACTORS[i % len(_FACTORS)] + 2 * (i // len(_FACTORS)))
+    return np.unique(mix(out))
 
 
 def set_key(s: np.ndarray) -> int:
@@ -152,48 +156,60 @@ def _batches(it, work, most: int = 4_000_000):
                 start, held = i + 1, 0
 
 
-def _sizes(k: int):
-    def run(it):
-        def work(batch):
-            sets = [shingle_hashes(x, k) for x in batch.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64())], ["doc_id", "n", "v"])
-
-        return _batches(it, work)
-
-    return run
+def _index(k: int, scheme: Scheme):
+    """Size, key and signatures of each text; copies that a task has seen before come without signatures."""
 
-
-def _signatures(k: int, scheme: Scheme):
     def run(it):
         seen: set[int] = set()
 
         def work(batch):
-            keys, sigs = [], []
-            for x in batch.column(1).to_pylist():
+            sizes, keys, sigs = [], [], []
+            for doc_id, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingle_hashes(x, k)
-                if len(s) and (key := set_key(s)) not in seen:
-                    if len(seen) > WORDS_KEPT:
-                        seen.clear()
-                    seen.add(key)
-                    keys.append(key)
-                    sigs.append(scheme.signatures(s).view(np.int64))
+                key = set_key(s)
+                sizes.append(len(s))
+                keys.append(key)
+                if not len(s) or doc_id is None or key in seen:
+                    sigs.append(np.empty(0, np.int64))
+                    continue
+                if len(seen) > WORDS_KEPT:
+                    seen.clear()
+                seen.add(key)
+                sigs.append(scheme.signatures(s).view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
-            values = np.concatenate(sigs) if sigs else np.empty(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["v", "sigs"])
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sigs)))
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), lists], ["doc_id", "n", "v", "sigs"])
 
         return _batches(it, work)
 
     return run
 
 
+def _owned(batch) -> tuple[np.ndarray, np.ndarray]:
+    """All signatures of a batch of (v, sigs), and whose they are."""
+    sigs = batch.column(1)
+    return sigs.flatten().to_numpy(zero_copy_only=False), np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(sigs.offsets.to_numpy()))
+
+
+def _ends(it):
+    """Of each signature the least and the greatest owner in a batch, so that a hot one is few rows before the shuffle."""
+    for batch in it:
+        sig, own = _owned(batch)
+        order = np.lexsort((own, sig))
+        sig, own = sig[order], own[order]
+        new = np.ones(len(sig), bool)
+        new[1:] = sig[1:] != sig[:-1]
+        last = np.append(new[1:], True)[: len(sig)]
+        kept = new | last
+        yield pa.RecordBatch.from_arrays([pa.array(sig[kept]), pa.array(own[kept])], ["sig", "v"])
+
+
 def _shared(words):
     def run(it):
         for batch in it:
-            sigs = batch.column(1)
-            flat = sigs.flatten().to_numpy(zero_copy_only=False)
-            owner = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(sigs.offsets.to_numpy()))
-            ok = in_bitmap(words.value, flat)
-            yield pa.RecordBatch.from_arrays([pa.array(flat[ok]), pa.array(owner[ok])], ["sig", "v"])
+            sig, own = _owned(batch)
+            ok = in_bitmap(words.value, sig)
+            yield pa.RecordBatch.from_arrays([pa.array(sig[ok]), pa.array(own[ok])], ["sig", "v"])
 
     return run
 
@@ -211,79 +227,142 @@ def _sets(k: int, words):
     return run
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, star_rounds: int = 3) -> DataFrame:
+def first_links(hosts: list[np.ndarray], guests: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Of each guest the number of the first host it links with, or -1; both are sorted sets."""
+    size, other = np.array([len(x) for x in hosts]), np.array([len(x) for x in guests])
+    mine, theirs = np.concatenate(hosts), np.concatenate(guests)
+    common = np.intersect1d(mine, theirs)
+    out = np.full(len(guests), -1, np.int64)
+    if not len(common):
+        return out
+    # Numbers of shared elements by a product of 0/1 matrices over the elements that occur on both sides.
+    both = np.zeros((len(guests), len(hosts)), np.float32)
+    hi, gi = np.searchsorted(common, mine), np.searchsorted(common, theirs)
+    hok, gok = common[np.minimum(hi, len(common) - 1)] == mine, common[np.minimum(gi, len(common) - 1)] == theirs
+    hrow, grow = np.repeat(np.arange(len(hosts)), size)[hok], np.repeat(np.arange(len(guests)), other)[gok]
+    hi, gi = hi[hok], gi[gok]
+    width = max(256, 4_000_000 // (len(hosts) + len(guests)))
+    for at in range(0, len(common), width):
+        h, g = np.zeros((len(hosts), width), np.float32), np.zeros((len(guests), width), np.float32)
+        own = (hi >= at) & (hi < at + width)
+        h[hrow[own], hi[own] - at] = 1
+        own = (gi >= at) & (gi < at + width)
+        g[grow[own], gi[own] - at] = 1
+        both += g @ h.T
+    linked = both.astype(np.int64) * (den + num) >= (other[:, None] + size[None, :]) * num
+    some = linked.any(1)
+    out[some] = linked[some].argmax(1)
+    return out
+
+
+def _compared(num: int, den: int):
+    """Rows come sorted by key, hosts before guests; one key's rows are at most CHUNK of either on average."""
+
+    def run(it):
+        key, rows = None, []
+
+        def done():
+            hosts, guests = [r for r in rows if not r[0]], [r for r in rows if r[0]]
+            if not hosts or not guests:
+                return [], []
+            found = first_links([r[2] for r in hosts], [r[2] for r in guests], num, den)
+            at = np.flatnonzero(found >= 0)
+            return [guests[i][1] for i in at], [hosts[found[i]][1] for i in at]
+
+        for batch in it:
+            out: tuple[list, list] = [], []
+            host, i, j, guest, v = (batch[c].to_numpy(zero_copy_only=False) for c in ("host", "i", "j", "guest", "v"))
+            lists = batch["s"]
+            values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            for r in range(batch.num_rows):
+                if (now := (host[r], i[r], j[r])) != key:
+                    for side, more in zip(out, done(), strict=True):
+                        side.extend(more)
+                    key, rows = now, []
+                rows.append((guest[r], v[r], values[offsets[r] : offsets[r + 1]].copy()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in done()], ["a", "b"])
+
+    return run
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, rounds: int = ROUNDS) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` per row of ``docs(doc_id, text)``: documents link when
     ``den * |A & B| >= num * |A | B|`` over their sets of k-word shingles; the component is named by its smallest doc_id."""
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = scratch.keep(docs.mapInArrow(_sizes(k), "doc_id long, n long, v long"))
-    classes = scratch.keep(rows.where("n > 0 and doc_id is not null").groupBy("v").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")))
 
+    # How many sets a band has, for the costs of allocations only, from lengths: a word takes about six bytes.
     plan = Scheme(num, den)
-    bands = F.lit(0)
-    for low in plan.low[1:]:
-        bands = bands + (F.col("n") >= low).cast("int")
-    counts = {r["b"]: r["count"] for r in classes.groupBy(bands.alias("b")).count().collect()}  # a row for each band at most
-    plan = Scheme(num, den, counts)
-
-    index = scratch.keep(docs.where("doc_id is not null").mapInArrow(_signatures(k, plan), "v long, sigs array<long>"))
-    met = scratch.keep(index.select("v", F.explode("sigs").alias("sig")).groupBy("sig").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo != hi").select("sig", F.col("lo").alias("pivot")))
+    guess = F.greatest(F.octet_length("text") / 6, F.lit(1.0))
+    bands = sum(((guess >= low).cast("int") for low in plan.low[1:]), F.lit(0))
+    plan = Scheme(num, den, {r["b"]: r["count"] for r in docs.where("text IS NOT NULL").groupBy(bands.alias("b")).count().collect()})
+
+    rows = scratch.keep(docs.mapInArrow(_index(k, plan), "doc_id long, n long, v long, sigs array<long>"))
+    classes = scratch.keep(rows.where("n > 0 and doc_id is not null").groupBy("v").agg(F.min("doc_id").alias("rep")))
+    index = rows.where("size(sigs) > 0").select("v", "sigs")
+    met = scratch.keep(index.mapInArrow(_ends, "sig long, v long").repartition("sig").groupBy("sig").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo != hi").select("sig"))
     words = bitmap(met, "sig", FILTER_BITS, spark)
-    spread = index.mapInArrow(_shared(words), "sig long, v long")
-    buckets = scratch.keep(spread.distinct().join(met, "sig"))
-    scratch.drop(index, met)
-
-    size = classes.select(F.col("v").alias("w"), "n")
-    near = lambda p: p.join(size.select(F.col("w").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("w").alias("b"), F.col("n").alias("nb")), "b").where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+    buckets = scratch.keep(index.mapInArrow(_shared(words), "sig long, v long").distinct().join(met, "sig", "left_semi"))
+    scratch.drop(met)
 
-    ids = scratch.keep(buckets.select("v").distinct().join(classes, "v").select("v", "rep"))
+    ids = scratch.keep(buckets.select("v").distinct().join(classes, "v"))
     words_of_docs = bitmap(ids, "rep", FILTER_BITS, spark)
     found = docs.where("doc_id is not null").mapInArrow(_sets(k, words_of_docs), "doc_id long, s array<long>")
     sets = scratch.keep(ids.join(found, ids.rep == found.doc_id).groupBy("v").agg(F.first("s").alias("s")))
     scratch.drop(ids)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        left, right = sets.select(F.col("v").alias("a"), F.col("s").alias("sa")), sets.select(F.col("v").alias("b"), F.col("s").alias("sb"))
-        both = F.size(F.array_intersect("sa", "sb"))
-        return scratch.keep(near(pairs).join(left, "a").join(right, "b").select("a", "b", (both * (den + num) >= (F.col("na") + F.col("nb")) * num).alias("link")))
-
-    ordered = lambda df, x, y: df.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
-    checked = verified(ordered(buckets, "pivot", "v"))
-    member = components(checked.where("link"), scratch)
-    for turn in range(star_rounds + 1):
-        # Sets of a bucket that are still in different components: once more against another pivot each time, at last
-        # every pair across components. Nearly all buckets are of one component by then.
-        named = buckets.select("sig", "v").join(member, "v", "left").select("sig", "v", F.coalesce("c", "v").alias("c"))
-        open_ = named.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.min_by(F.struct("v", "c"), F.xxhash64("v", F.lit(turn))).alias("p")).where("lo != hi and size > 2")
-        left = scratch.keep(named.join(open_.select("sig", "p"), "sig"))
-        if left.isEmpty():
+    def links(contacts: DataFrame, member: DataFrame) -> DataFrame:
+        """Of ``contacts(host, v)`` one link of each v into its host component, if there is one. Both sides of a host are
+        dealt out in chunks, so a large component is compared by many tasks and no set is sent once for each pair."""
+        guests = contacts.groupBy("host").agg(F.ceil(F.count("*") / CHUNK).alias("kg"))
+        hosts = guests.join(member.select(F.col("c").alias("host"), F.col("v").alias("w")), "host", "left").select("host", "kg", F.coalesce("w", "host").alias("v"))
+        sizes = hosts.groupBy("host", "kg").agg(F.ceil(F.count("*") / CHUNK).alias("kh"))
+        left = hosts.join(sizes.drop("kg"), "host").select("host", F.pmod(F.xxhash64("v"), "kh").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("kg") - 1)).alias("j"), F.lit(False).alias("guest"), "v")
+        right = contacts.join(sizes, "host").select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("kh") - 1)).alias("i"), F.pmod(F.xxhash64("v"), "kg").alias("j"), F.lit(True).alias("guest"), "v")
+        both = left.unionByName(right).join(sets, "v").repartition("host", "i", "j").sortWithinPartitions("host", "i", "j", "guest")
+        return scratch.keep(both.select("host", "i", "j", "guest", "v", "s").mapInArrow(_compared(num, den), "a long, b long"))
+
+    def merged(member: DataFrame, new: DataFrame) -> DataFrame:
+        """``member(v, c)`` after the links ``new(a, b)``."""
+        ends = new.select(F.col("a").alias("v")).union(new.select("b")).distinct().join(member, "v", "left_anti").select("v", F.col("v").alias("c"))
+        every = scratch.keep(member.unionByName(ends))
+        name = lambda end, to: every.select(F.col("v").alias(end), F.col("c").alias(to))
+        between = new.join(name("a", "ca"), "a").join(name("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        renamed = components(between, scratch).select(F.col("v").alias("old"), F.col("c").alias("to"))
+        return scratch.keep(every.join(renamed, every.c == renamed.old, "left").select("v", F.coalesce("to", "c").alias("c")))
+
+    member = spark.createDataFrame([], "v long, c long")
+    for turn in range(rounds + 1):
+        # In every bucket its largest component is compared with the others' sets and is then done there; what is left of a
+        # bucket shrinks, and most of it has joined one component by then. The last round compares all that is left.
+        named = buckets.join(member, "v", "left").select("sig", "v", F.coalesce("c", "v").alias("c"))
+        groups = named.groupBy("sig", "c").agg(F.count("*").alias("n"))
+        top = groups.groupBy("sig").agg(F.max_by("c", F.struct("n", "c")).alias("host"), F.count("*").alias("groups")).where("groups > 1").drop("groups")
+        rest = scratch.keep(named.join(top, "sig").where("c != host"))
+        if rest.isEmpty():
+            break
+        contacts = rest.select("host", "v")
+        if turn == rounds:
+            other = rest.select("sig", F.col("c").alias("host")).distinct()
+            contacts = contacts.union(rest.drop("host").join(other, "sig").where("host < c").select("host", "v"))
+        new = links(scratch.keep(contacts.distinct()), member)
+        if not new.isEmpty():
+            member = merged(member, new)
+        buckets = rest.select("sig", "v")
+        if turn == rounds:
             break
-        if turn < star_rounds:
-            pairs = ordered(left.where("c != p.c").select(F.col("p.v").alias("x"), F.col("v").alias("y")), "x", "y")
-        else:
-            other = left.select("sig", F.col("v").alias("w"), F.col("c").alias("d"))
-            pairs = ordered(left.join(other, "sig").where("v < w and c != d"), "v", "w")
-        fresh = verified(pairs.join(checked, ["a", "b"], "left_anti"))
-        scratch.drop(left)
-        links = fresh.where("link")
-        if not links.isEmpty():
-            before = member
-            member = components(checked.where("link").select("a", "b").union(links.select("a", "b")), scratch)
-            scratch.drop(before)
-        checked = scratch.keep(checked.union(fresh))
-    scratch.drop(sets, buckets)
+    scratch.drop(sets)
 
     whole = classes.join(member, "v", "left").select("v", "rep", F.coalesce("c", "v").alias("c"))
     smallest = whole.groupBy("c").agg(F.min("rep").alias("component_id"))
     named = scratch.keep(whole.join(smallest, "c").select("v", "component_id"))
-    alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return rows.join(named, "v", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, alone).otherwise(F.col("doc_id")).alias("component_id"))
+    return rows.join(named, "v", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_first_of_group(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents that name their component; of repeated rows of one doc_id, the one of the smallest text. Rows without a
-    doc_id stay."""
+    """The documents that name their component; of repeated rows of one doc_id, one. Rows without a doc_id stay."""
     found = jaccard_components(docs, k, num, den).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     joined = docs.join(found, docs.doc_id == found["_kept"], "left_semi")
     return joined.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
