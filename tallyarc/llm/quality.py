@@ -222,8 +222,9 @@ def quality_scores(docs: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame
 def keep_good(docs: DataFrame, weights: dict[str, np.ndarray], least: float = 0.7) -> DataFrame:
     """The rows of ``docs`` whose text scores at least ``least``; decided row by row, so equal ids do not matter."""
 
+    place, schema = docs.columns.index("text"), docs.schema
+
     def run(it):
-        place = docs.columns.index("text")
         for batch in it:
             keep, at = [], 0
             texts = batch.column(place)
@@ -236,4 +237,4 @@ def keep_good(docs: DataFrame, weights: dict[str, np.ndarray], least: float = 0.
                 keep.append(score(weights, data) >= least)
             yield batch.filter(pa.array(np.concatenate(keep))) if keep else batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, schema)

@@ -93,3 +93,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyarc.llm.fingerprints import edited_fingerprints
 
     return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tallyarc.llm.sptok import encode
+
+    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
