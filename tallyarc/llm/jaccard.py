@@ -7,8 +7,11 @@ weights add up to H + 1. A set therefore indexes one signature per plain segment
 gives a one-deletion neighbourhood, the segment and each of it with one element left out. The allocation of each band is the
 cheapest of those that keep the guarantee, under a cost of index rows plus pairs by chance, from the counted sets of the band.
 
-Sets that share a signature are candidates, and every pair that could join two components is verified exactly; links inside
-one component are not repeated for all its pairs, so a group of n copies or near copies costs O(n), not O(n * n).
+Sets that share a signature are candidates. A set whose signatures that few others share already add up to H + 1 is taken out
+of hot buckets: whatever it links with shares one of the others. Candidates are compared by parity sketches first, whose
+Hamming distance never exceeds the sets' difference; pairs that pass are verified exactly. Every bucket's sets are compared
+with one of them, then each with its nearest of another component, and at last every pair across components; a large bucket
+is dealt out in chunks, and pairs are only formed where sketches pass, so groups of n copies never become n * n rows.
 
 Rows: a null or wordless text has the empty set, which links with nothing; a row without doc_id links with nothing and gets a
 null component; repeated rows give a row each; rows of one doc_id count as one document. Other columns are ignored.
@@ -34,8 +37,10 @@ _FACTORS = [pow(_MIX1, i + 1, 1 << 64) | 1 for i in range(16)]
 BAND_GROWTH, WORDS_KEPT = 1.5, 400_000
 #: Bits of the arrays that spare shuffles of rows without a partner. They bound memory; results do not depend on them.
 FILTER_BITS = 25
-#: Sets on either side of one comparison, rounds that compare one component of each bucket with the rest of it.
-CHUNK, ROUNDS = 512, 4
+#: Sets on either side of one comparison; sets from which on a bucket is hot.
+CHUNK, HOT = 512, 48
+#: Low bits of a signature that tell the schemes of one set apart.
+SCHEME_BITS = 3
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -111,11 +116,13 @@ class Scheme:
                     best = rows + 20 * pairs, plain, deletion
         return best[1:]
 
-    def signatures(self, s: np.ndarray) -> np.ndarray:
+    def signatures(self, s: np.ndarray) -> tuple[np.ndarray, dict[int, int]]:
+        """Signatures, and for each scheme (by the low bits of its signatures) how many of them could be missed."""
         n = len(s)
         if not n:
-            return s
-        out, b, own = [], self.band(n), True
+            return s, {}
+        out, spare, b, own = [], {}, self.band(n), True
+        low = np.uint64((1 << SCHEME_BITS) - 1)
         with np.errstate(over="ignore"):
             mixed = mix(s + np.uint64(_MIX1))
             while b >= 0 and (own or self.num * n <= self.den * (self.low[b + 1] - 1)):
@@ -131,17 +138,35 @@ class Scheme:
                 tag = mix(np.arange(m, dtype=np.uint64) * np.uint64(_MIX1) + np.uint64((b + 1) * _MIX3 & _MASK))
                 solid = int((size[:plain] > 0).sum()) + 2 * int((size[plain:] > 1).sum())
                 kept = full if solid >= need else np.ones(m, bool)
-                out.append(mix(total[kept] + tag[kept]))
+                found = [mix(total[kept] + tag[kept])]
                 if deletion:
                     first = at[plain]
                     part = seg[first:].astype(np.int64)
                     if solid >= need:
                         several = size[part] > 1
-                        out.append(mix(total[part[several]] - mixed[first:][several] + tag[part[several]]))
+                        found.append(mix(total[part[several]] - mixed[first:][several] + tag[part[several]]))
                     else:
-                        out.append(mix(total[part] - mixed[first:] + tag[part]))
+                        found.append(mix(total[part] - mixed[first:] + tag[part]))
+                mark = b % (1 << SCHEME_BITS)
+                # Two schemes under one mark, or neighbourhoods, whose signatures weigh differently: none can be missed.
+                spare[mark] = -1 if mark in spare or deletion or solid < need else solid - need
+                out.extend((x & ~low) | np.uint64(mark) for x in found)
                 b -= 1
-        return np.unique(np.concatenate(out))
+        return np.unique(np.concatenate(out)), spare
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """A bit array in which every element flips the bit of its hash, of four to eight bits for an element. Two sketches, the
+    longer folded onto the shorter, differ in at most as many bits as the sets in elements."""
+    bits = max(64, 1 << int(4 * len(s) - 1).bit_length())
+    count = np.bincount((mix(s + np.uint64(_MIX2)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((count & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(sketches: list[np.ndarray]) -> np.ndarray:
+    """All sketches at the length of the shortest."""
+    words = min(map(len, sketches))
+    return np.stack([np.bitwise_xor.reduce(x.reshape(-1, words), axis=0) for x in sketches])
 
 
 def _batches(it, work, most: int = 4_000_000):
@@ -163,7 +188,7 @@ def _index(k: int, scheme: Scheme):
         seen: set[int] = set()
 
         def work(batch):
-            sizes, keys, sigs = [], [], []
+            sizes, keys, sigs, spares = [], [], [], []
             for doc_id, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingle_hashes(x, k)
                 key = set_key(s)
@@ -171,14 +196,18 @@ def _index(k: int, scheme: Scheme):
                 keys.append(key)
                 if not len(s) or doc_id is None or key in seen:
                     sigs.append(np.empty(0, np.int64))
+                    spares.append([])
                     continue
                 if len(seen) > WORDS_KEPT:
                     seen.clear()
                 seen.add(key)
-                sigs.append(scheme.signatures(s).view(np.int64))
+                own, spare = scheme.signatures(s)
+                sigs.append(own.view(np.int64))
+                spares.append([(m, c) for m, c in spare.items() if c >= 0])
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sigs)))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), lists], ["doc_id", "n", "v", "sigs"])
+            pairs = pa.array([[{"mark": m, "spare": c} for m, c in x] for x in spares], pa.list_(pa.struct([("mark", pa.int64()), ("spare", pa.int64())])))
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), lists, pairs], ["doc_id", "n", "v", "sigs", "spares"])
 
         return _batches(it, work)
 
@@ -215,78 +244,105 @@ def _shared(words):
 
 
 def _sets(k: int, words):
+    """Set and sketch of the texts that the filter lets through."""
+
     def run(it):
         def work(batch):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             batch = batch.take(pa.array(np.flatnonzero(in_bitmap(words.value, ids))))
-            sets = [shingle_hashes(x, k).view(np.int64) for x in batch.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "s"])
+            sets = [s for s in (shingle_hashes(x, k) for x in batch.column(1).to_pylist()) if len(s)]
+            columns = [pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s).tobytes() for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, ["v", "n", "k", "s"])
 
         return _batches(it, work)
 
     return run
 
 
-def first_links(hosts: list[np.ndarray], guests: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """Of each guest the number of the first host it links with, or -1; both are sorted sets."""
-    size, other = np.array([len(x) for x in hosts]), np.array([len(x) for x in guests])
-    mine, theirs = np.concatenate(hosts), np.concatenate(guests)
-    common = np.intersect1d(mine, theirs)
-    out = np.full(len(guests), -1, np.int64)
-    if not len(common):
-        return out
-    # Numbers of shared elements by a product of 0/1 matrices over the elements that occur on both sides.
-    both = np.zeros((len(guests), len(hosts)), np.float32)
-    hi, gi = np.searchsorted(common, mine), np.searchsorted(common, theirs)
-    hok, gok = common[np.minimum(hi, len(common) - 1)] == mine, common[np.minimum(gi, len(common) - 1)] == theirs
-    hrow, grow = np.repeat(np.arange(len(hosts)), size)[hok], np.repeat(np.arange(len(guests)), other)[gok]
-    hi, gi = hi[hok], gi[gok]
-    width = max(256, 4_000_000 // (len(hosts) + len(guests)))
-    for at in range(0, len(common), width):
-        h, g = np.zeros((len(hosts), width), np.float32), np.zeros((len(guests), width), np.float32)
-        own = (hi >= at) & (hi < at + width)
-        h[hrow[own], hi[own] - at] = 1
-        own = (gi >= at) & (gi < at + width)
-        g[grow[own], gi[own] - at] = 1
-        both += g @ h.T
-    linked = both.astype(np.int64) * (den + num) >= (other[:, None] + size[None, :]) * num
-    some = linked.any(1)
-    out[some] = linked[some].argmax(1)
-    return out
-
-
-def _compared(num: int, den: int):
-    """Rows come sorted by key, hosts before guests; one key's rows are at most CHUNK of either on average."""
+def _wanted(words):
+    def run(it):
+        for batch in it:
+            yield batch.filter(pa.array(in_bitmap(words.value, batch.column(0).to_numpy(zero_copy_only=False))))
+
+    return run
+
+
+def passing(a, b, num: int, den: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers (i, j) of two lists of ``(v, c, n, sketch)`` of different components whose sketches do not rule a link out, with
+    the distance of the sketches; of one list with itself each pair once."""
+    table = folded([x[3] for x in a] + [x[3] for x in b])
+    ka, kb = table[: len(a)], table[len(a) :]
+    va, vb = np.array([x[0] for x in a]), np.array([x[0] for x in b])
+    ca, cb, na, nb = np.array([x[1] for x in a]), np.array([x[1] for x in b]), np.array([x[2] for x in a]), np.array([x[2] for x in b])
+    out = []
+    for i in range(len(a)):
+        ok = (cb != ca[i]) & (np.minimum(nb, na[i]) * den >= np.maximum(nb, na[i]) * num)
+        if same:
+            ok &= vb > va[i]
+        j = np.flatnonzero(ok)
+        if len(j):
+            differ = np.bitwise_count(kb[j] ^ ka[i]).sum(1, dtype=np.int64)
+            own = differ * (den + num) <= (den - num) * (nb[j] + na[i])
+            out.append((np.full(int(own.sum()), i), j[own], differ[own]))
+    if not out:
+        return (np.empty(0, np.int64),) * 3
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _block_pairs(num: int, den: int, nearest: bool):
+    """Rows come sorted by ``sig, i, j, side``; a key's rows are a chunk of a bucket, or two. Gives the pairs that pass, or of
+    each set only the nearest one."""
 
     def run(it):
-        key, rows = None, []
+        key, rows = None, ([], [])
 
         def done():
-            hosts, guests = [r for r in rows if not r[0]], [r for r in rows if r[0]]
-            if not hosts or not guests:
+            a, b = rows
+            same = not b
+            if len(a) + len(b) < 2:
+                return [], []
+            i, j, differ = passing(a, a if same else b, num, den, same)
+            if not len(i):
                 return [], []
-            found = first_links([r[2] for r in hosts], [r[2] for r in guests], num, den)
-            at = np.flatnonzero(found >= 0)
-            return [guests[i][1] for i in at], [hosts[found[i]][1] for i in at]
+            va, vb = np.array([x[0] for x in a])[i], np.array([x[0] for x in (a if same else b)])[j]
+            if nearest:
+                every, other, far = np.concatenate([va, vb]), np.concatenate([vb, va]), np.concatenate([differ, differ])
+                order = np.lexsort((other, far, every))
+                first = np.unique(every[order], return_index=True)[1]
+                va, vb = every[order][first], other[order][first]
+            return np.minimum(va, vb).tolist(), np.maximum(va, vb).tolist()
 
         for batch in it:
             out: tuple[list, list] = [], []
-            host, i, j, guest, v = (batch[c].to_numpy(zero_copy_only=False) for c in ("host", "i", "j", "guest", "v"))
-            lists = batch["s"]
-            values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            sig, i, j, side, v, c, n = (batch[x].to_numpy(zero_copy_only=False) for x in ("sig", "i", "j", "side", "v", "c", "n"))
+            sketches = batch["k"].to_pylist()
             for r in range(batch.num_rows):
-                if (now := (host[r], i[r], j[r])) != key:
-                    for side, more in zip(out, done(), strict=True):
-                        side.extend(more)
-                    key, rows = now, []
-                rows.append((guest[r], v[r], values[offsets[r] : offsets[r + 1]].copy()))
+                if (now := (sig[r], i[r], j[r])) != key:
+                    for whole, more in zip(out, done(), strict=True):
+                        whole.extend(more)
+                    key, rows = now, ([], [])
+                rows[side[r]].append((v[r], c[r], n[r], np.frombuffer(sketches[r], np.uint64)))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in done()], ["a", "b"])
 
     return run
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, rounds: int = ROUNDS) -> DataFrame:
+def _star_pairs(num: int, den: int):
+    def run(it):
+        for batch in it:
+            va, vb, na, nb = (batch[x].to_numpy(zero_copy_only=False) for x in ("a", "b", "na", "nb"))
+            ok = np.minimum(na, nb) * den >= np.maximum(na, nb) * num
+            for r, (x, y) in enumerate(zip(batch["ka"].to_pylist(), batch["kb"].to_pylist(), strict=True)):
+                if ok[r]:
+                    both = folded([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
+                    ok[r] = int(np.bitwise_count(both[0] ^ both[1]).sum()) * (den + num) <= (den - num) * (na[r] + nb[r])
+            yield pa.RecordBatch.from_arrays([pa.array(va[ok]), pa.array(vb[ok])], ["a", "b"])
+
+    return run
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` per row of ``docs(doc_id, text)``: documents link when
     ``den * |A & B| >= num * |A | B|`` over their sets of k-word shingles; the component is named by its smallest doc_id."""
     spark: SparkSession = docs.sparkSession
@@ -299,66 +355,73 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     bands = sum(((guess >= low).cast("int") for low in plan.low[1:]), F.lit(0))
     plan = Scheme(num, den, {r["b"]: r["count"] for r in docs.where("text IS NOT NULL").groupBy(bands.alias("b")).count().collect()})
 
-    rows = scratch.keep(docs.mapInArrow(_index(k, plan), "doc_id long, n long, v long, sigs array<long>"))
+    rows = scratch.keep(docs.mapInArrow(_index(k, plan), "doc_id long, n long, v long, sigs array<long>, spares array<struct<mark:long,spare:long>>"))
     classes = scratch.keep(rows.where("n > 0 and doc_id is not null").groupBy("v").agg(F.min("doc_id").alias("rep")))
     index = rows.where("size(sigs) > 0").select("v", "sigs")
     met = scratch.keep(index.mapInArrow(_ends, "sig long, v long").repartition("sig").groupBy("sig").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo != hi").select("sig"))
     words = bitmap(met, "sig", FILTER_BITS, spark)
-    buckets = scratch.keep(index.mapInArrow(_shared(words), "sig long, v long").distinct().join(met, "sig", "left_semi"))
+    every = scratch.keep(index.mapInArrow(_shared(words), "sig long, v long").distinct().join(met, "sig", "left_semi"))
     scratch.drop(met)
 
-    ids = scratch.keep(buckets.select("v").distinct().join(classes, "v"))
-    words_of_docs = bitmap(ids, "rep", FILTER_BITS, spark)
-    found = docs.where("doc_id is not null").mapInArrow(_sets(k, words_of_docs), "doc_id long, s array<long>")
-    sets = scratch.keep(ids.join(found, ids.rep == found.doc_id).groupBy("v").agg(F.first("s").alias("s")))
-    scratch.drop(ids)
-
-    def links(contacts: DataFrame, member: DataFrame) -> DataFrame:
-        """Of ``contacts(host, v)`` one link of each v into its host component, if there is one. Both sides of a host are
-        dealt out in chunks, so a large component is compared by many tasks and no set is sent once for each pair."""
-        guests = contacts.groupBy("host").agg(F.ceil(F.count("*") / CHUNK).alias("kg"))
-        hosts = guests.join(member.select(F.col("c").alias("host"), F.col("v").alias("w")), "host", "left").select("host", "kg", F.coalesce("w", "host").alias("v"))
-        sizes = hosts.groupBy("host", "kg").agg(F.ceil(F.count("*") / CHUNK).alias("kh"))
-        left = hosts.join(sizes.drop("kg"), "host").select("host", F.pmod(F.xxhash64("v"), "kh").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("kg") - 1)).alias("j"), F.lit(False).alias("guest"), "v")
-        right = contacts.join(sizes, "host").select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("kh") - 1)).alias("i"), F.pmod(F.xxhash64("v"), "kg").alias("j"), F.lit(True).alias("guest"), "v")
-        both = left.unionByName(right).join(sets, "v").repartition("host", "i", "j").sortWithinPartitions("host", "i", "j", "guest")
-        return scratch.keep(both.select("host", "i", "j", "guest", "v", "s").mapInArrow(_compared(num, den), "a long, b long"))
+    # Sets that can do without their hot buckets leave these.
+    hot = every.groupBy("sig").agg(F.count("*").alias("size")).where(F.col("size") > HOT).select("sig")
+    in_hot = scratch.keep(every.join(hot, "sig"))
+    mark = F.col("sig").bitwiseAND((1 << SCHEME_BITS) - 1)
+    spare = rows.where("size(sigs) > 0").select("v", F.inline("spares")).groupBy("v", "mark").agg(F.max("spare").alias("spare"))
+    solid = in_hot.groupBy("v", mark.alias("mark")).agg(F.count("*").alias("hot")).join(spare, ["v", "mark"]).where("hot <= spare").select("v", "mark")
+    leave = in_hot.withColumn("mark", mark).join(solid, ["v", "mark"], "left_semi").select("sig", "v")
+    buckets = scratch.keep(every.join(leave, ["sig", "v"], "left_anti"))
+    scratch.drop(every, in_hot)
+
+    ids = classes.join(buckets.select("v").distinct(), "v", "left_semi")
+    sets = scratch.keep(docs.where("doc_id is not null").mapInArrow(_sets(k, bitmap(ids, "rep", FILTER_BITS, spark)), "v long, n long, k binary, s array<long>"))
+    sketches = scratch.keep(sets.groupBy("v").agg(F.first("n").alias("n"), F.first("k").alias("k")))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs of ``(a, b)`` that link, by their whole sets; only sets in a pair are shuffled."""
+        pairs = scratch.keep(pairs.distinct())
+        ends = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
+        need = scratch.keep(sets.select("v", "s").mapInArrow(_wanted(bitmap(ends, "v", FILTER_BITS, spark)), "v long, s array<long>").join(ends, "v", "left_semi").dropDuplicates(["v"]))
+        left, right = need.select(F.col("v").alias("a"), F.col("s").alias("sa")), need.select(F.col("v").alias("b"), F.col("s").alias("sb"))
+        linked = F.size(F.array_intersect("sa", "sb")) * (den + num) >= (F.size("sa") + F.size("sb")) * num
+        out = scratch.keep(pairs.join(left, "a").join(right, "b").where(linked).select("a", "b"))
+        scratch.drop(pairs, need)
+        return out
 
     def merged(member: DataFrame, new: DataFrame) -> DataFrame:
         """``member(v, c)`` after the links ``new(a, b)``."""
+        if new.isEmpty():
+            return member
         ends = new.select(F.col("a").alias("v")).union(new.select("b")).distinct().join(member, "v", "left_anti").select("v", F.col("v").alias("c"))
-        every = scratch.keep(member.unionByName(ends))
-        name = lambda end, to: every.select(F.col("v").alias(end), F.col("c").alias(to))
+        whole = scratch.keep(member.unionByName(ends))
+        name = lambda end, to: whole.select(F.col("v").alias(end), F.col("c").alias(to))
         between = new.join(name("a", "ca"), "a").join(name("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         renamed = components(between, scratch).select(F.col("v").alias("old"), F.col("c").alias("to"))
-        return scratch.keep(every.join(renamed, every.c == renamed.old, "left").select("v", F.coalesce("to", "c").alias("c")))
+        return scratch.keep(whole.join(renamed, whole.c == renamed.old, "left").select("v", F.coalesce("to", "c").alias("c")))
+
+    # Each bucket's sets against its least one.
+    least = buckets.groupBy("sig").agg(F.min("v").alias("p"), F.count("*").alias("size")).where("size > 1").drop("size")
+    star = buckets.join(least, "sig").where("v != p").select(F.col("p").alias("a"), F.col("v").alias("b")).distinct()
+    of = lambda end: sketches.select(F.col("v").alias(end), F.col("n").alias(f"n{end}"), F.col("k").alias(f"k{end}"))
+    pairs = star.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(_star_pairs(num, den), "a long, b long")
+    member = merged(spark.createDataFrame([], "v long, c long"), verified(pairs))
 
-    member = spark.createDataFrame([], "v long, c long")
-    for turn in range(rounds + 1):
-        # In every bucket its largest component is compared with the others' sets and is then done there; what is left of a
-        # bucket shrinks, and most of it has joined one component by then. The last round compares all that is left.
+    # Buckets of more than one component: each set against its nearest elsewhere, then every pair across components.
+    for nearest in (True, False):
         named = buckets.join(member, "v", "left").select("sig", "v", F.coalesce("c", "v").alias("c"))
-        groups = named.groupBy("sig", "c").agg(F.count("*").alias("n"))
-        top = groups.groupBy("sig").agg(F.max_by("c", F.struct("n", "c")).alias("host"), F.count("*").alias("groups")).where("groups > 1").drop("groups")
-        rest = scratch.keep(named.join(top, "sig").where("c != host"))
-        if rest.isEmpty():
-            break
-        contacts = rest.select("host", "v")
-        if turn == rounds:
-            other = rest.select("sig", F.col("c").alias("host")).distinct()
-            contacts = contacts.union(rest.drop("host").join(other, "sig").where("host < c").select("host", "v"))
-        new = links(scratch.keep(contacts.distinct()), member)
-        if not new.isEmpty():
-            member = merged(member, new)
-        buckets = rest.select("sig", "v")
-        if turn == rounds:
-            break
-    scratch.drop(sets)
+        mixed_ = named.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo != hi and size > 2")
+        open_ = named.join(mixed_.select("sig", F.ceil(F.col("size") / CHUNK).alias("parts")), "sig").join(sketches, "v")
+        part = F.pmod(F.xxhash64("v"), "parts")
+        dealt = open_.withColumn("part", part).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        dealt = dealt.select("sig", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), (F.col("part") > F.col("o")).cast("int").alias("side"), "v", "c", "n", "k")
+        blocks = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "side")
+        member = merged(member, verified(blocks.mapInArrow(_block_pairs(num, den, nearest), "a long, b long")))
+    scratch.drop(sets, sketches, buckets)
 
     whole = classes.join(member, "v", "left").select("v", "rep", F.coalesce("c", "v").alias("c"))
     smallest = whole.groupBy("c").agg(F.min("rep").alias("component_id"))
     named = scratch.keep(whole.join(smallest, "c").select("v", "component_id"))
-    return rows.join(named, "v", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
+    return rows.select("doc_id", "n", "v").join(named, "v", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_first_of_group(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
