@@ -39,6 +39,8 @@ BAND_GROWTH, WORDS_KEPT = 1.5, 400_000
 FILTER_BITS = 25
 #: Sets on either side of one comparison; sets from which on a bucket is hot.
 CHUNK, HOT = 512, 48
+#: What a pair of sets that meet by chance costs (a comparison of sketches), in index rows (which are shuffled).
+PAIR_COST = 0.3
 #: Low bits of a signature that tell the schemes of one set apart.
 SCHEME_BITS = 3
 
@@ -101,7 +103,7 @@ class Scheme:
         """(plain segments, segments with one-deletion neighbourhoods), of least cost with weights of H + 1 at least."""
         need, size = self.differ(b) + 1, (self.low[b] + self.low[b + 1] - 1) / 2
         best = None
-        for slack in {0, 1, 2, math.ceil(need * 0.03), math.ceil(need * 0.06)}:
+        for slack in {0, 1, 2, *(math.ceil(need * x) for x in (0.03, 0.06, 0.1, 0.15, 0.25))}:
             for deletion in {0, 1, 2, need // 8, need // 4, (need + slack) // 2}:
                 plain = need + slack - 2 * deletion
                 if plain < 0 or slack and need < 4:
@@ -112,8 +114,8 @@ class Scheme:
                 hollow = 1.0 if lost > slack else lost / (slack + 1)
                 rows = sets * (plain + deletion * (t + 1))
                 pairs = (plain * (sets * hollow * none) ** 2 + deletion * (sets * hollow * few) ** 2) / 2
-                if best is None or rows + 20 * pairs < best[0]:
-                    best = rows + 20 * pairs, plain, deletion
+                if best is None or rows + PAIR_COST * pairs < best[0]:
+                    best = rows + PAIR_COST * pairs, plain, deletion
         return best[1:]
 
     def signatures(self, s: np.ndarray) -> tuple[np.ndarray, dict[int, int]]:
