@@ -29,16 +29,30 @@ from tallyarc.llm.common import Scratch
 
 CAPACITY, END_ID = 4096, 1
 #: A worker's table from words to ids is emptied beyond this many words; longer words are not kept.
-WORDS_KEPT, LONGEST_KEPT = 1_000_000, 64
+WORDS_KEPT, LONGEST_KEPT = 500_000, 64
+
+
+class _Known(dict):
+    """Ids of words, as bytes; what is not there is encoded when it is asked for."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.learn(word)
+        if len(word) <= LONGEST_KEPT:
+            self[word] = ids
+        return ids
 
 
 class WordEncoder:
     """Ids of texts by a byte-level tokenizer that drops white space and never merges across it: each run of other characters
-    is encoded once and remembered, which gives the ids that the whole text would. A comma or full stop between an ASCII
-    letter and white space is a token of its own in such a tokenizer, so it is parted first; runs of Latin letters alone are
-    one word to it and go straight to its merges. Everything else takes the tokenizer's own way."""
+    is encoded once and remembered, which gives the ids that the whole text would. A run of ASCII signs between a letter and
+    white space is a word of its own to such a tokenizer, so it is parted first; runs of Latin letters alone are one word to it
+    and go straight to its merges. Everything else takes the tokenizer's own way."""
 
-    _parted = re.compile(rb"(?<=[a-z])([,.])(?=\s|$)").sub
+    _parted = re.compile(rb"([!-&(-/:-@\[-`{-~](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[!-&(-/:-@\[-`{-~]*)(?=\s|$)").sub
     _letters = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00de\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
 
     def __init__(self, path: str):
@@ -48,11 +62,11 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.known: dict[bytes, bytes] = {}
         # How the tokenizer writes the bytes of these letters.
         shown = ByteLevel(add_prefix_space=False, use_regex=False)
         self.shown = str.maketrans({chr(x): shown.pre_tokenize_str(chr(x))[0][0] for x in (*range(0xDF, 0xF7), *range(0xF8, 0x100))})
         self.direct = all(self._agrees(w) for w in ("the", "word", "\u00e9t\u00e9", "gro\u00df", "zzqx"))
+        self.known = _Known(self._learn)
 
     def _merged(self, word: str) -> list[int]:
         return [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.shown))]
@@ -60,30 +74,21 @@ class WordEncoder:
     def _agrees(self, word: str) -> bool:
         return self._merged(word) == self.tokenizer.encode(word, add_special_tokens=False).ids
 
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        out, other = {}, []
-        for w in words:
-            text = w.decode()
-            if self.direct and self._letters(text):
-                out[w] = array("I", self._merged(text.lower())).tobytes()
-            else:
-                other.append((w, text))
-        found = self.tokenizer.encode_batch_fast([text for _, text in other], add_special_tokens=False)
-        out.update((w, array("I", e.ids).tobytes()) for (w, _), e in zip(other, found, strict=True))
-        return out
+    def _learn(self, word: bytes) -> bytes:
+        text = word.decode()
+        if self.direct and self._letters(text):
+            return array("I", self._merged(text.lower())).tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _split(self, text: str | None) -> list[bytes]:
         data = (text or "").encode()
         return data.split() if b"<|" in data else self._parted(rb" \1", data.lower()).split()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [self._split(x) for x in texts]
         if len(self.known) > WORDS_KEPT:
             self.known.clear()
-        learned = self._learn(list(set().union(*split).difference(self.known)))
-        self.known.update((w, ids) for w, ids in learned.items() if len(w) <= LONGEST_KEPT)
-        known = self.known if all(len(w) <= LONGEST_KEPT for w in learned) else self.known | learned
-        return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint32) for words in split]
+        ids = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(ids, self._split(x))), np.uint32) for x in texts]
 
 
 _encoders: dict[str, WordEncoder] = {}
