@@ -116,4 +116,4 @@ def base_subquery(v: Views):
 
 @query("base_pivot", "SELECT user_id, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type = 'click') AS click FROM events GROUP BY user_id")
 def base_pivot(v: Views):
-    return v.events.groupBy("user_id").pivot("event_type", ["view", "click"]).agg(F.count("*")).na.fill(0)
+    return v.events.groupBy("user_id").pivot("event_type", ["view", "click"]).agg(F.count(F.lit(1))).na.fill(0)

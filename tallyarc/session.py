@@ -43,3 +43,18 @@ def ship(spark: SparkSession) -> None:
                         out.write(path, os.path.relpath(path, os.path.dirname(top)))
     spark.sparkContext.addPyFile(_zip)
     _shipped.add(app)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for a written table: in the shared folder that the session names, else in a folder of this process."""
+    import uuid
+
+    global _own
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        _own = _own or tempfile.mkdtemp(prefix="tallyarc-")
+        root = f"file://{_own}"
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+_own: str | None = None
