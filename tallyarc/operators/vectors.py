@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 
 def quantize(v: Column) -> Column:
@@ -79,7 +80,7 @@ def dominant_class(failures: DataFrame) -> DataFrame:
     return failures.groupBy("class").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "class").limit(1)
 
 
-@F.udf("array<double>")
+@F.udf(ArrayType(DoubleType()))
 def embed_deterministic(text: str | None):
     """A unit vector from a digest, for tests of wiring only."""
     import hashlib

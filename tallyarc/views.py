@@ -70,7 +70,7 @@ VIEWS: dict[str, str] = {
         SELECT event_id AS id, concat('s', @str(user_id), '-', @str(day(ts))) AS session_id, ts,
             CASE event_type WHEN 'purchase' THEN 'quest_fulfill' WHEN 'signup' THEN 'session_start' WHEN 'error' THEN 'lore_inscribe' WHEN 'click' THEN 'quest_journal' ELSE 'lore_appraise' END AS tool,
             CASE event_id % 6 WHEN 0 THEN 'fix login-page-redirect' WHEN 1 THEN 'QUEST-12' WHEN 2 THEN 'we need to tidy this up' WHEN 3 THEN 'login-redirect' WHEN 4 THEN 'see ENTRY-4 which shows a long enough sentence here' ELSE 'plain words' END AS arg,
-    X
+            event_id % 5 = 0 AS empty_result
         FROM events""",
     "vectors": """
         SELECT vec_id + 1 AS id, CASE WHEN vec_id % 19 = 0 THEN 'other' ELSE 'model' END AS model_id, embedding,
