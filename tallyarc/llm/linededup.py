@@ -94,7 +94,9 @@ def _cleaned(it):
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with the changed ``text`` and the columns ``n_lines``, ``n_removed`` and ``removed`` (runs of line numbers)."""
+    """``docs`` with the changed ``text`` and the columns ``n_lines``, ``n_removed`` and ``removed`` (runs of line numbers); columns
+    that have these names already are replaced."""
+    docs = docs.drop("n_lines", "n_removed", "removed")
     scratch = Scratch(docs.sparkSession, "lines")
     own = [c for c in docs.columns if c != "text"]
     names = [f"c{i}" for i in range(len(own))]

@@ -90,8 +90,10 @@ def discovered(rows: DataFrame, scratch: Scratch) -> DataFrame:
         graph = again
 
 
-def pii_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``base`` (seeds) and ``spans`` (seeds and discovered tokens), arrays of (start, kind number, end)."""
+def pii_spans(docs: DataFrame, base: str = "base", spans: str = "spans") -> DataFrame:
+    """``docs`` with ``base`` (seeds) and ``spans`` (seeds and discovered tokens), arrays of (start, kind number, end). Columns that
+    have these names already are replaced."""
+    docs = docs.drop(base, spans)
     scratch = Scratch(docs.sparkSession, "pii")
     kept = [c for c in docs.columns if c != "text"]
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*(F.col(c) for c in kept)).alias("doc"), F.col("text").alias("given"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -108,14 +110,14 @@ def pii_spans(docs: DataFrame) -> DataFrame:
     some = rows.where("size(tokens) > size(seeds)").join(more, F.col("rid") == F.col("own"), "left")
     some = some.selectExpr("doc", "given", f"{bare} AS base", f"array_sort(concat({bare}, coalesce(more, array()))) AS spans")
     out = none.unionByName(some)
-    return out.select(*(F.col("given").alias("text") if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns), "base", "spans")
+    return out.select(*(F.col("given").alias("text") if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns), F.col("base").alias(base), F.col("spans").alias(spans))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind in brackets; of spans that overlap, the earliest counts."""
-    found = pii_spans(docs)
+    found = pii_spans(docs, "_pii_base", "_pii_spans")
     kind = f"element_at(array({', '.join(repr(k.upper()) for k in NAMES)}), x.k + 1)"
-    fold = f"""aggregate(spans, named_struct('at', 0, 'out', ''), (acc, x) -> CASE WHEN x.start < acc.at THEN named_struct('at', greatest(acc.at, x.end), 'out', acc.out)
+    fold = f"""aggregate(_pii_spans, named_struct('at', 0, 'out', ''), (acc, x) -> CASE WHEN x.start < acc.at THEN named_struct('at', greatest(acc.at, x.end), 'out', acc.out)
         ELSE named_struct('at', x.end, 'out', concat(acc.out, substring(text, acc.at + 1, x.start - acc.at), '[', {kind}, ']')) END,
         acc -> concat(acc.out, substring(text, acc.at + 1, length(text) - acc.at)))"""
-    return found.withColumn("text", F.expr(f"CASE WHEN size(spans) > 0 THEN {fold} ELSE text END")).drop("base", "spans")
+    return found.withColumn("text", F.expr(f"CASE WHEN size(_pii_spans) > 0 THEN {fold} ELSE text END")).drop("_pii_base", "_pii_spans")
