@@ -12,7 +12,7 @@ from tallyarc.views import Views, oracle
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 #: Modules whose import registers operators.
-MODULES = ["archive", "board", "search", "vectors", "similarity", "graph", "staleness", "telemetry", "hints", "evaluation", "relational", "scalars", "compaction", "snapshots", "streams"]
+MODULES = ["archive", "board", "search", "vectors", "similarity", "graph", "staleness", "telemetry", "hints", "evaluation", "relational", "scalars", "compaction", "snapshots", "streams", "upkeep"]
 
 
 def query(name: str, sql: str | None = None):
