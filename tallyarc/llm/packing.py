@@ -249,5 +249,5 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     by_task = scratch.keep(by_task.select("length", "part", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # a row for each length at most
     places = spark.sparkContext.broadcast(_places(plan(counts, capacity)))
-    ranked = pieces.join(by_task.drop("n"), ["length", "part"]).select(*(c for c in pieces.columns if c not in ("part", "nth")), (F.col("before") + F.col("nth")).alias("rank"))
+    ranked = pieces.join(by_task.drop("n").hint("merge"), ["length", "part"]).select(*(c for c in pieces.columns if c not in ("part", "nth")), (F.col("before") + F.col("nth")).alias("rank"))
     return ranked.mapInArrow(_placed(places), f"{base}{extra}, sequence_id long, offset long")
