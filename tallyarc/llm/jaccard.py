@@ -39,6 +39,8 @@ BAND_GROWTH, WORDS_KEPT = 1.5, 200_000
 FILTER_BITS = 25
 #: Sets on either side of one comparison; sets from which on a bucket is hot.
 CHUNK, HOT = 512, 48
+#: Signatures that a worker handles at once.
+SIGNATURES_AT_ONCE = 500_000
 #: What a pair of sets that meet by chance costs (a comparison of sketches), in index rows (which are shuffled).
 PAIR_COST = 0.3
 #: Low bits of a signature that tell the schemes of one set apart.
@@ -216,31 +218,35 @@ def _index(k: int, scheme: Scheme):
     return run
 
 
-def _owned(batch) -> tuple[np.ndarray, np.ndarray]:
-    """All signatures of a batch of (v, sigs), and whose they are."""
-    sigs = batch.column(1)
-    return sigs.flatten().to_numpy(zero_copy_only=False), np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(sigs.offsets.to_numpy()))
+def _owned(batch):
+    """All signatures of a batch of (v, sigs), and whose they are, a bounded number at a time."""
+    v, sigs = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+    ends, flat = sigs.offsets.to_numpy(), sigs.values.to_numpy(zero_copy_only=False)
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + SIGNATURES_AT_ONCE, "right")) - 1)
+        yield flat[ends[at] : ends[to]], np.repeat(v[at:to], np.diff(ends[at : to + 1]))
+        at = to
 
 
 def _ends(it):
-    """Of each signature the least and the greatest owner in a batch, so that a hot one is few rows before the shuffle."""
+    """Of each signature the least and the greatest owner in a slice, so that a hot one is few rows before the shuffle."""
     for batch in it:
-        sig, own = _owned(batch)
-        order = np.lexsort((own, sig))
-        sig, own = sig[order], own[order]
-        new = np.ones(len(sig), bool)
-        new[1:] = sig[1:] != sig[:-1]
-        last = np.append(new[1:], True)[: len(sig)]
-        kept = new | last
-        yield pa.RecordBatch.from_arrays([pa.array(sig[kept]), pa.array(own[kept])], ["sig", "v"])
+        for sig, own in _owned(batch):
+            order = np.lexsort((own, sig))
+            sig, own = sig[order], own[order]
+            new = np.ones(len(sig), bool)
+            new[1:] = sig[1:] != sig[:-1]
+            kept = new | np.append(new[1:], True)[: len(sig)]
+            yield pa.RecordBatch.from_arrays([pa.array(sig[kept]), pa.array(own[kept])], ["sig", "v"])
 
 
 def _shared(words):
     def run(it):
         for batch in it:
-            sig, own = _owned(batch)
-            ok = in_bitmap(words.value, sig)
-            yield pa.RecordBatch.from_arrays([pa.array(sig[ok]), pa.array(own[ok])], ["sig", "v"])
+            for sig, own in _owned(batch):
+                ok = in_bitmap(words.value, sig)
+                yield pa.RecordBatch.from_arrays([pa.array(sig[ok]), pa.array(own[ok])], ["sig", "v"])
 
     return run
 
