@@ -42,7 +42,7 @@ CHUNK, HOT = 512, 48
 #: Signatures that a worker handles at once.
 SIGNATURES_AT_ONCE = 500_000
 #: What a pair of sets that meet by chance costs (a comparison of sketches), in index rows (which are shuffled).
-PAIR_COST = 0.3
+PAIR_COST = 0.05
 #: Low bits of a signature that tell the schemes of one set apart.
 SCHEME_BITS = 3
 
