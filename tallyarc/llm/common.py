@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,18 @@ from pyspark.sql import functions as F
 OWN_FOLDER = None
 
 
+_kept: tuple[str, object] | None = None
+
+
+def worker_cache(name: str, make: Callable[[], object]) -> object:
+    """What a worker process remembers between tasks: the cache of one operator at a time, so stages do not add theirs up."""
+    global _kept
+    if _kept is None or _kept[0] != name:
+        _kept = None
+        _kept = (name, make())
+    return _kept[1]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

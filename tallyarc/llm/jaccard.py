@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyarc.llm.common import Scratch, bitmap, components, in_bitmap
+from tallyarc.llm.common import Scratch, bitmap, components, in_bitmap, worker_cache
 
 _MASK = (1 << 64) - 1
 _MIX1, _MIX2, _MIX3 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -61,15 +61,13 @@ class _Words(dict):
         return value
 
 
-_words = _Words()
-
-
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's k-word shingles; words are runs of anything but ASCII white space, A-Z lower-cased."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    known = worker_cache("jaccard", _Words)
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     if len(h) < k:
         return np.array([int.from_bytes(hashlib.blake2b(h.tobytes() + b"short", digest_size=8).digest(), "little")], np.uint64)
     n = len(h) - k + 1

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyarc.llm.common import Scratch
+from tallyarc.llm.common import Scratch, worker_cache
 
 CAPACITY, END_ID = 4096, 1
 #: A worker's table from words to ids is emptied beyond this many words; longer words are not kept.
@@ -91,16 +91,12 @@ class WordEncoder:
         return [np.frombuffer(b"".join(map(ids, self._split(x))), np.uint32) for x in texts]
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"] + ["ids"] * with_ids
 
     def run(it):
-        if path not in _encoders:
-            _encoders[path] = WordEncoder(path)
-        encoder, part, seen = _encoders[path], TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        encoder = worker_cache(f"packing {path}", lambda: WordEncoder(path))
+        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], np.uint32)
         for batch in it:
             ids_in, texts = batch.column(0).to_pylist(), batch.column(1)

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyarc.llm.common import worker_cache
+
 MARK = "▁"
 #: A worker's table of runs is emptied beyond this many; longer runs are not kept. Runs that are segmented at once.
 RUNS_KEPT, LONGEST_KEPT, AT_ONCE = 500_000, 96, 20_000
@@ -250,17 +252,12 @@ def log_score(model: Unigram, ids: np.ndarray) -> float:
     return math.fsum(model.fallback if b >= 0 else float(model.score[i]) for i, b in zip(ids.tolist(), text, strict=True) if b < 0 or b & 0xC0 != 0x80)
 
 
-_models: dict[str, Unigram] = {}
-
-
 def _encoded(path: str, with_ids: bool):
     names = ["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip"] + ["ids"] * with_ids
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()] + [pa.list_(pa.int32())] * with_ids
 
     def run(it):
-        if path not in _models:
-            _models[path] = Unigram(path)
-        model = _models[path]
+        model = worker_cache(f"pieces {path}", lambda: Unigram(path))
         for batch in it:
             doc_ids, texts, at = batch.column(0).to_pylist(), batch.column(1), 0
             while at < batch.num_rows:
