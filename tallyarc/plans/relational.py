@@ -31,9 +31,9 @@ def base_join_semi(v: Views):
     return v.customer.join(v.orders.where("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").agg(F.count("*").alias("n"))
 
 
-@query("base_join_anti", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+@query("base_join_anti", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT')")
 def base_join_anti(v: Views):
-    return v.customer.join(v.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return v.customer.join(v.orders.where("o_orderpriority = '1-URGENT'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("base_join_range", "SELECT e.event_id, o.o_orderkey FROM events e JOIN orders o ON o.o_orderkey BETWEEN e.user_id AND e.user_id + 2 WHERE e.event_id < 500")
@@ -98,9 +98,9 @@ def base_set_intersect(v: Views):
     return v.orders.select(F.col("o_custkey").alias("k")).intersect(v.customer.where("c_acctbal > 5000").select("c_custkey"))
 
 
-@query("base_set_except", "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 10")
+@query("base_set_except", "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 48")
 def base_set_except(v: Views):
-    return v.part.select(F.col("p_partkey").alias("k")).subtract(v.lineitem.where("l_quantity > 10").select("l_partkey"))
+    return v.part.select(F.col("p_partkey").alias("k")).subtract(v.lineitem.where("l_quantity > 48").select("l_partkey"))
 
 
 @query("base_topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")

@@ -6,7 +6,7 @@ from tallyarc.catalogue import query
 from tallyarc.operators import staleness as T
 from tallyarc.views import NOW, Views
 
-AT = "2024-01-25 00:00:00"
+AT = "2024-01-30 18:00:00"
 
 
 def _at(text: str = AT):

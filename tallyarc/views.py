@@ -33,11 +33,11 @@ VIEWS: dict[str, str] = {
             SELECT id AS from_id, (id * 31 + 7) % n + 1 AS to_id, CASE id % 3 WHEN 0 THEN 'informs' WHEN 1 THEN 'supersedes' ELSE 'contradicts' END AS relation
             FROM entries CROSS JOIN (SELECT count(*) AS n FROM entries) t
             UNION ALL
-            SELECT id, (id * 17 + 5) % n + 1, CASE (id + 1) % 3 WHEN 0 THEN 'informs' WHEN 1 THEN 'supersedes' ELSE 'contradicts' END
+            SELECT id, (id * 21 + 19) % n + 1, CASE (id + 1) % 3 WHEN 0 THEN 'informs' WHEN 1 THEN 'supersedes' ELSE 'contradicts' END
             FROM entries CROSS JOIN (SELECT count(*) AS n FROM entries) t) u
         WHERE from_id <> to_id GROUP BY from_id, to_id""",
     "task_status": """
-        SELECT concat('p', @str(o_custkey % 8)) AS project_id, concat('QUEST-', @str(o_orderkey)) AS task_id, o_orderkey AS seq,
+        SELECT concat('p', @str(o_orderkey % 8)) AS project_id, concat('QUEST-', @str(o_orderkey)) AS task_id, o_orderkey AS seq,
             CASE WHEN o_orderstatus = 'F' THEN 'done' WHEN o_orderkey % 13 = 0 THEN 'blocked' WHEN o_orderstatus = 'O' THEN 'next' ELSE 'in_progress' END AS status,
             CASE WHEN o_orderstatus = 'P' AND o_orderkey % 13 <> 0 THEN concat('agent', @str(o_custkey % 17)) END AS claimed_by,
             o_orderdate AS updated_at
@@ -93,7 +93,7 @@ VIEWS: dict[str, str] = {
         FROM events""",
     "leases": """
         SELECT project_id, task_id, holder, session_id, heartbeat_at, heartbeat_at + INTERVAL '10' MINUTE AS expires_at FROM (
-            SELECT concat('p', @str(o.o_custkey % 8)) AS project_id, concat('QUEST-', @str(e.user_id)) AS task_id, concat('AGENT', @str(e.event_id % 17)) AS holder,
+            SELECT concat('p', @str(e.user_id % 8)) AS project_id, concat('QUEST-', @str(e.user_id)) AS task_id, concat('AGENT', @str(o.o_custkey % 17 + CASE WHEN e.user_id % 5 = 0 THEN 1 ELSE 0 END)) AS holder,
                 concat('s', @str(e.user_id)) AS session_id, e.ts AS heartbeat_at, row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts DESC, e.event_id DESC) AS rn
             FROM events e JOIN orders o ON o.o_orderkey = e.user_id) x
         WHERE rn = 1""",
