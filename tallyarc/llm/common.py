@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,19 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{OWN_FOLDER}"
 
 
+def slices(batch, column: int, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of a record batch's rows with at most ``most`` bytes of text each, or one row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 100)
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, to
+        at = to
+
+
 class Scratch:
     """Tables written in the shared folder. ``keep`` writes a DataFrame and reads it back, so lineage ends there and a lost
     executor costs only the tasks that ran on it; ``drop`` removes tables that no later step reads."""
@@ -55,6 +69,11 @@ class Scratch:
         self.paths[id(out)] = (path, out)
         return out
 
+    def sweep(self) -> None:
+        """Let Spark remove the shuffle files of plans that have run: its cleaner learns of them from the garbage collectors."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             if df is not None and (found := self.paths.pop(id(df), None)):

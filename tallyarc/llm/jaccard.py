@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyarc.llm.common import Scratch, bitmap, components, in_bitmap, worker_cache
+from tallyarc.llm.common import Scratch, bitmap, components, in_bitmap, slices, worker_cache
 
 _MASK = (1 << 64) - 1
 _MIX1, _MIX2, _MIX3 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -42,7 +42,7 @@ CHUNK, HOT = 512, 48
 #: Signatures that a worker handles at once.
 SIGNATURES_AT_ONCE = 500_000
 #: What a pair of sets that meet by chance costs (a comparison of sketches), in index rows (which are shuffled).
-PAIR_COST = 0.05
+PAIR_COST = 0.1
 #: Low bits of a signature that tell the schemes of one set apart.
 SCHEME_BITS = 3
 
@@ -174,13 +174,8 @@ def folded(sketches: list[np.ndarray]) -> np.ndarray:
 def _batches(it, work, most: int = 2_000_000):
     """Rows of record batches, in slices of bounded text."""
     for batch in it:
-        texts = batch.column(1)
-        start = held = 0
-        for i in range(batch.num_rows):
-            held += len(texts[i].as_py() or "")
-            if held > most or i == batch.num_rows - 1:
-                yield work(batch.slice(start, i + 1 - start))
-                start, held = i + 1, 0
+        for at, to in slices(batch, 1, most):
+            yield work(batch.slice(at, to - at))
 
 
 def _index(k: int, scheme: Scheme):
@@ -368,6 +363,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     words = bitmap(met, "sig", FILTER_BITS, spark)
     every = scratch.keep(index.mapInArrow(_shared(words), "sig long, v long").distinct().join(met, "sig", "left_semi"))
     scratch.drop(met)
+    scratch.sweep()
 
     # Sets that can do without their hot buckets leave these.
     hot = every.groupBy("sig").agg(F.count("*").alias("size")).where(F.col("size") > HOT).select("sig")
@@ -376,8 +372,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     spare = rows.where("size(sigs) > 0").select("v", F.inline("spares")).groupBy("v", "mark").agg(F.max("spare").alias("spare"))
     solid = in_hot.groupBy("v", mark.alias("mark")).agg(F.count("*").alias("hot")).join(spare, ["v", "mark"]).where("hot <= spare").select("v", "mark")
     leave = in_hot.withColumn("mark", mark).join(solid, ["v", "mark"], "left_semi").select("sig", "v")
-    buckets = scratch.keep(every.join(leave, ["sig", "v"], "left_anti"))
+    left = scratch.keep(every.join(leave, ["sig", "v"], "left_anti"))
     scratch.drop(every, in_hot)
+    # Buckets of the very same sets say the same: one of them stays.
+    who = left.groupBy("sig").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("v")).alias("x"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("y")).where("size > 1")
+    buckets = scratch.keep(left.join(who.groupBy("size", "x", "y").agg(F.min("sig").alias("sig")), "sig", "left_semi"))
+    scratch.drop(left)
+    scratch.sweep()
 
     ids = classes.join(buckets.select("v").distinct(), "v", "left_semi")
     sets = scratch.keep(docs.where("doc_id is not null").mapInArrow(_sets(k, bitmap(ids, "rep", FILTER_BITS, spark)), "v long, n long, k binary, s array<long>"))
@@ -422,6 +423,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         dealt = dealt.select("sig", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), (F.col("part") > F.col("o")).cast("int").alias("side"), "v", "c", "n", "k")
         blocks = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "side")
         member = merged(member, verified(blocks.mapInArrow(_block_pairs(num, den, nearest), "a long, b long")))
+        scratch.sweep()
     scratch.drop(sets, sketches, buckets)
 
     whole = classes.join(member, "v", "left").select("v", "rep", F.coalesce("c", "v").alias("c"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyarc.llm.common import Scratch
+from tallyarc.llm.common import Scratch, slices
 
 LINES = 3
 
@@ -59,18 +59,11 @@ def without(text: str | None, later: list[int], first: list[int], size: int = LI
 def _windows(it):
     for batch in it:
         ids, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-        at = 0
         texts = batch.column(2)
-        while at < batch.num_rows:
-            found, owner, held = [], [], 0
-            while at < batch.num_rows and held < 4_000_000:
-                text = texts[at].as_py()
-                held += len(text or "")
-                found.append(window_hashes(text))
-                owner.append(at)
-                at += 1
+        for at, to in slices(batch, 2, 4_000_000):
+            found = [window_hashes(x) for x in texts.slice(at, to - at).to_pylist()]
             n = [len(x) for x in found]
-            own, hashes = np.repeat(owner, n), np.concatenate(found)
+            own, hashes = np.repeat(np.arange(at, to), n), np.concatenate(found)
             pos = np.concatenate([np.arange(x) for x in n])
             yield pa.RecordBatch.from_arrays([pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), pa.array(ids[own]), pa.array(keys[own]), pa.array(pos, pa.int32())], ["w1", "w2", "doc_id", "key", "pos"])
 

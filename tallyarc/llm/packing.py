@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyarc.llm.common import Scratch, worker_cache
+from tallyarc.llm.common import Scratch, slices, worker_cache
 
 CAPACITY, END_ID = 4096, 1
 #: A worker's table from words to ids is emptied beyond this many words; longer words are not kept.
@@ -100,12 +100,7 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
         end = np.array([end_id], np.uint32)
         for batch in it:
             ids_in, texts = batch.column(0).to_pylist(), batch.column(1)
-            at = 0
-            while at < batch.num_rows:
-                held, to = 0, at
-                while to < batch.num_rows and held < 2_000_000:
-                    held += len(texts[to].as_py() or "")
-                    to += 1
+            for at, to in slices(batch, 1, 2_000_000):
                 out = {name: [] for name in names}
                 for doc_id, ids in zip(ids_in[at:to], encoder.encode(texts.slice(at, to - at).to_pylist()), strict=True):
                     ids = np.concatenate([ids, end])
@@ -117,7 +112,6 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
                             out[name].append(value)
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
                 yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, types, strict=True)], names)
-                at = to
 
     return run
 

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyarc.llm.common import slices
+
 #: Bytes that a filter moves by, bytes of a chunk (its last half is the next one's first), numbers of a pair's embedding,
 #: filters, hidden units.
 STEP, CHUNK, EMBED, FILTERS, HIDDEN = 4, 256, 6, 32, 16
@@ -198,18 +200,16 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", sample: int
     return train(seen["data"].tolist(), seen["label"].to_numpy(np.float32))
 
 
+def _scores(w, batch, column: int) -> np.ndarray:
+    texts = batch.column(column)
+    out = [score(w, [(x or "").encode() for x in texts.slice(at, to - at).to_pylist()]) for at, to in slices(batch, column, 400_000)]
+    return np.concatenate(out) if out else np.empty(0)
+
+
 def _scored(w):
     def run(it):
         for batch in it:
-            texts, out, at = batch.column(1), [], 0
-            while at < batch.num_rows:
-                data, held = [], 0
-                while at < batch.num_rows and held < 400_000:
-                    data.append((texts[at].as_py() or "").encode())
-                    held += len(data[-1]) + CHUNK
-                    at += 1
-                out.append(score(w, data))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.empty(0))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(w, batch, 1))], ["doc_id", "score"])
 
     return run
 
@@ -226,15 +226,6 @@ def keep_good(docs: DataFrame, weights: dict[str, np.ndarray], least: float = 0.
 
     def run(it):
         for batch in it:
-            keep, at = [], 0
-            texts = batch.column(place)
-            while at < batch.num_rows:
-                data, held = [], 0
-                while at < batch.num_rows and held < 400_000:
-                    data.append((texts[at].as_py() or "").encode())
-                    held += len(data[-1]) + CHUNK
-                    at += 1
-                keep.append(score(weights, data) >= least)
-            yield batch.filter(pa.array(np.concatenate(keep))) if keep else batch
+            yield batch.filter(pa.array(_scores(weights, batch, place) >= least))
 
     return docs.mapInArrow(run, schema)

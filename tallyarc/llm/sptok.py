@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyarc.llm.common import worker_cache
+from tallyarc.llm.common import slices, worker_cache
 
 MARK = "▁"
 #: A worker's table of runs is emptied beyond this many; longer runs are not kept. Runs that are segmented at once.
@@ -259,19 +259,14 @@ def _encoded(path: str, with_ids: bool):
     def run(it):
         model = worker_cache(f"pieces {path}", lambda: Unigram(path))
         for batch in it:
-            doc_ids, texts, at = batch.column(0).to_pylist(), batch.column(1), 0
-            while at < batch.num_rows:
-                held, to = 0, at
-                while to < batch.num_rows and held < 2_000_000:
-                    held += len(texts[to].as_py() or "")
-                    to += 1
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            for at, to in slices(batch, 1, 2_000_000):
                 own = texts.slice(at, to - at).to_pylist()
                 out = []
                 for doc_id, text, ids in zip(doc_ids[at:to], own, model.encode(own), strict=True):
                     back = model.decode(ids)
                     out.append([doc_id, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), hashlib.sha256(back.encode()).hexdigest(), back == (text or "")] + [ids] * with_ids)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
-                at = to
 
     return run
 
