@@ -42,6 +42,8 @@ def ship(spark: SparkSession) -> None:
                         path = os.path.join(folder, name)
                         out.write(path, os.path.relpath(path, os.path.dirname(top)))
     spark.sparkContext.addPyFile(_zip)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default; whole texts are large rows
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     _shipped.add(app)
 
 
