@@ -102,3 +102,30 @@ def op7_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyarc.llm.sptok import encode
 
     return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+_COMPONENTS = """walk AS (SELECT id, id AS c FROM node UNION SELECT e.b, w.c FROM walk w JOIN edge e ON e.a = w.id), comp AS (SELECT id, min(c) AS component_id FROM walk GROUP BY id)"""
+
+ORACLE_SQL["op3_embedding_neardup"] = f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), ok AS (SELECT * FROM v WHERE list_sum(list_transform(x, lambda y: y * y)) > 0),
+    edge AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 95e-2), node AS (SELECT vec_id AS id FROM v), {_COMPONENTS}
+    SELECT id AS vec_id, coalesce(n, 0) AS n_links, component_id, id = component_id AS kept FROM comp LEFT JOIN (SELECT a, count(*) AS n FROM edge GROUP BY a) l ON l.a = id"""
+
+ORACLE_SQL["op9_line_windows"] = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+    l AS (SELECT doc_id, unnest(ls) AS line, unnest(generate_series(0, len(ls) - 1)) AS i FROM d),
+    s AS (SELECT doc_id, i, regexp_replace(line, '^\s+|\s+$', '', 'g') AS t, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS p FROM l WHERE trim(regexp_replace(line, '\s+', ' ', 'g')) <> ''),
+    w AS (SELECT * FROM (SELECT doc_id, p, t, lead(t, 1) OVER o AS t1, lead(t, 2) OVER o AS t2 FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY i)) x WHERE t2 IS NOT NULL),
+    f AS (SELECT t, t1, t2, min(struct_pack(d := doc_id, p := p)) AS f FROM w GROUP BY ALL HAVING count(*) > 1),
+    later AS (SELECT w.doc_id, w.p, CASE WHEN f.f.d = w.doc_id THEN f.f.p ELSE -10 END AS fp FROM w JOIN f USING (t, t1, t2) WHERE NOT (f.f.d = w.doc_id AND f.f.p = w.p)),
+    gone AS (SELECT DISTINCT doc_id, p + k AS p FROM later, (VALUES (0), (1), (2)) AS v(k) WHERE NOT (p + k BETWEEN fp AND fp + 2)),
+    out AS (SELECT g.doc_id, s.i, s.i - row_number() OVER (PARTITION BY g.doc_id ORDER BY s.i) AS island FROM gone g JOIN s ON s.doc_id = g.doc_id AND s.p = g.p),
+    runs AS (SELECT doc_id, min(i) AS a, max(i) + 1 AS b FROM out GROUP BY doc_id, island),
+    r AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n, string_agg(concat(CAST(a AS VARCHAR), ':', CAST(b AS VARCHAR)), ',' ORDER BY a) AS removed FROM runs GROUP BY doc_id),
+    kept AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) AS text FROM l LEFT JOIN out o ON o.doc_id = l.doc_id AND o.i = l.i WHERE o.i IS NULL GROUP BY l.doc_id)
+    SELECT d.doc_id, CASE WHEN d.text = '' THEN 0 ELSE len(d.ls) END AS n_lines, coalesce(r.n, 0) AS n_removed, coalesce(r.removed, '') AS removed, sha256(coalesce(kept.text, '')) AS text_sha256
+    FROM d LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id"""
+
+ORACLE_SQL["op10_ngram_jaccard"] = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    sh AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(generate_series(1, len(w) - 3), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id), both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    edge AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)), node AS (SELECT doc_id AS id FROM documents), {_COMPONENTS}
+    SELECT id AS doc_id, coalesce(n, 0) AS n_shingles, component_id FROM comp LEFT JOIN n ON n.doc_id = id"""
