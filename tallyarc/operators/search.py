@@ -6,7 +6,7 @@ Postings are one row per term and document, so a search reads only the terms wit
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -42,6 +42,20 @@ def bm25(found: DataFrame, sizes: DataFrame, queries: DataFrame) -> DataFrame:
     return joined.groupBy("qid", "id").agg((-F.sum(part)).alias("score"))
 
 
+def save_index(found: DataFrame, sizes: DataFrame, path: str) -> None:
+    """Postings in folders by the first two characters of their terms, and document sizes. Hot folders are written by several
+    tasks."""
+    keyed = found.withColumn("prefix", F.hex(F.substring("term", 1, 2)))
+    keyed.repartition("prefix", F.pmod(F.xxhash64("id"), F.lit(8))).write.mode("overwrite").partitionBy("prefix").parquet(f"{path}/postings")
+    sizes.write.mode("overwrite").parquet(f"{path}/sizes")
+
+
+def load_index(spark: SparkSession, path: str, tokens: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The postings that queries with these tokens can touch (other folders are not read), and all document sizes."""
+    starts = sorted({t[:2].encode().hex().upper() for t in tokens})
+    return spark.read.parquet(f"{path}/postings").where(F.col("prefix").isin(*starts)).drop("prefix"), spark.read.parquet(f"{path}/sizes")
+
+
 def normalize(score: Column) -> Column:
     return F.when(score >= 0, F.lit(0.0)).otherwise(F.log1p(-score))
 

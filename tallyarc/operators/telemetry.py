@@ -100,7 +100,5 @@ def narrate(ops: DataFrame) -> DataFrame:
 def first_after(fires: DataFrame, events: DataFrame, within: int = 10) -> DataFrame:
     """Each fire with the first later event of its session, of the next ``within``, that satisfies its rule (column ``ok``)."""
     order = W.partitionBy("session_id").orderBy("ts", "id")
-    ahead = order.rowsBetween(1, within)
     seen = events.withColumn("pos", F.row_number().over(order)).withColumn("hit_at", F.min(F.when(F.col("ok"), F.col("pos"))).over(W.partitionBy("session_id").orderBy("pos").rowsBetween(1, within)))
-    del ahead
     return fires.join(seen.select("session_id", "id", "pos", "hit_at"), ["session_id", "id"]).select("session_id", "id", (F.col("hit_at") - F.col("pos")).alias("offset"))
