@@ -142,3 +142,15 @@ def test_markdown_folder(spark, tmp_path):
 def test_empty_tables(spark):
     entries = spark.createDataFrame([], "id long, project_id string, kind string, status string, title string, summary string, created_at timestamp_ntz, access_count long")
     assert A.dossier(entries).count() == A.inquest(entries).count() == D.exact_pairs(entries).count() == 0
+
+
+def test_declared_tables(spark, tmp_path):
+    from tallyarc import schemas
+
+    notes = spark.createDataFrame([(1, "p", "T-1", "[spec] subject: a"), (2, "q", "T-2", "x")], "id long, project_id string, task_id string, note string")
+    for _ in range(2):
+        schemas.append(notes, str(tmp_path), "task_notes")
+    back = schemas.read(spark, str(tmp_path), "task_notes")
+    assert back.where("project_id = 'p'").count() == 2 and back.where("agent_id IS NULL").count() == 4
+    for name, ddl in schemas.TABLES.items():
+        assert spark.createDataFrame([], ddl).columns, name
