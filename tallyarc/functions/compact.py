@@ -15,7 +15,7 @@ LOG_LINES, ERRORS, WARNINGS, STACKS, STACK_LINES, AROUND = 50, 10, 5, 3, 20, 3
 FILES, MATCHES, PER_FILE = 15, 30, 5
 DIFF_LINES, DIFF_FILES, HUNKS, DIFF_AROUND = 50, 20, 10, 2
 #: Words of log levels, in order of weight.
-LEVELS = [("error", "error err exception critical fatal".split()), ("fail", "fail failed failure".split()), ("warn", "warning warn".split()), ("info", "info notice".split()), ("debug", "debug".split()), ("trace", "trace".split())]
+LEVELS = [("error", ["error", "fatal", "critical"]), ("fail", ["failed", "fail"]), ("warn", ["warning", "warn"]), ("info", ["info"]), ("debug", ["debug"]), ("trace", ["trace"])]
 LEVEL_SCORE = {"error": 1.0, "fail": 1.0, "warn": 0.6, "info": 0.3}
 _MATCH = re.compile(r"^(.+?)[:-](\d+)[:-](.*)$")
 _HUNK = re.compile(r"^@@ .* @@")

@@ -12,11 +12,15 @@ from pyspark.sql.types import StringType
 
 #: Words that searches leave out of a query.
 STOP_WORDS = (
-    "a an and are as at be been but by can could did do does for from had has have how i if in into is it its just me my no not of on or our "
-    "should so that the their them then there these they this to was we were what when where which who why will with would you your"
+    "a an and any are about as at be by do does did for from have has i if in is it its last like me my of on one or our out over so some "
+    "that the their them then there these they this to too up us was we week were what when where which while who why will with would "
+    "you your how anything stuff thing things"
 ).split()
 #: Words that the title comparison of near duplicates leaves out.
-DEDUP_STOP = "and are for from not that the this was were with".split()
+DEDUP_STOP = (
+    "the and for not with from that this these those are was were been have has had but all can any will into when then than there about "
+    "over under between before after through also only just lore entry quest project agent agents"
+).split()
 
 
 def query_tokens(query: str) -> list[str]:

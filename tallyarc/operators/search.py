@@ -89,7 +89,7 @@ def lexical(docs: DataFrame, eligible: DataFrame, queries: DataFrame, tokens: Da
     added, then by exact title, score with boosts, and id."""
     found, sizes = postings(docs, ["title", "summary", "tags"], stem)
     scored = bm25(found, sizes, tokens).join(eligible.select("id"), "id", "left_semi")
-    cut = scored.withColumn("rn", F.row_number().over(W.partitionBy("qid").orderBy("score", "id"))).where(F.col("rn") <= 3 * limit).drop("rn")
+    cut = scored.withColumn("rn", F.row_number().over(W.partitionBy("qid").orderBy(F.round("score", 9), "id"))).where(F.col("rn") <= 3 * limit).drop("rn")
     titles = eligible.select("id", "title", plain_title(F.col("title")).alias("plain"))
     exact = queries.select("qid", plain_title(F.col("query")).alias("plain")).where("plain <> ''").join(titles, "plain").select("qid", "id", F.lit(0.0).alias("score"))
     every = cut.unionByName(exact).groupBy("qid", "id").agg(F.min("score").alias("score"))
@@ -97,7 +97,7 @@ def lexical(docs: DataFrame, eligible: DataFrame, queries: DataFrame, tokens: Da
     total = W_TEXT * normalize(F.col("score")) + title_boost(F.col("title"), F.col("query"))
     is_exact = plain_title(F.col("title")) == plain_title(F.col("query"))
     every = every.select("qid", "id", "title", is_exact.alias("exact"), total.alias("score"))
-    order = W.partitionBy("qid").orderBy(F.desc("exact"), F.desc("score"), "id")
+    order = W.partitionBy("qid").orderBy(F.desc("exact"), F.desc(F.round("score", 9)), "id")  # sums of doubles differ in their last bits
     return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("exact")
 
 
@@ -125,4 +125,4 @@ def dedup_hits(docs: DataFrame, titles: DataFrame, limit: int = 3) -> DataFrame:
     full = prefix.groupBy("qid", "id").agg(F.count_distinct("token").alias("have")).join(need, "qid").where("have = need")
     ok = full.join(docs.where("status NOT IN ('archived', 'superseded')").select("id"), "id", "left_semi")
     ranked = bm25(found, sizes, titles).join(ok.select("qid", "id"), ["qid", "id"], "left_semi")
-    return ranked.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("score", "id"))).where(F.col("rank") <= limit)
+    return ranked.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.round("score", 9), "id"))).where(F.col("rank") <= limit)

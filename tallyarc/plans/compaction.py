@@ -32,7 +32,8 @@ _LINES = "SELECT id, CAST(pos - 1 AS INTEGER) AS pos, concat(CASE (id + pos - 1)
 def log_level(v: Views):
     """The first level word of each line, by built-in functions."""
     low = F.lower("line")
-    spots = [F.struct(F.when(F.regexp_instr(low, F.lit(rf"\b({'|'.join(words)})\b")) > 0, F.regexp_instr(low, F.lit(rf"\b({'|'.join(words)})\b"))).otherwise(1 << 20).alias("at"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, (name, words) in enumerate(C.LEVELS)]
+    at = lambda word: F.nullif(F.regexp_instr(low, F.lit(rf"\b{word}\b")), F.lit(0))
+    spots = [F.struct(F.coalesce(*map(at, words), F.lit(1 << 20)).alias("at"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, (name, words) in enumerate(C.LEVELS)]
     first = F.array_min(F.array(*spots))
     return _log_lines(v).select("id", "pos", F.when(first["at"] < (1 << 20), first["name"]).otherwise("unknown").alias("level"))
 

@@ -89,10 +89,10 @@ def like_fallback(v: Views):
 
 _RANKED = f"""WITH {_BM25}, elig AS (SELECT id, title FROM entries WHERE status IN ('current', 'seed', 'exploring', 'imported')),
     qs AS (SELECT * FROM {_values(QUERIES, 'qs(qid, query)')}),
-    cut AS (SELECT qid, id, score FROM (SELECT b.*, row_number() OVER (PARTITION BY qid ORDER BY score, id) AS rn FROM bm b JOIN elig USING (id)) x WHERE rn <= 30),
+    cut AS (SELECT qid, id, score FROM (SELECT b.*, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9), id) AS rn FROM bm b JOIN elig USING (id)) x WHERE rn <= 30),
     uni AS (SELECT qid, id, min(score) AS score FROM (SELECT * FROM cut UNION ALL SELECT qid, id, 0e0 FROM elig JOIN qs ON {_PLAIN.format('title')} = {_PLAIN.format('query')}) u GROUP BY ALL),
     fin AS (SELECT qid, id, title, {_PLAIN.format('title')} = {_PLAIN.format('query')} AS exact, 7e-1 * CASE WHEN score >= 0 THEN 0 ELSE ln(1 - score) END + {_BOOST} AS score FROM uni JOIN elig USING (id) JOIN qs USING (qid)),
-    ranked AS (SELECT qid, id, title, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY exact DESC, score DESC, id) AS INTEGER) AS rank FROM fin)"""
+    ranked AS (SELECT qid, id, title, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY exact DESC, round(score, 9) DESC, id) AS INTEGER) AS rank FROM fin)"""
 
 
 def _lexical(v: Views, limit: int = 10):
