@@ -9,20 +9,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Weight of severities; calls between fires of a rule; fires of the mildest severity in a session; calls to look back and ahead.
+#: Weight of severities; calls between fires of a rule; fires of the mildest severity in a session; calls to look
+#: back and ahead; calls after which a brief is due; words of a report; characters of a text that should say why it cites.
 SEVERITY = {"blocker": 4, "warning": 3, "hint": 2, "fyi": 1}
 COOLDOWN, FYI_CAP, BACK, AHEAD = 5, 3, 5, 10
-#: Rules: id, tool that triggers (* for any), severity, tool that follows through.
-RULES = [
-    ("h_inscribe_quest", "lore_inscribe", "hint", "quest_fulfill"),
-    ("h_inscribe_blind", "lore_inscribe", "warning", "lore_appraise"),
-    ("h_no_start", "*", "fyi", "session_start"),
-    ("h_slug", "lore_appraise", "hint", "quest_journal"),
-    ("h_thin_cite", "lore_inscribe", "fyi", "lore_appraise"),
-]
+BRIEF_DUE, REPORT_WORDS, CITE_CHARS = 30, 20, 40
+#: Rules by id: tool that triggers (* for any), severity, tools that follow through, cooldown.
+RULES = {
+    "clear-without-report-detail": ("quest_fulfill", "fyi", ("quest_update", "quest_journal"), COOLDOWN),
+    "inscribe-looks-like-quest": ("lore_inscribe", "hint", ("quest_post",), COOLDOWN),
+    "inscribe-without-appraise": ("lore_inscribe", "fyi", ("lore_appraise",), COOLDOWN),
+    "inscribe-without-transfer-reasoning": ("lore_inscribe", "fyi", ("lore_update", "lore_reforge"), COOLDOWN),
+    "journal-outside-accepted": ("quest_journal", "hint", ("quest_accept",), COOLDOWN),
+    "no-brief-24h": ("quest_fulfill", "hint", ("quest_brief",), COOLDOWN),
+    "no-session-start": ("*", "hint", ("session_start", "quest_bounties"), COOLDOWN),
+    "session-end-without-brief": ("*", "hint", ("quest_brief",), 10),
+    "slug-query": ("lore_appraise", "hint", ("quest_list", "quest_scroll"), COOLDOWN),
+}
+BOOTSTRAP = ("session_start", "quest_bounties")
 ALIASES = {"quest_clear": "quest_fulfill"}
-TODO = r"\b(todo|need to|should fix|fix|tidy)\b"
-SLUG = r"^(quest-\d+|[a-z][a-z0-9]*(-[a-z0-9]+)+)$"
+#: Phrases of tasks, slugs, and phrases that say why a text cites another.
+TODO = r"\btodo\b|\bneed to\b|\bshould fix\b|\bmust fix\b|\bwe should\b"
+SLUG = r"^(QUEST-\d+|[a-z][a-z0-9]*(-[a-z0-9]+)+)$"
+TRANSFER = r"\bbecause\b|\btransfers?\b|\brepurposed?\b|\binverts?\b|\badapts?\b|\bdelta\b|\bextends?\b|\bdeclines?\b|\breverses?\b|\bso the conditions\b|\bsame conditions\b|\bsame shape\b|\bsame approach\b"
+CITES = r"(ENTRY|LORE)-\d+"
 
 
 def canonical(tool: Column) -> Column:
@@ -34,25 +44,38 @@ def severity_rank(severity: Column) -> Column:
 
 
 def triggers(calls: DataFrame) -> DataFrame:
-    """A row for each call and rule that its call triggers, before cooldowns."""
+    """A row for each call and rule that its call triggers, before cooldowns. ``calls(id, session_id, ts, tool, arg, empty_result,
+    brief_stale)``: the argument is the query, the task, the report or the text, as the tool has it."""
     order = W.partitionBy("session_id").orderBy("ts", "id")
-    prior = order.rowsBetween(-(BACK - 1), -1)
+    sofar = order.rowsBetween(W.unboundedPreceding, 0)
+    ever = lambda cond, w: F.coalesce(F.max(cond).over(w), F.lit(False))
     own = calls.withColumn("tool", canonical(F.col("tool")))
-    own = own.withColumn("started", F.coalesce(F.max(F.col("tool") == "session_start").over(order.rowsBetween(W.unboundedPreceding, 0)), F.lit(False)))
-    own = own.withColumn("searched", F.coalesce(F.max(F.col("tool") == "lore_appraise").over(prior), F.lit(False)))
-    arg = F.lower("arg")
-    rules = F.array(
-        F.when((F.col("tool") == "lore_inscribe") & arg.rlike(TODO), "h_inscribe_quest"),
-        F.when((F.col("tool") == "lore_inscribe") & ~F.col("searched"), "h_inscribe_blind"),
-        F.when(~F.col("started"), "h_no_start"),
-        F.when((F.col("tool") == "lore_appraise") & arg.rlike(SLUG) & F.col("empty_result"), "h_slug"),
-        F.when((F.col("tool") == "lore_inscribe") & F.col("arg").contains("ENTRY-") & (F.length("arg") >= 40), "h_thin_cite"),
-    )
+    arg, tool = F.trim("arg"), F.col("tool")
+    own = own.withColumns({
+        "started": ever(tool.isin(*BOOTSTRAP), sofar),
+        "briefed": ever(tool == "quest_brief", sofar),
+        "n": F.row_number().over(order),
+        "searched": ever(tool == "lore_appraise", order.rowsBetween(-BACK, -1)),
+        "accepted": ever(tool == "quest_accept", W.partitionBy("session_id", F.upper(arg)).orderBy("ts", "id").rowsBetween(W.unboundedPreceding, 0)),
+    })
+    low, words = F.lower(arg), F.when(arg == "", 0).otherwise(F.size(F.split(arg, r"\s+")))
+    on = {
+        "clear-without-report-detail": (tool == "quest_fulfill") & (words < REPORT_WORDS),
+        "inscribe-looks-like-quest": (tool == "lore_inscribe") & low.rlike(TODO),
+        "inscribe-without-appraise": (tool == "lore_inscribe") & ~F.col("searched"),
+        "inscribe-without-transfer-reasoning": (tool == "lore_inscribe") & arg.rlike(CITES) & (F.length(arg) >= CITE_CHARS) & ~low.rlike(TRANSFER),
+        "journal-outside-accepted": (tool == "quest_journal") & (arg != "") & ~F.col("accepted"),
+        "no-brief-24h": (tool == "quest_fulfill") & F.col("brief_stale"),
+        "no-session-start": ~F.col("started"),
+        "session-end-without-brief": (F.col("n") >= BRIEF_DUE) & ~F.col("briefed"),
+        "slug-query": (tool == "lore_appraise") & F.col("empty_result") & arg.rlike(SLUG),
+    }
+    rules = F.array(*(F.when(cond, F.lit(rule)) for rule, cond in on.items()))
     return own.select("id", "session_id", "tool", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule_id"))
 
 
 def recently_called(calls: DataFrame, tool: str, n: int = BACK) -> DataFrame:
-    order = W.partitionBy("session_id").orderBy("ts", "id").rowsBetween(-(n - 1), -1)
+    order = W.partitionBy("session_id").orderBy("ts", "id").rowsBetween(-n, -1)
     return calls.select("id", "session_id", F.coalesce(F.max(canonical(F.col("tool")) == tool).over(order), F.lit(False)).alias("recent"))
 
 
@@ -69,39 +92,52 @@ class Session:
         self.last = state.get("last", {})
         self.fyi = state.get("fyi", 0)
         self.started = state.get("started", False)
+        self.briefed = state.get("briefed", False)
+        self.accepted = state.get("accepted", [])
         self.recent = state.get("recent", [])
         self.pending = state.get("pending", [])
 
     def dump(self) -> dict:
         return vars(self)
 
-    def call(self, call_id: int, tool: str, arg: str, empty: bool) -> tuple[str | None, list[tuple[int, str, int, int]]]:
-        """The rule that fires, if one does, and the fires that this call decides: (call, rule, hit, offset)."""
-        tool = ALIASES.get(tool, tool)
-        self.n += 1
-        self.started = self.started or tool == "session_start"
+    def _settle(self, tool: str) -> list[tuple[int, str, int, int]]:
         decided, waiting = [], []
         for at, fired, rule in self.pending:
-            if tool == next(r[3] for r in RULES if r[0] == rule):
-                decided.append((fired, rule, 1, self.n - at))
-            elif self.n - at >= AHEAD:
-                decided.append((fired, rule, 0, self.n - at))
+            age = self.n - at
+            if tool in RULES[rule][2]:
+                decided.append((fired, rule, 1, age))
+            elif age >= AHEAD:
+                decided.append((fired, rule, 0, age))
             else:
                 waiting.append((at, fired, rule))
         self.pending = waiting
-        low, before = arg.lower(), self.recent[-(BACK - 1) :]
+        return decided
+
+    def call(self, call_id: int, tool: str, arg: str, empty: bool = False, brief_stale: bool = False) -> tuple[str | None, list[tuple[int, str, int, int]]]:
+        """The rule that fires, if one does, and the fires that this call decides: (call, rule, hit, offset)."""
+        tool, arg = ALIASES.get(tool, tool), (arg or "").strip()
+        self.n += 1
+        self.started = self.started or tool in BOOTSTRAP
+        self.briefed = self.briefed or tool == "quest_brief"
+        if tool == "quest_accept":
+            self.accepted = [*self.accepted, arg.upper()]
+        decided, low = self._settle(tool), arg.lower()
         on = {
-            "h_inscribe_quest": tool == "lore_inscribe" and re.search(TODO, low) is not None,
-            "h_inscribe_blind": tool == "lore_inscribe" and "lore_appraise" not in before,
-            "h_no_start": not self.started,
-            "h_slug": tool == "lore_appraise" and re.search(SLUG, low) is not None and empty,
-            "h_thin_cite": tool == "lore_inscribe" and "ENTRY-" in arg and len(arg) >= 40,
+            "clear-without-report-detail": len(arg.split()) < REPORT_WORDS,
+            "inscribe-looks-like-quest": re.search(TODO, low),
+            "inscribe-without-appraise": "lore_appraise" not in self.recent[-BACK:],
+            "inscribe-without-transfer-reasoning": re.search(CITES, arg) and len(arg) >= CITE_CHARS and not re.search(TRANSFER, low),
+            "journal-outside-accepted": arg and arg.upper() not in self.accepted,
+            "no-brief-24h": brief_stale,
+            "no-session-start": not self.started,
+            "session-end-without-brief": self.n >= BRIEF_DUE and not self.briefed,
+            "slug-query": empty and re.search(SLUG, arg),
         }
         best = None
-        for rule, trigger, severity, follow in sorted(RULES):
-            if trigger not in ("*", tool) or not on[rule] or follow in self.recent[-BACK:]:
+        for rule, (trigger, severity, follow, cooldown) in sorted(RULES.items()):
+            if trigger not in ("*", tool) or not on[rule] or set(follow) & set(self.recent[-BACK:]):
                 continue
-            if rule in self.last and self.n - self.last[rule] < COOLDOWN or severity == "fyi" and self.fyi >= FYI_CAP:
+            if rule in self.last and self.n - self.last[rule] < cooldown or severity == "fyi" and self.fyi >= FYI_CAP:
                 continue
             if best is None or SEVERITY[severity] > SEVERITY[best[1]]:
                 best = rule, severity
@@ -117,7 +153,7 @@ class Session:
 def _session(pdf: pd.DataFrame) -> pd.DataFrame:
     state, out, fate = Session(), [], {}
     for r in pdf.sort_values(["ts", "id"]).itertuples():
-        rule, decided = state.call(r.id, r.tool, r.arg, r.empty_result)
+        rule, decided = state.call(r.id, r.tool, r.arg, r.empty_result, r.brief_stale)
         if rule:
             out.append((r.id, r.session_id, rule))
         fate.update((call, (hit, offset)) for call, _, hit, offset in decided)

@@ -6,13 +6,23 @@ from tallyarc.catalogue import query
 from tallyarc.operators import hints as H
 from tallyarc.views import Views
 
-_W = "WITH c AS (SELECT *, coalesce(bool_or(tool = 'session_start') OVER (PARTITION BY session_id ORDER BY ts, id), false) AS started, coalesce(bool_or(tool = 'lore_appraise') OVER (PARTITION BY session_id ORDER BY ts, id ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), false) AS searched FROM tool_calls)"
-
-
-@query("hint_triggers", rf"""{_W} SELECT id, session_id, tool, 'h_inscribe_quest' AS rule_id FROM c WHERE tool = 'lore_inscribe' AND regexp_matches(lower(arg), '\b(todo|need to|should fix|fix|tidy)\b')
-    UNION ALL SELECT id, session_id, tool, 'h_inscribe_blind' FROM c WHERE tool = 'lore_inscribe' AND NOT searched UNION ALL SELECT id, session_id, tool, 'h_no_start' FROM c WHERE NOT started
-    UNION ALL SELECT id, session_id, tool, 'h_slug' FROM c WHERE tool = 'lore_appraise' AND regexp_matches(lower(arg), '^(quest-\d+|[a-z][a-z0-9]*(-[a-z0-9]+)+)$') AND empty_result
-    UNION ALL SELECT id, session_id, tool, 'h_thin_cite' FROM c WHERE tool = 'lore_inscribe' AND contains(arg, 'ENTRY-') AND length(arg) >= 40""")
+_W = """WITH c AS (SELECT *, coalesce(bool_or(tool = 'session_start') OVER o, false) AS started, coalesce(bool_or(tool = 'quest_brief') OVER o, false) AS briefed, row_number() OVER o AS n,
+    coalesce(bool_or(tool = 'lore_appraise') OVER (PARTITION BY session_id ORDER BY ts, id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), false) AS searched,
+    coalesce(bool_or(tool = 'quest_accept') OVER (PARTITION BY session_id, upper(trim(arg)) ORDER BY ts, id), false) AS accepted FROM tool_calls WINDOW o AS (PARTITION BY session_id ORDER BY ts, id))"""
+_ON = {
+    "clear-without-report-detail": "tool = 'quest_fulfill' AND len(string_split(trim(arg), ' ')) < 20",
+    "inscribe-looks-like-quest": rf"tool = 'lore_inscribe' AND regexp_matches(lower(arg), '{H.TODO}')",
+    "inscribe-without-appraise": "tool = 'lore_inscribe' AND NOT searched",
+    "inscribe-without-transfer-reasoning": rf"tool = 'lore_inscribe' AND regexp_matches(arg, '{H.CITES}') AND length(trim(arg)) >= 40 AND NOT regexp_matches(lower(arg), '{H.TRANSFER}')",
+    "journal-outside-accepted": "tool = 'quest_journal' AND trim(arg) <> '' AND NOT accepted",
+    "no-brief-24h": "tool = 'quest_fulfill' AND brief_stale",
+    "no-session-start": "NOT started",
+    "session-end-without-brief": "n >= 30 AND NOT briefed",
+    "slug-query": rf"tool = 'lore_appraise' AND empty_result AND regexp_matches(trim(arg), '{H.SLUG}')",
+}
+
+
+@query("hint_triggers", _W + " UNION ALL ".join(f" SELECT id, session_id, tool, '{rule}' AS rule_id FROM c WHERE {cond}" for rule, cond in _ON.items()) + " -- tool_calls")
 def hint_triggers(v: Views):
     return H.triggers(v.tool_calls)
 
@@ -44,9 +54,9 @@ def cooldown(v: Views):
     return H.evaluate(v.tool_calls).groupBy("rule_id").agg(F.count("*").alias("fires"))
 
 
-@query("slug_hint", r"SELECT id, lower(arg) AS query FROM tool_calls WHERE regexp_matches(lower(arg), '^(quest-\d+|[a-z][a-z0-9]*(-[a-z0-9]+)+)$') AND empty_result")
+@query("slug_hint", rf"SELECT id, arg AS query FROM tool_calls WHERE regexp_matches(arg, '{H.SLUG}') AND empty_result")
 def slug_hint(v: Views):
-    return v.tool_calls.where(F.lower("arg").rlike(H.SLUG) & F.col("empty_result")).select("id", F.lower("arg").alias("query"))
+    return v.tool_calls.where(F.col("arg").rlike(H.SLUG) & F.col("empty_result")).select("id", F.col("arg").alias("query"))
 
 
 @query("tool_alias", "SELECT CASE WHEN tool = 'quest_clear' THEN 'quest_fulfill' ELSE tool END AS tool, count(*) AS n FROM (SELECT CASE WHEN id % 2 = 0 AND tool = 'quest_fulfill' THEN 'quest_clear' ELSE tool END AS tool FROM tool_calls) x GROUP BY ALL")

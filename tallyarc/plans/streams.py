@@ -44,9 +44,9 @@ def lease_stream(v: Views):
 def hint_stream(v: Views):
     calls = J.events_stream(v.spark, v.sf_dir).selectExpr(
         "event_id AS id", "concat('s', user_id, '-', day(ts)) AS session_id", "ts",
-        "CASE event_type WHEN 'purchase' THEN 'quest_fulfill' WHEN 'signup' THEN 'session_start' WHEN 'error' THEN 'lore_inscribe' WHEN 'click' THEN 'quest_journal' ELSE 'lore_appraise' END AS tool",
+        "CASE event_type WHEN 'purchase' THEN 'quest_fulfill' WHEN 'signup' THEN 'session_start' WHEN 'error' THEN 'lore_inscribe' WHEN 'click' THEN CASE event_id % 7 WHEN 0 THEN 'quest_accept' WHEN 1 THEN 'quest_brief' ELSE 'quest_journal' END ELSE 'lore_appraise' END AS tool",
         "CASE event_id % 6 WHEN 0 THEN 'fix login-page-redirect' WHEN 1 THEN 'QUEST-12' WHEN 2 THEN 'we need to tidy this up' WHEN 3 THEN 'login-redirect' WHEN 4 THEN 'see ENTRY-4 which shows a long enough sentence here' ELSE 'plain words' END AS arg",
-        "event_id % 5 = 0 AS empty_result",
+        "event_id % 5 = 0 AS empty_result", "event_id % 9 = 0 AS brief_stale",
     )
     return J.finish(J.hints(calls), "append")
 

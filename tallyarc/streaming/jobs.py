@@ -70,7 +70,7 @@ def _hints(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
     session = Session(json.loads(state.get[0])) if state.exists else Session()
     out = []
     for r in pd.concat(list(batches)).sort_values(["ts", "id"]).itertuples():
-        rule, _ = session.call(int(r.id), r.tool, r.arg, bool(r.empty_result))
+        rule, _ = session.call(int(r.id), r.tool, r.arg, bool(r.empty_result), bool(r.brief_stale))
         if rule:
             out.append((r.id, key[0], rule))
     state.update((json.dumps(session.dump()),))

@@ -113,10 +113,20 @@ def test_redact(spark):
 
 def test_hint_session():
     s = H.Session()
-    assert s.call(1, "lore_inscribe", "todo: fix", False)[0] == "h_inscribe_blind"
-    assert s.call(2, "lore_inscribe", "todo: fix", False)[0] == "h_inscribe_quest"
-    rule, decided = s.call(3, "quest_clear", "", False)
-    assert (2, "h_inscribe_quest", 1, 1) in decided and rule == "h_no_start"
+    assert s.call(1, "lore_inscribe", "todo: fix")[0] == "inscribe-looks-like-quest"
+    assert s.call(2, "lore_inscribe", "todo: fix")[0] == "no-session-start"
+    rule, decided = s.call(3, "quest_post", "")
+    assert rule is None and decided == [(1, "inscribe-looks-like-quest", 1, 2)]
+    s.call(4, "session_start", "")
+    assert s.call(5, "quest_journal", "QUEST-4")[0] == "journal-outside-accepted"
+    assert s.call(6, "quest_accept", "quest-5") == (None, [(5, "journal-outside-accepted", 1, 1)])
+    assert s.call(7, "quest_journal", "QUEST-5")[0] is None
+    fresh = H.Session(s.dump())
+    assert fresh.call(8, "quest_clear", "short", brief_stale=True)[0] == "no-brief-24h"
+    late = H.Session()
+    late.call(0, "session_start", "")
+    fired = [late.call(i, "lore_study", "")[0] for i in range(1, 60)]
+    assert fired.index("session-end-without-brief") == 28 and fired.count("session-end-without-brief") == 4
 
 
 def test_restore(spark):
