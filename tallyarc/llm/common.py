@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -22,10 +24,20 @@ def worker_cache(name: str, make: Callable[[], object]) -> object:
     global _kept
     if _kept is None or _kept[0] != name:
         _kept = None
+        release()
         _kept = (name, make())
     return _kept[1]
 
 
+def release() -> None:
+    """Give memory that this process holds but does not use back to the system: a worker lives through many stages."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only this C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -52,6 +64,7 @@ def slices(batch, column: int, most: int) -> Iterator[tuple[int, int]]:
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
         yield at, to
         at = to
+    release()
 
 
 class Scratch:

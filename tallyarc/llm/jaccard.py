@@ -34,7 +34,7 @@ _MIX1, _MIX2, _MIX3 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 #: Odd factors of the words of a shingle.
 _FACTORS = [pow(_MIX1, i + 1, 1 << 64) | 1 for i in range(16)]
 #: Size bands grow by this factor; a word table of a worker is emptied beyond this many words.
-BAND_GROWTH, WORDS_KEPT = 1.5, 200_000
+BAND_GROWTH, WORDS_KEPT = 1.5, 120_000
 #: Bits of the arrays that spare shuffles of rows without a partner. They bound memory; results do not depend on them.
 FILTER_BITS = 25
 #: Sets on either side of one comparison; sets from which on a bucket is hot.

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyarc.llm.common import Scratch, slices
+from tallyarc.llm.common import Scratch, slices, worker_cache
 
 LINES = 3
 
@@ -57,6 +57,7 @@ def without(text: str | None, later: list[int], first: list[int], size: int = LI
 
 
 def _windows(it):
+    worker_cache("lines", dict)  # what other operators keep goes
     for batch in it:
         ids, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
         texts = batch.column(2)

@@ -29,7 +29,7 @@ from tallyarc.llm.common import Scratch, slices, worker_cache
 
 CAPACITY, END_ID = 4096, 1
 #: A worker's table from words to ids is emptied beyond this many words; longer words are not kept.
-WORDS_KEPT, LONGEST_KEPT = 500_000, 64
+WORDS_KEPT, LONGEST_KEPT = 300_000, 64
 
 
 class _Known(dict):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyarc.llm.common import slices
+from tallyarc.llm.common import slices, worker_cache
 
 #: Bytes that a filter moves by, bytes of a chunk (its last half is the next one's first), numbers of a pair's embedding,
 #: filters, hidden units.
@@ -201,6 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", sample: int
 
 
 def _scores(w, batch, column: int) -> np.ndarray:
+    worker_cache("quality", dict)  # what other operators keep goes
     texts = batch.column(column)
     out = [score(w, [(x or "").encode() for x in texts.slice(at, to - at).to_pylist()]) for at, to in slices(batch, column, 400_000)]
     return np.concatenate(out) if out else np.empty(0)
