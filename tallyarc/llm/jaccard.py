@@ -244,26 +244,19 @@ def _shared(words):
     return run
 
 
-def _sets(k: int, words):
-    """Set and sketch of the texts that the filter lets through."""
+def _sets(k: int, words, whole: bool):
+    """Key, and size with sketch or the whole set, of the texts that the filter lets through."""
 
     def run(it):
         def work(batch):
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            batch = batch.take(pa.array(np.flatnonzero(in_bitmap(words.value, ids))))
             sets = [s for s in (shingle_hashes(x, k) for x in batch.column(1).to_pylist()) if len(s)]
-            columns = [pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s).tobytes() for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays(columns, ["v", "n", "k", "s"])
+            keys = pa.array([set_key(s) for s in sets], pa.int64())
+            if whole:
+                return pa.RecordBatch.from_arrays([keys, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["v", "s"])
+            return pa.RecordBatch.from_arrays([keys, pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())], ["v", "n", "k"])
 
-        return _batches(it, work)
-
-    return run
-
-
-def _wanted(words):
-    def run(it):
-        for batch in it:
-            yield batch.filter(pa.array(in_bitmap(words.value, batch.column(0).to_numpy(zero_copy_only=False))))
+        through = (batch.filter(pa.array(in_bitmap(words.value, batch.column(0).to_numpy(zero_copy_only=False)))) for batch in it)
+        return _batches(through, work)
 
     return run
 
@@ -380,19 +373,24 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     scratch.drop(left)
     scratch.sweep()
 
+    known = docs.where("doc_id is not null")
     ids = classes.join(buckets.select("v").distinct(), "v", "left_semi")
-    sets = scratch.keep(docs.where("doc_id is not null").mapInArrow(_sets(k, bitmap(ids, "rep", FILTER_BITS, spark)), "v long, n long, k binary, s array<long>"))
-    sketches = scratch.keep(sets.groupBy("v").agg(F.first("n").alias("n"), F.first("k").alias("k")))
+    found = known.mapInArrow(_sets(k, bitmap(ids, "rep", FILTER_BITS, spark), False), "v long, n long, k binary")
+    sketches = scratch.keep(found.groupBy("v").agg(F.first("n").alias("n"), F.first("k").alias("k")))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs of ``(a, b)`` that link, by their whole sets; only sets in a pair are shuffled."""
+        """The pairs of ``(a, b)`` that link, by their whole sets, which are made for the texts in a pair only."""
         pairs = scratch.keep(pairs.distinct())
+        if pairs.isEmpty():
+            return pairs
         ends = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
-        need = scratch.keep(sets.select("v", "s").mapInArrow(_wanted(bitmap(ends, "v", FILTER_BITS, spark)), "v long, s array<long>").join(ends, "v", "left_semi").dropDuplicates(["v"]))
+        ids = scratch.keep(classes.join(ends, "v", "left_semi"))
+        whole = known.mapInArrow(_sets(k, bitmap(ids, "rep", FILTER_BITS, spark), True), "v long, s array<long>")
+        need = scratch.keep(whole.join(ids, "v", "left_semi").dropDuplicates(["v"]))
         left, right = need.select(F.col("v").alias("a"), F.col("s").alias("sa")), need.select(F.col("v").alias("b"), F.col("s").alias("sb"))
         linked = F.size(F.array_intersect("sa", "sb")) * (den + num) >= (F.size("sa") + F.size("sb")) * num
         out = scratch.keep(pairs.join(left, "a").join(right, "b").where(linked).select("a", "b"))
-        scratch.drop(pairs, need)
+        scratch.drop(pairs, need, ids)
         return out
 
     def merged(member: DataFrame, new: DataFrame) -> DataFrame:
@@ -424,7 +422,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         blocks = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "side")
         member = merged(member, verified(blocks.mapInArrow(_block_pairs(num, den, nearest), "a long, b long")))
         scratch.sweep()
-    scratch.drop(sets, sketches, buckets)
+    scratch.drop(sketches, buckets)
 
     whole = classes.join(member, "v", "left").select("v", "rep", F.coalesce("c", "v").alias("c"))
     smallest = whole.groupBy("c").agg(F.min("rep").alias("component_id"))
