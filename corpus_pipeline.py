@@ -15,6 +15,7 @@ from tallyarc.llm.common import Scratch, table
 from tallyarc.llm.jaccard import keep_first_of_group
 from tallyarc.llm.linededup import line_dedup
 from tallyarc.llm.packing import pack
+from tallyarc.llm.passages import passage_dedup
 from tallyarc.llm.pii import redact
 from tallyarc.llm.quality import fit, keep_good
 from tallyarc.llm.queries import held_out
@@ -45,9 +46,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of the smallest doc_id, of each group of near copies."""
+    """One document, the one of the smallest doc_id, of each group of near copies; in what is left, no passage
+    of 50 words that occurs earlier."""
     ship(spark)
-    return keep_first_of_group(docs, SHINGLE, SIMILAR, 100).select(*docs.columns)
+    return _counted(passage_dedup(keep_first_of_group(docs, SHINGLE, SIMILAR, 100).select(*docs.columns)), docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
