@@ -1,9 +1,9 @@
 """Operator 6: personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 Seeds are the entities that four patterns find and checks confirm. Seeds and other identifier-like tokens (those with a digit
-or an at sign) are instances; a lexical pattern is a neighbouring word, on one side or both, with the shape of the token. On
+or an at sign) are instances; a lexical pattern is a neighbouring word, on one side or both, whatever the token looks like. On
 the graph of patterns and instances, scores pass from instances to patterns (the share of a pattern's instances that are
-trusted) and back (the best pattern of an instance), a fixed number of rounds; patterns with enough seeds and trust give the
+trusted) and back (the best pattern of an instance, counted less where the token is not made like that kind), a fixed number of rounds; patterns with enough seeds and trust give the
 tokens they hold their kind. Seeds always stay.
 
 Offsets are code points, ends exclusive. Each pattern runs in time linear in a text: where a run can be entered only at its
@@ -30,8 +30,10 @@ KINDS = [
     ("phone", r"text rlike r'\+[0-9]'", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({DIGITS}) between 9 and 15"),
 ]
 NAMES = [k for k, *_ in KINDS]
-#: Identifier-like tokens; the characters that are cut from their end; how much text around a token is looked at.
-TOKEN, TAIL, AROUND = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+", r"[.,;:!?)\]}>\"'#$%&*|]+$", 40
+#: Identifier-like tokens; the characters that are cut from their start and end; how much text around a token is looked at.
+TOKEN, HEAD, TAIL, AROUND = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+", r"^[.,;:!?(\[{<\"'#$%&*|=]+", r"[.,;:!?)\]}>\"'#$%&*|]+$", 40
+#: How tokens of each kind are made, roughly, and what the trust of a pattern is times for a token that is made otherwise.
+MADE, OTHERWISE = ["at", "dots", "digits", "digits"], 0.95
 #: Rounds of scoring, seeds that a pattern needs, its least trust.
 ROUNDS, SEEDS, TRUST = 3, 5, 0.9
 _SPAN = "struct<start:int,k:int,end:int,m:string>"
@@ -59,16 +61,16 @@ def spans_text(column: str) -> str:
 
 
 def _instances(rows: DataFrame) -> DataFrame:
-    """A row for each pattern of each instance: ``rid, start, end, k`` (null: not a seed) and ``pattern``."""
+    """A row for each pattern of each instance: ``rid, start, end, k`` (null: not a seed), ``made`` and ``pattern``."""
     near = f"""transform(tokens, x -> named_struct('start', x.start, 'end', x.end, 'k', x.k, 'm', x.m,
-        'left', lower(regexp_extract(substring(text, greatest(x.start - {AROUND}, 0) + 1, least(x.start, {AROUND})), r'(\\S+)\\s*$', 1)),
-        'right', lower(regexp_extract(substring(text, x.end + 1, {AROUND}), r'^\\S*\\s+(\\S+)', 1))))"""
+        'left', lower(regexp_extract(substring(text, greatest(x.start - {AROUND}, 0) + 1, least(x.start, {AROUND})), r'([\\p{{L}}\\p{{N}}]+)[^\\p{{L}}\\p{{N}}]*$', 1)),
+        'right', lower(regexp_extract(substring(text, x.end + 1, {AROUND}), r'^[^\\p{{L}}\\p{{N}}]*([\\p{{L}}\\p{{N}}]+)', 1))))"""
     each = rows.where("size(tokens) > 0").selectExpr("rid", f"inline({near})")
-    letters = r"regexp_replace(regexp_replace(m, r'\p{L}+', 'a'), '[0-9]+', '9')"
-    shape = f"CASE WHEN m rlike '^[0-9]+$' THEN concat('digits', length(m)) WHEN m rlike '^[0-9a-f]{{16,}}$' THEN concat('hex', length(m)) ELSE left({letters}, 24) END"
+    made = r"CASE WHEN contains(m, '@') THEN 'at' WHEN m rlike r'\p{L}' THEN 'mixed' WHEN m rlike r'[0-9]\.[0-9]' THEN 'dots' ELSE 'digits' END"
     plain = lambda c: f"regexp_replace({c}, '[0-9]', '0')"
-    both = each.selectExpr("rid", "start", "end", "k", f"{shape} AS shape", f"{plain('left')} AS l", f"{plain('right')} AS r")
-    return both.selectExpr("rid", "start", "end", "k", "explode(array(concat('L ', l, ' ', shape), concat('R ', r, ' ', shape), concat('B ', l, ' ', r, ' ', shape))) AS pattern")
+    both = each.selectExpr("rid", "start", "end", "k", f"{made} AS made", f"{plain('left')} AS l", f"{plain('right')} AS r")
+    pattern = "explode(array_compact(array(CASE WHEN l <> '' THEN concat('L ', l) END, CASE WHEN r <> '' THEN concat('R ', r) END, CASE WHEN l <> '' AND r <> '' THEN concat('B ', l, ' ', r) END))) AS pattern"
+    return both.selectExpr("rid", "start", "end", "k", "made", pattern)
 
 
 def discovered(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -80,12 +82,13 @@ def discovered(rows: DataFrame, scratch: Scratch) -> DataFrame:
         most = F.greatest(*(F.col(f"s{i}") for i in range(len(KINDS))))
         kind = F.coalesce(*(F.when(F.col(f"s{i}") == most, F.lit(i)) for i in range(len(KINDS))))
         patterns = patterns.where(most >= SEEDS).select("pattern", (F.col("trusted") / (F.col("n") + 1) * most / (F.expr(" + ".join(f"s{i}" for i in range(len(KINDS)))))).alias("trust"), kind.alias("kind"))
-        told = graph.where("k IS NULL").join(patterns, "pattern")
-        best = told.groupBy("rid", "start", "end").agg(F.max("trust").alias("best"), F.max_by("kind", "trust").alias("kind"))
+        alike = F.coalesce(*(F.when(F.col("kind") == i, F.col("made") == made) for i, made in enumerate(MADE)))
+        told = graph.where("k IS NULL").join(patterns, "pattern").withColumn("trust", F.col("trust") * F.when(alike, 1.0).otherwise(OTHERWISE))
+        best = told.groupBy("rid", "start", "end").agg(F.max(F.struct("trust", (-F.col("kind")).alias("less"))).alias("b")).select("rid", "start", "end", F.col("b.trust").alias("best"), (-F.col("b.less")).alias("kind"))
         if turn == ROUNDS - 1:
             return best.where(F.col("best") >= TRUST).select("rid", "start", "end", F.col("kind").alias("k"))
         scored = graph.join(best.select("rid", "start", "end", "best"), ["rid", "start", "end"], "left")
-        again = scratch.keep(scored.select("rid", "start", "end", "k", "pattern", F.when(F.col("k").isNotNull(), 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score")))
+        again = scratch.keep(scored.select("rid", "start", "end", "k", "made", "pattern", F.when(F.col("k").isNotNull(), 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score")))
         scratch.drop(graph)
         graph = again
 
@@ -99,7 +102,8 @@ def pii_spans(docs: DataFrame, base: str = "base", spans: str = "spans") -> Data
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*(F.col(c) for c in kept)).alias("doc"), F.col("text").alias("given"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("seeds", F.expr(base_spans()))
     other = _found(-1, "text rlike '[0-9@]'", TOKEN, "true")
-    cut = f"transform({other}, x -> named_struct('start', x.start, 'k', x.k, 'end', x.end - length(regexp_extract(x.m, r'{TAIL.replace(chr(39), chr(92) + 'x27')}', 0)), 'm', regexp_replace(x.m, r'{TAIL.replace(chr(39), chr(92) + 'x27')}', '')))"
+    head, tail = (x.replace("'", r"\x27") for x in (HEAD, TAIL))
+    cut = f"transform({other}, x -> named_struct('start', x.start + length(regexp_extract(x.m, r'{head}', 0)), 'k', x.k, 'end', x.end - length(regexp_extract(x.m, r'{tail}', 0)), 'm', regexp_replace(regexp_replace(x.m, r'{tail}', ''), r'{head}', '')))"
     free = f"filter({cut}, t -> length(t.m) > 0 AND NOT exists(seeds, s -> s.start < t.end AND t.start < s.end))"
     tokens = f"concat(seeds, transform({free}, x -> named_struct('start', x.start, 'k', cast(null AS int), 'end', x.end, 'm', x.m)))"
     rows = rows.withColumn("tokens", F.expr(f"CASE WHEN text rlike '[0-9@]' THEN {tokens} ELSE cast(array() AS array<{_SPAN}>) END"))

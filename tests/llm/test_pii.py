@@ -56,3 +56,19 @@ def test_empty_and_native(nothing):
     out = P.pii_spans(nothing)
     assert out.count() == 0
     assert not re.search("Python|Arrow|Pandas", out._jdf.queryExecution().toString())
+
+
+def test_discovers_tokens_of_other_shapes(spark):
+    say = "please write to {} for news", "call {} tonight"
+    seen = [(i, say[0].format(f"me{i}@mail.org")) for i in range(30)] + [(50 + i, say[1].format(f"+1 (437) 555-06{i + 10}")) for i in range(30)]
+    new = [say[0].format("me99@mailhost"), say[0].format('("me99@mailhost")'), say[0].format("me99(at)mailhost"), say[1].format("4375550689"), "the year 1999 was"]
+    df = spark.createDataFrame([*seen, *((100 + i, t) for i, t in enumerate(new))], "doc_id long, text string")
+    got = {r.doc_id: r.s for r in P.pii_spans(df).select("doc_id", F.expr(P.spans_text("spans")).alias("s")).collect()}
+    assert [got[100 + i] for i in range(5)] == ["email:16:29", "email:18:31", "email:16:32", "phone:5:15", ""]
+
+
+def test_discovers_the_unseen_of_few(spark):
+    rows = [*((i, f"please write to me{i}@mail.org for news") for i in range(12)), (99, "please write to me99@mailhost for news"), (100, "the year 1999 was")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.s for r in P.pii_spans(df).select("doc_id", F.expr(P.spans_text("spans")).alias("s")).collect()}
+    assert got[99] == "email:16:29" and got[100] == ""
