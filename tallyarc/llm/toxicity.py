@@ -1,7 +1,8 @@
 """Operator 5: a bidirectional gated recurrent network with attention pooling, in numpy, for toxicity.
 
 A word's input is two vectors: one of its hashed whole form and one that sums its hashed character n-grams (with its ends
-marked), so forms never seen in training are read by their parts. Windows of ``WINDOW`` words overlap and cover the whole
+marked), so forms never seen in training are read by their parts. A word of more than ``LONGEST_WORD`` bytes (text without
+blanks, words that are joined) counts as several that overlap by half, so each of its bytes is read. Windows of ``WINDOW`` words overlap and cover the whole
 text; over each, a forward and a backward gated unit run, attention pools their states, and the pooled state gives a logit.
 A text's logit is that of its most toxic window. Training (Adam) takes every window of a clean text as clean, and of a toxic
 text the window that the network finds most toxic as toxic; it sees a bounded sample of labelled texts (``SAMPLE`` of each kind,
@@ -24,13 +25,23 @@ from tallyarc.llm.common import slices, worker_cache
 WINDOW, STRIDE, BUCKETS, EMBED, HIDDEN, ATTEND = 32, 24, 1 << 13, 12, 12, 8
 #: Texts of each kind that training sees at most, characters of each at most, epochs, texts in a step, texts for the offset.
 SAMPLE, LONGEST, EPOCHS, BATCH, TUNED = 2000, 2500, 8, 48, 1200
-#: A worker's table of word inputs is emptied beyond this many words; of longer words the first and last bytes are read.
-WORDS_KEPT, LONGEST_WORD = 150_000, 40
+#: A worker's table of word inputs is emptied beyond this many words; bytes of a word at most, longer ones are broken; words whose
+#: inputs are made at once.
+WORDS_KEPT, LONGEST_WORD, AT_ONCE = 150_000, 40, 20_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode().split()
+    words = (text or "").lower().encode().split()
+    if max(map(len, words), default=0) <= LONGEST_WORD:
+        return words
+    return [part for w in words for part in ([w] if len(w) <= LONGEST_WORD else broken(w))]
+
+
+def broken(word: bytes) -> list[bytes]:
+    """Parts of ``LONGEST_WORD`` bytes; each starts in the middle of the one before, the last ends with the word."""
+    last = len(word) - LONGEST_WORD
+    return [word[i : i + LONGEST_WORD] for i in [*range(0, last, LONGEST_WORD // 2), last]]
 
 
 def _hash(x: np.ndarray) -> np.ndarray:
@@ -40,7 +51,6 @@ def _hash(x: np.ndarray) -> np.ndarray:
 
 def parts_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each word: the bucket of its form; of all words together: buckets of character n-grams, and where each word's start."""
-    words = [w if len(w) <= LONGEST_WORD else w[: LONGEST_WORD // 2] + w[-LONGEST_WORD // 2 :] for w in words]
     data = np.frombuffer(b"".join(b"\x02" + w + b"\x03" for w in words), np.uint8).astype(np.uint64)
     size = np.array([len(w) + 2 for w in words])
     start = np.concatenate([[0], np.cumsum(size)])
@@ -242,7 +252,9 @@ class Scorer:
             self.known.update((x, first + i) for i, x in enumerate(new))
             while len(self.table) < len(self.known):
                 self.table = np.concatenate([self.table, np.empty_like(self.table)])
-            self.table[first : len(self.known)] = inputs(self.w, parts_of(new)) @ self.w["input"] + self.w["input_bias"]
+            for i in range(0, len(new), AT_ONCE):
+                own = new[i : i + AT_ONCE]
+                self.table[first + i : first + i + len(own)] = inputs(self.w, parts_of(own)) @ self.w["input"] + self.w["input_bias"]
         known = self.known
         wins = [windows_of(np.fromiter(map(known.__getitem__, words), np.int64, len(words))) for words in split]
         win = np.concatenate(wins)

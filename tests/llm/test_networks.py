@@ -91,3 +91,19 @@ def test_held_out_rows_do_not_matter(spark):
 
     assert {r.doc_id for r in df.where("h").collect()} == {i for i in range(200) if zlib.crc32(str(i).encode()) % 4 == 2}
     assert df.where(~F.col("h")).count() > 100
+
+
+def test_toxicity_reads_long_words_whole():
+    r = random.Random(2)
+    run = "".join(chr(r.randint(97, 122)) for _ in range(333))
+    parts = T.words_of(f"a {run} b")
+    assert parts[0] == b"a" and parts[-1] == b"b" and max(map(len, parts)) <= T.LONGEST_WORD
+    for i in range(len(run) - 19):
+        assert any(run[i : i + 20].encode() in x for x in parts)
+    assert len(set(T.words_of("仇" * 30 + "恨" * 30))) > 2
+    clean = [prose(r, r.randint(5, 120)) for _ in range(150)]
+    toxic = [" ".join([*prose(r, 20).split(), "zorkel" + r.choice(["ing", "ed", "ation"]), *prose(r, 20).split()]) for _ in range(150)]
+    w = T.train(clean + toxic, np.array([0] * 150 + [1] * 150, np.float32))
+    scorer = T.Scorer(w)
+    long = "_".join(prose(r, 30).split())
+    assert scorer.score([f"{long}_zorkeling_{long}"])[0] > scorer.score([f"{long}_{long}"])[0]
