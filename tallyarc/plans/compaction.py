@@ -79,15 +79,18 @@ def ccr_get(v: Views):
     return keyed.select("id", "key").join(store, "key").select("id", "found")
 
 
-def _rows_json(v: Views):
-    """Arrays of objects, one a project, made of entries."""
+def _rows_json(v: Views, *block):
+    """Arrays of objects, one a project and ``block``, made of entries."""
     row = F.struct("id", "kind", "access_count", F.when(F.col("id") % 2 == 0, F.col("valid_days")).alias("valid_days"), F.when(F.col("id") % 3 == 0, F.col("title")).alias("note"))
-    return v.entries.where("id <= 400").groupBy("project_id").agg(F.array_sort(F.collect_list(row)).alias("rows")).select("project_id", F.to_json("rows").alias("json"))
+    own = v.entries if block else v.entries.where("id <= 400")
+    return own.groupBy("project_id", *block).agg(F.array_sort(F.collect_list(row)).alias("rows")).withColumn("json", F.to_json("rows")).drop("rows")
 
 
 @query("json_crush")
 def json_crush(v: Views):
-    return _rows_json(v).select("project_id", _map(C.crush)("json").alias("table"))
+    """Of all entries, in arrays of 400 ids a project at most."""
+    rows = _rows_json(v, F.floor((F.col("id") - 1) / 400).alias("block"))
+    return rows.select("project_id", "block", _map(C.crush)("json").alias("table"))
 
 
 @query("json_restore", "SELECT DISTINCT project_id, true AS same FROM entries WHERE id <= 400")
@@ -130,7 +133,7 @@ def adaptive_k(v: Views):
 
 @query("simhash64")
 def simhash64(v: Views):
-    return v.entries.where("id % 5 = 0").select("id", _map(lambda x: f"{C.simhash64(x):016x}")("title").alias("hash"))
+    return v.entries.select("id", _map(lambda x: f"{C.simhash64(x):016x}")("title").alias("hash"))
 
 
 @query("dossier_compact")
