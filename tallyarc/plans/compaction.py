@@ -63,7 +63,7 @@ def stack_runs(v: Views):
 
 @query("detect_strategy")
 def detect_strategy(v: Views):
-    return v.entries.select("id", _map(C.detect)("summary").alias("strategy"))
+    return v.whole().entries.select("id", _map(C.detect)("summary").alias("strategy"))
 
 
 @query("ccr_put", "SELECT id, substr(sha256(summary), 1, 24) AS key FROM entries")
@@ -103,7 +103,7 @@ def json_restore(v: Views):
 
 
 def _log_docs(v: Views):
-    return _log_lines(v).groupBy((F.col("id") % 50).alias("doc")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "pos", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    return _log_lines(v.whole()).groupBy((F.col("id") % 50).alias("doc")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "pos", "line"))), lambda x: x["line"]), "\n").alias("text"))
 
 
 @query("log_compress")

@@ -107,10 +107,11 @@ def appraise(v: Views):
 
 @query("appraise_stemmed")
 def appraise_stemmed(v: Views):
-    """The ranked search over stems, as it runs in production."""
+    """The ranked search over stems of whole texts, as it runs in production."""
     from tallyarc.functions.text import _porter
 
     tokens = [(q, _porter.stem(t)) for q, t in TOKENS]
+    v = v.whole()
     return S.lexical(v.entries, A.eligible(v.entries), _frame(v, QUERIES, "q(qid, query)"), _frame(v, tokens, "t(qid, token)"), 10, stem=True)
 
 

@@ -232,7 +232,7 @@ def eval_relevance(v: Views):
     from tallyarc.operators import evaluation as E
     from tallyarc.plans.search import QUERIES, _frame, _lexical
 
-    ranked = _lexical(v).select("qid", "id", "rank")
+    ranked = _lexical(v.whole()).select("qid", "id", "rank")
     return E.metrics(_frame(v, QUERIES, "q(qid, query)").select("qid"), ranked, ranked.where("rank = 1").select("qid", "id"))
 
 

@@ -154,7 +154,7 @@ def appraise_hybrid(v: Views):
     """The lexical arm fused with the vector arm; without a fresh vector of the query's entry it stays lexical."""
     from tallyarc.plans.search import _lexical
 
-    lex = _lexical(v, 60).select("qid", "id", "rank")
+    lex = _lexical(v.whole(), 60).select("qid", "id", "rank")
     fresh = _cover(v).where("state = 'fresh'").select("id")
     q = _quantized(v).join(fresh, "id", "left_semi")
     best = lex.where("rank = 1").select("qid", "id").join(q, "id").select("qid", F.col("q").alias("qv"))

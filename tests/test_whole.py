@@ -4,7 +4,8 @@ import json
 from types import SimpleNamespace
 
 from tallyarc.functions import compact as C
-from tallyarc.plans import compaction
+from tallyarc.plans import compaction, search
+from tallyarc.views import Views
 
 
 def test_json_and_hashes_of_all_entries(spark):
@@ -13,3 +14,14 @@ def test_json_and_hashes_of_all_entries(spark):
     tables = compaction.json_crush(v).collect()
     assert sorted(x["id"] for r in tables for x in json.loads(C.restore(r.table))) == list(range(1, 1001))
     assert sorted(r.id for r in compaction.simhash64(v).collect()) == list(range(1, 1001))
+
+
+def test_search_finds_what_stands_late_in_a_text(spark, tmp_path):
+    word = search.TOKENS[0][1]
+    texts = ["filler " * 200 + word, *(f"other words {i}" for i in range(12))]
+    docs = spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    v = Views(spark, str(tmp_path))
+    assert v.entries.where(f"id = 1 and contains(summary, '{word}')").count() == 0
+    assert v.whole().entries.where(f"id = 1 and contains(summary, '{word}')").count() == 1
+    assert 1 in {r.id for r in search.appraise_stemmed(v).collect()}
