@@ -7,8 +7,8 @@ pairs of intervals are joined recursively from the root, those whose boxes are f
 whole blocks in Spark, then inside a pair of blocks down to strips, where cosines are computed in double precision.
 
 Equal vectors are joined once. A pair of blocks gives how many vectors each one links to, and as links only a spanning forest
-of them, so a group of n near copies costs O(n) rows. Vectors that are null, zero, of another length than most or hold null or
-non-finite components link with nothing. Repeated rows are one vector. Rows without vec_id are left out. Other columns are
+of them, so a group of n near copies costs O(n) rows. Vectors of each length are joined by themselves, one length after the other.
+Vectors that are null, zero or hold null or non-finite components link with nothing. Repeated rows are one vector. Rows without vec_id are left out. Other columns are
 ignored.
 """
 
@@ -167,12 +167,21 @@ def near_vectors(vectors: DataFrame, t: float = 0.95, block: int = BLOCK) -> Dat
     rows = scratch.keep(source.mapInArrow(_checked, "vec_id long, key binary, x binary, dim int"))
     ids = rows.select("vec_id", "key").distinct()
     valid = rows.where("key is not null")
-    usual = valid.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    if usual is None:
+    classes = scratch.keep(valid.groupBy("dim", "key").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies"), F.first("x").alias("x")))
+    sizes = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().orderBy("dim").collect()}  # a row for each length
+    if not sizes:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = usual["dim"]
-    classes = scratch.keep(valid.where(F.col("dim") == dim).groupBy("key").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies"), F.first("x").alias("x")))
+    lone = [d for d, n in sizes.items() if n == 1]
+    named = classes.where(F.col("dim").isin(lone)).select("key", (F.col("copies") - 1).alias("n_links"), F.col("rep").alias("c"))
+    for dim in sizes.keys() - lone:
+        named = named.unionByName(_linked(classes.where(F.col("dim") == dim).drop("dim"), dim, t, eps, block, scratch))
+    out = ids.join(named, "key", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
 
+def _linked(classes: DataFrame, dim: int, t: float, eps: float, block: int, scratch: Scratch) -> DataFrame:
+    """``(key, n_links, c)`` for each of ``classes(key, rep, copies, x)``, vectors of one length."""
+    spark = classes.sparkSession
     sample = classes.orderBy(F.xxhash64("key")).limit(SAMPLE).select("x").toArrow()  # a bounded sample
     u = _unit(_matrix(sample["x"].combine_chunks(), dim))
     basis = np.linalg.eigh(u.T @ u - len(u) * np.outer(u.mean(0), u.mean(0)))[1][:, ::-1][:, : min(DIMS, dim)].copy()
@@ -211,6 +220,4 @@ def near_vectors(vectors: DataFrame, t: float = 0.95, block: int = BLOCK) -> Dat
     links = found.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     member = components(found.where("a != b").select("a", "b"), scratch)
     named = classes.select("key", "rep", "copies").join(links, "rep", "left").join(member, F.col("rep") == member.v, "left")
-    named = scratch.keep(named.select("key", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("c", "rep").alias("c")))
-    out = ids.join(named, "key", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return scratch.keep(named.select("key", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("c", "rep").alias("c")))

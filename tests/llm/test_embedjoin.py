@@ -44,3 +44,19 @@ def test_blocks_skip_nothing():
     _, links, forest = E.join_blocks((ids, ones, x), None or (ids, ones, x), True, 0.8, np.sqrt(0.4), basis)
     want = (u @ u.T >= 0.8).sum(1) - 1
     assert (links == want).all() and len(forest) <= len(ids)
+
+
+def test_every_length_is_joined(spark):
+    r = np.random.default_rng(4)
+    rows, want, at = [], {}, 1
+    for dim, n in ((16, 60), (8, 40), (3, 2)):
+        x = np.repeat(r.standard_normal((n // 2, dim)), 2, 0)
+        x[1::4] += 0.01 * r.standard_normal(x[1::4].shape)
+        ids = np.arange(at, at + n)
+        links, label = brute(x, ids, 0.95)
+        rows += [(int(i), [float(y) for y in v]) for i, v in zip(ids, x, strict=True)]
+        want |= {int(i): (int(k), int(c), bool(i == c)) for i, k, c in zip(ids, links, label, strict=True)}
+        at += n
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {v.vec_id: (v.n_links, v.component_id, v.kept) for v in E.near_vectors(df, 0.95, block=16).collect()}
+    assert got == want and all(n for n, _, _ in want.values())
