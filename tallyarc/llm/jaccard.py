@@ -204,7 +204,7 @@ def _index(k: int, scheme: Scheme):
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sigs)))
             pairs = pa.array([[{"mark": m, "spare": c} for m, c in x] for x in spares], pa.list_(pa.struct([("mark", pa.int64()), ("spare", pa.int64())])))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), lists, pairs], ["doc_id", "n", "v", "sigs", "spares"])
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), lists, pairs], ["doc_id", "key", "n", "v", "sigs", "spares"])
 
         return _batches(it, work)
 
@@ -339,6 +339,14 @@ def _star_pairs(num: int, den: int):
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` per row of ``docs(doc_id, text)``: documents link when
     ``den * |A & B| >= num * |A | B|`` over their sets of k-word shingles; the component is named by its smallest doc_id."""
+    rows, named = _grouped(docs, k, num, den)
+    named = named.select("v", "component_id")
+    return rows.select("doc_id", "n", "v").join(named, "v", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _grouped(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The rows as ``(doc_id, key, n, v)``, by the hash of the text and of its set, and for each set its component:
+    ``(v, rep, c, component_id)``, the smallest doc_id that has the set, the component and the component's smallest doc_id."""
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -349,7 +357,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     bands = sum(((guess >= low).cast("int") for low in plan.low[1:]), F.lit(0))
     plan = Scheme(num, den, {r["b"]: r["count"] for r in docs.where("text IS NOT NULL").groupBy(bands.alias("b")).count().collect()})
 
-    rows = scratch.keep(docs.mapInArrow(_index(k, plan), "doc_id long, n long, v long, sigs array<long>, spares array<struct<mark:long,spare:long>>"))
+    rows = scratch.keep(docs.withColumn("key", F.xxhash64("text")).mapInArrow(_index(k, plan), "doc_id long, key long, n long, v long, sigs array<long>, spares array<struct<mark:long,spare:long>>"))
     classes = scratch.keep(rows.where("n > 0 and doc_id is not null").groupBy("v").agg(F.min("doc_id").alias("rep")))
     index = rows.where("size(sigs) > 0").select("v", "sigs")
     met = scratch.keep(index.mapInArrow(_ends, "sig long, v long").repartition("sig").groupBy("sig").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo != hi").select("sig"))
@@ -426,12 +434,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     whole = classes.join(member, "v", "left").select("v", "rep", F.coalesce("c", "v").alias("c"))
     smallest = whole.groupBy("c").agg(F.min("rep").alias("component_id"))
-    named = scratch.keep(whole.join(smallest, "c").select("v", "component_id"))
-    return rows.select("doc_id", "n", "v").join(named, "v", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
+    named = scratch.keep(whole.join(smallest, "c").select("v", "rep", "c", "component_id"))
+    return rows, named
 
 
 def keep_first_of_group(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents that name their component; of repeated rows of one doc_id, one. Rows without a doc_id stay."""
-    found = jaccard_components(docs, k, num, den).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    joined = docs.join(found, docs.doc_id == found["_kept"], "left_semi")
-    return joined.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """Of each component the row of the smallest doc_id, whatever other texts that doc_id has; of repeated rows one. Texts without
+    words are no copies: one row of each doc_id and text stays. Rows without a doc_id stay."""
+    rows, named = _grouped(docs, k, num, den)
+    own = rows.where("doc_id is not null")
+    best = named.groupBy("c").agg(F.min(F.struct("rep", "v")).alias("m")).select(F.col("m.rep").alias("doc_id"), F.col("m.v").alias("v"))
+    found = own.where("n > 0").join(best, ["doc_id", "v"]).groupBy("doc_id", "v").agg(F.min("key").alias("key")).select("doc_id", "key")
+    found = found.unionByName(own.where("n = 0").select("doc_id", "key").distinct()).select(F.col("doc_id").alias("_kept"), F.col("key").alias("_of"))
+    keyed = docs.where("doc_id is not null").withColumn("_key", F.xxhash64(F.col("text").cast("string")))
+    joined = keyed.join(found, (keyed["doc_id"] == found["_kept"]) & (keyed["_key"] == found["_of"]), "left_semi")
+    return joined.dropDuplicates(["doc_id", "_key"]).drop("_key").unionByName(docs.where("doc_id is null"))

@@ -86,3 +86,12 @@ def test_filter_keeps_one_of_each_group(docs, rows):
     kept = [r.doc_id for r in J.keep_first_of_group(docs, 5, 80, 100).collect()]
     want = {c for i, (n, c) in brute(rows, 5, 80, 100).items()}
     assert sorted(x for x in kept if x is not None) == sorted(want) and kept.count(None) == 1
+
+
+def test_filter_decides_by_row(spark):
+    """One doc_id with other texts: each text that copies nothing stays."""
+    r = random.Random(7)
+    a, b, c = (" ".join(f"{x}{r.randrange(9999)}" for _ in range(80)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a + " more"), (2, c), (3, c), (3, c), (4, ""), (4, "")]
+    kept = J.keep_first_of_group(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, 100).collect()
+    assert sorted(tuple(x) for x in kept) == sorted([(1, a), (1, b), (2, c), (4, "")])
