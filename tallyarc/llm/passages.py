@@ -37,7 +37,7 @@ def _numbers(text: str | None, known: dict[str, int]) -> np.ndarray:
     words = (text or "").split()
     if len(known) > WORDS_KEPT:
         known.clear()
-    for x in set(words) - known.keys():
+    for x in {x for x in words if x not in known}:
         known[x] = int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little")
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
