@@ -140,3 +140,22 @@ def in_bitmap(words, values):
 
     v = values.astype(np.int64).view(np.uint64) & np.uint64(len(words) * 64 - 1)
     return (words[(v >> np.uint64(6)).astype(np.int64)] >> (v & np.uint64(63))) & np.uint64(1) == 1
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, kinds: tuple[tuple[int, ...], ...], sample: int, longest: int, characters: int):
+    """A bounded sample of labelled texts as a frame ``(doc_id, text, label)``: for each group of labels in ``kinds`` the first rows by
+    the hash of doc_id, at most ``sample``, texts of at most ``longest`` characters and ``characters`` together. Ids and lengths are
+    chosen first, so no text travels that is not taken. A null text is an empty one; equal rows are one."""
+    own = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(column).cast("int").alias("label")).distinct()
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    sized = texts.select("doc_id", "key", F.length("text").alias("n")).where(F.col("n") <= longest).distinct().join(own, "doc_id")
+    taken = []
+    for group in kinds:
+        room = characters
+        for r in sized.where(F.col("label").isin(*group)).orderBy(F.xxhash64("doc_id"), "doc_id", "key", "label").limit(sample).collect():
+            if r.n <= room:
+                room -= r.n
+                taken.append((r.doc_id, r.key, r.label))
+    chosen = docs.sparkSession.createDataFrame(taken, sized.select("doc_id", "key", "label").schema)
+    rows = texts.join(F.broadcast(chosen), ["doc_id", "key"])  # at most `sample` rows of each group
+    return rows.dropDuplicates(["doc_id", "key", "label"]).select("doc_id", "text", "label").toArrow().to_pandas().sort_values(["doc_id", "text", "label"])

@@ -1,13 +1,14 @@
 """Operator 1: a byte-level convolutional network in numpy for text quality.
 
-A text's UTF-8 bytes are embedded two by two; learned filters of eight bytes move over them four bytes at a time. In chunks of
-256 bytes that overlap by half and cover the whole text, each filter's largest response is kept (max-pooling), a hidden layer
+Each UTF-8 byte of a text has a learned embedding; learned filters of eight bytes move over them four bytes at a time. In chunks
+of 256 bytes that overlap by half and cover the whole text, each filter's largest response is kept (max-pooling), a hidden layer
 judges the chunk, and the mean, the least and the greatest of the chunks' judgements are combined into one probability. The
-network is trained by Adam on a bounded sample of labelled texts (``SAMPLE`` texts, ``SHOWN`` chunks of each); scoring reads
-every byte of every text, and only the fixed-size weights travel to the executors.
+network is trained by Adam on all chunks of a bounded sample of labelled rows (the first ``SAMPLE`` by hash, of at most
+``LONGEST`` characters each and ``CHARACTERS`` together). Scoring reads every byte of every text, a block of chunks at a time, and
+only the fixed-size weights travel to the executors.
 
 Rows: a null text scores as an empty one, which is one chunk of padding; rows without doc_id are scored too; repeated rows give
-a row each; other columns are ignored. Without labels, or with labels of one kind, the network stays near its start and its
+a row each, and are one when the sample is drawn; other columns are ignored. Without labels, or with labels of one kind, the network stays near its start and its
 score near that kind.
 """
 
@@ -18,56 +19,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyarc.llm.common import slices, worker_cache
-
-#: Bytes that a filter moves by, bytes of a chunk (its last half is the next one's first), numbers of a pair's embedding,
-#: filters, hidden units.
-STEP, CHUNK, EMBED, FILTERS, HIDDEN = 4, 256, 6, 32, 16
-#: Texts and chunks of each that training sees at most, epochs, texts in a step of training.
-SAMPLE, SHOWN, EPOCHS, BATCH = 6000, 6, 10, 64
-CLASSES = 64
-
-
-def _classes() -> np.ndarray:
-    """A class for each byte, by rule: letters keep their own, other ASCII too where it fits, bytes beyond ASCII share some."""
-    out = np.zeros(256, np.int64)
-    for b in range(256):
-        if 97 <= b <= 122:
-            out[b] = b - 97
-        elif 65 <= b <= 90:
-            out[b] = 26 + (b - 65) // 5
-        elif 48 <= b <= 57:
-            out[b] = 32
-        elif b >= 192:
-            out[b] = 33 + (b & 3)
-        elif b >= 128:
-            out[b] = 37 + (b & 3)
-        elif b == 0:
-            out[b] = 41
-        elif b in (9, 11, 12, 13):
-            out[b] = 42
-        else:
-            out[b] = 43 + b % 21 if b != 32 else 42
-    return out
-
-
-_CLASS = _classes()
+from tallyarc.llm.common import labelled_sample, slices, worker_cache
+
+#: Bytes that a filter moves by, bytes of a chunk (its last half is the next one's first), numbers of a byte's embedding, filters,
+#: hidden units; halves of chunks whose responses are made at once when scoring.
+STEP, CHUNK, EMBED, FILTERS, HIDDEN, BLOCK = 4, 256, 6, 32, 16, 2048
+#: Rows of the sample, characters of one text and of all at most; epochs, texts in a step of training.
+SAMPLE, LONGEST, CHARACTERS, EPOCHS, BATCH = 6000, 200_000, 12_000_000, 8, 64
 
 
 def chunks_of(data: bytes) -> np.ndarray:
-    """Byte classes of a text as (halves + 1, CHUNK / 2): chunk i is rows i and i + 1."""
+    """The bytes of a text as (halves, CHUNK / 2), zeros after the end: chunk i is rows i and i + 1."""
     half = CHUNK // 2
     n = max(2, -(-len(data) // half))
     out = np.zeros(n * half, np.uint8)
     out[: len(data)] = np.frombuffer(data, np.uint8)
-    return _CLASS[out].reshape(n, half)
+    return out.reshape(n, half)
 
 
 def start_weights(seed: int = 7) -> dict[str, np.ndarray]:
     r = np.random.default_rng(seed)
     scale = lambda *s: (r.standard_normal(s) / np.sqrt(np.prod(s[:-1]))).astype(np.float32)
     return {
-        "embed": (r.standard_normal((CLASSES, EMBED)) * 0.5).astype(np.float32),
+        "embed": (r.standard_normal((256, EMBED)) * 0.5).astype(np.float32),
         "filter": scale(2 * STEP * EMBED, FILTERS) * 1.5,
         "bias": np.zeros(FILTERS, np.float32),
         "hidden": scale(FILTERS, HIDDEN),
@@ -89,13 +63,9 @@ def _responses(w, halves: np.ndarray):
     return x, a
 
 
-def _forward(w, texts: list[np.ndarray]):
-    halves = np.concatenate(texts)
-    rows = np.array([len(t) for t in texts])
-    x, a = _responses(w, halves)
+def _judged(w, top: np.ndarray, rows: np.ndarray):
+    """Logits of texts from the largest responses in each half of theirs."""
     ends = np.cumsum(rows)
-    a[ends - 1, -1] = -1e9  # the last filter of a text would reach into the next text
-    top = a.max(1)
     first = np.concatenate([np.arange(e - r, e - 1) for e, r in zip(ends, rows, strict=True)])
     pooled = np.maximum(top[first], top[first + 1])
     f = np.tanh(pooled + w["bias"])
@@ -105,12 +75,32 @@ def _forward(w, texts: list[np.ndarray]):
     mean = np.add.reduceat(z, starts) / (rows - 1)
     least, most = np.minimum.reduceat(z, starts), np.maximum.reduceat(z, starts)
     logit = np.stack([mean, least, most], 1) @ w["combine"] + w["combine_bias"]
-    return logit, (halves, rows, x, a, top, first, f, h, z, starts, mean, least, most)
+    return logit, (first, f, h, z, starts, mean, least, most)
+
+
+def _forward(w, texts: list[np.ndarray]):
+    halves = np.concatenate(texts)
+    rows = np.array([len(t) for t in texts])
+    x, a = _responses(w, halves)
+    a[np.cumsum(rows) - 1, -1] = -1e9  # the last filter of a text would reach into the next text
+    top = a.max(1)
+    logit, (first, *rest) = _judged(w, top, rows)
+    return logit, (halves, rows, x, a, top, first, *rest)
 
 
 def score(w, data: list[bytes]) -> np.ndarray:
-    logit, _ = _forward(w, [chunks_of(d) for d in data])
-    return 1 / (1 + np.exp(-logit.astype(np.float64)))
+    """Probabilities; memory is bounded by the bytes themselves and one block of responses."""
+    texts = [chunks_of(d) for d in data]
+    rows, halves = np.array([len(t) for t in texts]), np.concatenate(texts)
+    last = np.zeros(len(halves), bool)
+    last[np.cumsum(rows) - 1] = True
+    top = np.empty((len(halves), FILTERS), w["bias"].dtype)
+    for at in range(0, len(halves), BLOCK):
+        own = last[at : at + BLOCK]
+        a = _responses(w, halves[at : at + BLOCK + 1])[1][: len(own)]  # one half more, into which the last filter reaches
+        a[own, -1] = -1e9
+        top[at : at + BLOCK] = a.max(1)
+    return 1 / (1 + np.exp(-_judged(w, top, rows)[0].astype(np.float64)))
 
 
 def _gradients(w, texts: list[np.ndarray], label: np.ndarray, weight: np.ndarray):
@@ -178,26 +168,10 @@ def train(data: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     return w
 
 
-def _shown(it):
-    """Of each text the parts that training sees: all of it, or evenly spaced chunks of it."""
-    for batch in it:
-        out = []
-        for x in batch.column(1).to_pylist():
-            data = (x or "").encode()
-            if len(data) > SHOWN * CHUNK:
-                spots = np.linspace(0, len(data) - CHUNK, SHOWN).astype(int)
-                data = b"".join(data[s : s + CHUNK] for s in spots)
-            out.append(data)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["doc_id", "label", "data"])
-
-
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", sample: int = SAMPLE) -> dict[str, np.ndarray]:
-    """Weights from at most ``sample`` labelled rows, chosen by hash; ``labels`` must hold no row that is held out."""
-    own = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(column).cast("float").alias("label")).distinct()
-    chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")  # at most `sample` rows
-    seen = rows.mapInArrow(_shown, "doc_id long, label float, data binary").toArrow().to_pandas().sort_values(["doc_id", "data"])
-    return train(seen["data"].tolist(), seen["label"].to_numpy(np.float32))
+    """Weights from the bounded sample; ``labels`` must hold no row that is held out."""
+    seen = labelled_sample(docs, labels, column, ((0, 1),), sample, LONGEST, CHARACTERS)
+    return train([x.encode() for x in seen["text"]], seen["label"].to_numpy(np.float32))
 
 
 def _scores(w, batch, column: int) -> np.ndarray:

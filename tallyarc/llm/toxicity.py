@@ -4,12 +4,14 @@ A word's input is two vectors: one of its hashed whole form and one that sums it
 marked), so forms never seen in training are read by their parts. A word of more than ``LONGEST_WORD`` bytes (text without
 blanks, words that are joined) counts as several that overlap by half, so each of its bytes is read. Windows of ``WINDOW`` words overlap and cover the whole
 text; over each, a forward and a backward gated unit run, attention pools their states, and the pooled state gives a logit.
-A text's logit is that of its most toxic window. Training (Adam) takes every window of a clean text as clean, and of a toxic
-text the window that the network finds most toxic as toxic; it sees a bounded sample of labelled texts (``SAMPLE`` of each kind,
-the shorter half of its bound in length chosen by hash). A second bounded sample, of any length, sets scale and offset.
-
-Rows: a null text scores as an empty one, which is a window without words; rows without doc_id are scored too; repeated rows
-give a row each; other columns are ignored. Without labels of both kinds the score is near the share of the kind there is.
+A text's logit is that of its most toxic window. Training (Adam, the embeddings decayed, words and parts dropped at random, the
+weights of the second half of the steps averaged) takes every window of a clean text as clean, the one that the network finds most
+toxic above all, and of a toxic text that window as toxic. It sees whole texts of a bounded sample of labelled rows, chosen by hash: at most ``SAMPLE``
+of each kind, of at most ``LONGEST`` characters each and ``CHARACTERS`` together. A fifth of them is not trained on; it sets the
+offset.
+
+Rows: a null text counts as an empty one, which is a window without words; rows without doc_id are scored too; repeated rows
+give a row each, and are one when the sample is drawn; other columns are ignored. Without labels of both kinds the score is near the share of the kind there is.
 """
 
 from __future__ import annotations
@@ -19,12 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyarc.llm.common import slices, worker_cache
+from tallyarc.llm.common import labelled_sample, slices, worker_cache
 
 #: Words of a window and how far the next one starts, buckets and numbers of embeddings, hidden and attention units.
-WINDOW, STRIDE, BUCKETS, EMBED, HIDDEN, ATTEND = 32, 24, 1 << 13, 12, 12, 8
-#: Texts of each kind that training sees at most, characters of each at most, epochs, texts in a step, texts for the offset.
-SAMPLE, LONGEST, EPOCHS, BATCH, TUNED = 2000, 2500, 8, 48, 1200
+WINDOW, STRIDE, BUCKETS, EMBED, HIDDEN, ATTEND = 32, 24, 1 << 15, 12, 12, 8
+#: The sample: rows of each kind at most, characters of a text and of all texts of a kind at most.
+SAMPLE, LONGEST, CHARACTERS = 3000, 200_000, 6_000_000
+#: Epochs, texts in a step, steps at least; shares of whole forms and of summed parts that a step leaves out, decay of embeddings, the
+#: share of the average that a step keeps.
+EPOCHS, BATCH, STEPS, DROP_FORMS, DROP_PARTS, DECAY, AVERAGE = 8, 48, 1000, 0.4, 0.1, 0.3, 0.99
 #: A worker's table of word inputs is emptied beyond this many words; bytes of a word at most, longer ones are broken; words whose
 #: inputs are made at once.
 WORDS_KEPT, LONGEST_WORD, AT_ONCE = 150_000, 40, 20_000
@@ -143,8 +148,8 @@ def _forward(w, projected: np.ndarray, win: np.ndarray, keep: bool = False):
     return logit, (mask, g, saved, both, a, e, pooled)
 
 
-def _gradients(w, parts, win: np.ndarray, d: np.ndarray, x: np.ndarray, dropped: np.ndarray, kept):
-    """Gradients for logit gradients ``d``; ``x`` the words' inputs, ``dropped`` which have their form left out."""
+def _gradients(w, parts, win: np.ndarray, d: np.ndarray, x: np.ndarray, left_in: np.ndarray, kept):
+    """Gradients for logit gradients ``d``; ``x`` the words' inputs, ``left_in`` which of them have their form, their parts."""
     mask, g_in, saved, both, a, e, pooled = kept
     g = {"judge": pooled.T @ d, "judge_bias": d.sum(keepdims=True), "tune": np.zeros(2, np.float32)}
     dp = d[:, None] * w["judge"][None]
@@ -182,8 +187,8 @@ def _gradients(w, parts, win: np.ndarray, d: np.ndarray, x: np.ndarray, dropped:
     dx = dproj @ w["input"].T
     form, grams, at = parts
     sums = lambda index, rows: np.stack([np.bincount(index, rows[:, i], BUCKETS) for i in range(EMBED)], 1).astype(np.float32)
-    g["form"] = sums(form, dx[:, :EMBED] * ~dropped[:, None])
-    g["gram"] = sums(grams, dx[:, EMBED:][np.repeat(np.arange(len(form)), np.diff(at))])
+    g["form"] = sums(form, dx[:, :EMBED] * left_in[:, :1])
+    g["gram"] = sums(grams, (dx[:, EMBED:] * left_in[:, 1:])[np.repeat(np.arange(len(form)), np.diff(at))])
     return g
 
 
@@ -197,8 +202,8 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 11, epochs: int = EP
     form, grams, at = parts_of(list(known))
     wins = [windows_of(np.array([known[x] for x in words], np.int64)) for words in split]
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items() if k != "tune"}
-    epochs = max(epochs, -(-250 // -(-len(texts) // BATCH)))  # small samples are seen more often
-    total, step = epochs * -(-len(texts) // BATCH), 0
+    epochs = max(epochs, -(-STEPS // -(-len(texts) // BATCH)))  # small samples are seen more often
+    total, step, mean = epochs * -(-len(texts) // BATCH), 0, None
     for _ in range(epochs):
         order = r.permutation(len(texts))
         for i in range(0, len(order), BATCH):
@@ -216,24 +221,30 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 11, epochs: int = EP
             else:
                 parts = form[:1], grams[: at[1]], at[:2]
             x = inputs(w, parts)
-            dropped = r.random(len(x)) < 0.4
-            x[dropped, :EMBED] = 0
+            left_in = r.random((len(x), 2)) >= (DROP_FORMS, DROP_PARTS)
+            x *= np.repeat(left_in, EMBED, 1)
             logit, kept = _forward(w, x @ w["input"] + w["input_bias"], win, keep=True)
             starts = np.concatenate([[0], np.cumsum(rows)[:-1]])
             top = np.maximum.reduceat(logit, starts)
             owner = np.repeat(np.arange(len(own)), rows)
             toxic = labels[own][owner] > 0
             p = 1 / (1 + np.exp(-logit))
-            chosen = toxic & (logit == top[owner])
-            d = np.where(toxic, np.where(chosen, p - 1, 0), p / np.sqrt(rows[owner])).astype(np.float32) / len(own)
-            g = _gradients(w, parts, win, d, x, dropped, kept)
+            most = logit == top[owner]
+            d = np.where(toxic, np.where(most, p - 1, 0), p * (1 / np.sqrt(rows[owner]) + most)).astype(np.float32) / len(own)
+            g = _gradients(w, parts, win, d, x, left_in, kept)
             step += 1
             pace = rate * min(1.0, step / 20) * (1 - 0.95 * step / (total + 1))
             for k, (m, v) in moment.items():
                 m += 0.1 * (g[k] - m)
                 v += 0.01 * (g[k] * g[k] - v)
                 w[k] -= (pace * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-    return w
+            for k in ("form", "gram"):
+                w[k] *= np.float32(1 - pace * DECAY)
+            if 2 * step > total:
+                mean = mean or {k: v.copy() for k, v in w.items()}
+                for k, v in mean.items():
+                    v += np.float32(1 - AVERAGE) * (w[k] - v)
+    return mean or w
 
 
 class Scorer:
@@ -268,7 +279,7 @@ class Scorer:
 
 
 def tune(w, texts: list[str], labels: np.ndarray) -> None:
-    """Move the offset to the cut that errs least on whole texts of any length."""
+    """Move the offset to the cut that errs least on whole texts."""
     if not len(texts) or labels.min() == labels.max():
         return
     scorer = Scorer(w)
@@ -276,25 +287,22 @@ def tune(w, texts: list[str], labels: np.ndarray) -> None:
     cuts = np.unique(logit)
     cuts = np.concatenate([[cuts[0] - 1], (cuts[1:] + cuts[:-1]) / 2, [cuts[-1] + 1]])
     toxic, clean = np.sort(logit[labels > 0]), np.sort(logit[labels <= 0])
-    errs = np.searchsorted(toxic, cuts) / len(toxic) + 1 - np.searchsorted(clean, cuts) / len(clean)
-    best = np.flatnonzero(errs <= errs.min() + 1e-12)
-    w["tune"][1] = -float(np.median(cuts[best]))
+    errs = np.searchsorted(toxic, cuts) + len(clean) - np.searchsorted(clean, cuts)
+    w["tune"][1] = -float(np.median(cuts[errs == errs.min()]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample: int = SAMPLE) -> dict[str, np.ndarray]:
-    """Weights from bounded samples of labelled rows, chosen by hash; ``labels`` must hold no row that is held out."""
-    own = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(column).cast("int").alias("label")).distinct()
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    each = [own.where(F.col("label") == k).orderBy(*order).limit(3 * sample) for k in (0, 1)]
-    chosen = each[0].union(each[1])
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")  # at most 6 * `sample` rows
-    short = rows.where(F.length("text") <= LONGEST)
-    taken = short.where("label = 0").orderBy(*order).limit(sample).union(short.where("label = 1").orderBy(*order).limit(sample))
-    seen = taken.toArrow().to_pandas().sort_values(["doc_id", "text"])
-    w = train(seen["text"].tolist(), seen["label"].to_numpy(np.float32))
-    whole = rows.where(F.length("text") <= 20 * LONGEST)
-    whole = whole.where("label = 0").orderBy(*order).limit(TUNED // 2).union(whole.where("label = 1").orderBy(*order).limit(TUNED // 2)).toArrow().to_pandas()
-    tune(w, whole["text"].tolist(), whole["label"].to_numpy(np.float32))
+    """Weights from the bounded sample; ``labels`` must hold no row that is held out."""
+    seen = labelled_sample(docs, labels, column, ((0,), (1,)), sample, LONGEST, CHARACTERS)
+    texts, label = seen["text"].tolist(), seen["label"].to_numpy(np.float32)
+    place = np.empty(len(label), np.int64)  # of each row among those of its kind, in an order that has nothing to do with ids
+    mixed = np.random.default_rng(5).permutation(len(label))
+    for kind in (0, 1):
+        own = mixed[label[mixed] == kind]
+        place[own] = np.arange(len(own))
+    apart = place % 5 == 4
+    w = train([t for t, a in zip(texts, apart, strict=True) if not a], label[~apart])
+    tune(w, [t for t, a in zip(texts, apart, strict=True) if a], label[apart])
     return w
 
 
