@@ -10,6 +10,8 @@ import re
 import zlib
 from collections import Counter, OrderedDict
 
+import numpy as np
+
 #: Bounds of the reducers.
 LOG_LINES, ERRORS, WARNINGS, STACKS, STACK_LINES, AROUND = 50, 10, 5, 3, 20, 3
 FILES, MATCHES, PER_FILE = 15, 30, 5
@@ -17,6 +19,10 @@ DIFF_LINES, DIFF_FILES, HUNKS, DIFF_AROUND = 50, 20, 10, 2
 #: Words of log levels, in order of weight.
 LEVELS = [("error", ["error", "fatal", "critical"]), ("fail", ["failed", "fail"]), ("warn", ["warning", "warn"]), ("info", ["info"]), ("debug", ["debug"]), ("trace", ["trace"])]
 LEVEL_SCORE = {"error": 1.0, "fail": 1.0, "warn": 0.6, "info": 0.3}
+#: Lines of stack traces; lines that sum up, by their frame, their counts and their first word.
+TRACE = r'^\s+(at |File "|\.\.\. \d+ more)|^Traceback|^goroutine \d+|^\s+\d+: 0x|^\s+--> '
+SUMMARY_RULE, SUMMARY_COUNTS = r"^(=+|-+|\*+)\s*\w.*(=+|-+|\*+)$", r"\b\d+ (passed|failed|errors?|warnings?|tests?)\b"
+SUMMARY_STARTS = ("summary", "total", "result")
 _MATCH = re.compile(r"^(.+?)[:-](\d+)[:-](.*)$")
 _HUNK = re.compile(r"^@@ .* @@")
 
@@ -181,12 +187,12 @@ def level(line: str) -> str:
 
 
 def is_trace(line: str) -> bool:
-    return bool(re.match(r'^\s+(at |File "|\.\.\. \d+ more)|^Traceback|^goroutine \d+|^\s+\d+: 0x|^\s+--> ', line))
+    return bool(re.match(TRACE, line))
 
 
 def is_summary(line: str) -> bool:
     low = line.lower()
-    return bool(re.match(r"^(=+|-+|\*+)\s*\w.*(=+|-+|\*+)$", line) or re.search(r"\b\d+ (passed|failed|errors?|warnings?|tests?)\b", low) or low.startswith(("summary", "total", "result")))
+    return bool(re.match(SUMMARY_RULE, line) or re.search(SUMMARY_COUNTS, low) or low.startswith(SUMMARY_STARTS))
 
 
 def line_score(line: str) -> float:
@@ -325,6 +331,9 @@ def compress(text: str, strategy: str | None = None, context: str = "") -> str:
 # How many items are enough
 
 _FNV, _PRIME = 0xCBF29CE484222325, 0x100000001B3
+#: A process forgets the hashes of shingles beyond this many.
+HASHES_KEPT = 200_000
+_hashes: dict[str, int] = {}
 
 
 def fnv64(data: bytes) -> int:
@@ -335,14 +344,17 @@ def fnv64(data: bytes) -> int:
 
 
 def simhash64(text: str) -> int:
-    """Votes of the hashes of four-character shingles."""
+    """Votes of the hashes of four-character shingles, each counted as often as it occurs."""
     low = text.lower()
-    votes = [0] * 64
-    for shingle in [low[i : i + 4] for i in range(len(low) - 3)] or [low]:
-        h = fnv64(shingle.encode())
-        for b in range(64):
-            votes[b] += 1 if h >> b & 1 else -1
-    return sum(1 << b for b in range(64) if votes[b] > 0)
+    count = Counter([low[i : i + 4] for i in range(len(low) - 3)] or [low])
+    for shingle in count.keys() - _hashes.keys():
+        _hashes[shingle] = fnv64(shingle.encode("utf-8", "surrogatepass"))
+    own = np.fromiter((_hashes[x] for x in count), np.uint64, len(count))
+    weight = np.fromiter(count.values(), np.int64, len(count))
+    if len(_hashes) > HASHES_KEPT:
+        _hashes.clear()
+    votes = ((own[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.int64).T @ weight
+    return sum(1 << b for b in range(64) if 2 * votes[b] > weight.sum())
 
 
 def clusters(items: list[str], radius: int = 3) -> int:

@@ -49,6 +49,20 @@ def distinct_words(text: Column, least: int = 1) -> Column:
     return F.array_distinct(F.filter(words(text), lambda w: F.length(w) >= least))
 
 
+def query_text(text: Column) -> Column:
+    """A search over prefixes of any of a text's words, without stop words (all of them if nothing else is there)."""
+    every = words(text)
+    kept = F.filter(every, lambda w: ~w.isin(*STOP_WORDS))
+    used = F.filter(F.when(F.size(kept) > 0, kept).otherwise(every), lambda w: F.length(w) >= 2)
+    return F.array_join(F.transform(used, lambda w: F.concat(w, F.lit("*"))), " OR ")
+
+
+def dedup_query_text(title: Column) -> Column:
+    """A search over prefixes of all of the first five longer words of a title; empty when there are fewer than three."""
+    used = F.filter(words(title), lambda w: (F.length(w) >= 4) & ~w.isin(*DEDUP_STOP))
+    return F.when(F.size(used) >= 3, F.array_join(F.transform(F.slice(used, 1, 5), lambda w: F.concat(w, F.lit("*"))), " AND ")).otherwise("")
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays of distinct values; 0 if either is empty."""
     both = F.size(F.array_intersect(a, b)).cast("double")
@@ -56,8 +70,10 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def trigrams(text: Column) -> Column:
+    """Distinct runs of three characters. A lookahead finds them in one pass: taking each by its position would scan the text anew
+    for each, as characters differ in bytes."""
     one = F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
-    return F.when(F.length(one) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(one) - 2, F.lit(1))), lambda i: F.substring(one, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.regexp_extract_all(one, F.lit("(?s)(?=(...))"), F.lit(1)))
 
 
 class Porter:

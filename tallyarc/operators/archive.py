@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyarc.functions.numbering import running
+
 #: Statuses that searches see, that lists leave out, and that vectors leave out.
 SEARCHED, UNLISTED, UNINDEXED = ("current", "seed", "exploring", "imported"), ("archived", "superseded"), ("archived", "parked")
 #: Weight of relations for the best link.
@@ -174,7 +176,6 @@ def inscribe(entries: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     kinds = ("idea", "research", "decision", "observation", "principle")
     ok = new.where(F.col("kind").isin(*kinds) & (F.trim("title") != "") & (F.trim("summary") != "") & (F.trim("topic") != ""))
     top = entries.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    rank = F.row_number().over(W.orderBy("project_id", "title", "summary"))
-    ok = ok.withColumn("rn", rank).crossJoin(F.broadcast(top))  # one row
+    ok = running(ok, [F.col("project_id"), F.col("title"), F.col("summary")], "rn").crossJoin(F.broadcast(top))  # one row
     row = ok.withColumns({"id": F.col("top") + F.col("rn"), "status": F.when(F.col("kind") == "idea", "seed").otherwise("current"), "created_at": now, "access_count": F.lit(0).cast("long"), "valid_days": F.when(F.col("kind") == "research", 30).when(F.col("kind") == "decision", 180)})
     return entries.unionByName(row.select(*(F.col(c) if c in row.columns else F.lit(None).alias(c) for c in entries.columns)))

@@ -92,3 +92,12 @@ def debounced(events: DataFrame, seconds: int = 1) -> DataFrame:
     first, last = F.min_by("op", F.struct("ts", "id")), F.max_by("op", F.struct("ts", "id"))
     out = runs.groupBy(*key, "run").agg(F.min("ts").alias("start"), F.max("ts").alias("last"), F.count("*").alias("n"), first.alias("first_op"), last.alias("last_op"))
     return out.where("NOT (first_op = 'create' AND last_op = 'remove')").drop("run", "first_op")
+
+
+def format_age(since: Column, now: Column) -> Column:
+    """The whole seconds from ``since`` to ``now`` as ``3s``, ``5m2s`` or ``1h0m4s``; 0s for a time to come."""
+    micros = F.unix_micros(now.cast("timestamp")) - F.unix_micros(since.cast("timestamp"))
+    s = F.floor(F.greatest(micros, F.lit(0)) / 1_000_000).cast("long")
+    n = lambda c: c.cast("long").cast("string")
+    hours, minutes, seconds = F.concat(n(F.floor(s / 3600)), F.lit("h")), F.concat(n(F.floor(s / 60) % 60), F.lit("m")), F.concat(n(s % 60), F.lit("s"))
+    return F.when(s >= 3600, F.concat(hours, minutes, seconds)).when(s >= 60, F.concat(minutes, seconds)).otherwise(seconds)

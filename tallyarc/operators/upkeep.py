@@ -5,9 +5,13 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
+
+from tallyarc.functions.numbering import running
 
 KEY = ["project_id", "task_id"]
 
@@ -15,8 +19,7 @@ KEY = ["project_id", "task_id"]
 def append_note(notes: DataFrame, new: DataFrame) -> DataFrame:
     """``notes`` with ``new(project_id, task_id, agent_id, note, created_at)`` under ids after the greatest."""
     top = notes.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    order = W.orderBy("created_at", *KEY, "note")
-    rows = new.withColumn("rn", F.row_number().over(order)).crossJoin(F.broadcast(top))  # one row
+    rows = running(new, [F.col(c) for c in ("created_at", *KEY, "note")], "rn").crossJoin(F.broadcast(top))  # one row
     return notes.unionByName(rows.select((F.col("top") + F.col("rn")).alias("id"), *(c for c in notes.columns if c != "id")))
 
 
@@ -53,32 +56,25 @@ def register_projects(projects: DataFrame, new: DataFrame) -> DataFrame:
     return fresh.unionByName(projects.join(fresh.select("id"), "id", "left_anti"))
 
 
-def resolve_project(projects: DataFrame, flag: str | None, top_level: str | None, main_repo: str | None) -> str:
-    """By name, else by the path of the working tree, else by that of its main repository."""
-    if flag:
-        found = projects.where(F.col("id") == flag).select("id").first()
-    else:
-        paths = [p for p in (top_level, main_repo) if p]
-        rows = {r.path: r.id for r in projects.where(F.col("path").isin(*paths)).select("id", "path").collect()} if paths else {}
-        found = next(({"id": rows[p]} for p in paths if p in rows), None)
-    if found is None:
-        raise LookupError("the project is not registered")
-    return found["id"]
+def resolve_projects(projects: DataFrame, requests: DataFrame) -> DataFrame:
+    """The project of each of ``requests(id, flag, top_level, main_repo)``: by name where one is given, else by the path of the working
+    tree, else by that of its main repository; ``error`` says when none of them is registered."""
+    name = lambda key, to: projects.select(F.col(key).alias(to), F.col("id").alias(f"by_{to}")).dropDuplicates([to])
+    joined = requests.join(name("id", "flag"), "flag", "left").join(name("path", "top_level"), "top_level", "left").join(name("path", "main_repo"), "main_repo", "left")
+    named = F.coalesce("flag", F.lit("")) != ""
+    found = F.when(named, F.col("by_flag")).otherwise(F.coalesce("by_top_level", "by_main_repo"))
+    return joined.select("id", found.alias("project_id"), F.when(found.isNull(), "the project is not registered").alias("error"))
 
 
-def resolve_session(argument: str | None, saved: str | None, env: str | None) -> str:
-    for value in (argument, saved, env):
-        if value:
-            return value
-    raise LookupError("no project is named")
+def resolve_session(argument: Column, saved: Column, env: Column) -> Column:
+    """The first that is named: the argument, the saved project, the environment's; null where none is."""
+    return F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in (argument, saved, env)))
 
 
-def warm_start(state: str, stored: tuple[str, str], bound: tuple[str, str]) -> str:
-    if state != "enabled":
-        return "not-enabled"
-    if any(s and s != b for s, b in zip(stored, bound, strict=True)):
-        return "identity-changed"
-    return "skip-probe"
+def warm_start(state: Column, stored_model: Column, bound_model: Column, stored_hash: Column, bound_hash: Column) -> Column:
+    """Whether the embedder's self-test can be left out, and if not, why."""
+    changed = lambda stored, bound: (F.coalesce(stored, F.lit("")) != "") & (stored != bound)
+    return F.when(state != "enabled", "not-enabled").when(changed(stored_model, bound_model) | changed(stored_hash, bound_hash), "identity-changed").otherwise("skip-probe")
 
 
 def agent_environment(env: dict[str, str], markers: tuple[str, ...] = ("CI_AGENT", "AGENT")) -> bool:
@@ -99,16 +95,44 @@ def run_steps(steps: list[tuple[str, Callable[[], dict]]], budget_seconds: float
     return out
 
 
-def backfill_cycles(pending: int, per_cycle: Callable[[int], int], eligible: int, least: float = 0.90, cycles: int = 5) -> list[int]:
-    """How many each cycle embeds: until enough is covered, a cycle does nothing, or there were five."""
-    out: list[int] = []
-    while pending > 0 and len(out) < cycles and (eligible - pending) / max(1, eligible) < least:
-        done = per_cycle(pending)
-        out.append(done)
-        if not done:
-            break
-        pending -= done
-    return out
+def plan_steps(steps: DataFrame, budget_seconds: float) -> DataFrame:
+    """What a run's steps ``(run, place, step, seconds, fails)`` come to under a budget: steps begin in order while less than the budget
+    is spent, the rest is skipped; one that fails spends its time and does not stop the others. (``run_steps`` runs real ones.)"""
+    before = F.coalesce(F.sum("seconds").over(W.partitionBy("run").orderBy("place").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return steps.withColumn("outcome", F.when(before >= budget_seconds, "skipped").when(F.col("fails"), "error").otherwise("done"))
+
+
+def backfill_cycles(corpora: DataFrame, least: float = 0.90, cycles: int = 5) -> DataFrame:
+    """How many each cycle embeds of ``corpora(corpus, eligible, pending, per_cycle)``: until enough is covered, a cycle does nothing, or
+    there were ``cycles``."""
+    left = F.col("pending") - (F.col("cycle") - 1) * F.col("per_cycle")
+    each = corpora.where("per_cycle > 0").withColumn("cycle", F.explode(F.sequence(F.lit(1), F.lit(cycles)))).withColumn("left", left)
+    run = (F.col("left") > 0) & ((F.col("eligible") - F.col("left")) / F.greatest("eligible", F.lit(1)) < least)
+    return each.where(run).select("corpus", "cycle", F.least("per_cycle", "left").alias("done"))
+
+
+def rotate(lines: DataFrame, limit: int = 10 << 20, keep: int = 5) -> DataFrame:
+    """``lines(id, bytes)`` with the log file that each is in, a new one begun with every ``limit`` bytes written, and whether that file
+    is still there: the newest and ``keep`` archives."""
+    placed = running(lines, [F.col("id")], "written", F.col("bytes"))
+    placed = placed.withColumn("file", F.floor((F.col("written") - F.col("bytes")) / limit)).drop("written")
+    newest = placed.agg(F.max("file").alias("newest"))
+    return placed.crossJoin(F.broadcast(newest)).withColumn("kept", F.col("file") >= F.col("newest") - keep).drop("newest")  # one row
+
+
+def widened(scored: DataFrame, want: int = 10) -> DataFrame:
+    """How far a search ``(id, score, ok)`` that fetches ``want`` rows and doubles that until enough are ok has to go: ``(found, rank, k)``, the
+    rows that are ok, the rank of the last one, and the width. Only the last row's place is counted, nothing is ranked whole."""
+    last = scored.where("ok").orderBy("score", "id").limit(want).agg(F.count("*").alias("found"), F.max(F.struct("score", "id")).alias("last"))
+    within = F.when(F.col("found") < want, True).otherwise(F.struct("score", "id") <= F.col("last"))
+    rank = scored.crossJoin(F.broadcast(last)).agg(F.coalesce(F.max("found"), F.lit(0)).alias("found"), F.count_if(within).alias("rank"))  # one row
+    return rank.withColumn("k", (want * F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest("rank", F.lit(1)) / want) - 1e-9)))).cast("long"))
+
+
+def seeds(entries: DataFrame, age: Column) -> DataFrame:
+    """Entries as rows of an evaluation's corpus: a slug of the title, the kind, the age in days."""
+    slug = F.trim(F.regexp_replace(F.lower("title"), "[^a-z0-9]+", " "))
+    return entries.select("id", F.replace(slug, F.lit(" "), F.lit("-")).alias("slug"), "kind", age.alias("age_days"))
 
 
 def bounties_text(ranked: DataFrame) -> DataFrame:
@@ -121,10 +145,10 @@ def clamp(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.substring(text, 1, most)).otherwise(text)
 
 
-def split_statements(script: str) -> list[str]:
+def split_statements(script: str | None) -> list[str]:
     """Statements of an SQL script; the semicolons inside a trigger's BEGIN ... END do not end it."""
     out, own, depth = [], [], 0
-    for line in script.splitlines():
+    for line in (script or "").splitlines():
         bare = line.split("--")[0].strip()
         if not bare:
             continue
@@ -136,3 +160,16 @@ def split_statements(script: str) -> list[str]:
             out.append(" ".join(own))
             own, depth = [], 0
     return out + [" ".join(own)] * bool(own)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def statements(scripts: pd.Series) -> pd.Series:
+    return scripts.map(split_statements)
+
+
+#: Operations that may be done without approval.
+AUTOMATIC = ("meld_exact", "renewal", "embed")
+
+
+def policy(kind: Column) -> Column:
+    return F.when(kind.isin(*AUTOMATIC), "auto").otherwise("approval")

@@ -6,20 +6,21 @@ from tallyarc.catalogue import query
 from tallyarc.operators import evaluation as E
 from tallyarc.views import Views
 
-#: Query q ranks the entries with id in a stride of it; the relevant one is where the stride meets a residue.
-_RANKED = "ranked AS (SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY (id * 7919 + qid * 31) % 1009, id) AS INTEGER) AS rank, ((id * 37 + qid * 11) % 100) / 100e0 AS similarity FROM (SELECT q.id AS qid, e.id FROM entries q JOIN entries e ON e.id % 23 = q.id % 23 AND e.id <= 400 WHERE q.id <= 40 AND q.id % 5 <> 0) x)"
-_REL = "rel AS (SELECT qid, id FROM ranked WHERE qid % 4 <> 0 AND (id + qid) % 6 = 0)"
-_QS = "qs AS (SELECT id AS qid FROM entries WHERE id <= 40)"
+#: The stated queries are the ids divisible by 20, against all entries. Query q ranks the entries in a stride of it, those of every
+#: fifth query none; the relevant ones are where the stride meets a residue.
+_RANKED = "ranked AS (SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY (id * 7919 + qid * 31) % 1009, id) AS INTEGER) AS rank, ((id * 37 + qid * 11) % 100) / 100e0 AS similarity FROM (SELECT q.id AS qid, e.id FROM entries q JOIN entries e ON e.id % 23 = q.id % 23 WHERE q.id % 20 = 0 AND q.id % 100 <> 0) x)"
+_REL = "rel AS (SELECT qid, id FROM ranked WHERE qid % 80 <> 0 AND (id + qid) % 6 = 0)"
+_QS = "qs AS (SELECT id AS qid FROM entries WHERE id % 20 = 0)"
 
 
 def _judged(v: Views):
     from pyspark.sql import Window as W
 
-    q = v.entries.where("id <= 40 AND id % 5 <> 0").select(F.col("id").alias("qid"), (F.col("id") % 23).alias("m"))
-    e = v.entries.where("id <= 400").select("id", (F.col("id") % 23).alias("m"))
+    q = v.entries.where("id % 20 = 0 AND id % 100 <> 0").select(F.col("id").alias("qid"), (F.col("id") % 23).alias("m"))
+    e = v.entries.select("id", (F.col("id") % 23).alias("m"))
     order = W.partitionBy("qid").orderBy(F.expr("(id * 7919 + qid * 31) % 1009"), "id")
     ranked = q.join(e, "m").select("qid", "id").withColumn("rank", F.row_number().over(order)).withColumn("similarity", F.expr("((id * 37 + qid * 11) % 100) / 100e0"))
-    return v.entries.where("id <= 40").select(F.col("id").alias("qid")), ranked, ranked.where("qid % 4 <> 0 AND (id + qid) % 6 = 0").select("qid", "id")
+    return v.entries.where("id % 20 = 0").select(F.col("id").alias("qid")), ranked, ranked.where("qid % 80 <> 0 AND (id + qid) % 6 = 0").select("qid", "id")
 
 
 def _metrics(where: str = "true") -> str:
@@ -55,8 +56,8 @@ def eval_grid(v: Views):
     return E.grid(ranked, want.unionByName(ranked.where("id % 7 = 0").select("qid", "id", F.lit(True).alias("poison"))))
 
 
-@query("eval_parity", f"WITH {_RANKED} SELECT a.qid, a.rank, a.id AS want_id, b.id AS got_id FROM ranked a JOIN ranked b ON a.qid = b.qid AND a.rank = b.rank AND b.qid % 2 = 0 WHERE a.id <> b.id UNION ALL SELECT qid, rank, id, NULL FROM ranked WHERE qid % 2 = 1 -- entries")
+@query("eval_parity", f"WITH {_RANKED} SELECT a.qid, a.rank, a.id AS want_id, b.id AS got_id FROM ranked a JOIN ranked b ON a.qid = b.qid AND a.rank = b.rank AND b.qid % 40 = 0 WHERE a.id <> b.id UNION ALL SELECT qid, rank, id, NULL FROM ranked WHERE qid % 40 <> 0 -- entries")
 def eval_parity(v: Views):
     _, ranked, _ = _judged(v)
     own = ranked.select("qid", "rank", "id", F.col("similarity").alias("score"))
-    return E.compare_rankings(own, own.where("qid % 2 = 0")).select("qid", "rank", "want_id", "got_id")
+    return E.compare_rankings(own, own.where("qid % 40 = 0")).select("qid", "rank", "want_id", "got_id")

@@ -3,41 +3,33 @@
 from pyspark.sql import functions as F
 
 from tallyarc.catalogue import query
-from tallyarc.functions.text import dedup_tokens, query_tokens
+from tallyarc.functions.text import DEDUP_STOP, STOP_WORDS, dedup_query_text, query_text
 from tallyarc.operators.board import split_list, split_pair
 from tallyarc.views import Views
 
-_TEXTS = [(1, "the quick brown a fox"), (2, "what is it"), (3, "QUEST-12 retry_policy x"), (4, "Über große Dinge"), (5, "")]
+_STOP, _LONG = (", ".join(f"'{w}'" for w in x) for x in (STOP_WORDS, DEDUP_STOP))
 
 
-def _texts(v: Views, rows=_TEXTS):
-    return v.spark.sql("SELECT * FROM VALUES " + ", ".join(f"({i}, '{t}')" for i, t in rows) + " AS t(id, text)")
+def _any(text: str) -> str:
+    every = f"regexp_extract_all(lower({text}), '[a-z0-9_]+')"
+    kept = f"list_filter({every}, lambda w: w NOT IN ({_STOP}))"
+    return f"coalesce(array_to_string(list_transform(list_filter(CASE WHEN len({kept}) > 0 THEN {kept} ELSE {every} END, lambda w: length(w) >= 2), lambda w: concat(w, '*')), ' OR '), '')"
 
 
-def _literal(f) -> str:
-    rows = [(i, " OR ".join(f"{t}*" for t in f(text))) for i, text in _TEXTS]
-    return "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in rows) + ") AS t(id, query)"
-
-
-def _parsed(v: Views, f):
-    """A query is parsed where it is stated, on the driver; here each stated text is."""
-    rows = [(i, " OR ".join(f"{t}*" for t in f(text))) for i, text in _TEXTS]
-    return v.spark.sql("SELECT * FROM VALUES " + ", ".join(f"({i}, '{t}')" for i, t in rows) + " AS t(id, query)")
-
-
-@query("fts_query_or", "SELECT * FROM (VALUES (1, 'quick* OR brown* OR fox*'), (2, 'what* OR is* OR it*'), (3, 'quest* OR 12* OR retry_policy*'), (4, 'ber* OR gro* OR dinge*'), (5, '')) AS t(id, query)")
+@query("fts_query_or", f"SELECT id, {_any('title')} AS query FROM entries")
 def fts_query_or(v: Views):
-    return _parsed(v, query_tokens)
+    return v.entries.select("id", query_text(F.col("title")).alias("query"))
 
 
-@query("fts_query_quest", "SELECT * FROM (VALUES (1, 'quick* OR brown* OR fox*'), (2, 'what* OR is* OR it*'), (3, 'quest* OR 12* OR retry_policy*'), (4, 'ber* OR gro* OR dinge*'), (5, '')) AS t(id, query)")
+@query("fts_query_quest", f"SELECT task_id, id, {_any('note')} AS query FROM task_notes")
 def fts_query_quest(v: Views):
-    return _parsed(v, query_tokens)
+    return v.task_notes.select("task_id", "id", query_text(F.col("note")).alias("query"))
 
 
-@query("fts_query_dedup_and", "SELECT * FROM (VALUES (1, ''), (2, ''), (3, ''), (4, ''), (5, '')) AS t(id, query)")
+@query("fts_query_dedup_and", f"""SELECT id, CASE WHEN len(w) >= 3 THEN array_to_string(list_transform(w[1:5], lambda x: concat(x, '*')), ' AND ') ELSE '' END AS query
+    FROM (SELECT id, list_filter(regexp_extract_all(lower(title), '[a-z0-9_]+'), lambda x: length(x) >= 4 AND x NOT IN ({_LONG})) AS w FROM entries) t""")
 def fts_query_dedup_and(v: Views):
-    return _parsed(v, dedup_tokens)
+    return v.entries.select("id", dedup_query_text(F.col("title")).alias("query"))
 
 
 @query("parse_entry_id", r"SELECT id, TRY_CAST(regexp_extract(t, '(?i)^\s*(?:LORE-|ENTRY-)?([0-9]+)\s*$', 1) AS BIGINT) AS parsed FROM (SELECT id, CASE id % 4 WHEN 0 THEN concat('LORE-', @str(id)) WHEN 1 THEN concat(' entry-', @str(id)) WHEN 2 THEN @str(id) ELSE concat('x', @str(id)) END AS t FROM entries) x")
@@ -121,4 +113,4 @@ def wordpiece_tokenize(v: Views):
     from tallyarc.functions.wordpiece import pieces_udf
 
     vocab = ["the", "th", "an", "re", "er", "in", "on", "t", "a", "e", "##e", "##n", "##the", "##er", "##ing", "##tion", "##an", "##t", "##s", "##h", "##d", "##r", "##a", "##o", "##i"]
-    return v.entries.where("topic = 'en'").select("id", F.array_join(pieces_udf(vocab)("title"), " ").alias("pieces"))
+    return v.entries.select("id", F.array_join(pieces_udf(vocab)("title"), " ").alias("pieces"))

@@ -58,13 +58,26 @@ def infer_kind(v: Views):
     return v.entries.select("id", N.infer_kind(path).alias("kind"))
 
 
-@query("catalog_import", "SELECT concat('docs/part_', @str(n), '.md') AS file_path, concat('Part ', @str(n)) AS title, concat('part_', @str(n)) AS topic, 'imported' AS status FROM (SELECT unnest(generate_series(0, 79)) AS n) x WHERE NOT EXISTS (SELECT 1 FROM entries e WHERE e.project_id = 'src1' AND e.file_path = concat('docs/part_', @str(n), '.md'))")
+#: Summaries of documents as Markdown in the oracle's words: trimmed lines without headings, joined up to the first blank one after 40.
+_HEAD = "---\na: 1\n---\n# Head\n\n"
+_JOINED = "array_to_string(list_filter({}, lambda x: x <> ''), ' ')"
+_SUMMED = f"""(SELECT id, CASE WHEN s = '' THEN concat('Imported from ', path) ELSE substr(s, 1, 300) END AS summary, path FROM (SELECT id, path, {_JOINED.format("CASE WHEN stop IS NULL THEN l ELSE l[1:stop - 1] END")} AS s
+    FROM (SELECT id, path, l, list_filter(generate_series(1, len(l)), lambda i: l[i] = '' AND length({_JOINED.format('l[1:i - 1]')}) > 40)[1] AS stop
+    FROM (SELECT id, concat('docs/new-part_', @str(id), '.md') AS path, list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(x)), lambda x: NOT starts_with(x, '#')) AS l FROM entries) a) b) c)"""
+
+
+def _files(v: Views):
+    """Every document as a Markdown file with front matter and a heading."""
+    return v.entries.select("id", F.concat(F.lit("docs/new-part_"), F.col("id").cast("string"), F.lit(".md")).alias("path"), F.concat(F.lit(_HEAD), "body").alias("text"))
+
+
+@query("catalog_import", f"""SELECT path AS file_path, concat('New Part ', @str(id)) AS title, concat('new-part_', @str(id)) AS topic, 'research' AS kind, summary, 'imported' AS status FROM {_SUMMED} s WHERE id % 3 <> 0 -- entries""")
 def catalog_import(v: Views):
-    files = v.spark.range(80).select(F.concat(F.lit("docs/part_"), F.col("id").cast("string"), F.lit(".md")).alias("path"), F.lit("---\na: 1\n---\n# Head\n\nFirst line\nsecond line that is long enough for a stop\n\nrest").alias("text"))
-    return N.catalog(files, v.entries, "src1").select("file_path", "title", "topic", "status")
+    """Files that the project has already, here every third, are left out."""
+    have = v.entries.where("id % 3 = 0").selectExpr("'src1' AS project_id", "concat('docs/new-part_', id, '.md') AS file_path")
+    return N.catalog(_files(v).select("path", "text"), have, "src1").select("file_path", "title", "topic", "kind", "summary", "status")
 
 
-@query("markdown_summary", "SELECT id, CASE WHEN id % 2 = 0 THEN 'First line second line that is long enough for a stop' ELSE concat('Imported from ', file_path) END AS summary FROM entries WHERE id <= 100")
+@query("markdown_summary", f"SELECT id, summary FROM {_SUMMED} s -- entries")
 def markdown_summary(v: Views):
-    text = F.when(F.col("id") % 2 == 0, F.lit("---\na: 1\n---\n# Head\n\nFirst line\nsecond line that is long enough for a stop\n\nrest")).otherwise(F.lit("# Only\n## heads\n"))
-    return v.entries.where("id <= 100").select("id", N.markdown_summary(text, F.col("file_path")).alias("summary"))
+    return _files(v).select("id", N.markdown_summary(F.col("text"), F.col("path")).alias("summary"))

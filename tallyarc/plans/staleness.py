@@ -113,10 +113,20 @@ def debounce(v: Views):
     return T.debounced(v.file_events, 3600)
 
 
-@query("policy_classify", "SELECT kind, CASE kind WHEN 'meld_exact' THEN 'auto' WHEN 'renewal' THEN 'auto' WHEN 'embed' THEN 'auto' ELSE 'approval' END AS policy FROM (VALUES ('meld_exact'), ('meld_near'), ('renewal'), ('embed'), ('other')) AS k(kind)")
+@query("policy_classify", """SELECT id, kind, CASE kind WHEN 'meld_exact' THEN 'auto' WHEN 'renewal' THEN 'auto' WHEN 'embed' THEN 'auto' ELSE 'approval' END AS policy
+    FROM (SELECT id, CASE id % 5 WHEN 0 THEN 'meld_exact' WHEN 1 THEN 'meld_near' WHEN 2 THEN 'renewal' WHEN 3 THEN 'embed' ELSE tool END AS kind FROM tool_calls) k""")
 def policy_classify(v: Views):
-    kinds = v.spark.sql("SELECT * FROM VALUES ('meld_exact'), ('meld_near'), ('renewal'), ('embed'), ('other') AS k(kind)")
-    return kinds.select("kind", F.when(F.col("kind").isin("meld_exact", "renewal", "embed"), "auto").otherwise("approval").alias("policy"))
+    """Operations of the journal by what they may do unasked; what is not known needs approval."""
+    from tallyarc.operators.upkeep import policy
+
+    kinds = v.tool_calls.selectExpr("id", "CASE id % 5 WHEN 0 THEN 'meld_exact' WHEN 1 THEN 'meld_near' WHEN 2 THEN 'renewal' WHEN 3 THEN 'embed' ELSE tool END AS kind")
+    return kinds.withColumn("policy", policy(F.col("kind")))
+
+
+@query("format_age", f"""SELECT task_id, CASE WHEN s >= 3600 THEN concat(@str(s // 3600), 'h', @str(s // 60 % 60), 'm', @str(s % 60), 's') WHEN s >= 60 THEN concat(@str(s // 60), 'm', @str(s % 60), 's') ELSE concat(@str(s), 's') END AS age
+    FROM (SELECT task_id, greatest(0, epoch_us(@ts'{AT}') - epoch_us(heartbeat_at)) // 1000000 AS s FROM leases) x""")
+def format_age(v: Views):
+    return v.leases.select("task_id", T.format_age(F.col("heartbeat_at"), _at()).alias("age"))
 
 
 @query("renewal_step", f"""WITH s AS ({_SIGNALS}), c AS (SELECT id, project_id, row_number() OVER (PARTITION BY project_id ORDER BY id) AS rn FROM entries WHERE status = 'current' AND id IN (SELECT entry_id FROM s))

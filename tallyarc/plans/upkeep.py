@@ -74,78 +74,107 @@ def project_register(v: Views):
     return K.register_projects(project_list(v), new)
 
 
-@query("project_resolve", "SELECT 'src7' AS by_path, 'src2' AS by_name, 'src3' AS by_main")
+@query("project_resolve", """SELECT id, CASE WHEN id % 5 = 4 THEN NULL ELSE project_id END AS project_id, CASE WHEN id % 5 = 4 THEN 'the project is not registered' END AS error FROM entries""")
 def project_resolve(v: Views):
+    """A request for each entry: by name, by working tree, by main repository, by both paths, and for something not registered."""
     from tallyarc.plans.archive import project_list
 
-    p = project_list(v)
-    by = (K.resolve_project(p, None, "/work/src7", "/work/src3"), K.resolve_project(p, "src2", None, None), K.resolve_project(p, None, "/tmp/tree", "/work/src3"))
-    return v.spark.createDataFrame([by], "by_path string, by_name string, by_main string")
+    asked = v.entries.selectExpr(
+        "id", "CASE id % 5 WHEN 0 THEN project_id WHEN 4 THEN 'none' END AS flag",
+        "CASE id % 5 WHEN 1 THEN concat('/work/', project_id) WHEN 2 THEN '/tmp/tree' WHEN 3 THEN concat('/work/', project_id) ELSE '/work/src3' END AS top_level",
+        "CASE id % 5 WHEN 2 THEN concat('/work/', project_id) ELSE '/work/src1' END AS main_repo",
+    )
+    return K.resolve_projects(project_list(v), asked)
 
 
-@query("session_resolve", "SELECT 'a' AS given, 's' AS saved, 'e' AS env")
+@query("session_resolve", "SELECT id, CASE id % 4 WHEN 0 THEN tool WHEN 1 THEN session_id WHEN 2 THEN concat('env', @str(id % 3)) END AS project_id FROM tool_calls")
 def session_resolve(v: Views):
-    return v.spark.createDataFrame([(K.resolve_session("a", "s", "e"), K.resolve_session(None, "s", "e"), K.resolve_session("", None, "e"))], "given string, saved string, env string")
+    """The argument, else the saved one, else the environment's; blanks name nothing."""
+    named = v.tool_calls.selectExpr("id", "CASE id % 4 WHEN 0 THEN tool WHEN 1 THEN ' ' END AS a", "CASE WHEN id % 4 <= 1 THEN session_id WHEN id % 4 = 2 THEN '' END AS s", "CASE WHEN id % 4 <= 2 THEN concat('env', id % 3) END AS e")
+    return named.select("id", K.resolve_session(F.col("a"), F.col("s"), F.col("e")).alias("project_id"))
 
 
-@query("warm_start", "SELECT id, CASE WHEN id % 3 = 0 THEN 'not-enabled' WHEN id % 3 = 1 THEN 'identity-changed' ELSE 'skip-probe' END AS reason FROM (SELECT unnest(generate_series(0, 5)) AS id) x")
+@query("warm_start", "SELECT id, CASE WHEN id % 3 = 0 THEN 'not-enabled' WHEN model_id <> 'model' OR content <> 'fresh' THEN 'identity-changed' ELSE 'skip-probe' END AS reason FROM vectors")
 def warm_start(v: Views):
-    reasons = [(i, K.warm_start("enabled" if i % 3 else "off", ("other" if i % 3 == 1 else "model", ""), ("model", "h"))) for i in range(6)]
-    return v.spark.createDataFrame(reasons, "id long, reason string")
+    """The model and the hash that a vector was stored with against the bound ones."""
+    state = F.when(F.col("id") % 3 == 0, "off").otherwise("enabled")
+    return v.vectors.select("id", K.warm_start(state, F.col("model_id"), F.lit("model"), F.col("content"), F.lit("fresh")).alias("reason"))
 
 
-@query("auto_backfill_gate", "SELECT * FROM (VALUES (1, 40), (2, 40), (3, 20)) AS t(cycle, done)")
+_CORPORA = """WITH c AS (SELECT e.project_id, CASE WHEN v.id IS NULL OR v.model_id <> 'model' OR len(v.embedding) <> 64 OR v.content <> 'fresh' THEN 1 ELSE 0 END AS pending
+    FROM entries e LEFT JOIN vectors v ON v.id = e.id WHERE e.status NOT IN ('archived', 'parked')),
+    g AS (SELECT project_id, count(*) AS eligible, CAST(sum(pending) AS BIGINT) AS pending FROM c GROUP BY project_id)"""
+
+
+def _corpora(v: Views):
+    from tallyarc.plans.vectors import _cover
+
+    states = _cover(v).join(v.entries.select("id", "project_id"), "id")
+    return states.groupBy("project_id").agg(F.count("*").alias("eligible"), F.count_if(F.col("state") != "fresh").alias("pending"))
+
+
+@query("auto_backfill_gate", f"""{_CORPORA}, k AS (SELECT project_id, eligible, pending - (cycle - 1) * (eligible // 4) AS left_, eligible // 4 AS per, cycle FROM g, (SELECT unnest(generate_series(1, 5)) AS cycle) n WHERE eligible >= 4)
+    SELECT project_id AS corpus, CAST(cycle AS INTEGER) AS cycle, least(per, left_) AS done FROM k WHERE left_ > 0 AND (eligible - left_) / CAST(eligible AS DOUBLE) < 9e-1 -- entries vectors""")
 def auto_backfill_gate(v: Views):
-    done = K.backfill_cycles(100, lambda left: min(40, left), 100, 0.99)
-    return v.spark.createDataFrame(list(enumerate(done, 1)), "cycle int, done int")
+    """What the cycles of each project embed, a quarter of it at a time."""
+    return K.backfill_cycles(_corpora(v).selectExpr("project_id AS corpus", "eligible", "pending", "eligible div 4 AS per_cycle"))
 
 
-@query("sleep_run", "SELECT * FROM (VALUES ('one', 'done'), ('two', 'error'), ('three', 'done'), ('four', 'skipped')) AS t(step, outcome)")
+@query("sleep_run", """SELECT id, CASE WHEN spent >= 10 THEN 'skipped' WHEN id % 11 = 0 THEN 'error' ELSE 'done' END AS outcome FROM (SELECT id, coalesce(sum(id % 7) OVER (PARTITION BY session_id ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM tool_calls) x""")
 def sleep_run(v: Views):
-    ticks = iter([0, 0, 1, 2, 9])
-    steps = [("one", dict), ("two", lambda: 1 // 0), ("three", dict), ("four", dict)]
-    return v.spark.createDataFrame([(n, s) for n, s, _ in K.run_steps(steps, 5, lambda: next(ticks))], "step string, outcome string")
+    """Each session's calls as the steps of a run of ten seconds."""
+    steps = v.tool_calls.select(F.col("session_id").alias("run"), F.struct("ts", "id").alias("place"), "id", (F.col("id") % 7).alias("seconds"), (F.col("id") % 11 == 0).alias("fails"))
+    return K.plan_steps(steps, 10).select("id", "outcome")
 
 
-@query("embed_step", "SELECT 'entries' AS corpus, count(*) AS pending FROM entries e LEFT JOIN vectors v ON v.id = e.id AND v.model_id = 'model' AND v.content = 'fresh' WHERE e.status NOT IN ('archived', 'parked') AND v.id IS NULL")
+@query("embed_step", f"{_CORPORA} SELECT 'entries' AS corpus, project_id, pending FROM g WHERE pending > 0 UNION ALL SELECT 'tasks', project_id, count(*) FILTER (status <> 'done') FROM task_status GROUP BY project_id HAVING count(*) FILTER (status <> 'done') > 0 -- entries vectors")
 def embed_step(v: Views):
-    from tallyarc.plans.vectors import _cover
+    """Both corpora: entries without a fresh vector, and open tasks, which have none, by project."""
+    tasks = v.task_status.groupBy("project_id").agg(F.count_if(F.col("status") != "done").alias("pending"))
+    both = _corpora(v).select(F.lit("entries").alias("corpus"), "project_id", "pending").unionByName(tasks.select(F.lit("tasks").alias("corpus"), "project_id", "pending"))
+    return both.where("pending > 0")
 
-    return _cover(v).where("state <> 'fresh'").agg(F.count("*").alias("pending")).select(F.lit("entries").alias("corpus"), "pending")
 
-
-@query("invalidate_vectors", "SELECT count(*) AS entries, 0 AS vectors, count(*) AS pending FROM entries WHERE status NOT IN ('archived', 'parked')")
+@query("invalidate_vectors", "SELECT e.id, 'pending' AS state, 3 AS epoch, CASE WHEN v.id IS NULL THEN 0 ELSE 1 END AS lost FROM entries e LEFT JOIN vectors v ON v.id = e.id WHERE e.status NOT IN ('archived', 'parked')")
 def invalidate_vectors(v: Views):
+    """All vectors given up, after the epochs of ``index_epoch``."""
     from tallyarc.operators.archive import active
+    from tallyarc.plans.vectors import index_epoch
 
-    states = V.coverage(active(v.entries), v.vectors.limit(0), "model", 64)
-    return states.agg(F.count("*").alias("entries"), F.count_if(F.col("state") == "fresh").alias("vectors"), F.count_if(F.col("state") == "missing").alias("pending"))
+    return V.invalidate(v.vectors, index_epoch(v).select("epoch"), active(v.entries))
 
 
-@query("embed_deterministic", "SELECT id, 384 AS dim, 1e0 AS norm FROM entries WHERE id <= 50")
+@query("embed_deterministic")
 def embed_deterministic(v: Views):
-    own = v.entries.where("id <= 50").select("id", V.embed_deterministic("summary").alias("e"))
-    return own.select("id", F.size("e").alias("dim"), F.round(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
+    """The digest's numbers; SQL of the oracle has no SHA-512, so tests compare with plain Python."""
+    own = v.entries.select("id", V.embed_deterministic("summary").alias("e"))
+    norm = F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x)
+    return own.select("id", F.size("e").alias("dim"), F.round(norm, 4).alias("norm"), F.transform(F.slice("e", 1, 16), lambda x: F.round(x, 6)).alias("tile"))
 
 
-@query("embed_model", "SELECT vec_id + 1 AS id, len(embedding) AS dim FROM embeddings")
+@query("embed_model", "SELECT vec_id + 1 AS id, len(embedding) AS dim, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 5) AS total FROM embeddings")
 def embed_model(v: Views):
-    """The bound model's vectors are given; another embedder is a function from text to vector in their place."""
-    return v.embeddings.select((F.col("vec_id") + 1).alias("id"), F.size("embedding").alias("dim"))
+    """The bound model's vectors are given; they are made unit vectors. Another embedder is a function from text to vector in their
+    place."""
+    own = v.embeddings.select((F.col("vec_id") + 1).alias("id"), V.unit(F.col("embedding")).alias("u"))
+    return own.select("id", F.size("u").alias("dim"), F.round(F.aggregate("u", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
-@query("cosine_probe", "SELECT id, true AS ok FROM vectors WHERE id <= 60")
+@query("cosine_probe", "WITH q AS (SELECT id, CAST(embedding AS DOUBLE[]) AS x, list_transform(embedding, lambda x: greatest(least(round(CAST(x AS DOUBLE) * 127), 127), -128) / 127e0) AS y FROM vectors) SELECT id, round(list_cosine_similarity(x, y), 4) AS cosine, list_cosine_similarity(x, y) >= 999e-3 AS ok FROM q")
 def cosine_probe(v: Views):
-    """A vector against its own quantised form."""
-    own = v.vectors.where("id <= 60").select("id", F.col("embedding").cast("array<double>").alias("x"), V.dequantize(V.quantize(F.col("embedding"))).alias("y"))
+    """Every vector against its own quantised form."""
+    own = v.vectors.select("id", F.col("embedding").cast("array<double>").alias("x"), V.dequantize(V.quantize(F.col("embedding"))).alias("y"))
     total = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda acc, x: acc + x)
-    return own.select("id", (total("x", "y") / F.sqrt(total("x", "x") * total("y", "y")) >= 0.999).alias("ok"))
+    cosine = total("x", "y") / F.sqrt(total("x", "x") * total("y", "y"))
+    return own.select("id", cosine.alias("c")).select("id", F.round("c", 4).alias("cosine"), (F.col("c") >= 0.999).alias("ok"))
 
 
-@query("adaptive_widen", "SELECT count(*) AS n FROM task_status WHERE status <> 'done' AND seq <= 40")
+@query("adaptive_widen", """WITH m AS (SELECT seq AS id, ((seq * 7919) % 10007) AS score, status <> 'done' AND seq % 6 = 3 AS ok FROM task_status), r AS (SELECT *, row_number() OVER (ORDER BY score, id) AS rank FROM m),
+    o AS (SELECT rank, row_number() OVER (ORDER BY rank) AS n FROM r WHERE ok), w AS (SELECT count(*) FILTER (n <= 10) AS found, CASE WHEN count(*) >= 10 THEN max(rank) FILTER (n <= 10) ELSE (SELECT count(*) FROM m) END AS rank FROM o)
+    SELECT found, rank, CAST(10 * pow(2, greatest(0, ceil(log2(greatest(rank, 1) / 10e0) - 1e-9))) AS BIGINT) AS k FROM w -- task_status""")
 def adaptive_widen(v: Views):
-    """No early limit is needed in a set-based plan: filters come before the cut."""
-    return v.task_status.where("status <> 'done' AND seq <= 40").agg(F.count("*").alias("n"))
+    """Filters come before the cut, so one pass finds what doubling would; this is how wide it would have had to go."""
+    return K.widened(v.task_status.selectExpr("seq AS id", "(seq * 7919) % 10007 AS score", "status <> 'done' AND seq % 6 = 3 AS ok"))
 
 
 _TEXT = f"""{_BOUNTY}, r AS (SELECT project_id, top AS task_id, 0 AS place FROM top UNION ALL SELECT project_id, task_id, place FROM safe WHERE place <= 5),
@@ -158,12 +187,12 @@ def bounties_text(v: Views):
 
 
 @query("session_payload", f"""{_TEXT}, b AS (SELECT project_id, replace(arg_max(note, struct_pack(a := created_at, b := id)), '[brief] ', '') AS brief FROM task_notes WHERE task_id = '__PROJECT__' AND starts_with(note, '[brief] ') GROUP BY project_id)
-    SELECT project_id, substr(concat_ws(chr(10), brief, text), 1, 40) AS text FROM t LEFT JOIN b USING (project_id) -- task_status""")
+    SELECT project_id, substr(concat_ws(chr(10), brief, text), 1, 3500) AS text FROM t LEFT JOIN b USING (project_id) -- task_status""")
 def session_payload(v: Views):
-    """Brief and bounties of a project, clamped (in production to 3500 characters)."""
+    """Brief and bounties of a project, clamped."""
     brief_ = B.last_brief(v.task_notes).select("project_id", F.col("text").alias("brief"))
     text = K.bounties_text(B.bounties(v.task_status, B.spec_fold(v.task_notes)))
-    return text.join(brief_, "project_id", "left").select("project_id", K.clamp(F.concat_ws("\n", "brief", "text"), 40).alias("text"))
+    return text.join(brief_, "project_id", "left").select("project_id", K.clamp(F.concat_ws("\n", "brief", "text"), 3500).alias("text"))
 
 
 @query("approx_age_label", f"SELECT id, CASE WHEN age < 1 THEN 'today' WHEN age < 14 THEN concat(@str(age), 'd') WHEN age < 60 THEN concat(@str(age // 7), 'w') ELSE concat(@str(age // 30), 'mo') END AS label FROM (SELECT id, CAST(floor(epoch_us(@ts'{NOW}') / 86400000000 - epoch_us(created_at) / 86400000000) AS BIGINT) AS age FROM entries) x")
@@ -175,35 +204,15 @@ def approx_age_label(v: Views):
     return own.select("id", F.when(F.col("age") < 1, "today").when(F.col("age") < 14, F.concat(n(1), F.lit("d"))).when(F.col("age") < 60, F.concat(n(7), F.lit("w"))).otherwise(F.concat(n(30), F.lit("mo"))).alias("label"))
 
 
-@query("log_rotation", "SELECT CAST(id // 4096 AS BIGINT) AS archive, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY id) - 1 AS id FROM usage_log) x GROUP BY ALL")
-def log_rotation(v: Views):
-    """Archives of a bounded number of lines; a writer does the same with ``maxRecordsPerFile``."""
-    from pyspark.sql import Window as W
-
-    rn = F.row_number().over(W.orderBy("id")) - 1
-    return v.usage_log.select((rn / 4096).cast("long").alias("archive")).groupBy("archive").agg(F.count("*").alias("n"))
-
-
-@query("log_summary_line", "SELECT * FROM (VALUES ('== 3 failed ==', true), ('12 passed', true), ('Total: 4', true), ('plain', false)) AS t(line, summary)")
-def log_summary_line(v: Views):
-    from pyspark.sql.types import BooleanType
-
-    from tallyarc.functions.compact import is_summary
-    from tallyarc.plans.compaction import _map
-
-    lines = v.spark.sql("SELECT * FROM VALUES ('== 3 failed =='), ('12 passed'), ('Total: 4'), ('plain') AS t(line)")
-    return lines.select("line", _map(is_summary, BooleanType())("line").alias("summary"))
+_BYTES = "21 + length(project_id) + length(tool) + length({str}(exit_code)) + length({str}(resp_bytes)) + 4"
 
 
-@query("log_trace", "SELECT * FROM (VALUES ('  at f (x.js:1)', true), ('Traceback (most recent call last):', true), ('goroutine 7 [running]:', true), ('at home', false)) AS t(line, trace)")
-def log_trace(v: Views):
-    from pyspark.sql.types import BooleanType
-
-    from tallyarc.functions.compact import is_trace
-    from tallyarc.plans.compaction import _map
-
-    lines = v.spark.sql("SELECT * FROM VALUES ('  at f (x.js:1)'), ('Traceback (most recent call last):'), ('goroutine 7 [running]:'), ('at home') AS t(line)")
-    return lines.select("line", _map(is_trace, BooleanType())("line").alias("trace"))
+@query("log_rotation", f"""WITH l AS (SELECT id, {_BYTES.format(str='@str')} AS bytes FROM usage_log), p AS (SELECT bytes, CAST(floor((sum(bytes) OVER (ORDER BY id) - bytes) / 65536) AS BIGINT) AS file FROM l)
+    SELECT file, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes, file >= (SELECT max(file) FROM p) - 5 AS kept FROM p GROUP BY file -- usage_log""")
+def log_rotation(v: Views):
+    """Files of the usage log at 64 KiB each (10 MiB in production), the newest and five archives kept."""
+    lines = v.usage_log.select("id", F.expr(_BYTES.format(str="string")).alias("bytes"))
+    return K.rotate(lines, 1 << 16).groupBy("file").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.first("kept").alias("kept"))
 
 
 @query("lease_renew_task", f"SELECT task_id, CASE WHEN task_id LIKE '%7' THEN @ts'2024-01-25 00:00:00' ELSE heartbeat_at END AS heartbeat_at FROM leases")
@@ -226,28 +235,85 @@ def hint_bootstrap_flag(v: Views):
     return v.tool_calls.groupBy("session_id").agg(F.bool_or(F.col("tool") == "session_start").alias("started"))
 
 
-@query("eval_relevance")
+def _known_items(v: Views):
+    """Stated queries: the titles of the entries with ids divisible by 20 that a search can see; each wants its own entry."""
+    from tallyarc.functions.text import STOP_WORDS, words
+    from tallyarc.operators.archive import eligible
+
+    asked = eligible(v.entries).where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("title").alias("query"))
+    every = words(F.col("query"))
+    kept = F.filter(every, lambda w: ~w.isin(*STOP_WORDS))
+    used = F.array_distinct(F.filter(F.when(F.size(kept) > 0, kept).otherwise(every), lambda w: F.length(w) >= 2))
+    return asked, asked.select("qid", F.explode(used).alias("token"))
+
+
+def _relevance_sql() -> str:
+    from tallyarc.functions.text import STOP_WORDS
+    from tallyarc.plans import search as Q
+    from tallyarc.plans.evaluation import _metrics
+
+    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    asked = "(SELECT id AS qid, title AS query FROM entries WHERE id % 20 = 0 AND status IN ('current', 'seed', 'exploring', 'imported'))"
+    every = "regexp_extract_all(lower(query), '[a-z0-9_]+')"
+    kept = f"list_filter({every}, lambda w: w NOT IN ({stop}))"
+    tokens = f"(SELECT qid, unnest(list_distinct(list_filter(CASE WHEN len({kept}) > 0 THEN {kept} ELSE {every} END, lambda w: length(w) >= 2))) AS token FROM {asked} a)"
+    ranked = Q._RANKED.replace(Q._values(Q.TOKENS, "q(qid, token)"), f"{tokens} AS q").replace(Q._values(Q.QUERIES, "qs(qid, query)"), f"{asked} AS qs")
+    ranked = ranked.replace("ranked AS (", "every_ AS (")
+    return f"""{ranked}, ranked AS (SELECT qid, id, rank FROM every_ WHERE rank <= 10), wish AS (SELECT qid, qid AS id FROM qs), mine AS (SELECT qid FROM qs), {_metrics().replace("FROM qs ", "FROM mine ").replace("SELECT count(wanted)", "rel AS (SELECT * FROM wish) SELECT count(wanted)", 1)} -- entries"""
+
+
+@query("eval_relevance", _relevance_sql())
 def eval_relevance(v: Views):
-    """The lexical run judged: each stated query wants the entry that ranks first."""
+    """Known items: how well the lexical search finds an entry by its title."""
     from tallyarc.operators import evaluation as E
-    from tallyarc.plans.search import QUERIES, _frame, _lexical
+    from tallyarc.operators import search as S
+    from tallyarc.operators.archive import eligible
 
-    ranked = _lexical(v.whole()).select("qid", "id", "rank")
-    return E.metrics(_frame(v, QUERIES, "q(qid, query)").select("qid"), ranked, ranked.where("rank = 1").select("qid", "id"))
+    asked, tokens = _known_items(v)
+    ranked = S.lexical(v.entries, eligible(v.entries), asked, tokens, 10).select("qid", "id", "rank")
+    return E.metrics(asked.select("qid"), ranked, asked.select("qid", F.col("qid").alias("id")))
 
 
-@query("deterministic_corpus_seed", "SELECT slug, kind, age_days FROM (VALUES ('benign-1', 'decision', 3), ('benign-2', 'research', 40), ('stuffed', 'idea', 1)) AS t(slug, kind, age_days)")
+@query("deterministic_corpus_seed", f"SELECT id, replace(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), ' ', '-') AS slug, kind, CAST(floor(epoch_us(@ts'{NOW}') / 86400000000 - epoch_us(created_at) / 86400000000) AS BIGINT) AS age_days FROM entries")
 def deterministic_corpus_seed(v: Views):
-    return v.spark.createDataFrame([("benign-1", "decision", 3), ("benign-2", "research", 40), ("stuffed", "idea", 1)], "slug string, kind string, age_days int")
+    from tallyarc.operators.archive import age_days
+
+    return K.seeds(v.entries, age_days(F.col("created_at"), F.lit(NOW).cast("timestamp_ntz")))
 
 
-@query("split_statements", "SELECT * FROM (VALUES (1, 'CREATE TABLE a (x);'), (2, 'CREATE TRIGGER t AFTER INSERT ON a BEGIN INSERT INTO b VALUES (1); END;'), (3, 'DROP TABLE c;')) AS t(n, statement)")
+@query("split_statements", """SELECT project_id, n, CASE n WHEN 1 THEN concat('CREATE TABLE ', project_id, ' (x);') WHEN 2 THEN concat('CREATE TRIGGER t AFTER INSERT ON ', project_id, ' BEGIN INSERT INTO b VALUES (', @str(k), '); END;') ELSE concat('DROP TABLE ', project_id, ';') END AS statement
+    FROM (SELECT project_id, count(*) AS k FROM entries GROUP BY project_id) p, (SELECT unnest([1, 2, 3]) AS n) s""")
 def split_statements(v: Views):
-    script = "CREATE TABLE a (x);\n-- note\nCREATE TRIGGER t AFTER INSERT ON a BEGIN\n  INSERT INTO b VALUES (1);\nEND;\nDROP TABLE c;"
-    return v.spark.createDataFrame(list(enumerate(K.split_statements(script), 1)), "n int, statement string")
+    """A script for each project, in parts again."""
+    script = "concat('CREATE TABLE ', project_id, ' (x);\n-- note; with a mark\nCREATE TRIGGER t AFTER INSERT ON ', project_id, ' BEGIN\n  INSERT INTO b VALUES (', k, ');\nEND;\nDROP TABLE ', project_id, ';')"
+    scripts = v.entries.groupBy("project_id").agg(F.count("*").alias("k")).select("project_id", F.expr(script).alias("script"))
+    return scripts.select("project_id", F.posexplode(K.statements("script")).alias("n", "statement")).withColumn("n", F.col("n") + 1)
+
+
+@query("registered_functions", r"SELECT id, array_to_string(list_transform(embedding, lambda x: CAST(greatest(least(round(CAST(x AS DOUBLE) * 127), 127), -128) AS INTEGER)), ',') AS q FROM vectors")
+def registered_functions(v: Views):
+    """A function of the registry called by name in SQL."""
+    from tallyarc.functions.registry import register
+
+    register(v.spark)
+    return v.spark.sql("SELECT id, array_join(cast(quantize_int8(embedding) AS array<string>), ',') AS q FROM {vectors}", vectors=v.vectors)
 
 
-@query("scalar_functions", "SELECT event_id, round(ln(1 + value), 6) AS log1p, round(exp(-value / 100e0), 6) AS decay, CAST(trunc(value) AS BIGINT) AS whole, round(value, 2) AS cents, round((epoch_us(ts) / 86400e6) + 24405875e-1, 5) AS julian FROM events")
+@query("scalar_functions", """SELECT event_id, round(ln(1 + value), 6) AS log1p, round(exp(-value / 100e0), 6) AS decay, CAST(trunc(value) AS BIGINT) AS whole, round(value, 2) AS cents, round((epoch_us(ts) / 86400e6) + 24405875e-1, 5) AS julian,
+    (event_id + 3) // 4 AS ceil_div, CAST(round(CAST(event_id AS DOUBLE) / 2) AS BIGINT) AS half_away, round(value / pow(10, event_id % 3), 4) AS scaled, coalesce(CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END, 'none') AS named,
+    nullif(event_type, 'click') AS no_click, instr(event_type, 'i') AS spot, strlen(event_type) AS bytes FROM events""")
 def scalar_functions(v: Views):
+    """Spark's own functions where the surveyed scalars are these."""
     julian = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(86400e6) + F.lit(2440587.5)
-    return v.events.select("event_id", F.round(F.log1p("value"), 6).alias("log1p"), F.round(F.exp(-F.col("value") / 100), 6).alias("decay"), F.col("value").cast("long").alias("whole"), F.round("value", 2).alias("cents"), F.round(julian, 5).alias("julian"))
+    named = F.coalesce(F.when(F.col("event_id") % 3 != 0, F.col("event_type")), F.lit("none"))
+    return v.events.select(
+        "event_id", F.round(F.log1p("value"), 6).alias("log1p"), F.round(F.exp(-F.col("value") / 100), 6).alias("decay"), F.col("value").cast("long").alias("whole"), F.round("value", 2).alias("cents"), F.round(julian, 5).alias("julian"),
+        F.expr("(event_id + 3) div 4").alias("ceil_div"), F.round(F.col("event_id") / 2).cast("long").alias("half_away"), F.round(F.col("value") / F.pow(F.lit(10), F.col("event_id") % 3), 4).alias("scaled"), named.alias("named"),
+        F.nullif(F.col("event_type"), F.lit("click")).alias("no_click"), F.instr("event_type", "i").cast("long").alias("spot"), F.octet_length("event_type").cast("long").alias("bytes"),
+    )
+
+
+@query("ordered_concat", "SELECT user_id, string_agg(event_type, ',' ORDER BY ts, event_id) AS kinds FROM events GROUP BY user_id")
+def ordered_concat(v: Views):
+    rows = F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type")))
+    return v.events.groupBy("user_id").agg(F.array_join(F.transform(rows, lambda x: x["event_type"]), ",").alias("kinds"))

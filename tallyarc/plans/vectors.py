@@ -115,9 +115,9 @@ _ARMS = """a AS (SELECT 1 AS qid, id, CAST(row_number() OVER (ORDER BY (id * 791
 
 
 def _arms(v: Views):
-    from pyspark.sql import Window as W
+    from tallyarc.functions.numbering import running
 
-    arm = lambda m, p, q: v.entries.where(f"id % {m} = 0").select(F.lit(1).alias("qid"), "id", F.row_number().over(W.orderBy(F.expr(f"(id * {p}) % {q}"), "id")).alias("rank"))
+    arm = lambda m, p, q: running(v.entries.where(f"id % {m} = 0").select(F.lit(1).alias("qid"), "id"), [F.expr(f"(id * {p}) % {q}"), F.col("id")], "rank").withColumn("rank", F.col("rank").cast("int"))
     return arm(3, 7919, 1009), arm(2, 104729, 1013)
 
 
@@ -154,7 +154,7 @@ def appraise_hybrid(v: Views):
     """The lexical arm fused with the vector arm; without a fresh vector of the query's entry it stays lexical."""
     from tallyarc.plans.search import _lexical
 
-    lex = _lexical(v.whole(), 60).select("qid", "id", "rank")
+    lex = _lexical(v, 60).select("qid", "id", "rank")
     fresh = _cover(v).where("state = 'fresh'").select("id")
     q = _quantized(v).join(fresh, "id", "left_semi")
     best = lex.where("rank = 1").select("qid", "id").join(q, "id").select("qid", F.col("q").alias("qv"))

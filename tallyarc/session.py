@@ -48,12 +48,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for a written table: in the shared folder that the session names, else in a folder of this process."""
+    """A fresh path for a written table: in the shared folder that the session names, else, where Spark is this process, in
+    a folder of it."""
     import uuid
 
     global _own
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         _own = _own or tempfile.mkdtemp(prefix="tallyarc-")
         root = f"file://{_own}"
     return f"{root}/{name}-{uuid.uuid4().hex}"

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyarc.functions.numbering import running
+
 VERSIONS = (0, 1)
 ENTRY = "id long, project_id string, topic string, kind string, title string, summary string, tags string, status string"
 LINK = "from_id long, to_id long, relation string"
@@ -37,7 +38,7 @@ def restore(documents: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataF
     joined = rows.join(known, key, "left")
     first = joined.where("known_id IS NULL").groupBy(*key).agg(F.min("old_id").alias("first_id"))
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
-    numbered = first.withColumn("new_id", F.row_number().over(W.orderBy("project_id", "first_id")) + F.lit(top))
+    numbered = running(first, [F.col("project_id"), F.col("first_id")], "new_id").withColumn("new_id", F.col("new_id") + F.lit(top))
     mapped = joined.join(numbered, key, "left").withColumn("id", F.coalesce("known_id", "new_id"))
     added = mapped.where("known_id IS NULL AND old_id = first_id")
     ids = mapped.select("project_id", "old_id", "id")

@@ -4,7 +4,6 @@ over what there is now and gives its rows, for tests and for catching up."""
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyarc.operators.hints import Session
+from tallyarc.session import scratch_path
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,19 +83,29 @@ def hints(calls: DataFrame) -> DataFrame:
 
 
 def signals(events: DataFrame, entries: DataFrame, path: str):
-    """A sink that keeps staleness signals: every batch of file events is joined with the entries and appended; readers take the
-    latest of an entry."""
+    """A sink that keeps staleness signals: every batch of file events is joined with the entries and written under its number, so a
+    batch that is run again replaces itself; readers take the latest of an entry."""
     from tallyarc.operators.staleness import stale_by_path
 
     def write(batch: DataFrame, epoch: int) -> None:
-        stale_by_path(entries, batch).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(path)
+        stale_by_path(entries, batch).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
-    return events.writeStream.foreachBatch(write)
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", scratch_path(events.sparkSession, "offsets"))
 
 
 def finish(stream: DataFrame, mode: str) -> DataFrame:
-    """What a job has given once it has read all there is."""
-    name = f"job_{uuid.uuid4().hex}"
-    job = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    job.awaitTermination()
-    return stream.sparkSession.table(name)
+    """What a job has given once it has read all there is, written in the shared folder, where its state and offsets are too: rows
+    of an appending job, or the last whole result of one that gives it anew each time."""
+    spark, path = stream.sparkSession, scratch_path(stream.sparkSession, "stream")
+    sink = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/offsets").trigger(availableNow=True)
+    if mode == "append":
+        sink.format("parquet").option("path", f"{path}/rows").start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+    last: list[int] = []
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows-{epoch}")
+        last[:] = [epoch]
+
+    sink.foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows-{last[0]}") if last else spark.createDataFrame([], stream.schema)

@@ -19,7 +19,7 @@ VIEWS: dict[str, str] = {
     "entries": """
         SELECT doc_id + 1 AS id, source AS project_id, lang AS topic,
             CASE doc_id % 5 WHEN 0 THEN 'idea' WHEN 1 THEN 'research' WHEN 2 THEN 'decision' WHEN 3 THEN 'observation' ELSE 'principle' END AS kind,
-            substr(split_part(text, chr(10), 1), 1, 80) AS title, substr(text, 1, 600) AS summary, text AS body,
+            substr(split_part(text, chr(10), 1), 1, 80) AS title, text AS summary, text AS body,
             concat('t', @str(doc_id % 7), ',t', @str(doc_id % 11)) AS tags,
             concat('docs/part_', @str(doc_id % 50), '.md') AS file_path,
             CASE WHEN doc_id % 4 = 0 THEN '' ELSE concat('p', @str(doc_id % 90)) END AS prompted_by,
@@ -43,7 +43,7 @@ VIEWS: dict[str, str] = {
             o_orderdate AS updated_at
         FROM orders""",
     "task_notes": """
-        SELECT row_number() OVER (ORDER BY seq, part, line, note) AS id, project_id, task_id, agent_id, note, created_at FROM (
+        SELECT seq * 256 + row_number() OVER (PARTITION BY seq ORDER BY part, line, note) AS id, project_id, task_id, agent_id, note, created_at FROM (
             SELECT seq, 0 AS part, 0 AS line, project_id, task_id, 'pm' AS agent_id, concat('[spec] subject: work ', @str(seq), '; priority: P', @str(seq % 5),
                 CASE WHEN seq % 6 = 0 THEN '' ELSE concat('; epic: E', @str(seq % 6)) END) AS note, updated_at AS created_at FROM task_status
             UNION ALL
@@ -86,7 +86,7 @@ VIEWS: dict[str, str] = {
     "hint_fires": """
         SELECT event_id AS id, concat('h_', event_type) AS rule_id, concat('s', @str(user_id)) AS session_id, ts AS fired_at,
             CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_type = 'click' AND event_id % 31 = 1 THEN 1 WHEN event_type <> 'click' AND event_id % 3 = 0 THEN 1 ELSE 0 END AS followed_through
-        FROM events WHERE event_id % 2 = 0""",
+        FROM events""",
     "file_events": """
         SELECT event_id AS id, concat('src', @str(user_id % 20)) AS project_id, concat('docs/part_', @str(user_id % 50), '.md') AS path, ts,
             CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'remove' ELSE 'write' END AS op
@@ -149,12 +149,6 @@ class Views:
             self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._made[name]
 
-    def whole(self) -> Views:
-        """The same with the whole text as the entries' summary, for queries that no oracle has to follow."""
-        out = Views(self.spark, self.sf_dir)
-        out._made = self._made | {"entries": self.entries.withColumn("summary", self.entries["body"])}
-        return out
-
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)

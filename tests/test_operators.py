@@ -164,3 +164,85 @@ def test_declared_tables(spark, tmp_path):
     assert back.where("project_id = 'p'").count() == 2 and back.where("agent_id IS NULL").count() == 4
     for name, ddl in schemas.TABLES.items():
         assert spark.createDataFrame([], ddl).columns, name
+
+
+def test_running_numbers_and_sums(spark):
+    import random
+
+    from tallyarc.functions.numbering import running
+
+    rows = [(i, i * 7919 % 101, i % 5) for i in range(300)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "id long, k long, w long")
+    order = sorted(rows, key=lambda r: (r[1], r[0]))
+    got = {r.id: r.n for r in running(df, [F.col("k"), F.col("id")], "n").collect()}
+    assert got == {r[0]: i + 1 for i, r in enumerate(order)}
+    sums = {r.id: r.n for r in running(df, [F.col("k"), F.col("id")], "n", F.col("w")).collect()}
+    assert sums == {r[0]: sum(x[2] for x in order[: i + 1]) for i, r in enumerate(order)}
+    assert running(df.limit(0), [F.col("id")], "n").count() == 0
+
+
+def test_top_dot_equals_brute_force(spark):
+    import random
+
+    r = random.Random(2)
+    vectors = [(i, [r.randint(-3, 3) for _ in range(4)]) for i in range(200)] + [(900, None), (901, [1, 2])]
+    queries = [(1, [1, 2, 3, 4]), (2, [0, 0, 0, 1]), (3, None), (4, [1, -1])]
+    df = spark.createDataFrame(vectors, "id long, q array<tinyint>").repartition(5)
+    got = {(x.qid, x["rank"]): (x.id, x.dot) for x in V.top_dot(df, spark.createDataFrame(queries, "qid int, qv array<tinyint>"), 7).collect()}
+    want = {}
+    for qid, qv in queries:
+        if qv is not None:
+            scored = sorted((-sum(a * b for a, b in zip(v, qv, strict=True)), i) for i, v in vectors if v is not None and len(v) == len(qv))
+            want |= {(qid, k + 1): (i, -d) for k, (d, i) in enumerate(scored[:7])}
+    assert got == want
+    with pytest.raises(ValueError):
+        V.top_dot(df, spark.createDataFrame(queries, "qid int, qv array<tinyint>"), 7, most=2)
+
+
+def test_embed_deterministic(spark):
+    import hashlib
+    import math
+    import struct
+
+    texts = ["a", "", "some longer text", "é"]
+    got = [r.e for r in spark.createDataFrame([(t,) for t in texts], "t string").select(V.embed_deterministic("t").alias("e")).collect()]
+    for text, e in zip(texts, got, strict=True):
+        tile = [x if math.isfinite(x) else 0.0 for x in struct.unpack("<16f", hashlib.sha512(text.encode()).digest())]
+        norm = math.sqrt(24 * sum(x * x for x in tile))
+        assert len(e) == 384 and all(abs(a - b / norm) < 1e-6 for a, b in zip(e, tile * 24, strict=True))
+
+
+def test_plans_of_steps_cycles_and_widths(spark):
+    from tallyarc.operators import upkeep as K
+
+    steps = [("a", 1, 4, False), ("a", 2, 4, True), ("a", 3, 4, False), ("a", 4, 4, False), ("b", 1, 99, False), ("b", 2, 0, False)]
+    got = {(r.run, r.place): r.outcome for r in K.plan_steps(spark.createDataFrame(steps, "run string, place long, seconds long, fails boolean"), 10).collect()}
+    assert got == {("a", 1): "done", ("a", 2): "error", ("a", 3): "done", ("a", 4): "skipped", ("b", 1): "done", ("b", 2): "skipped"}
+    corpora = spark.createDataFrame([("x", 100, 100, 40), ("y", 100, 5, 40), ("z", 100, 100, 1), ("n", 100, 100, 0)], "corpus string, eligible long, pending long, per_cycle long")
+    got = sorted((r.corpus, r.cycle, r.done) for r in K.backfill_cycles(corpora).collect())
+    assert got == [("x", 1, 40), ("x", 2, 40), ("x", 3, 20), *(("z", k, 1) for k in range(1, 6))]
+    scored = lambda ok: spark.createDataFrame([(i, i, ok(i)) for i in range(1, 101)], "id long, score long, ok boolean")
+    for ok, found, rank, k in ((lambda i: True, 10, 10, 10), (lambda i: i % 3 == 0, 10, 30, 40), (lambda i: i > 97, 3, 100, 160), (lambda i: False, 0, 100, 160)):
+        row = K.widened(scored(ok)).first()
+        assert (row.found, row["rank"], row.k) == (found, rank, k)
+    assert K.split_statements(None) == [] and K.split_statements("SELECT 1") == ["SELECT 1"]
+
+
+def test_search_helper_and_registered_functions(spark):
+    from tallyarc.functions import registry as R
+    from tallyarc.functions.compact import simhash64
+
+    corpus = spark.createDataFrame([(1, "alpha beta", "first words", "t"), (2, "other", "alphabet soup", "t"), (3, "none", "nothing at all", "t"), (4, "more", "words", "t"), (5, "yet", "more", "t")], "id long, title string, summary string, tags string")
+    assert {r.id for r in R.search("the alpha", corpus).collect()} == {1, 2}
+    assert R.register(spark) == sorted(R.FUNCTIONS)
+    row = spark.sql("SELECT tokenize('the quick fox') AS t, porter_stem('running') AS p, simhash64('abc') AS s, quantize_int8(array(0.5d, -1d)) AS q").first()
+    assert (row.t, row.p, row.s % (1 << 64), row.q) == (["quick", "fox"], "run", simhash64("abc"), [64, -127])
+
+
+def test_age_in_words(spark):
+    from tallyarc.operators.staleness import format_age
+
+    rows = [("2024-01-01 00:00:00", "2024-01-01 00:00:03.9", "3s"), ("2024-01-01 00:00:00", "2024-01-01 00:05:02", "5m2s"), ("2024-01-01 00:00:00", "2024-01-02 01:00:04", "25h0m4s"), ("2024-01-01 01:00:00", "2024-01-01 00:00:00", "0s")]
+    df = spark.createDataFrame(rows, "a string, b string, want string")
+    assert all(r.got == r.want for r in df.select("want", format_age(F.col("a").cast("timestamp_ntz"), F.col("b").cast("timestamp_ntz")).alias("got")).collect())
