@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -93,7 +93,7 @@ class Session:
         self.fyi = state.get("fyi", 0)
         self.started = state.get("started", False)
         self.briefed = state.get("briefed", False)
-        self.accepted = state.get("accepted", [])
+        self.accepted = state.get("accepted", {})
         self.recent = state.get("recent", [])
         self.pending = state.get("pending", [])
 
@@ -120,12 +120,12 @@ class Session:
         self.started = self.started or tool in BOOTSTRAP
         self.briefed = self.briefed or tool == "quest_brief"
         if tool == "quest_accept":
-            self.accepted = [*self.accepted, arg.upper()]
+            self.accepted[arg.upper()] = True
         decided, low = self._settle(tool), arg.lower()
         on = {
             "clear-without-report-detail": len(arg.split()) < REPORT_WORDS,
             "inscribe-looks-like-quest": re.search(TODO, low),
-            "inscribe-without-appraise": "lore_appraise" not in self.recent[-BACK:],
+            "inscribe-without-appraise": "lore_appraise" not in self.recent,
             "inscribe-without-transfer-reasoning": re.search(CITES, arg) and len(arg) >= CITE_CHARS and not re.search(TRANSFER, low),
             "journal-outside-accepted": arg and arg.upper() not in self.accepted,
             "no-brief-24h": brief_stale,
@@ -135,13 +135,13 @@ class Session:
         }
         best = None
         for rule, (trigger, severity, follow, cooldown) in sorted(RULES.items()):
-            if trigger not in ("*", tool) or not on[rule] or set(follow) & set(self.recent[-BACK:]):
+            if trigger not in ("*", tool) or not on[rule] or set(follow) & set(self.recent):
                 continue
             if rule in self.last and self.n - self.last[rule] < cooldown or severity == "fyi" and self.fyi >= FYI_CAP:
                 continue
             if best is None or SEVERITY[severity] > SEVERITY[best[1]]:
                 best = rule, severity
-        self.recent = (self.recent + [tool])[-256:]
+        self.recent = (self.recent + [tool])[-BACK:]
         if best is None:
             return None, decided
         self.last = {**self.last, best[0]: self.n}
@@ -150,16 +150,37 @@ class Session:
         return best[0], decided
 
 
-def _session(pdf: pd.DataFrame) -> pd.DataFrame:
-    state, out, fate = Session(), [], {}
-    for r in pdf.sort_values(["ts", "id"]).itertuples():
-        rule, decided = state.call(r.id, r.tool, r.arg, r.empty_result, r.brief_stale)
-        if rule:
-            out.append((r.id, r.session_id, rule))
-        fate.update((call, (hit, offset)) for call, _, hit, offset in decided)
-    return pd.DataFrame([(i, s, rule, *fate.get(i, (None, None))) for i, s, rule in out], columns=["id", "session_id", "rule_id", "followed_through", "followup_offset"]).astype({"followed_through": "Int64", "followup_offset": "Int64"})
+def _walk(it):
+    """Calls come sorted by session, time and id. Of a session only its state and the fires that wait for follow-through are held."""
+    now, state, waiting = None, Session(), {}
+    for batch in it:
+        out = []
+
+        def settle(decided):
+            out.extend((call, now, rule, hit, offset) for call, rule, hit, offset in decided if waiting.pop(call, None))  # noqa: B023
+
+        for row in zip(*(batch[c].to_pylist() for c in ("session_id", "id", "tool", "arg", "empty_result", "brief_stale")), strict=True):
+            if row[0] != now:
+                out.extend((call, now, rule, None, None) for call, rule in waiting.items())
+                now, state, waiting = row[0], Session(), {}
+            rule, decided = state.call(row[1], row[2], row[3], bool(row[4]), bool(row[5]))
+            settle(decided)
+            if rule:
+                waiting[row[1]] = rule
+        yield _fires(out)
+    yield _fires([(call, now, rule, None, None) for call, rule in waiting.items()])
+
+
+def _fires(rows: list[tuple]) -> pa.RecordBatch:
+    names, kinds = ["id", "session_id", "rule_id", "followed_through", "followup_offset"], [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
 def evaluate(calls: DataFrame) -> DataFrame:
-    """Fires ``(id, session_id, rule_id, followed_through, followup_offset)``: at most one a call, the most severe, ties by rule."""
-    return calls.groupBy("session_id").applyInPandas(_session, "id long, session_id string, rule_id string, followed_through long, followup_offset long")
+    """Fires ``(id, session_id, rule_id, followed_through, followup_offset)``: at most one a call, the most severe, ties by rule. A
+    session's fires depend on its earlier ones, so its calls are walked in order, as a stream that Spark sorts and can spill; a call
+    without a session is of none and is left out."""
+    own = calls.where("session_id IS NOT NULL").select("session_id", "ts", F.col("id").cast("long").alias("id"), "tool", "arg", "empty_result", "brief_stale")
+    rows = own.repartition("session_id").sortWithinPartitions("session_id", "ts", "id").drop("ts")
+    return rows.mapInArrow(_walk, "id long, session_id string, rule_id string, followed_through long, followup_offset long")

@@ -246,3 +246,28 @@ def test_age_in_words(spark):
     rows = [("2024-01-01 00:00:00", "2024-01-01 00:00:03.9", "3s"), ("2024-01-01 00:00:00", "2024-01-01 00:05:02", "5m2s"), ("2024-01-01 00:00:00", "2024-01-02 01:00:04", "25h0m4s"), ("2024-01-01 01:00:00", "2024-01-01 00:00:00", "0s")]
     df = spark.createDataFrame(rows, "a string, b string, want string")
     assert all(r.got == r.want for r in df.select("want", format_age(F.col("a").cast("timestamp_ntz"), F.col("b").cast("timestamp_ntz")).alias("got")).collect())
+
+
+def test_sessions_are_walked_one_by_one(spark):
+    import random
+
+    r = random.Random(6)
+    tools = ["quest_fulfill", "session_start", "lore_inscribe", "quest_accept", "quest_brief", "quest_journal", "lore_appraise", "quest_update"]
+    args = ["fix login-page", "QUEST-12", "we need to tidy this up", "login-redirect", "see ENTRY-4 which shows a long enough sentence here", "plain words", None]
+    calls = [(i, f"s{r.randint(0, 7)}", r.randint(0, 50), r.choice(tools), r.choice(args), r.random() < 0.3, r.random() < 0.3) for i in range(600)]
+    df = spark.createDataFrame(calls, "id long, session_id string, ts long, tool string, arg string, empty_result boolean, brief_stale boolean")
+    want = set()
+    for session in {c[1] for c in calls}:
+        state, fired, fate = H.Session(), {}, {}
+        for c in sorted((c for c in calls if c[1] == session), key=lambda c: (c[2], c[0])):
+            rule, decided = state.call(c[0], *c[3:])
+            if rule:
+                fired[c[0]] = rule
+            fate |= {call: (hit, offset) for call, _, hit, offset in decided}
+        want |= {(i, session, rule, *fate.get(i, (None, None))) for i, rule in fired.items()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        assert {tuple(x) for x in H.evaluate(df.repartition(3)).collect()} == want and len(want) > 50
+        assert H.evaluate(df.limit(0)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
