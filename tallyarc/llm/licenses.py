@@ -59,7 +59,10 @@ def _templates(spark) -> DataFrame:
 def license_spans(docs: DataFrame) -> DataFrame:
     """``(rid, doc_id, n_words, t, label, base, size, start, words, cover, exact)``: a row a merged span of a template, and one
     with template -1 for every row of ``docs``."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(WORD), F.lit(0))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    # Only A-Z are lowered: the two other letters whose lower case is ASCII become one whose lower case is not.
+    text = F.when(text.rlike("[\u212a\u0130]"), F.translate(text, "\u212a\u0130", "\u00e9\u00e9")).otherwise(text)
+    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", words.alias("w"))
     rows = rows.select("rid", "doc_id", "w", F.size("w").alias("n"), F.explode(F.sequence(F.lit(0), F.size("w"))).alias("pos"))
     own = [F.get("w", F.col("pos") + i) for i in range(GRAM)]

@@ -72,3 +72,59 @@ def test_discovers_the_unseen_of_few(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.s for r in P.pii_spans(df).select("doc_id", F.expr(P.spans_text("spans")).alias("s")).collect()}
     assert got[99] == "email:16:29" and got[100] == ""
+
+
+def brute_discovered(texts):
+    """The graph of patterns and instances scored in plain Python: ``{(text number, start, end): kind number}``."""
+    rows = []
+    for n, text in enumerate(texts):
+        seeds = sorted((m.start(), m.end(), k) for k, (_, rx, ok) in enumerate(RULES) for m in re.finditer(rx, text) if ok(m.group()))
+        tokens = [(a, b, k) for a, b, k in seeds]
+        for m in re.finditer(P.TOKEN.replace("*+", "*"), text):
+            head, tail = re.search(P.HEAD, m.group()), re.search(P.TAIL, m.group())
+            a, b = m.start() + (len(head.group()) if head else 0), m.end() - (len(tail.group()) if tail else 0)
+            if a < b and not any(s < b and a < e for s, e, _ in seeds):
+                tokens.append((a, b, None))
+        for a, b, k in tokens:
+            left = re.search(r"([^\W_]+)[\W_]*$", text[max(a - P.AROUND, 0) : a])
+            right = re.search(r"^[\W_]*([^\W_]+)", text[b : b + P.AROUND])
+            left, right = (re.sub("[0-9]", "0", x.group(1).lower()) if x else "" for x in (left, right))
+            own = text[a:b]
+            made = "at" if "@" in own else "mixed" if re.search(r"[^\W\d_]", own) else "dots" if re.search(r"[0-9]\.[0-9]", own) else "digits"
+            for pattern in ["L " + left] * bool(left) + ["R " + right] * bool(right) + [f"B {left} {right}"] * bool(left and right):
+                rows.append((n, a, b, k, made, pattern))
+    score = {(n, a, b): float(k is not None) for n, a, b, k, *_ in rows}
+    for _ in range(P.ROUNDS):
+        patterns = {}
+        for name in {r[5] for r in rows}:
+            own = [r for r in rows if r[5] == name]
+            counts = [sum(r[3] == k for r in own) for k in range(4)]
+            if max(counts) >= P.SEEDS:
+                trust = sum(score[r[:3]] for r in own) / (len(own) + 1) * max(counts) / sum(counts)
+                patterns[name] = trust, counts.index(max(counts))
+        best = {}
+        for n, a, b, k, made, name in rows:
+            if k is None and name in patterns:
+                trust, kind = patterns[name]
+                best[n, a, b] = max(best.get((n, a, b), (-1, 0)), (trust * (1 if made == P.MADE[kind] else P.OTHERWISE), -kind))
+        score |= {key: trust for key, (trust, _) in best.items()}
+    return {key: -kind for key, (trust, kind) in best.items() if trust >= P.TRUST}
+
+
+def test_discovery_equals_brute_force(spark):
+    import random
+
+    r = random.Random(8)
+    frames = ["please write to {} for news", "call {} tonight", "from host {} at night", "paid by {} today", "see {} or {}"]
+    values = [lambda: f"u{r.randint(0, 99)}@mail.org", lambda: f"+1 437 555 0{r.randint(100, 999)}", lambda: ".".join(str(r.randint(1, 250)) for _ in range(4)), lambda: "4111 1111 1111 1111", lambda: str(r.randint(10, 10**9)), lambda: f"x{r.randint(0, 9)}@host", lambda: f'"k-{r.randint(0, 99)}",']
+    texts = []
+    for _ in range(300):
+        k = r.randrange(5)
+        main = values[k] if k < 4 and r.random() < 0.93 else r.choice(values)
+        texts.append(frames[k].format(*(main() for _ in range(frames[k].count("{}")))))
+    want = brute_discovered(texts)
+    got = {}
+    for row in P.pii_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        base = {(x.start, x.k, x.end) for x in row.base}
+        got |= {(row.doc_id, x.start, x.end): x.k for x in row.spans if (x.start, x.k, x.end) not in base}
+    assert got == want and len(want) > 3
