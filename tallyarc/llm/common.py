@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Where lineage is cut when the session names no folder (tests, one machine).
 OWN_FOLDER = None
+#: Rows of a file of a kept table at least, where the table is known to have few.
+ROWS_A_FILE = 250_000
 
 
 _kept: tuple[str, object] | None = None
@@ -43,11 +46,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one of this process only where that is unset."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one of this process only where that is unset and Spark is this process."""
     global OWN_FOLDER
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if OWN_FOLDER is None:
         OWN_FOLDER = tempfile.mkdtemp(prefix="tallyarc-")
     return f"file://{OWN_FOLDER}"
@@ -69,12 +74,18 @@ def slices(batch, column: int, most: int) -> Iterator[tuple[int, int]]:
 
 class Scratch:
     """Tables written in the shared folder. ``keep`` writes a DataFrame and reads it back, so lineage ends there and a lost
-    executor costs only the tasks that ran on it; ``drop`` removes tables that no later step reads."""
+    executor costs only the tasks that ran on it; ``drop`` removes tables that no later step reads. What a query's result reads
+    stays until the driver's process ends, which removes the whole folder."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n, self.paths = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0, {}
+        atexit.register(self._remove, self.root, quiet=True)
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """``rows``: the most rows that the table can have. Few rows are then written in few files, whatever the number of
+        shuffle partitions, but never in fewer than keep the cluster busy."""
+        if rows is not None:
+            df = df.coalesce(max(4 * self.spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_FILE)))
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
@@ -90,26 +101,31 @@ class Scratch:
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             if df is not None and (found := self.paths.pop(id(df), None)):
-                path = self.spark._jvm.org.apache.hadoop.fs.Path(found[0])
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+                self._remove(found[0])
 
+    def _remove(self, path: str, quiet: bool = False) -> None:
+        with contextlib.suppress(*([Exception] if quiet else [])):  # at the end the engine may be gone already
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
-def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
+
+def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60, vertices: int | None = None) -> DataFrame:
     """Connected components of ``edges(a, b)``: one row ``(v, c)`` per vertex, ``c`` the smallest vertex of its component.
+    ``vertices``: how many there are at most, where that is known.
 
     Every round each vertex takes the smallest parent among its neighbours, hands it to its own parent too, and parents are
     followed once more, so the rounds grow with the logarithm of the longest path. Only grouped minima (combined before the
     shuffle) and joins that Spark can split for skew are used; no group is gathered. The sum of all parents falls until
     nothing changes, which is how the end is seen."""
     both = scratch.keep(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
-    parents = scratch.keep(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("p")).select("v", F.least("v", "p").alias("p")))
+    parents = scratch.keep(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("p")).select("v", F.least("v", "p").alias("p")), vertices)
     total = None
     for _ in range(max_rounds):
         seen = both.join(parents, both.b == parents.v).groupBy("a").agg(F.min("p").alias("m"))
         best = parents.join(seen, parents.v == seen.a, "left").select("v", "p", F.least("p", F.coalesce("m", "p")).alias("m"))
         told = best.select("v", F.col("m").alias("p")).union(best.where("m < p").select(F.col("p").alias("v"), F.col("m").alias("p"))).groupBy("v").agg(F.min("p").alias("p"))
         hop = told.select(F.col("v").alias("q"), F.col("p").alias("r"))
-        following = scratch.keep(told.join(hop, told.p == hop.q, "left").select("v", F.least("p", F.coalesce("r", "p")).alias("p")))
+        following = scratch.keep(told.join(hop, told.p == hop.q, "left").select("v", F.least("p", F.coalesce("r", "p")).alias("p")), vertices)
         scratch.drop(parents)
         parents = following
         now = parents.agg(F.sum(F.col("p").cast("decimal(38,0)"))).first()[0]
@@ -122,11 +138,16 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
     return parents.select("v", F.col("p").alias("c"))
 
 
-def bitmap(ids: DataFrame, column: str, bits: int, spark: SparkSession):
-    """A bit array over the hashes of a column's values, of ``2**bits`` bits whatever the input: it may let more rows through
-    than it should, never fewer. Words come to the driver, at most ``2**bits / 64``."""
+#: Bits of an array of bits: at least and at most, as powers of two, and for each value between.
+LEAST_BITS, MOST_BITS, BITS_A_VALUE = 25, 29, 16
+
+
+def bitmap(ids: DataFrame, column: str, spark: SparkSession):
+    """A bit array over the hashes of a column's values, sized by their count within bounds (4 to 64 MB): it may let more rows through
+    than it should, never fewer. Words come to the driver, at most ``2**MOST_BITS / 64``."""
     import numpy as np
 
+    bits = min(MOST_BITS, max(LEAST_BITS, (BITS_A_VALUE * ids.count()).bit_length()))
     spot = f"(`{column}` & {(1 << bits) - 1}L)"
     words = ids.selectExpr(f"shiftrightunsigned({spot}, 6) AS w", f"shiftleft(1L, cast({spot} & 63L AS int)) AS b")
     found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()

@@ -35,8 +35,6 @@ _MIX1, _MIX2, _MIX3 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 _FACTORS = [pow(_MIX1, i + 1, 1 << 64) | 1 for i in range(16)]
 #: Size bands grow by this factor; a word table of a worker is emptied beyond this many words.
 BAND_GROWTH, WORDS_KEPT = 1.5, 120_000
-#: Bits of the arrays that spare shuffles of rows without a partner. They bound memory; results do not depend on them.
-FILTER_BITS = 25
 #: Sets on either side of one comparison; sets from which on a bucket is hot.
 CHUNK, HOT = 512, 48
 #: Signatures that a worker handles at once.
@@ -339,14 +337,15 @@ def _star_pairs(num: int, den: int):
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` per row of ``docs(doc_id, text)``: documents link when
     ``den * |A & B| >= num * |A | B|`` over their sets of k-word shingles; the component is named by its smallest doc_id."""
-    rows, named = _grouped(docs, k, num, den)
+    rows, named, _ = _grouped(docs, k, num, den)
     named = named.select("v", "component_id")
     return rows.select("doc_id", "n", "v").join(named, "v", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _grouped(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, Scratch]:
     """The rows as ``(doc_id, key, n, v)``, by the hash of the text and of its set, and for each set its component:
-    ``(v, rep, c, component_id)``, the smallest doc_id that has the set, the component and the component's smallest doc_id."""
+    ``(v, rep, c, component_id)``, the smallest doc_id that has the set, the component and the component's smallest doc_id; and
+    where both are written."""
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -355,13 +354,14 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Da
     plan = Scheme(num, den)
     guess = F.greatest(F.octet_length("text") / 6, F.lit(1.0))
     bands = sum(((guess >= low).cast("int") for low in plan.low[1:]), F.lit(0))
-    plan = Scheme(num, den, {r["b"]: r["count"] for r in docs.where("text IS NOT NULL").groupBy(bands.alias("b")).count().collect()})
+    sets = {r["b"]: r["count"] for r in docs.where("text IS NOT NULL").groupBy(bands.alias("b")).count().collect()}
+    plan, total = Scheme(num, den, sets), sum(sets.values())
 
     rows = scratch.keep(docs.withColumn("key", F.xxhash64("text")).mapInArrow(_index(k, plan), "doc_id long, key long, n long, v long, sigs array<long>, spares array<struct<mark:long,spare:long>>"))
-    classes = scratch.keep(rows.where("n > 0 and doc_id is not null").groupBy("v").agg(F.min("doc_id").alias("rep")))
+    classes = scratch.keep(rows.where("n > 0 and doc_id is not null").groupBy("v").agg(F.min("doc_id").alias("rep")), total)
     index = rows.where("size(sigs) > 0").select("v", "sigs")
     met = scratch.keep(index.mapInArrow(_ends, "sig long, v long").repartition("sig").groupBy("sig").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo != hi").select("sig"))
-    words = bitmap(met, "sig", FILTER_BITS, spark)
+    words = bitmap(met, "sig", spark)
     every = scratch.keep(index.mapInArrow(_shared(words), "sig long, v long").distinct().join(met, "sig", "left_semi"))
     scratch.drop(met)
     scratch.sweep()
@@ -374,7 +374,8 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Da
     solid = in_hot.groupBy("v", mark.alias("mark")).agg(F.count("*").alias("hot")).join(spare, ["v", "mark"]).where("hot <= spare").select("v", "mark")
     leave = in_hot.withColumn("mark", mark).join(solid, ["v", "mark"], "left_semi").select("sig", "v")
     left = scratch.keep(every.join(leave, ["sig", "v"], "left_anti"))
-    scratch.drop(every, in_hot)
+    whole_rows, rows = rows, scratch.keep(rows.select("doc_id", "key", "n", "v"))
+    scratch.drop(every, in_hot, whole_rows)
     # Buckets of the very same sets say the same: one of them stays.
     who = left.groupBy("sig").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("v")).alias("x"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("y")).where("size > 1")
     buckets = scratch.keep(left.join(who.groupBy("size", "x", "y").agg(F.min("sig").alias("sig")), "sig", "left_semi"))
@@ -382,9 +383,9 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Da
     scratch.sweep()
 
     known = docs.where("doc_id is not null")
-    ids = classes.join(buckets.select("v").distinct(), "v", "left_semi")
-    found = known.mapInArrow(_sets(k, bitmap(ids, "rep", FILTER_BITS, spark), False), "v long, n long, k binary")
-    sketches = scratch.keep(found.groupBy("v").agg(F.first("n").alias("n"), F.first("k").alias("k")))
+    ids = scratch.keep(classes.join(buckets.select("v").distinct(), "v", "left_semi"), total)
+    found = known.mapInArrow(_sets(k, bitmap(ids, "rep", spark), False), "v long, n long, k binary")
+    sketches = scratch.keep(found.groupBy("v").agg(F.first("n").alias("n"), F.first("k").alias("k")), total)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs of ``(a, b)`` that link, by their whole sets, which are made for the texts in a pair only."""
@@ -392,8 +393,8 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Da
         if pairs.isEmpty():
             return pairs
         ends = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
-        ids = scratch.keep(classes.join(ends, "v", "left_semi"))
-        whole = known.mapInArrow(_sets(k, bitmap(ids, "rep", FILTER_BITS, spark), True), "v long, s array<long>")
+        ids = scratch.keep(classes.join(ends, "v", "left_semi"), total)
+        whole = known.mapInArrow(_sets(k, bitmap(ids, "rep", spark), True), "v long, s array<long>")
         need = scratch.keep(whole.join(ids, "v", "left_semi").dropDuplicates(["v"]))
         left, right = need.select(F.col("v").alias("a"), F.col("s").alias("sa")), need.select(F.col("v").alias("b"), F.col("s").alias("sb"))
         linked = F.size(F.array_intersect("sa", "sb")) * (den + num) >= (F.size("sa") + F.size("sb")) * num
@@ -406,11 +407,11 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Da
         if new.isEmpty():
             return member
         ends = new.select(F.col("a").alias("v")).union(new.select("b")).distinct().join(member, "v", "left_anti").select("v", F.col("v").alias("c"))
-        whole = scratch.keep(member.unionByName(ends))
+        whole = scratch.keep(member.unionByName(ends), total)
         name = lambda end, to: whole.select(F.col("v").alias(end), F.col("c").alias(to))
         between = new.join(name("a", "ca"), "a").join(name("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        renamed = components(between, scratch).select(F.col("v").alias("old"), F.col("c").alias("to"))
-        return scratch.keep(whole.join(renamed, whole.c == renamed.old, "left").select("v", F.coalesce("to", "c").alias("c")))
+        renamed = components(between, scratch, vertices=total).select(F.col("v").alias("old"), F.col("c").alias("to"))
+        return scratch.keep(whole.join(renamed, whole.c == renamed.old, "left").select("v", F.coalesce("to", "c").alias("c")), total)
 
     # Each bucket's sets against its least one.
     least = buckets.groupBy("sig").agg(F.min("v").alias("p"), F.count("*").alias("size")).where("size > 1").drop("size")
@@ -434,18 +435,21 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Da
 
     whole = classes.join(member, "v", "left").select("v", "rep", F.coalesce("c", "v").alias("c"))
     smallest = whole.groupBy("c").agg(F.min("rep").alias("component_id"))
-    named = scratch.keep(whole.join(smallest, "c").select("v", "rep", "c", "component_id"))
-    return rows, named
+    named = scratch.keep(whole.join(smallest, "c").select("v", "rep", "c", "component_id"), total)
+    scratch.drop(classes)
+    return rows, named, scratch
 
 
 def keep_first_of_group(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Of each component the row of the smallest doc_id, whatever other texts that doc_id has; of repeated rows one. Texts without
     words are no copies: one row of each doc_id and text stays. Rows without a doc_id stay."""
-    rows, named = _grouped(docs, k, num, den)
+    rows, named, scratch = _grouped(docs, k, num, den)
     own = rows.where("doc_id is not null")
     best = named.groupBy("c").agg(F.min(F.struct("rep", "v")).alias("m")).select(F.col("m.rep").alias("doc_id"), F.col("m.v").alias("v"))
     found = own.where("n > 0").join(best, ["doc_id", "v"]).groupBy("doc_id", "v").agg(F.min("key").alias("key")).select("doc_id", "key")
     found = found.unionByName(own.where("n = 0").select("doc_id", "key").distinct()).select(F.col("doc_id").alias("_kept"), F.col("key").alias("_of"))
+    found = scratch.keep(found)
+    scratch.drop(rows, named)
     keyed = docs.where("doc_id is not null").withColumn("_key", F.xxhash64(F.col("text").cast("string")))
     joined = keyed.join(found, (keyed["doc_id"] == found["_kept"]) & (keyed["_key"] == found["_of"]), "left_semi")
     return joined.dropDuplicates(["doc_id", "_key"]).drop("_key").unionByName(docs.where("doc_id is null"))

@@ -70,11 +70,11 @@ def _windows(it):
 
 
 def _cleaned(it):
-    for batch in it:
-        texts, later = batch["text"], batch["later"]
-        out, gone, runs = [], [], []
-        for i in range(batch.num_rows):
-            text, own = texts[i].as_py(), later[i].as_py()
+    whole = (batch.slice(at, to - at) for batch in it for at, to in slices(batch, batch.schema.names.index("text"), 4_000_000))
+    for batch in whole:
+        out, lines, gone, runs = [], [], [], []
+        for text, own in zip(batch["text"].to_pylist(), batch["later"].to_pylist(), strict=True):
+            lines.append(text.count("\n") + 1 if text else 0)
             if own:
                 text, n, run = without(text, [x["pos"] for x in own], [x["first"] for x in own])
             else:
@@ -82,15 +82,15 @@ def _cleaned(it):
             out.append(text)
             gone.append(n)
             runs.append(run)
-        lines = [0 if not x else x.count("\n") + 1 for x in texts.to_pylist()]
         kept = [c for c in batch.schema.names if c not in ("text", "later", "key")]
         yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(out, pa.string()), pa.array(lines, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.string())], [*kept, "_text", "_lines", "_gone", "_runs"])
 
 
-def later_windows(windows: DataFrame) -> DataFrame:
+def later_windows(windows: DataFrame, scratch: Scratch) -> DataFrame:
     """Of each text (``_doc``, ``_key``) the windows that are not the first of their hash: ``later``, an array of their ``pos`` and of
-    where the same text holds the first (``first``, else -1)."""
-    first = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "key", "pos")).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n")
+    where the same text holds the first (``first``, else -1). The first ones are a table of their own, so that the join's sides
+    are both plain shuffles, of which Spark splits the part that holds a very common window."""
+    first = scratch.keep(windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "key", "pos")).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n"))
     later = windows.join(first, ["w1", "w2"]).where("struct(doc_id, key, pos) != f")
     there = F.when((F.col("f.doc_id") == F.col("doc_id")) & (F.col("f.key") == F.col("key")), F.col("f.pos")).otherwise(-1)
     return later.groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).agg(F.collect_list(F.struct("pos", there.alias("first"))).alias("later"))
@@ -105,7 +105,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     names = [f"c{i}" for i in range(len(own))]
     rows = docs.select(*(docs[c].alias(n) for c, n in zip(own, names, strict=True)), docs["doc_id"].cast("long").alias("_id"), F.xxhash64("text").alias("key"), docs["text"].cast("string").alias("text"))
     windows = scratch.keep(rows.where("_id is not null").select(F.col("_id").alias("doc_id"), "key", "text").mapInArrow(_windows, "w1 long, w2 long, doc_id long, key long, pos int").distinct())
-    cover = later_windows(windows)
+    cover = later_windows(windows, scratch)
     joined = rows.join(cover, (rows["_id"] == cover["_doc"]) & (rows["key"] == cover["_key"]), "left").select(*names, "text", "later")
     kinds = dict(zip(names, (docs.schema[c].dataType.simpleString() for c in own), strict=True))
     out = joined.mapInArrow(_cleaned, ", ".join(f"{n} {t}" for n, t in kinds.items()) + ", _text string, _lines long, _gone long, _runs string")

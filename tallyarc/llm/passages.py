@@ -19,10 +19,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyarc.llm.common import Scratch, slices, worker_cache
+from tallyarc.llm.common import Scratch, bitmap, in_bitmap, slices, worker_cache
 from tallyarc.llm.linededup import later_windows
 
 WORDS, GRAM = 50, 26
@@ -114,12 +115,23 @@ def _hashed(whole: bool):
     return run
 
 
+def _apart(words, inside: bool):
+    """The rows whose ``_id`` is in a bit array, or those for which it is not."""
+
+    def run(it):
+        for batch in it:
+            ids = batch["_id"]
+            found = in_bitmap(words.value, pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(found == inside))
+
+    return run
+
+
 def _cleaned(it):
-    for batch in it:
-        texts, later = batch["text"], batch["later"]
+    whole = (batch.slice(at, to - at) for batch in it for at, to in slices(batch, batch.schema.names.index("text"), 4_000_000))
+    for batch in whole:
         out = []
-        for i in range(batch.num_rows):
-            text, own = texts[i].as_py(), later[i].as_py()
+        for text, own in zip(batch["text"].to_pylist(), batch["later"].to_pylist(), strict=True):
             out.append(without(text, [x["pos"] for x in own], [x["first"] for x in own]) if own else text)
         kept = [c for c in batch.schema.names if c not in ("text", "later")]
         yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(out, pa.string())], [*kept, "text"])
@@ -133,14 +145,19 @@ def passage_dedup(docs: DataFrame) -> DataFrame:
     rows = docs.select(*(docs[c].alias(n) for c, n in zip(own, names, strict=True)), docs["doc_id"].cast("long").alias("_id"), F.xxhash64("text").alias("_key"), docs["text"].cast("string").alias("text"))
     marks = scratch.keep(rows.where("_id is not null").select("_id", "_key", "text").mapInArrow(_hashed(False), _KEYS).distinct())
     again = marks.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    hits = marks.join(again, ["w1", "w2"], "left_semi").groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_k")).agg(F.collect_list("pos").alias("hits"))
-    rows = scratch.keep(rows.join(hits, (rows["_id"] == hits["_doc"]) & (rows["_key"] == hits["_k"]), "left").drop("_doc", "_k"))
-    some = rows.where("hits is not null")
+    hits = scratch.keep(marks.join(again, ["w1", "w2"], "left_semi").groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_k")).agg(F.collect_list("pos").alias("hits")))
+    scratch.drop(marks)
+    scratch.sweep()
+    # Only texts that have such an anchor are shuffled; a filter may let a few others through.
+    words = bitmap(hits, "_doc", docs.sparkSession)
+    near = rows.mapInArrow(_apart(words, True), rows.schema)
+    near = scratch.keep(near.join(hits, (near["_id"] == hits["_doc"]) & (near["_key"] == hits["_k"]), "left").drop("_doc", "_k"))
+    some = near.where("hits is not null")
     windows = scratch.keep(some.select("_id", "_key", "text", "hits").mapInArrow(_hashed(True), _KEYS).distinct())
-    cover = later_windows(windows)
+    cover = later_windows(windows, scratch)
     kinds = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(own, names, strict=True))
     joined = some.join(cover, (some["_id"] == cover["_doc"]) & (some["_key"] == cover["_key"]), "left").select(*names, "text", "later")
-    out = joined.mapInArrow(_cleaned, f"{kinds}, text string").unionByName(rows.where("hits is null").select(*names, "text"))
-    scratch.drop(marks)
+    out = joined.mapInArrow(_cleaned, f"{kinds}, text string").unionByName(near.where("hits is null").select(*names, "text"))
+    out = out.unionByName(rows.mapInArrow(_apart(words, False), rows.schema).select(*names, "text"))
     back = dict(zip(own, names, strict=True))
     return out.select(*(F.col("text") if c == "text" else F.col(back[c]).alias(c) for c in docs.columns))
