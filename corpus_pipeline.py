@@ -49,7 +49,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of the smallest doc_id, of each group of near copies; in what is left, no passage
     of 50 words that occurs earlier."""
     ship(spark)
-    return _counted(passage_dedup(keep_first_of_group(docs, SHINGLE, SIMILAR, 100).select(*docs.columns)), docs)
+    scratch = Scratch(spark, "first")
+    first = scratch.keep(keep_first_of_group(docs, SHINGLE, SIMILAR, 100).select(*docs.columns))
+    scratch.sweep()
+    return _counted(passage_dedup(first), docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
