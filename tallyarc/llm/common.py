@@ -142,12 +142,13 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60, vertice
 LEAST_BITS, MOST_BITS, BITS_A_VALUE = 25, 29, 16
 
 
-def bitmap(ids: DataFrame, column: str, spark: SparkSession):
-    """A bit array over the hashes of a column's values, sized by their count within bounds (4 to 64 MB): it may let more rows through
-    than it should, never fewer. Words come to the driver, at most ``2**MOST_BITS / 64``."""
+def bitmap(ids: DataFrame, column: str, bits: int | None, spark: SparkSession):
+    """A bit array over the hashes of a column's values, of ``2**bits`` bits, or (None) sized by their count within bounds (4 to 64
+    MB): it may let more rows through than it should, never fewer. Words come to the driver, at most ``2**bits / 64``."""
     import numpy as np
 
-    bits = min(MOST_BITS, max(LEAST_BITS, (BITS_A_VALUE * ids.count()).bit_length()))
+    if bits is None:
+        bits = min(MOST_BITS, max(LEAST_BITS, (BITS_A_VALUE * ids.count()).bit_length()))
     spot = f"(`{column}` & {(1 << bits) - 1}L)"
     words = ids.selectExpr(f"shiftrightunsigned({spot}, 6) AS w", f"shiftleft(1L, cast({spot} & 63L AS int)) AS b")
     found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()

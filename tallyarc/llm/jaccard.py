@@ -361,7 +361,7 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Da
     classes = scratch.keep(rows.where("n > 0 and doc_id is not null").groupBy("v").agg(F.min("doc_id").alias("rep")), total)
     index = rows.where("size(sigs) > 0").select("v", "sigs")
     met = scratch.keep(index.mapInArrow(_ends, "sig long, v long").repartition("sig").groupBy("sig").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo != hi").select("sig"))
-    words = bitmap(met, "sig", spark)
+    words = bitmap(met, "sig", None, spark)
     every = scratch.keep(index.mapInArrow(_shared(words), "sig long, v long").distinct().join(met, "sig", "left_semi"))
     scratch.drop(met)
     scratch.sweep()
@@ -384,7 +384,7 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Da
 
     known = docs.where("doc_id is not null")
     ids = scratch.keep(classes.join(buckets.select("v").distinct(), "v", "left_semi"), total)
-    found = known.mapInArrow(_sets(k, bitmap(ids, "rep", spark), False), "v long, n long, k binary")
+    found = known.mapInArrow(_sets(k, bitmap(ids, "rep", None, spark), False), "v long, n long, k binary")
     sketches = scratch.keep(found.groupBy("v").agg(F.first("n").alias("n"), F.first("k").alias("k")), total)
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -394,7 +394,7 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Da
             return pairs
         ends = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
         ids = scratch.keep(classes.join(ends, "v", "left_semi"), total)
-        whole = known.mapInArrow(_sets(k, bitmap(ids, "rep", spark), True), "v long, s array<long>")
+        whole = known.mapInArrow(_sets(k, bitmap(ids, "rep", None, spark), True), "v long, s array<long>")
         need = scratch.keep(whole.join(ids, "v", "left_semi").dropDuplicates(["v"]))
         left, right = need.select(F.col("v").alias("a"), F.col("s").alias("sa")), need.select(F.col("v").alias("b"), F.col("s").alias("sb"))
         linked = F.size(F.array_intersect("sa", "sb")) * (den + num) >= (F.size("sa") + F.size("sb")) * num

@@ -149,7 +149,7 @@ def passage_dedup(docs: DataFrame) -> DataFrame:
     scratch.drop(marks)
     scratch.sweep()
     # Only texts that have such an anchor are shuffled; a filter may let a few others through.
-    words = bitmap(hits, "_doc", docs.sparkSession)
+    words = bitmap(hits, "_doc", None, docs.sparkSession)
     near = rows.mapInArrow(_apart(words, True), rows.schema)
     near = scratch.keep(near.join(hits, (near["_id"] == hits["_doc"]) & (near["_key"] == hits["_k"]), "left").drop("_doc", "_k"))
     some = near.where("hits is not null")
