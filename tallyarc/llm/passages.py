@@ -144,9 +144,10 @@ def passage_dedup(docs: DataFrame) -> DataFrame:
     names = [f"c{i}" for i in range(len(own))]
     rows = docs.select(*(docs[c].alias(n) for c, n in zip(own, names, strict=True)), docs["doc_id"].cast("long").alias("_id"), F.xxhash64("text").alias("_key"), docs["text"].cast("string").alias("text"))
     marks = scratch.keep(rows.where("_id is not null").select("_id", "_key", "text").mapInArrow(_hashed(False), _KEYS).distinct())
-    again = marks.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    # A table of its own: both sides of the join are then plain shuffles, of which Spark splits the part with a very common anchor.
+    again = scratch.keep(marks.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     hits = scratch.keep(marks.join(again, ["w1", "w2"], "left_semi").groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_k")).agg(F.collect_list("pos").alias("hits")))
-    scratch.drop(marks)
+    scratch.drop(marks, again)
     scratch.sweep()
     # Only texts that have such an anchor are shuffled; a filter may let a few others through.
     words = bitmap(hits, "_doc", None, docs.sparkSession)
