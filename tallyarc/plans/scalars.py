@@ -109,8 +109,8 @@ def identity_changed(v: Views):
 
 @query("wordpiece_tokenize")
 def wordpiece_tokenize(v: Views):
-    """Greedy longest-match pieces by a given vocabulary: here frequent word starts and ends."""
+    """Greedy longest-match pieces of whole texts by a given vocabulary: here frequent word starts and ends."""
     from tallyarc.functions.wordpiece import pieces_udf
 
     vocab = ["the", "th", "an", "re", "er", "in", "on", "t", "a", "e", "##e", "##n", "##the", "##er", "##ing", "##tion", "##an", "##t", "##s", "##h", "##d", "##r", "##a", "##o", "##i"]
-    return v.entries.select("id", F.array_join(pieces_udf(vocab)("title"), " ").alias("pieces"))
+    return v.entries.select("id", F.array_join(pieces_udf(vocab)("summary"), " ").alias("pieces"))

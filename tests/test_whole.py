@@ -4,7 +4,7 @@ import json
 from types import SimpleNamespace
 
 from tallyarc.functions import compact as C
-from tallyarc.plans import compaction, search
+from tallyarc.plans import compaction, scalars, search
 from tallyarc.views import Views
 
 
@@ -24,3 +24,9 @@ def test_search_finds_what_stands_late_in_a_text(spark, tmp_path):
     v = Views(spark, str(tmp_path))
     assert v.entries.where(f"id = 1 and contains(summary, '{word}')").count() == 1
     assert 1 in {r.id for r in search.appraise_stemmed(v).collect()}
+
+
+def test_word_pieces_of_whole_texts(spark):
+    v = SimpleNamespace(entries=spark.createDataFrame([(1, "on", "the " * 400 + "tan"), (2, None, None), (3, "an", "")], "id long, title string, summary string"))
+    got = {r.id: r.pieces.split() for r in scalars.wordpiece_tokenize(v).collect()}
+    assert got == {1: ["the"] * 400 + ["t", "##an"], 2: [], 3: []}
