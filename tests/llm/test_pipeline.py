@@ -1,12 +1,40 @@
+import zlib
+
+import numpy as np
+from tokenizers import Tokenizer
+
 import corpus_pipeline as C
 from tallyarc.llm import queries
 from tallyarc.llm.common import table
 
 
+def hidden(texts):
+    """Texts with personal data replaced by the names of its kinds, in plain Python."""
+    from tests.llm.test_pii import RULES, brute, brute_discovered
+
+    names, found = [k for k, *_ in RULES], {i: [] for i in texts}
+    for i, t in texts.items():
+        for name, a, b in (x.split(":") for x in brute(t).split(",") if x):
+            found[i].append((int(a), names.index(name), int(b)))
+    ids = list(texts)
+    for (n, a, b), k in brute_discovered([texts[i] or "" for i in ids]).items():
+        found[ids[n]].append((a, k, b))
+    out = {}
+    for i, t in texts.items():
+        at, parts = 0, []
+        for a, k, b in sorted(found[i]):
+            if a >= at:
+                parts += [t[at:a], f"[{names[k].upper()}]"]
+            at = max(at, b)
+        out[i] = "".join(parts) + t[at:] if found[i] else t
+    return out
+
+
 def test_stages(spark, sf_dir):
     """Each stage on what its predecessor kept: rows, columns, and decisions against brute force."""
     from tests.llm.test_jaccard import brute
     from tests.llm.test_linededup import brute as lines
+    from tests.llm.test_passages import brute as passages
 
     docs = table(spark, sf_dir, "documents").cache()
     kept = C.STAGES[0][1](spark, docs, sf_dir).cache()
@@ -21,10 +49,24 @@ def test_stages(spark, sf_dir):
     first = C.STAGES[2][1](spark, clean, sf_dir).cache()
     groups = brute([(r.doc_id, r.text) for r in got.values()], 5, 80, 100)
     assert {r.doc_id for r in first.collect()} == {c for _, c in groups.values()} and first.columns == docs.columns
+    left = passages([(r.doc_id, r.text) for r in got.values() if groups[r.doc_id][1] == r.doc_id])
+    assert {r.doc_id: (r.text or "").split() for r in first.collect()} == left
     redacted = C.STAGES[3][1](spark, first, sf_dir).cache()
-    assert redacted.count() == first.count() and redacted.columns == docs.columns
-    pieces = C.STAGES[4][1](spark, redacted, sf_dir)
-    assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in redacted.collect()}
+    assert {r.doc_id: r.text for r in redacted.collect()} == hidden({r.doc_id: r.text for r in first.collect()}) and redacted.columns == docs.columns
+    pieces, places, own = {}, {}, Tokenizer.from_file(C.TOKENIZER)
+    for r in C.STAGES[4][1](spark, redacted, sf_dir).collect():
+        pieces.setdefault(r.doc_id, []).append((r.piece, r.start, r.length, r.ids_crc32))
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    want = {}
+    for r in redacted.collect():
+        ids = np.array([*own.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
+        cut = range(0, len(ids), C.CAPACITY)
+        want[r.doc_id] = [(k, at, len(ids[at : at + C.CAPACITY]), zlib.crc32(ids[at : at + C.CAPACITY].tobytes())) for k, at in enumerate(cut)]
+    assert {i: sorted(x) for i, x in pieces.items()} == want
+    for row in places.values():
+        row.sort()
+        ends = [offset + length for offset, length in row]
+        assert [offset for offset, _ in row] == [0, *ends[:-1]] and ends[-1] <= C.CAPACITY
 
 
 def test_run(spark, sf_dir):
