@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -20,31 +21,35 @@ def _punctuation(c: str) -> bool:
     return unicodedata.category(c).startswith("P") or c.isascii() and c.isprintable() and not c.isalnum() and c != " "
 
 
+@lru_cache(65_536)
+def _spaced(c: str) -> str:
+    if c.isspace():
+        return " "
+    if c == "\ufffd" or unicodedata.category(c).startswith("C"):
+        return ""
+    return f" {c} " if _cjk(c) or _punctuation(c) else c
+
+
 def basic_words(text: str) -> list[str]:
-    out = []
-    for c in text.lower():
-        if c in "\t\n\r" or c.isspace():
-            out.append(" ")
-        elif c == "�" or unicodedata.category(c).startswith("C"):
-            continue
-        else:
-            out.append(f" {c} " if _cjk(c) or _punctuation(c) else c)
-    return "".join(out).split()
+    return "".join(map(_spaced, text.lower())).split()
+
+
+def _word(word: str, vocab: set[str]) -> list[str]:
+    own: list[str] = []
+    at = 0
+    while at < len(word) <= LONGEST_WORD:
+        end = next((e for e in range(len(word), at, -1) if ("##" if at else "") + word[at:e] in vocab), None)
+        if end is None:
+            break
+        own.append(("##" if at else "") + word[at:end])
+        at = end
+    return own if at >= len(word) else [UNKNOWN]
 
 
 def pieces(text: str, vocab: set[str]) -> list[str]:
-    out: list[str] = []
-    for word in basic_words(text):
-        own: list[str] = []
-        at = 0
-        while at < len(word) <= LONGEST_WORD:
-            end = next((e for e in range(len(word), at, -1) if ("##" if at else "") + word[at:e] in vocab), None)
-            if end is None:
-                break
-            own.append(("##" if at else "") + word[at:end])
-            at = end
-        out.extend(own if at >= len(word) else [UNKNOWN])
-    return out
+    words = basic_words(text)
+    each = {w: _word(w, vocab) for w in set(words)}
+    return [x for w in words for x in each[w]]
 
 
 def pieces_udf(vocab: list[str]):
