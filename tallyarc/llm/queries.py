@@ -104,6 +104,20 @@ def op7_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyarc.llm.periodic import looped, periodic_runs
+
+    out = periodic_runs(looped(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = "aggregate(runs, CAST(NULL AS struct<start:bigint,length:bigint,period:bigint>), (b, r) -> CASE WHEN b IS NULL OR r.length * b.period > b.length * r.period THEN r ELSE b END)"
+    lines = "array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')), '')"
+    out = out.withColumn("best", F.expr(best)).withColumn("lines", F.expr(lines))
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start"), F.col("best.length"), F.col("best.period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 _COMPONENTS = """walk AS (SELECT id, id AS c FROM node UNION SELECT e.b, w.c FROM walk w JOIN edge e ON e.a = w.id), comp AS (SELECT id, min(c) AS component_id FROM walk GROUP BY id)"""
 
 ORACLE_SQL["op3_embedding_neardup"] = f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), ok AS (SELECT * FROM v WHERE list_sum(list_transform(x, lambda y: y * y)) > 0),
@@ -129,3 +143,22 @@ ORACLE_SQL["op10_ngram_jaccard"] = rf"""WITH RECURSIVE w AS (SELECT doc_id, rege
     n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id), both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
     edge AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)), node AS (SELECT doc_id AS id FROM documents), {_COMPONENTS}
     SELECT id AS doc_id, coalesce(n, 0) AS n_shingles, component_id FROM comp LEFT JOIN n ON n.doc_id = id"""
+
+ORACLE_SQL["op11_periodic_runs"] = r"""WITH raw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+        list_reduce(list_concat([4294967295::UBIGINT], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ord(c)::UBIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+            lambda h, x: xor(xor(h, x) >> 1, 3988292384::UBIGINT * (xor(h, x) & 1))) AS inverse FROM documents),
+    num AS (SELECT doc_id, w, len(w) AS n, CAST(xor(inverse, 4294967295::UBIGINT) AS BIGINT) AS h FROM raw),
+    lp AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a FROM num), lq AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM lp),
+    d AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(generate_series(0, n - 1), lambda i: CASE WHEN i >= a THEN w[a + (i - a) % p + 1] ELSE w[i + 1] END) END AS w FROM lq),
+    words AS (SELECT doc_id, n, unnest(w) AS word, unnest(generate_series(0, n - 1)) AS i FROM d WHERE n > 0),
+    pair AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+    island AS (SELECT doc_id, q, min(i) AS s, max(i) + 1 + q AS e FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM pair) t GROUP BY doc_id, q, g HAVING count(*) + q >= greatest(6, 4 * q)),
+    run AS (SELECT * FROM island x WHERE NOT EXISTS (SELECT 1 FROM island y WHERE y.doc_id = x.doc_id AND y.q < x.q AND y.s <= x.s AND y.e >= x.e)),
+    stat AS (SELECT doc_id, count(*) AS n_runs, string_agg(concat(s, ',', e - s, ',', q, chr(10)), '' ORDER BY s, q) AS lines FROM run GROUP BY doc_id),
+    best AS (SELECT * FROM run x WHERE NOT EXISTS (SELECT 1 FROM run y WHERE y.doc_id = x.doc_id AND
+        ((y.e - y.s) * x.q > (x.e - x.s) * y.q OR (y.e - y.s) * x.q = (x.e - x.s) * y.q AND (y.s < x.s OR y.s = x.s AND y.q < x.q)))),
+    gone AS (SELECT DISTINCT doc_id, unnest(generate_series(s + q, e - 1)) AS i FROM run),
+    kept AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.i) AS t FROM words w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.i = w.i WHERE g.i IS NULL GROUP BY w.doc_id)
+    SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, s AS "start", e - s AS length, q AS period, 1000 * (e - s) // q AS exponent_milli,
+        sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+    FROM d LEFT JOIN stat USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)"""
