@@ -118,6 +118,15 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyarc.llm.language import fit, languages_of
+
+    docs = table(spark, sf_dir, "documents")
+    out = languages_of(docs, fit(docs.where(~held_out(4, 2))))
+    return out.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 _COMPONENTS = """walk AS (SELECT id, id AS c FROM node UNION SELECT e.b, w.c FROM walk w JOIN edge e ON e.a = w.id), comp AS (SELECT id, min(c) AS component_id FROM walk GROUP BY id)"""
 
 ORACLE_SQL["op3_embedding_neardup"] = f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), ok AS (SELECT * FROM v WHERE list_sum(list_transform(x, lambda y: y * y)) > 0),
