@@ -127,6 +127,15 @@ def op12_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tallyarc.llm.crosstok import aligned
+
+    return aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 _COMPONENTS = """walk AS (SELECT id, id AS c FROM node UNION SELECT e.b, w.c FROM walk w JOIN edge e ON e.a = w.id), comp AS (SELECT id, min(c) AS component_id FROM walk GROUP BY id)"""
 
 ORACLE_SQL["op3_embedding_neardup"] = f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), ok AS (SELECT * FROM v WHERE list_sum(list_transform(x, lambda y: y * y)) > 0),
