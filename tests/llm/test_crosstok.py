@@ -72,13 +72,14 @@ def test_aligner_equals_the_libraries(texts):
             got += zip(n_a.tolist(), n_b.tolist(), n_links.tolist(), digests)
         assert got == [(w[0], w[1], w[3], w[6]) for w in want]
     own.parted = False
-    own.forget()
+    own.forget_pairs()
     n_a, n_b, n_links, digests, _ = own.align(texts)
     assert list(zip(n_a.tolist(), n_b.tolist(), n_links.tolist(), digests)) == [(w[0], w[1], w[3], w[6]) for w in want]
 
 
 def test_query_equals_the_libraries(spark, tmp_path, texts, monkeypatch):
     monkeypatch.setattr(X, "LINKS", 500)  # several chunks
+    monkeypatch.setattr(X, "PAIRS", 50)
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, "one two"), (30, texts[30]), (30, texts[30])]
     df = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "doc_id long, text string, chunk int, pairs string, n_a int").repartition(3)
     df.write.parquet(str(tmp_path / "documents.parquet"))
