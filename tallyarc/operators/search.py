@@ -6,7 +6,7 @@ Postings are one row per term and document, so a search reads only the terms wit
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -42,20 +42,6 @@ def bm25(found: DataFrame, sizes: DataFrame, queries: DataFrame) -> DataFrame:
     return joined.groupBy("qid", "id").agg((-F.sum(part)).alias("score"))
 
 
-def save_index(found: DataFrame, sizes: DataFrame, path: str) -> None:
-    """Postings in folders by the first two characters of their terms, and document sizes. Hot folders are written by several
-    tasks."""
-    keyed = found.withColumn("prefix", F.hex(F.substring("term", 1, 2)))
-    keyed.repartition("prefix", F.pmod(F.xxhash64("id"), F.lit(8))).write.mode("overwrite").partitionBy("prefix").parquet(f"{path}/postings")
-    sizes.write.mode("overwrite").parquet(f"{path}/sizes")
-
-
-def load_index(spark: SparkSession, path: str, tokens: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The postings that queries with these tokens can touch (other folders are not read), and all document sizes."""
-    starts = sorted({t[:2].encode().hex().upper() for t in tokens})
-    return spark.read.parquet(f"{path}/postings").where(F.col("prefix").isin(*starts)).drop("prefix"), spark.read.parquet(f"{path}/sizes")
-
-
 def normalize(score: Column) -> Column:
     return F.when(score >= 0, F.lit(0.0)).otherwise(F.log1p(-score))
 
@@ -84,12 +70,15 @@ def like_fallback(docs: DataFrame, query: str) -> DataFrame:
     return docs.where(F.lower("title").contains(q) | F.lower("summary").contains(q) | F.lower("tags").contains(q)).orderBy(F.desc("created_at"), F.desc("id"))
 
 
-def lexical(docs: DataFrame, eligible: DataFrame, queries: DataFrame, tokens: DataFrame, limit: int = 10, stem: bool = False) -> DataFrame:
+def lexical(docs: DataFrame, eligible: DataFrame, queries: DataFrame, tokens: DataFrame, limit: int = 10, stem: bool = False, index=None) -> DataFrame:
     """Top entries ``(qid, id, title, score, rank)`` of each query ``(qid, query)``: three times the limit by BM25, exact titles
-    added, then by exact title, score with boosts, and id."""
-    found, sizes = postings(docs, ["title", "summary", "tags"], stem)
-    scored = bm25(found, sizes, tokens).join(eligible.select("id"), "id", "left_semi")
-    cut = scored.withColumn("rn", F.row_number().over(W.partitionBy("qid").orderBy(F.round("score", 9), "id"))).where(F.col("rn") <= 3 * limit).drop("rn")
+    added, then by exact title, score with boosts, and id. With a kept ``index`` (index.py) of the same documents no text is read."""
+    if index is not None:
+        cut = index.top(tokens, 3 * limit, eligible)
+    else:
+        found, sizes = postings(docs, ["title", "summary", "tags"], stem)
+        scored = bm25(found, sizes, tokens).join(eligible.select("id"), "id", "left_semi")
+        cut = scored.withColumn("rn", F.row_number().over(W.partitionBy("qid").orderBy(F.round("score", 9), "id"))).where(F.col("rn") <= 3 * limit).drop("rn")
     titles = eligible.select("id", "title", plain_title(F.col("title")).alias("plain"))
     exact = queries.select("qid", plain_title(F.col("query")).alias("plain")).where("plain <> ''").join(titles, "plain").select("qid", "id", F.lit(0.0).alias("score"))
     every = cut.unionByName(exact).groupBy("qid", "id").agg(F.min("score").alias("score"))
@@ -117,12 +106,10 @@ def reciprocal_rank_fusion(*arms: DataFrame) -> DataFrame:
     return every.groupBy("qid", "id").agg(F.sum(F.lit(1.0) / (60 + F.col("rank"))).alias("score"))
 
 
-def dedup_hits(docs: DataFrame, titles: DataFrame, limit: int = 3) -> DataFrame:
-    """Entries that hold all tokens ``titles(qid, token)`` as prefixes, best first, without archived and superseded ones."""
-    found, sizes = postings(docs, ["title", "summary", "tags"])
+def dedup_hits(docs: DataFrame, titles: DataFrame, index, limit: int = 3) -> DataFrame:
+    """Entries that hold all tokens ``titles(qid, token)`` as prefixes, best first, without archived and superseded ones. ``index``
+    is a kept one of ``docs``."""
     need = titles.groupBy("qid").agg(F.count("*").alias("need"))
-    prefix = titles.join(found, (F.substring("term", 1, 2) == F.substring("token", 1, 2)) & F.col("term").startswith(F.col("token")))
-    full = prefix.groupBy("qid", "id").agg(F.count_distinct("token").alias("have")).join(need, "qid").where("have = need")
+    full = index.matches(titles).join(need, "qid").where("have = need")
     ok = full.join(docs.where("status NOT IN ('archived', 'superseded')").select("id"), "id", "left_semi")
-    ranked = bm25(found, sizes, titles).join(ok.select("qid", "id"), ["qid", "id"], "left_semi")
-    return ranked.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.round("score", 9), "id"))).where(F.col("rank") <= limit)
+    return ok.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.round("score", 9), "id"))).where(F.col("rank") <= limit)

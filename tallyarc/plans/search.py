@@ -6,6 +6,7 @@ from tallyarc.catalogue import query
 from tallyarc.functions.text import dedup_tokens, query_tokens
 from tallyarc.operators import archive as A
 from tallyarc.operators import search as S
+from tallyarc.operators.index import kept_index
 from tallyarc.views import NOW, Views
 
 #: Stated queries of the search reports.
@@ -23,6 +24,11 @@ def _frame(v: Views, rows, names: str):
     return v.spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(repr(x) for x in r) + ')' for r in rows)} AS {names}").select(F.col("qid").cast("int").alias("qid"), F.col(names[:-1].split(", ")[-1]))
 
 
+def index(v: Views, stem: bool = False):
+    """The index of all entries, built once."""
+    return kept_index(v.entries, v.sf_dir, ["title", "summary", "tags"], stem)
+
+
 _BM25 = f"""tok AS (SELECT id, unnest(regexp_extract_all(lower(concat_ws(' ', title, summary, tags)), '[a-z0-9_]+')) AS term FROM entries),
     post AS (SELECT term, id, count(*) AS tf FROM tok GROUP BY ALL), dl AS (SELECT e.id, coalesce(n, 0) AS dl FROM entries e LEFT JOIN (SELECT id, count(*) AS n FROM tok GROUP BY id) t USING (id)),
     stats AS (SELECT CAST(count(*) AS DOUBLE) AS n_docs, avg(dl) AS avgdl FROM dl),
@@ -36,8 +42,7 @@ _BM25 = f"""tok AS (SELECT id, unnest(regexp_extract_all(lower(concat_ws(' ', ti
 
 @query("bm25", f"WITH {_BM25} SELECT qid, id, round(score, 6) AS score FROM bm -- entries")
 def bm25(v: Views):
-    found, sizes = S.postings(v.entries, ["title", "summary", "tags"])
-    return S.bm25(found, sizes, _frame(v, TOKENS, "q(qid, token)")).select("qid", "id", F.round("score", 6).alias("score"))
+    return index(v).scores(_frame(v, TOKENS, "q(qid, token)")).select("qid", "id", F.round("score", 6).alias("score"))
 
 
 @query("join_fts_entries", f"WITH {_BM25} SELECT qid, id, title, status FROM bm JOIN entries USING (id) WHERE status = 'current'")
@@ -54,8 +59,7 @@ def rank_bm25(v: Views):
 
 @query("normalize_fts", f"WITH {_BM25} SELECT qid, id, round(CASE WHEN score >= 0 THEN 0 ELSE ln(1 - score) END, 6) AS score FROM bm -- entries")
 def normalize_fts(v: Views):
-    found, sizes = S.postings(v.entries, ["title", "summary", "tags"])
-    return S.bm25(found, sizes, _frame(v, TOKENS, "q(qid, token)")).select("qid", "id", F.round(S.normalize(F.col("score")), 6).alias("score"))
+    return index(v).scores(_frame(v, TOKENS, "q(qid, token)")).select("qid", "id", F.round(S.normalize(F.col("score")), 6).alias("score"))
 
 
 @query("normalize_recency", f"SELECT id, round(exp(-693e-3 * age / 30e0), 6) AS recency FROM (SELECT id, floor(epoch_us(@ts'{NOW}') / 86400000000 - epoch_us(created_at) / 86400000000) AS age FROM entries) x")
@@ -66,8 +70,7 @@ def normalize_recency(v: Views):
 
 @query("combine_score", f"WITH {_BM25} SELECT qid, id, round(7e-1 * CASE WHEN score >= 0 THEN 0 ELSE ln(1 - score) END, 6) AS score FROM bm -- entries")
 def combine_score(v: Views):
-    found, sizes = S.postings(v.entries, ["title", "summary", "tags"])
-    return S.bm25(found, sizes, _frame(v, TOKENS, "q(qid, token)")).select("qid", "id", F.round(S.combined(F.col("score"), F.lit(0)), 6).alias("score"))
+    return index(v).scores(_frame(v, TOKENS, "q(qid, token)")).select("qid", "id", F.round(S.combined(F.col("score"), F.lit(0)), 6).alias("score"))
 
 
 _PLAIN = r"trim(regexp_replace(lower({}), '\s+', ' ', 'g'))"
@@ -96,7 +99,7 @@ _RANKED = f"""WITH {_BM25}, elig AS (SELECT id, title FROM entries WHERE status
 
 
 def _lexical(v: Views, limit: int = 10):
-    return S.lexical(v.entries, A.eligible(v.entries), _frame(v, QUERIES, "q(qid, query)"), _frame(v, TOKENS, "t(qid, token)"), limit).withColumn("score", F.round("score", 6))
+    return S.lexical(v.entries, A.eligible(v.entries), _frame(v, QUERIES, "q(qid, query)"), _frame(v, TOKENS, "t(qid, token)"), limit, index=index(v)).withColumn("score", F.round("score", 6))
 
 
 @query("appraise", f"{_RANKED} SELECT * FROM ranked WHERE rank <= 10 -- entries")
@@ -111,7 +114,7 @@ def appraise_stemmed(v: Views):
     from tallyarc.functions.text import _porter
 
     tokens = [(q, _porter.stem(t)) for q, t in TOKENS]
-    return S.lexical(v.entries, A.eligible(v.entries), _frame(v, QUERIES, "q(qid, query)"), _frame(v, tokens, "t(qid, token)"), 10, stem=True)
+    return S.lexical(v.entries, A.eligible(v.entries), _frame(v, QUERIES, "q(qid, query)"), _frame(v, tokens, "t(qid, token)"), 10, index=index(v, stem=True))
 
 
 @query("final_sort", f"{_RANKED} SELECT qid, id, rank FROM ranked WHERE rank <= 30 AND rank <= 10 -- entries")
@@ -143,7 +146,7 @@ _DEDUP = f"""WITH {_BM25.replace(_values(TOKENS, 'q(qid, token)'), _values(TITLE
 
 @query("dedup_hits", _DEDUP)
 def dedup_hits(v: Views):
-    return S.dedup_hits(v.entries, _frame(v, TITLE_TOKENS, "t(qid, token)")).select("qid", "id", "rank")
+    return S.dedup_hits(v.entries, _frame(v, TITLE_TOKENS, "t(qid, token)"), index(v)).select("qid", "id", "rank")
 
 
 @query("quest_search", f"""WITH qd AS (SELECT seq AS id, concat('work ', @str(seq), ' P', @str(seq % 5), ' epic E', @str(seq % 6)) AS body FROM task_status), tok AS (SELECT id, unnest(regexp_extract_all(lower(body), '[a-z0-9_]+')) AS term FROM qd),
@@ -166,3 +169,19 @@ def quest_search(v: Views):
 @query("join_fts_tasks", """SELECT n.task_id, n.id, t.status FROM task_notes n JOIN task_status t USING (project_id, task_id) WHERE contains(n.note, 'f7.py') AND t.status <> 'done'""")
 def join_fts_tasks(v: Views):
     return v.task_notes.where(F.contains("note", F.lit("f7.py"))).join(v.task_status.where("status <> 'done'"), ["project_id", "task_id"]).select("task_id", "id", "status")
+
+
+@query("index_updates", f"WITH {_BM25} SELECT qid, id, round(score, 6) AS score FROM bm -- entries")
+def index_updates(v: Views):
+    """An index that held every second entry as its title only and some entries that are no more, brought up to date and merged:
+    the scores are those of the entries as they are."""
+    from tallyarc.operators.index import Index
+    from tallyarc.session import scratch_path
+
+    columns = ["title", "summary", "tags"]
+    old = v.entries.select("id", "title", F.when(F.col("id") % 2 == 0, F.lit("")).otherwise(F.col("summary")).alias("summary"), "tags")
+    gone = v.entries.where("id % 5 = 0").select((-F.col("id")).alias("id"), *columns)
+    kept = Index(v.spark, scratch_path(v.spark, "index")).build(old.unionByName(gone), columns)
+    kept.update(v.entries.where("id % 2 = 0").select("id", *columns), gone.select("id"))
+    kept.update(v.entries.where("id % 9 = 0").select("id", *columns))
+    return kept.scores(_frame(v, TOKENS, "q(qid, token)")).select("qid", "id", F.round("score", 6).alias("score"))

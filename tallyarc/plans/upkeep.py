@@ -268,9 +268,10 @@ def eval_relevance(v: Views):
     from tallyarc.operators import evaluation as E
     from tallyarc.operators import search as S
     from tallyarc.operators.archive import eligible
+    from tallyarc.plans.search import index
 
     asked, tokens = _known_items(v)
-    ranked = S.lexical(v.entries, eligible(v.entries), asked, tokens, 10).select("qid", "id", "rank")
+    ranked = S.lexical(v.entries, eligible(v.entries), asked, tokens, 10, index=index(v)).select("qid", "id", "rank")
     return E.metrics(asked.select("qid"), ranked, asked.select("qid", F.col("qid").alias("id")))
 
 

@@ -6,6 +6,7 @@ from tallyarc.catalogue import query
 from tallyarc.operators import archive as A
 from tallyarc.operators import search as S
 from tallyarc.operators import vectors as V
+from tallyarc.plans import search as LEX
 from tallyarc.views import Views
 
 DIM = 64
@@ -111,55 +112,55 @@ def write_vector(v: Views):
     return v.vectors.join(new, "id", "left").select("id", F.coalesce("_content", "content").alias("content"))
 
 
-_ARMS = """a AS (SELECT 1 AS qid, id, CAST(row_number() OVER (ORDER BY (id * 7919) % 1009, id) AS INTEGER) AS rank FROM entries WHERE id % 3 = 0), b AS (SELECT 1 AS qid, id, CAST(row_number() OVER (ORDER BY (id * 104729) % 1013, id) AS INTEGER) AS rank FROM entries WHERE id % 2 = 0)"""
+_ARMS = f"""{LEX._RANKED.replace("rn <= 30", "rn <= 180")[5:]}, lex AS (SELECT qid, id, rank FROM ranked WHERE rank <= 60), {_COVER[5:]}, q8 AS (SELECT id, {_Q} AS q FROM vectors JOIN c USING (id) WHERE state = 'fresh'),
+    best AS (SELECT qid, q FROM lex JOIN q8 USING (id) WHERE rank = 1), dots AS (SELECT b.qid, x.id, CAST(row_number() OVER (PARTITION BY b.qid ORDER BY CAST(list_dot_product(b.q::DOUBLE[], x.q::DOUBLE[]) AS BIGINT) DESC, x.id) AS INTEGER) AS rank FROM best b, q8 x),
+    a AS (SELECT qid, id, rank FROM lex), b AS (SELECT qid, id, rank FROM dots WHERE rank <= 60)"""
+_FUSED = "CASE WHEN a.id IS NOT NULL AND b.id IS NOT NULL THEN 1e0 / least(a.rank, b.rank) + 1e0 / (60 + greatest(a.rank, b.rank)) ELSE 1e0 / coalesce(a.rank, b.rank) END"
 
 
 def _arms(v: Views):
-    from tallyarc.functions.numbering import running
-
-    arm = lambda m, p, q: running(v.entries.where(f"id % {m} = 0").select(F.lit(1).alias("qid"), "id"), [F.expr(f"(id * {p}) % {q}"), F.col("id")], "rank").withColumn("rank", F.col("rank").cast("int"))
-    return arm(3, 7919, 1009), arm(2, 104729, 1013)
+    """The two arms of the hybrid search: the 60 best entries by words, and the 60 whose fresh vectors are nearest to that of the
+    best one by words (none if that has no fresh vector)."""
+    lex = LEX._lexical(v, 60).select("qid", "id", "rank")
+    q = _quantized(v).join(_cover(v).where("state = 'fresh'").select("id"), "id", "left_semi")
+    best = lex.where("rank = 1").select("qid", "id").join(q, "id").select("qid", F.col("q").alias("qv"))
+    return lex, V.top_dot(q, best, 60).select("qid", "id", "rank")
 
 
-@query("unique_ranks", f"WITH {_ARMS} SELECT id, min(rank) AS rank FROM (SELECT * FROM a UNION ALL SELECT * FROM b) u GROUP BY id -- entries")
+@query("unique_ranks", f"WITH {_ARMS} SELECT qid, id, min(rank) AS rank FROM (SELECT * FROM a UNION ALL SELECT * FROM b) u GROUP BY qid, id -- entries vectors")
 def unique_ranks(v: Views):
     a, b = _arms(v)
-    return a.unionAll(b).groupBy("id").agg(F.min("rank").alias("rank"))
+    return a.unionAll(b).groupBy("qid", "id").agg(F.min("rank").alias("rank"))
 
 
-@query("best_rank_fusion", f"WITH {_ARMS} SELECT coalesce(a.id, b.id) AS id, round(CASE WHEN a.id IS NOT NULL AND b.id IS NOT NULL THEN 1e0 / least(a.rank, b.rank) + 1e0 / (60 + greatest(a.rank, b.rank)) ELSE 1e0 / coalesce(a.rank, b.rank) END, 9) AS score FROM a FULL JOIN b ON a.id = b.id -- entries")
+@query("best_rank_fusion", f"WITH {_ARMS} SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.id, b.id) AS id, round({_FUSED}, 9) AS score FROM a FULL JOIN b ON a.id = b.id AND a.qid = b.qid -- entries vectors")
 def best_rank_fusion(v: Views):
-    return S.best_rank_fusion(*_arms(v)).select("id", F.round("score", 9).alias("score"))
+    return S.best_rank_fusion(*_arms(v)).select("qid", "id", F.round("score", 9).alias("score"))
 
 
-@query("rrf", f"WITH {_ARMS} SELECT id, round(sum(1e0 / (60 + rank)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) u GROUP BY id -- entries")
+@query("rrf", f"WITH {_ARMS} SELECT qid, id, round(sum(1e0 / (60 + rank)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) u GROUP BY qid, id -- entries vectors")
 def rrf(v: Views):
-    return S.reciprocal_rank_fusion(*_arms(v)).select("id", F.round("score", 9).alias("score"))
+    return S.reciprocal_rank_fusion(*_arms(v)).select("qid", "id", F.round("score", 9).alias("score"))
 
 
-@query("rrf_many", f"WITH {_ARMS} SELECT id, round(sum(1e0 / (60 + rank)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM a) u GROUP BY id -- entries")
+@query("rrf_many", f"WITH {_ARMS} SELECT qid, id, round(sum(1e0 / (60 + rank)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM a) u GROUP BY qid, id -- entries vectors")
 def rrf_many(v: Views):
     a, b = _arms(v)
-    return S.reciprocal_rank_fusion(a, b, a).select("id", F.round("score", 9).alias("score"))
+    return S.reciprocal_rank_fusion(a, b, a).select("qid", "id", F.round("score", 9).alias("score"))
 
 
-@query("fusion_union", f"WITH {_ARMS} SELECT coalesce(a.id, b.id) AS id, a.rank AS ra, b.rank AS rb FROM a FULL JOIN b ON a.id = b.id -- entries")
+@query("fusion_union", f"WITH {_ARMS} SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.id, b.id) AS id, a.rank AS ra, b.rank AS rb FROM a FULL JOIN b ON a.id = b.id AND a.qid = b.qid -- entries vectors")
 def fusion_union(v: Views):
     a, b = _arms(v)
-    return a.select("id", F.col("rank").alias("ra")).join(b.select("id", F.col("rank").alias("rb")), "id", "full")
+    return a.select("qid", "id", F.col("rank").alias("ra")).join(b.select("qid", "id", F.col("rank").alias("rb")), ["qid", "id"], "full")
 
 
-@query("appraise_hybrid")
+@query("appraise_hybrid", f"""WITH {_ARMS}, fused AS (SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.id, b.id) AS id, {_FUSED} AS score FROM a FULL JOIN b ON a.id = b.id AND a.qid = b.qid)
+    SELECT qid, id, round(score, 9) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INTEGER) AS rank FROM fused) x WHERE rank <= 10 -- entries vectors""")
 def appraise_hybrid(v: Views):
     """The lexical arm fused with the vector arm; without a fresh vector of the query's entry it stays lexical."""
-    from tallyarc.plans.search import _lexical
-
-    lex = _lexical(v, 60).select("qid", "id", "rank")
-    fresh = _cover(v).where("state = 'fresh'").select("id")
-    q = _quantized(v).join(fresh, "id", "left_semi")
-    best = lex.where("rank = 1").select("qid", "id").join(q, "id").select("qid", F.col("q").alias("qv"))
-    arm = V.top_dot(q, best, 60).select("qid", "id", "rank")
-    fused = S.best_rank_fusion(lex, arm)
     from pyspark.sql import Window as W
 
-    return fused.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id"))).where("rank <= 10")
+    fused = S.best_rank_fusion(*_arms(v))
+    ranked = fused.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id"))).where("rank <= 10")
+    return ranked.withColumn("score", F.round("score", 9))

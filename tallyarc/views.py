@@ -75,7 +75,7 @@ VIEWS: dict[str, str] = {
     "vectors": """
         SELECT vec_id + 1 AS id, CASE WHEN vec_id % 19 = 0 THEN 'other' ELSE 'model' END AS model_id, embedding,
             CASE WHEN vec_id % 10 = 0 THEN 'stale' ELSE 'fresh' END AS content
-        FROM embeddings WHERE vec_id % 17 <> 0""",
+        FROM embeddings""",
     "usage_log": """
         SELECT event_id AS id, ts, concat('p', @str(user_id % 8)) AS project_id, event_type AS tool, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS exit_code,
             cast(floor(value * 100) AS bigint) AS resp_bytes

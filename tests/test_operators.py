@@ -70,17 +70,6 @@ def test_bm25_prefix_and_clamp(spark):
     assert {r.id for r in hits.collect()} == {1, 2} and all(r.score < 0 for r in hits.collect())
 
 
-def test_saved_index(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "alpha beta"), (2, "alphabet"), (3, "gamma"), (4, "delta words"), (5, "other words")], "id long, text string")
-    tokens = spark.createDataFrame([(1, "alpha"), (2, "wor")], "qid int, token string")
-    found, sizes = S.postings(docs, ["text"])
-    S.save_index(found, sizes, str(tmp_path))
-    part, all_ = S.load_index(spark, str(tmp_path), ["alpha", "wor"])
-    assert {r.term for r in part.collect()} == {"alpha", "alphabet", "words"}
-    want = {(r.qid, r.id, round(r.score, 9)) for r in S.bm25(found, sizes, tokens).collect()}
-    assert {(r.qid, r.id, round(r.score, 9)) for r in S.bm25(part, all_, tokens).collect()} == want
-
-
 def test_near_pairs_equal_brute_force(spark):
     import itertools
     import random
