@@ -1,10 +1,11 @@
 """Operator 6: personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 Seeds are the entities that four patterns find and checks confirm. Seeds and other identifier-like tokens (those with a digit
-or an at sign) are instances; a lexical pattern is a neighbouring word, on one side or both, whatever the token looks like. On
-the graph of patterns and instances, scores pass from instances to patterns (the share of a pattern's instances that are
-trusted) and back (the best pattern of an instance, counted less where the token is not made like that kind), a fixed number of rounds; patterns with enough seeds and trust give the
-tokens they hold their kind. Seeds always stay.
+or an at sign) are instances. A lexical pattern is what stands beside a token, whatever the token looks like: the word or the two
+words on its left or right, one on each side, or the key before it and an equals sign or colon. On the graph of patterns and
+instances, scores pass from instances to patterns (the share of a pattern's different values that are trusted, so copies of a
+text count once) and back (the best pattern of an instance, counted less where the token is not made like that kind), a
+fixed number of rounds; patterns with enough different seeds and trust give the tokens they hold their kind. Seeds always stay.
 
 Offsets are code points, ends exclusive. Each pattern runs in time linear in a text: where a run can be entered only at its
 start or where the last match ended, a lookbehind says so and quantifiers are possessive, which changes no match.
@@ -30,8 +31,8 @@ KINDS = [
     ("phone", r"text rlike r'\+[0-9]'", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({DIGITS}) between 9 and 15"),
 ]
 NAMES = [k for k, *_ in KINDS]
-#: Identifier-like tokens; the characters that are cut from their start and end; how much text around a token is looked at.
-TOKEN, HEAD, TAIL, AROUND = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+", r"^[.,;:!?(\[{<\"'#$%&*|=]+", r"[.,;:!?)\]}>\"'#$%&*|]+$", 40
+#: Identifier-like tokens; what is cut from their start (a key and its sign, punctuation) and end; how much text around a token is looked at.
+TOKEN, HEAD, TAIL, AROUND = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+", r"^(?:[A-Za-z][A-Za-z0-9_.-]*[=:]++)?[.,;:!?(\[{<\"'#$%&*|=]*", r"[.,;:!?)\]}>\"'#$%&*|]+$", 40
 #: How tokens of each kind are made, roughly, and what the trust of a pattern is times for a token that is made otherwise.
 MADE, OTHERWISE = ["at", "dots", "digits", "digits"], 0.95
 #: Rounds of scoring, seeds that a pattern needs, its least trust.
@@ -61,24 +62,29 @@ def spans_text(column: str) -> str:
 
 
 def _instances(rows: DataFrame) -> DataFrame:
-    """A row for each pattern of each instance: ``rid, start, end, k`` (null: not a seed), ``made`` and ``pattern``."""
+    """A row for each pattern of each instance: ``rid, start, end, k`` (null: not a seed), ``made``, ``value`` and ``pattern``."""
+    word, gap = r"[\\p{L}\\p{N}]+", r"[^\\p{L}\\p{N}]"
     near = f"""transform(tokens, x -> named_struct('start', x.start, 'end', x.end, 'k', x.k, 'm', x.m,
-        'left', lower(regexp_extract(substring(text, greatest(x.start - {AROUND}, 0) + 1, least(x.start, {AROUND})), r'([\\p{{L}}\\p{{N}}]+)[^\\p{{L}}\\p{{N}}]*$', 1)),
-        'right', lower(regexp_extract(substring(text, x.end + 1, {AROUND}), r'^[^\\p{{L}}\\p{{N}}]*([\\p{{L}}\\p{{N}}]+)', 1))))"""
+        'left', lower(substring(text, greatest(x.start - {AROUND}, 0) + 1, least(x.start, {AROUND}))), 'right', lower(substring(text, x.end + 1, {AROUND}))))"""
     each = rows.where("size(tokens) > 0").selectExpr("rid", f"inline({near})")
     made = r"CASE WHEN contains(m, '@') THEN 'at' WHEN m rlike r'\p{L}' THEN 'mixed' WHEN m rlike r'[0-9]\.[0-9]' THEN 'dots' ELSE 'digits' END"
-    plain = lambda c: f"regexp_replace({c}, '[0-9]', '0')"
-    both = each.selectExpr("rid", "start", "end", "k", f"{made} AS made", f"{plain('left')} AS l", f"{plain('right')} AS r")
-    pattern = "explode(array_compact(array(CASE WHEN l <> '' THEN concat('L ', l) END, CASE WHEN r <> '' THEN concat('R ', r) END, CASE WHEN l <> '' AND r <> '' THEN concat('B ', l, ' ', r) END))) AS pattern"
-    return both.selectExpr("rid", "start", "end", "k", "made", pattern)
+    part = lambda side, rx: f"regexp_replace(regexp_extract({side}, '{rx}', 1), '[0-9]', '0')"
+    l, r = part("left", f"({word}){gap}*$"), part("right", f"^{gap}*({word})")
+    two = part("left", f"({word}{gap}+{word}){gap}*$"), part("right", f"^{gap}*({word}{gap}+{word})")
+    key = part("left", r"([\\p{L}\\p{N}_-]+)\\s*[=:]+[\\s(\\x22\\x27]*$")
+    both = each.selectExpr("rid", "start", "end", "k", f"{made} AS made", "xxhash64(lower(m)) AS value", f"{l} AS l", f"{r} AS r", f"{two[0]} AS ll", f"{two[1]} AS rr", f"{key} AS key")
+    some = lambda name, of: f"CASE WHEN {of} <> '' THEN concat('{name} ', {of}) END"
+    pattern = f"explode(array_compact(array({some('L', 'l')}, {some('R', 'r')}, CASE WHEN l <> '' AND r <> '' THEN concat('B ', l, ' ', r) END, {some('LL', 'll')}, {some('RR', 'rr')}, {some('K', 'key')}))) AS pattern"
+    return both.selectExpr("rid", "start", "end", "k", "made", "value", pattern)
 
 
 def discovered(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(rid, start, end, k)`` of tokens that trusted patterns hold. Patterns may be hot: they are summed before the shuffle."""
+    """``(rid, start, end, k)`` of tokens that trusted patterns hold. Patterns may be hot: their values are summed before the shuffle."""
     graph = scratch.keep(_instances(rows).withColumn("score", F.when(F.col("k").isNotNull(), 1.0).otherwise(0.0)))
     seeds = [F.count(F.when(F.col("k") == i, 1)).alias(f"s{i}") for i in range(len(KINDS))]
     for turn in range(ROUNDS):
-        patterns = graph.groupBy("pattern").agg(F.sum("score").alias("trusted"), F.count("*").alias("n"), *seeds)
+        values = graph.groupBy("pattern", "value").agg(F.max("score").alias("score"), F.min("k").alias("k"))
+        patterns = values.groupBy("pattern").agg(F.sum("score").alias("trusted"), F.count("*").alias("n"), *seeds)
         most = F.greatest(*(F.col(f"s{i}") for i in range(len(KINDS))))
         kind = F.coalesce(*(F.when(F.col(f"s{i}") == most, F.lit(i)) for i in range(len(KINDS))))
         patterns = patterns.where(most >= SEEDS).select("pattern", (F.col("trusted") / (F.col("n") + 1) * most / (F.expr(" + ".join(f"s{i}" for i in range(len(KINDS)))))).alias("trust"), kind.alias("kind"))
@@ -88,7 +94,7 @@ def discovered(rows: DataFrame, scratch: Scratch) -> DataFrame:
         if turn == ROUNDS - 1:
             return best.where(F.col("best") >= TRUST).select("rid", "start", "end", F.col("kind").alias("k"))
         scored = graph.join(best.select("rid", "start", "end", "best"), ["rid", "start", "end"], "left")
-        again = scratch.keep(scored.select("rid", "start", "end", "k", "made", "pattern", F.when(F.col("k").isNotNull(), 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score")))
+        again = scratch.keep(scored.select("rid", "start", "end", "k", "made", "value", "pattern", F.when(F.col("k").isNotNull(), 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score")))
         scratch.drop(graph)
         graph = again
 
