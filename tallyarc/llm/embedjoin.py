@@ -8,8 +8,8 @@ whole blocks in Spark, then inside a pair of blocks down to strips, where cosine
 
 Equal vectors are joined once. A pair of blocks gives how many vectors each one links to, and as links only a spanning forest
 of them, so a group of n near copies costs O(n) rows. Vectors of each length are joined by themselves, one length after the other.
-Vectors that are null, zero or hold null or non-finite components link with nothing. Repeated rows are one vector. Rows without vec_id are left out. Other columns are
-ignored.
+Vectors that are null, zero or hold null or non-finite components link with nothing, nor do rows without vec_id (their component is
+null). Every row gives a row; rows of one vec_id with equal vectors count as one vector. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -163,20 +163,21 @@ def near_vectors(vectors: DataFrame, t: float = 0.95, block: int = BLOCK) -> Dat
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
     eps = math.sqrt(max(0.0, 2 - 2 * t))
+    lost = vectors.where("vec_id is null").select(F.lit(None).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
     source = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = scratch.keep(source.mapInArrow(_checked, "vec_id long, key binary, x binary, dim int"))
-    ids = rows.select("vec_id", "key").distinct()
+    ids = rows.select("vec_id", "key")
     valid = rows.where("key is not null")
     classes = scratch.keep(valid.groupBy("dim", "key").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies"), F.first("x").alias("x")))
     sizes = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().orderBy("dim").collect()}  # a row for each length
     if not sizes:
-        return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")).unionByName(lost)
     lone = [d for d, n in sizes.items() if n == 1]
     named = classes.where(F.col("dim").isin(lone)).select("key", (F.col("copies") - 1).alias("n_links"), F.col("rep").alias("c"))
     for dim in sizes.keys() - lone:
         named = named.unionByName(_linked(classes.where(F.col("dim") == dim).drop("dim"), dim, t, eps, block, scratch))
     out = ids.join(named, "key", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.withColumn("kept", F.col("vec_id") == F.col("component_id")).unionByName(lost)
 
 
 def _linked(classes: DataFrame, dim: int, t: float, eps: float, block: int, scratch: Scratch) -> DataFrame:

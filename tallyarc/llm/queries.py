@@ -90,9 +90,9 @@ def op5_gated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tallyarc.llm.fingerprints import edited_fingerprints
+    from tallyarc.llm.fingerprints import edited_fingerprints, with_near
 
-    return edited_fingerprints(table(spark, sf_dir, "documents"))
+    return with_near(edited_fingerprints(table(spark, sf_dir, "documents")), radius=3)
 
 
 @query

@@ -60,3 +60,11 @@ def test_every_length_is_joined(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {v.vec_id: (v.n_links, v.component_id, v.kept) for v in E.near_vectors(df, 0.95, block=16).collect()}
     assert got == want and all(n for n, _, _ in want.values())
+
+
+def test_a_row_for_each_row(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.01]), (None, [1.0, 0.0]), (None, None), (3, None), (3, [0.0, 1.0]), (4, [2.0, 0.0])]
+    df = spark.createDataFrame([(*x, 7, "k", 1) for x in rows], "vec_id long, embedding array<double>, rep int, key string, n int")
+    got = sorted((tuple(r) for r in E.near_vectors(df).collect()), key=str)
+    want = [(1, 2, 1, True)] * 2 + [(2, 2, 1, False), (3, 0, 3, True), (3, 0, 3, True), (4, 2, 1, False)] + [(None, 0, None, True)] * 2
+    assert got == sorted(want, key=str)
