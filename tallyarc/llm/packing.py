@@ -117,7 +117,21 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
-    """Sequences that hold all pieces: (how many sequences, the lengths in each), from the number of pieces of each length."""
+    """Sequences that hold all pieces: (how many sequences, the lengths in each), from the number of pieces of each length. Filling
+    gaps exactly can use up short pieces that best fit would have put to better use, so where the plan is not as short as any
+    can be, plans that fill gaps with fewer pieces at once are made too, and the one of fewest sequences counts."""
+    least, best = -(-sum(x * n for x, n in counts.items()) // capacity), None
+    for most in (3, 2, 1, 0):
+        out = _plan(counts, capacity, most)
+        if best is None or sum(n for n, _ in out) < sum(n for n, _ in best):
+            best = out
+        if sum(n for n, _ in best) <= least:
+            break
+    return best
+
+
+def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[int, list[int]]]:
+    """A plan that fills gaps exactly by at most ``most`` pieces."""
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
@@ -152,10 +166,12 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, li
             before = np.count_nonzero(left)
             if gap == 0:
                 take([a])
-            elif left[gap] and take([a, gap]):
+            elif most >= 1 and left[gap] and take([a, gap]):
                 pass
-            elif two[gap] and pair(gap, [a]):
+            elif most >= 2 and two[gap] and pair(gap, [a]):
                 pass
+            elif most < 3:
+                break
             else:
                 b = np.arange(gap - 2, 0, -1)
                 b = b[(left[b] > 0) & two[gap - b]]

@@ -66,3 +66,55 @@ def test_exact_complements_are_found():
 def test_empty(nothing):
     assert P.pack(nothing, PATH).count() == 0
     assert np.array_equal(P.WordEncoder(PATH).encode(["", None])[1], np.empty(0, np.uint32))
+
+
+def best_fit(counts, capacity):
+    """How many sequences plain best fit, longest first, takes."""
+    free = []
+    for x in sorted((x for x, n in counts.items() for _ in range(n)), reverse=True):
+        at = min((i for i, f in enumerate(free) if f >= x), key=lambda i: free[i], default=None)
+        if at is None:
+            free.append(capacity - x)
+        else:
+            free[at] -= x
+    return len(free)
+
+
+def optimum(lengths, capacity):
+    """The fewest sequences, by trying all placements of a few pieces."""
+    best = len(lengths)
+
+    def place(i, free):
+        nonlocal best
+        if len(free) >= best:
+            return
+        if i == len(lengths):
+            best = len(free)
+            return
+        for f in sorted({*free, capacity}):
+            if f >= lengths[i]:
+                rest = list(free)
+                if f in rest:
+                    rest.remove(f)
+                    place(i + 1, [*rest, f - lengths[i]])
+        place(i + 1, [*free, capacity - lengths[i]])
+
+    lengths = sorted(lengths, reverse=True)
+    place(0, [])
+    return best
+
+
+def test_as_few_sequences_as_best_fit_and_nearly_the_optimum():
+    r = random.Random(5)
+    for _ in range(40):
+        counts = {r.randint(1, 100): r.randint(1, 30) for _ in range(r.randint(1, 40))}
+        assert sum(n for n, _ in P.plan(counts, 100)) <= best_fit(counts, 100) + 1
+    worse = 0
+    for _ in range(150):
+        counts = defaultdict(int)
+        for _ in range(r.randint(1, 8)):
+            counts[r.randint(5, 60)] += 1
+        got, least = sum(n for n, _ in P.plan(dict(counts), 100)), optimum([x for x, n in counts.items() for _ in range(n)], 100)
+        assert least <= got <= least + 1
+        worse += got > least
+    assert worse <= 8

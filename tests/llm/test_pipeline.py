@@ -74,6 +74,37 @@ def test_run(spark, sf_dir):
     assert out and {"doc_id", "sequence_id", "offset", "length"} <= set(out[0].asDict())
 
 
-def test_ten_queries():
+def test_all_queries():
     names = list(queries.QUERIES)
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
+
+
+def test_odd_rows_through_all_stages(spark, sf_dir, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows, and columns with names that stages use themselves."""
+    docs = table(spark, sf_dir, "documents").limit(60)
+    row = docs.orderBy("doc_id").first()
+    odd = [(None, row.text, None, None, None), (9001, None, "en", "s", None), (9002, "", None, None, 0), (9003, "word " * 60_000, "en", "s", 300_000), tuple(row), tuple(row), (9004, "me@mail.org +1 (437) 555-0689", None, "s", 5)]
+    clash = ("rid", "key", "score", "base", "spans", "label", "v", "c", "part", "place", "chunk")
+    both = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    for name in clash:
+        both = both.selectExpr("*", f"3 AS {name}")
+    folder = str(tmp_path / "odd")
+    both.write.parquet(f"{folder}/documents.parquet")
+    table(spark, sf_dir, "labels").write.parquet(f"{folder}/labels.parquet")
+    df = table(spark, folder, "documents")
+    for k, (_, stage) in enumerate(C.STAGES):
+        out = stage(spark, df, folder)
+        path = str(tmp_path / f"out{k}")
+        out.write.parquet(path)
+        if k < len(C.STAGES) - 1:
+            assert out.columns == df.columns
+            assert out.where("score <> 3 OR part <> 3").count() == 0
+        df = spark.read.parquet(path)
+    assert df.count() > 0 and df.where("doc_id = 9003").count() <= 15
+
+
+def test_empty_table_through_run(spark, sf_dir, tmp_path):
+    folder = str(tmp_path / "none")
+    for name in ("documents", "labels"):
+        table(spark, sf_dir, name).limit(0).write.parquet(f"{folder}/{name}.parquet")
+    assert C.run(spark, folder).count() == 0
