@@ -28,10 +28,14 @@ RULES = {
 }
 BOOTSTRAP = ("session_start", "quest_bounties")
 ALIASES = {"quest_clear": "quest_fulfill"}
-#: Phrases of tasks, slugs, and phrases that say why a text cites another.
+#: Phrases of tasks; a slug, a task's id; phrases that say what a cited text changes, and phrases that say it changes nothing.
 TODO = r"\btodo\b|\bneed to\b|\bshould fix\b|\bmust fix\b|\bwe should\b"
-SLUG = r"^(QUEST-\d+|[a-z][a-z0-9]*(-[a-z0-9]+)+)$"
-TRANSFER = r"\bbecause\b|\btransfers?\b|\brepurposed?\b|\binverts?\b|\badapts?\b|\bdelta\b|\bextends?\b|\bdeclines?\b|\breverses?\b|\bso the conditions\b|\bsame conditions\b|\bsame shape\b|\bsame approach\b"
+SLUG_ONLY = r"^[a-z][a-z0-9]*(-[a-z0-9]+)+$"
+TASK_ID = r"^QUEST-\d+$"
+TRANSFER_MARKER = r"\bbecause\b|\btransfers?\b|\brepurposed?\b|\binverts?\b|\badapts?\b|\bdelta\b|\bextends?\b|\bdeclines?\b|\breverses?\b|\bso the conditions\b|\bsame conditions\b"
+TRIVIAL_TRANSFER = r"\bno delta\b|\bsame shape\b|\bsame approach\b"
+#: Either of two.
+SLUG, TRANSFER = f"{TASK_ID}|{SLUG_ONLY}", f"{TRANSFER_MARKER}|{TRIVIAL_TRANSFER}"
 CITES = r"(ENTRY|LORE)-\d+"
 
 

@@ -113,3 +113,20 @@ def dedup_hits(docs: DataFrame, titles: DataFrame, index, limit: int = 3) -> Dat
     full = index.matches(titles).join(need, "qid").where("have = need")
     ok = full.join(docs.where("status NOT IN ('archived', 'superseded')").select("id"), "id", "left_semi")
     return ok.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.round("score", 9), "id"))).where(F.col("rank") <= limit)
+
+
+def recall_misses(entries: DataFrame, index, sample: int = 10) -> DataFrame:
+    """One row: of the most used current entries with longer titles (``recall_sample``), how many a search of their project by their
+    own title's longer words does not put first (``recall_misses``). A title with fewer than three such words is not asked for."""
+    from tallyarc.functions.text import DEDUP_STOP
+
+    asked = entries.where("status = 'current' AND length(title) > 12").orderBy(F.desc("access_count"), "id").limit(sample)  # a top-k report
+    long = F.filter(words(F.col("title")), lambda w: (F.length(w) >= 4) & ~w.isin(*DEDUP_STOP))
+    asked = asked.select(F.col("id").alias("qid"), "project_id", long.alias("long"))
+    tokens = asked.where(F.size("long") >= 3).select("qid", F.explode(F.array_distinct(F.slice("long", 1, 5))).alias("token"))
+    need = tokens.groupBy("qid").agg(F.count("*").alias("need"))
+    eligible = entries.where("status IN ('current', 'seed', 'exploring', 'imported')").select("id", F.col("project_id").alias("of"))
+    full = index.matches(tokens).join(need, "qid").where("have = need").join(asked.select("qid", "project_id"), "qid").join(eligible, "id").where("of = project_id")
+    top = full.groupBy("qid").agg(F.min_by("id", F.struct(F.round("score", 9), "id")).alias("top"))
+    missed = (F.size("long") >= 3) & ~F.coalesce(F.col("top") == F.col("qid"), F.lit(False))
+    return asked.join(top, "qid", "left").agg(F.count("*").alias("recall_sample"), F.count_if(missed).alias("recall_misses"))

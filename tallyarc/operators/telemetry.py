@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyarc.sources.snapshot import cut_bytes
+
 SECRET = r"\b(?:sk|pk|ghp|gho|xox[baprs])[-_][A-Za-z0-9]{16,}\b"
 HOME = r"/(Users|home)/[^/\s]+"
 #: The metrics that are exposed, with their kinds.
@@ -31,11 +33,23 @@ def parse_usage(lines: DataFrame) -> DataFrame:
 
 
 def usage_lines(usage: DataFrame) -> DataFrame:
-    """The same rows as text, names cut to their bounds."""
-    cut = lambda c, n: F.substring(c, 1, n)
+    """The same rows as text, names cut to their bounds in bytes."""
+    cut = lambda c, n: cut_bytes(F.col(c), n)
     return usage.select(F.concat_ws("\t", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'"), cut("project_id", 64), cut("tool", 64), F.col("exit_code").cast("string"), F.lit("0"), F.col("resp_bytes").cast("string")).alias("value"))
 
 
+def miss_lines(misses: DataFrame) -> DataFrame:
+    """Searches without a hit, ``(ts, project_id, query)``, as JSON lines; the project is cut to 64 bytes, the query to 256."""
+    row = F.struct(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), cut_bytes(F.col("project_id"), 64).alias("project_id"), cut_bytes(F.col("query"), 256).alias("query"))
+    return misses.select(F.to_json(row).alias("value"))
+
+
+def parse_misses(lines: DataFrame) -> DataFrame:
+    """Rows of ``lines(value)``; broken ones are skipped."""
+    parsed = lines.select(F.from_json("value", "ts timestamp, project_id string, query string").alias("r"))
+    return parsed.where("r.ts IS NOT NULL").select(F.col("r.ts").cast("timestamp_ntz").alias("ts"), "r.project_id", "r.query")
+
+
 def tokens(size: Column) -> Column:
     return F.floor((size + 3) / 4)
 

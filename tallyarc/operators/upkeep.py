@@ -111,11 +111,49 @@ def backfill_cycles(corpora: DataFrame, least: float = 0.90, cycles: int = 5) ->
     return each.where(run).select("corpus", "cycle", F.least("per_cycle", "left").alias("done"))
 
 
+def file_starts(lines: DataFrame, limit: int) -> DataFrame:
+    """``(n, is_start)`` of ``lines(n, bytes)`` numbered from 1 in order: where log files begin. A file ends with the line that brings it
+    to ``limit``, and the next begins from nothing, so where files begin depends on all before.
+
+    For every line the one after the end of a file that began with it is known from running sums alone: a line's sum and the sum to
+    be reached fall into stretches of ``limit`` bytes, and the line wanted is in the same stretch or is the first of the next
+    (lines longer than the limit count as the limit, which changes no end). From the first line these steps are then
+    followed with doubled strides, so the rounds grow with the logarithm of the number of files."""
+    from tallyarc.session import scratch_path
+
+    spark, path = lines.sparkSession, scratch_path(lines.sparkSession, "rotation")
+    size = F.least(F.col("bytes"), F.lit(limit))
+    running(lines.select("n", size.alias("bytes")), [F.col("n")], "sum", F.col("bytes")).select("n", "bytes", "sum").write.parquet(f"{path}/sums")
+    sums = spark.read.parquet(f"{path}/sums")
+    here = sums.select(F.expr(f"sum div {limit}").alias("stretch"), F.col("sum").alias("value"), F.lit(1).alias("line"), "n")
+    goal = F.col("sum") - F.col("bytes") + limit
+    wish = sums.select(F.expr(f"(sum - bytes) div {limit} + 1").alias("stretch"), goal.alias("value"), F.lit(0).alias("line"), "n")
+    after = W.partitionBy("stretch").orderBy("value", "line", "n").rowsBetween(W.currentRow, W.unboundedFollowing)  # lines of one stretch
+    met = here.union(wish).withColumn("end", F.min(F.when(F.col("line") == 1, F.col("n"))).over(after)).where("line = 0")
+    first = here.groupBy((F.col("stretch") - 1).alias("stretch")).agg(F.min("n").alias("first"))
+    step = met.join(first, "stretch", "left").select("n", (F.coalesce("end", "first") + 1).alias("to"))
+    total = sums.count()
+    step.where(F.col("to") <= total).write.parquet(f"{path}/steps-0")
+    reached, turn = spark.range(1, 2).select(F.col("id").alias("n")), 0
+    while True:
+        steps = spark.read.parquet(f"{path}/steps-{turn}")
+        reached.union(reached.join(steps, "n").select(F.col("to").alias("n"))).write.parquet(f"{path}/reached-{turn}")
+        before, reached = reached, spark.read.parquet(f"{path}/reached-{turn}")
+        if reached.count() == before.count():
+            break
+        far = steps.select(F.col("n").alias("to"), F.col("to").alias("next"))
+        steps.join(far, "to").select("n", F.col("next").alias("to")).write.parquet(f"{path}/steps-{turn + 1}")
+        turn += 1
+    return sums.select("n").join(reached.distinct().withColumn("is_start", F.lit(True)), "n", "left").select("n", F.coalesce("is_start", F.lit(False)).alias("is_start"))
+
+
 def rotate(lines: DataFrame, limit: int = 10 << 20, keep: int = 5) -> DataFrame:
-    """``lines(id, bytes)`` with the log file that each is in, a new one begun with every ``limit`` bytes written, and whether that file
-    is still there: the newest and ``keep`` archives."""
-    placed = running(lines, [F.col("id")], "written", F.col("bytes"))
-    placed = placed.withColumn("file", F.floor((F.col("written") - F.col("bytes")) / limit)).drop("written")
+    """``lines(id, bytes)`` with the log file that each is in, from 0, and whether that file is still there: the newest and ``keep``
+    archives."""
+    numbered = running(lines.select("id", "bytes"), [F.col("id")], "n")
+    starts = file_starts(numbered.select("n", "bytes"), limit)
+    filed = running(starts, [F.col("n")], "file", F.col("is_start").cast("int")).select("n", (F.col("file") - 1).alias("file"))
+    placed = numbered.join(filed, "n").drop("n")
     newest = placed.agg(F.max("file").alias("newest"))
     return placed.crossJoin(F.broadcast(newest)).withColumn("kept", F.col("file") >= F.col("newest") - keep).drop("newest")  # one row
 

@@ -151,3 +151,16 @@ def unit(v: Column) -> Column:
     x = v.cast("array<double>")
     norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, y: a + y * y))
     return F.when(norm > 0, F.transform(x, lambda y: y / norm)).otherwise(x)
+
+
+def splice(base: DataFrame, deltas: DataFrame, cached: int) -> tuple[DataFrame, DataFrame]:
+    """An index ``base(id, epoch, ...)`` that has seen all epochs up to ``cached``, brought forward by ``deltas`` of the same columns, in any order
+    of arrival: an id that is new always lands, one that is there only from an epoch not before its own. Also one row: the epoch
+    reached, how many epochs between are missing, and whether the index is stale for that, which only a full load mends."""
+    both = base.withColumn("_new", F.lit(0)).unionByName(deltas.withColumn("_new", F.lit(1)))
+    rest = F.struct(*(c for c in base.columns if c != "id"))
+    newest = both.groupBy("id").agg(F.max_by(rest, F.struct("epoch", "_new")).alias("r")).select("id", "r.*").select(*base.columns)
+    seen = deltas.where(F.col("epoch") > cached).agg(F.max("epoch").alias("top"), F.count_distinct("epoch").alias("found"))
+    reached = F.coalesce("top", F.lit(cached)).cast("long")
+    gap = (reached - cached - F.col("found")).cast("long")
+    return newest, seen.select(reached.alias("epoch"), gap.alias("missing"), (gap > 0).alias("stale"))

@@ -65,6 +65,7 @@ def tool_alias(v: Views):
     return v.tool_calls.groupBy(H.canonical(tool).alias("tool")).agg(F.count("*").alias("n"))
 
 
-@query("severity_rank", "SELECT rule_id, CASE severity WHEN 'blocker' THEN 4 WHEN 'warning' THEN 3 WHEN 'fyi' THEN 1 ELSE 2 END AS rank FROM hints")
+@query("severity_rank", "SELECT f.id, f.rule_id, CASE severity WHEN 'blocker' THEN 4 WHEN 'warning' THEN 3 WHEN 'fyi' THEN 1 ELSE 2 END AS rank FROM hint_fires f LEFT JOIN hints h USING (rule_id)")
 def severity_rank(v: Views):
-    return v.hints.select("rule_id", H.severity_rank(F.col("severity")).alias("rank"))
+    """Of every fire."""
+    return v.hint_fires.join(v.hints, "rule_id", "left").select("id", "rule_id", H.severity_rank(F.col("severity")).alias("rank"))

@@ -95,10 +95,18 @@ def format_presence(v: Views):
     return session_presence(v).select(F.format_string("%d agents active, %d on lease", "agents", "on_lease").alias("line"))
 
 
-@query("idle_gate", "SELECT user_id, event_id AS id FROM (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events) x WHERE gap >= 28800000000")
+@query("idle_gate", """WITH l AS (SELECT concat('s', @str(user_id)) AS key, event_id AS id, epoch_us(ts) AS us, CASE event_type WHEN 'click' THEN 'touch' WHEN 'purchase' THEN 'begin' WHEN 'signup' THEN 'end' ELSE 'tick' END AS what, user_id % 7 <> 0 AS armed FROM events),
+    w AS (SELECT *, coalesce(last_value(CASE WHEN what = 'touch' THEN us END IGNORE NULLS) OVER o, first_value(us) OVER o) AS active, last_value(CASE WHEN what = 'end' THEN us END IGNORE NULLS) OVER o AS ended,
+        last_value(CASE WHEN what IN ('begin', 'end') THEN what END IGNORE NULLS) OVER o AS state FROM l WINDOW o AS (PARTITION BY key ORDER BY us, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    r AS (SELECT key, id, CASE WHEN NOT armed THEN 'disabled' WHEN state = 'begin' THEN 'pass_in_flight' WHEN us - active < 28800000000 THEN 'not_idle' WHEN us - ended < 28800000000 THEN 'gap_not_elapsed' ELSE 'fire' END AS reason FROM w WHERE what = 'tick')
+    SELECT key, id, reason, reason = 'fire' AS allow FROM r""")
 def idle_gate(v: Views):
-    own = v.events.select("user_id", "ts", F.col("event_id").alias("id"))
-    return T.gaps(own, "user_id", "ts", 8 * 3600).select("user_id", "id")
+    """Decisions at views and errors, with reasons; clicks are activity, purchases begin a pass and signups end it; eight hours."""
+    from tallyarc.operators.idlegate import decisions
+
+    what = F.when(F.col("event_type") == "click", "touch").when(F.col("event_type") == "purchase", "begin").when(F.col("event_type") == "signup", "end").otherwise("tick")
+    log = v.events.select(F.concat(F.lit("s"), F.col("user_id")).alias("key"), "ts", F.col("event_id").alias("id"), what.alias("what"), (F.col("user_id") % 7 != 0).alias("armed"))
+    return decisions(log, 8 * 3600)
 
 
 @query("autopass_throttle", "SELECT user_id, event_id AS id FROM (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events) x WHERE gap IS NULL OR gap >= 21600000000")
@@ -139,7 +147,14 @@ def renewal_step(v: Views):
     return ranked.groupBy("project_id").agg(F.count_if(F.col("rn") <= 3).alias("posted"), F.count_if(F.col("rn") > 3).alias("over_cap"))
 
 
-@query("journal_ops", "SELECT id, session_id, tool FROM (SELECT id, session_id, tool, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, id DESC) AS rn FROM tool_calls) x WHERE rn = 1")
+@query("journal_ops", """WITH l AS (SELECT session_id AS pass_id, id, CASE tool WHEN 'session_start' THEN 'begin' WHEN 'quest_fulfill' THEN 'end' WHEN 'lore_inscribe' THEN 'tell' ELSE 'op' END AS what FROM tool_calls),
+    b AS (SELECT pass_id, min(id) AS begun FROM l WHERE what = 'begin' GROUP BY pass_id), e AS (SELECT l.pass_id, min(id) AS ended_id FROM l JOIN b USING (pass_id) WHERE what = 'end' AND id > begun GROUP BY l.pass_id),
+    t AS (SELECT l.pass_id, min(id) AS told_id FROM l JOIN e USING (pass_id) WHERE what = 'tell' AND id > ended_id GROUP BY l.pass_id),
+    o AS (SELECT l.pass_id, count(*) AS ops FROM l JOIN b USING (pass_id) LEFT JOIN e USING (pass_id) WHERE what = 'op' AND id > begun AND (ended_id IS NULL OR id < ended_id) GROUP BY l.pass_id)
+    SELECT pass_id, coalesce(ops, 0) AS ops, ended_id, told_id FROM b LEFT JOIN e USING (pass_id) LEFT JOIN t USING (pass_id) LEFT JOIN o USING (pass_id)""")
 def journal_ops(v: Views):
-    last = v.tool_calls.groupBy("session_id").agg(F.max_by(F.struct("id", "tool"), F.struct("ts", "id")).alias("r"))
-    return last.select("r.id", "session_id", "r.tool")
+    """Sessions as passes: begun by their start, ended by the first fulfilment, told of by the first entry after it."""
+    from tallyarc.operators.passlog import fold
+
+    what = F.when(F.col("tool") == "session_start", "begin").when(F.col("tool") == "quest_fulfill", "end").when(F.col("tool") == "lore_inscribe", "tell").otherwise("op")
+    return fold(v.tool_calls.select(F.col("session_id").alias("pass_id"), "id", what.alias("what")))

@@ -34,9 +34,18 @@ def sink_usage(v: Views):
     return U.parse_usage(U.usage_lines(v.usage_log)).groupBy("project_id").agg(F.count("*").alias("n"))
 
 
-@query("sink_miss", "SELECT id, substr(project_id, 1, 64) AS project_id, substr(title, 1, 256) AS query FROM entries")
+_CUT = "substr({c}, 1, list_max(list_filter(generate_series(0, least({n}, length({c}))), lambda k: strlen(substr({c}, 1, k)) <= {n})))"
+
+
+@query("sink_miss", f"SELECT ts, project_id, {_CUT.format(c='query', n=256)} AS query FROM (SELECT created_at AS ts, project_id, concat(title, ' / ', title, ' / ', title, ' / ', title) AS query FROM entries) x")
 def sink_miss(v: Views):
-    return v.entries.select("id", F.substring("project_id", 1, 64).alias("project_id"), F.substring("title", 1, 256).alias("query"))
+    """Searches without a hit (here titles, long enough to be cut) written as lines to a folder and read again."""
+    from tallyarc.session import scratch_path
+
+    path = scratch_path(v.spark, "misses")
+    misses = v.entries.select(F.col("created_at").alias("ts"), "project_id", F.concat_ws(" / ", *["title"] * 4).alias("query"))
+    U.miss_lines(misses).write.text(path)
+    return U.parse_misses(v.spark.read.text(path))
 
 
 @query("scan_decision_log", "SELECT id, kind, allow, reason FROM decision_log")

@@ -207,8 +207,10 @@ def approx_age_label(v: Views):
 _BYTES = "21 + length(project_id) + length(tool) + length({str}(exit_code)) + length({str}(resp_bytes)) + 4"
 
 
-@query("log_rotation", f"""WITH l AS (SELECT id, {_BYTES.format(str='@str')} AS bytes FROM usage_log), p AS (SELECT bytes, CAST(floor((sum(bytes) OVER (ORDER BY id) - bytes) / 65536) AS BIGINT) AS file FROM l)
-    SELECT file, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes, file >= (SELECT max(file) FROM p) - 5 AS kept FROM p GROUP BY file -- usage_log""")
+@query("log_rotation", f"""WITH RECURSIVE l AS MATERIALIZED (SELECT row_number() OVER (ORDER BY id) AS n, {_BYTES.format(str='@str')} AS bytes FROM usage_log), w AS MATERIALIZED (SELECT n, bytes, sum(bytes) OVER (ORDER BY n) AS total FROM l),
+    f AS (SELECT 0 AS file, CAST(1 AS BIGINT) AS start UNION ALL SELECT file + 1, (SELECT min(w.n) + 1 FROM w WHERE w.total >= 65536 + (SELECT x.total - x.bytes FROM w x WHERE x.n = f.start)) FROM f WHERE start IS NOT NULL),
+    s AS (SELECT file, start FROM f WHERE start <= (SELECT max(n) FROM l)), g AS (SELECT w.n, w.bytes, (SELECT max(file) FROM s WHERE s.start <= w.n) AS file FROM w)
+    SELECT CAST(file AS BIGINT) AS file, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes, file >= (SELECT max(file) FROM g) - 5 AS kept FROM g GROUP BY file -- usage_log""")
 def log_rotation(v: Views):
     """Files of the usage log at 64 KiB each (10 MiB in production), the newest and five archives kept."""
     lines = v.usage_log.select("id", F.expr(_BYTES.format(str="string")).alias("bytes"))

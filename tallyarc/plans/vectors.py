@@ -99,10 +99,16 @@ def dominant_class(v: Views):
     return V.dominant_class(_cover(v).where("state <> 'fresh'").withColumnRenamed("state", "class"))
 
 
-@query("index_epoch", "SELECT id, epoch, model_id FROM (SELECT id, model_id, epoch, row_number() OVER (PARTITION BY id ORDER BY epoch DESC) AS rn FROM (SELECT id, model_id, 1 AS epoch FROM vectors UNION ALL SELECT id, 'new', 2 FROM vectors WHERE id % 4 = 0) u) x WHERE rn = 1")
+@query("index_epoch", """WITH d AS (SELECT id, 3 + id % 6 AS epoch, 'delta' AS model_id FROM vectors WHERE id % 4 <> 0 AND id % 6 <> 4), u AS (SELECT id, 1 + id % 5 AS epoch, model_id, 0 AS new FROM vectors WHERE id % 3 <> 0 UNION ALL SELECT *, 1 FROM d),
+    s AS (SELECT max(epoch) AS top, count(DISTINCT epoch) AS found FROM d WHERE epoch > 5)
+    SELECT id, epoch, model_id, CAST(top AS BIGINT) AS reached, top - 5 - found AS missing, top - 5 - found > 0 AS stale FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY epoch DESC, new DESC) AS rn FROM u) x, s WHERE rn = 1 -- vectors""")
 def index_epoch(v: Views):
-    old = v.vectors.select("id", F.lit(1).alias("epoch"), "model_id")
-    return V.latest(old.unionByName(v.vectors.where("id % 4 = 0").select("id", F.lit(2).alias("epoch"), F.lit("new").alias("model_id"))))
+    """An index of epoch 5 without every third vector takes deltas of epochs 3 to 8, of which 7 has been lost: what is newer lands, and
+    the index knows that it is stale."""
+    base = v.vectors.where("id % 3 <> 0").select("id", (F.col("id") % 5 + 1).alias("epoch"), "model_id")
+    deltas = v.vectors.where("id % 4 <> 0 AND id % 6 <> 4").select("id", (F.col("id") % 6 + 3).alias("epoch"), F.lit("delta").alias("model_id"))
+    newest, state = V.splice(base, deltas, 5)
+    return newest.crossJoin(F.broadcast(state.withColumnRenamed("epoch", "reached")))  # one row
 
 
 @query("write_vector", "SELECT id, CASE WHEN id % 4 = 0 AND model_id = 'model' THEN 'fresh' ELSE content END AS content FROM vectors")

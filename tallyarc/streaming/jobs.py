@@ -66,46 +66,101 @@ def leases(heartbeats: DataFrame, ttl_minutes: int = 10, late: str = "1 day") ->
     return rows.groupBy("project_id", "task_id").applyInPandasWithState(_lease, "project_id string, task_id string, holder string, heartbeat long, expires long, state string", "holder string, heartbeat long, expires long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+#: Microseconds without a call after which a session is over for good.
+SESSION_ENDS = 24 * 3600 * 1_000_000
+
+
 def _hints(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    session = Session(json.loads(state.get[0])) if state.exists else Session()
-    out = []
-    for r in pd.concat(list(batches)).sort_values(["ts", "id"]).itertuples():
-        rule, _ = session.call(int(r.id), r.tool, r.arg, bool(r.empty_result), bool(r.brief_stale))
+    kept = json.loads(state.get[0]) if state.exists else {"session": None, "waiting": [], "last": 0}
+    session, waiting = Session(kept["session"]) if kept["session"] else Session(), kept["waiting"]
+    if not state.hasTimedOut:
+        for frame in batches:
+            waiting += [[int(r.us), int(r.id), r.tool, r.arg, bool(r.empty_result), bool(r.brief_stale)] for r in frame.itertuples()]
+    mark, out = state.getCurrentWatermarkMs() * 1000, []
+    waiting.sort(key=lambda w: (w[0], w[1]))
+    due = [w for w in waiting if w[0] < mark]  # no call before the watermark can come any more
+    for us, id_, tool, arg, empty, stale in due:
+        rule, _ = session.call(id_, tool, arg, empty, stale)
+        kept["last"] = us
         if rule:
-            out.append((r.id, key[0], rule))
-    state.update((json.dumps(session.dump()),))
+            out.append((id_, key[0], rule))
+    waiting = waiting[len(due) :]
+    if not waiting and kept["last"] + SESSION_ENDS < mark:
+        if state.exists:
+            state.remove()
+    else:
+        state.update((json.dumps({"session": session.dump(), "waiting": waiting, "last": kept["last"]}),))
+        state.setTimeoutTimestamp(max(mark, waiting[0][0] if waiting else kept["last"] + SESSION_ENDS) // 1000 + 1)
     yield pd.DataFrame(out, columns=["id", "session_id", "rule_id"])
 
 
-def hints(calls: DataFrame) -> DataFrame:
-    """The rule engine with a session's state in the store."""
-    return calls.groupBy("session_id").applyInPandasWithState(_hints, "id long, session_id string, rule_id string", "state string", "append", GroupStateTimeout.NoTimeout)
-
-
-def signals(events: DataFrame, entries: DataFrame, path: str):
+def hints(calls: DataFrame, late: str = "1 hour") -> DataFrame:
+    """The rule engine with a session's state in the store. Calls wait until the watermark (the newest time less ``late``) has passed
+    them and are walked in the order of their times, so however they come in batches, the rows are those of the walk over all
+    of them; calls later than that are left out. A session that has been silent for a day is let go."""
+    rows = calls.withWatermark("ts", late).select("id", "session_id", "ts", F.expr("unix_micros(ts)").alias("us"), "tool", "arg", "empty_result", "brief_stale")
+    return rows.groupBy("session_id").applyInPandasWithState(_hints, "id long, session_id string, rule_id string", "state string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _gate(idle_ms: int, pass_ms: int):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, out = state.getCurrentProcessingTimeMs(), []
+        armed, active, ended, until = state.get if state.exists else (True, now, 0, 0)
+        if 0 < until <= now:  # the pass that was running has ended
+            ended, until = until, 0
+        if not state.hasTimedOut:
+            for frame in batches:
+                for r in frame.itertuples():
+                    armed = {"arm": True, "disarm": False}.get(r.what, armed)
+                    if r.what == "touch":
+                        active = now
+                        if until:  # activity ends a pass
+                            ended, until = now, 0
+        reason = "disabled" if not armed else "pass_in_flight" if until else "not_idle" if now - active < idle_ms else "gap_not_elapsed" if ended and now - ended < idle_ms else "fire"
+        out.append((key[0], reason, reason == "fire", now))
+        if reason == "fire":
+            until = now + pass_ms
+        state.update((armed, active, ended, until))
+        if armed:
+            state.setTimeoutDuration(max(1, (until or max(active, ended) + idle_ms) - now))
+        yield pd.DataFrame(out, columns=["key", "reason", "allow", "at"])
+
+    return run
+
+
+def idle_gate(signals: DataFrame, idle_ms: int, pass_ms: int) -> DataFrame:
+    """The gate of idle passes on ``signals(key, what)`` (touch, arm, disarm) with processing-time timers: each signal and each timer
+    gives a decision with its reason; one that fires starts a pass, which ends after ``pass_ms`` or by activity. The batch twin is
+    ``operators.idlegate.decisions``."""
+    return signals.groupBy("key").applyInPandasWithState(_gate(idle_ms, pass_ms), "key string, reason string, allow boolean, at long", "armed boolean, active long, ended long, until long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def signals(events: DataFrame, entries: DataFrame, path: str, checkpoint: str | None = None):
     """A sink that keeps staleness signals: every batch of file events is joined with the entries and written under its number, so a
-    batch that is run again replaces itself; readers take the latest of an entry."""
+    batch that is run again replaces itself; readers take the latest of an entry. ``checkpoint``: the folder of the job's offsets; with the same one a job goes on where it was."""
     from tallyarc.operators.staleness import stale_by_path
 
     def write(batch: DataFrame, epoch: int) -> None:
         stale_by_path(entries, batch).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
-    return events.writeStream.foreachBatch(write).option("checkpointLocation", scratch_path(events.sparkSession, "offsets"))
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint or scratch_path(events.sparkSession, "offsets"))
 
 
-def finish(stream: DataFrame, mode: str) -> DataFrame:
-    """What a job has given once it has read all there is, written in the shared folder, where its state and offsets are too: rows
-    of an appending job, or the last whole result of one that gives it anew each time."""
-    spark, path = stream.sparkSession, scratch_path(stream.sparkSession, "stream")
+def finish(stream: DataFrame, mode: str, folder: str | None = None) -> DataFrame:
+    """What a job has given once it has read all there is, written in ``folder`` (else a fresh one in the shared folder), where its state
+    and offsets are too, so calling again with the same folder goes on where it ended: all rows of an appending job, or the
+    last whole result of one that gives it anew each time."""
+    spark, path = stream.sparkSession, folder or scratch_path(stream.sparkSession, "stream")
     sink = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/offsets").trigger(availableNow=True)
     if mode == "append":
         sink.format("parquet").option("path", f"{path}/rows").start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{path}/rows")
-    last: list[int] = []
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/rows-{epoch}")
-        last[:] = [epoch]
+        batch.write.mode("overwrite").parquet(f"{path}/rows-{epoch:09d}")
 
     sink.foreachBatch(write).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/rows-{last[0]}") if last else spark.createDataFrame([], stream.schema)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)]
+    whole = sorted(n for n in names if n.startswith("rows-"))
+    return spark.read.schema(stream.schema).parquet(f"{path}/{whole[-1]}") if whole else spark.createDataFrame([], stream.schema)

@@ -121,12 +121,12 @@ def test_hint_session():
 def test_restore(spark):
     entries = spark.createDataFrame([(1, "p", "t", "idea", "A", "s", "", "seed"), (2, "p", "t", "idea", "B", "s", "", "seed")], N.ENTRY)
     links = spark.createDataFrame([(1, 2, "")], N.LINK)
-    docs = N.archive(entries, links)
-    added, found = N.restore(docs, entries.where("id = 2"))
+    docs = spark.createDataFrame([("p", '{"schema_version":1,"lore":[{"id":1,"topic":"t","kind":"idea","title":"A","summary":"s","tags":"","status":"seed"},{"id":2,"topic":"t","kind":"idea","title":"B","summary":"s","tags":"","status":"seed"}],"links":[{"from_id":1,"to_id":2,"relation":""}]}')], "project_id string, document string")
+    added, found = N.restore(N.read_documents(docs), entries.where("id = 2"))
     assert [(r.id, r.title) for r in added.collect()] == [(3, "A")]
     assert [tuple(r) for r in found.collect()] == [(3, 2, "informs")]
     with pytest.raises(ValueError):
-        N.restore(docs.withColumn("document", F.regexp_replace("document", '"schema_version":1', '"schema_version":9')), entries)
+        N.read_documents(docs.withColumn("document", F.regexp_replace("document", '"schema_version":1', '"schema_version":9')))
 
 
 def test_markdown_folder(spark, tmp_path):
