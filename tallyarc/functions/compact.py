@@ -365,33 +365,49 @@ def clusters(items: list[str], radius: int = 3) -> int:
     return len(centres)
 
 
-def adaptive_k(items: list[str], bias: float = 0.0, least: int = 3, most: int = 1 << 30) -> int:
-    """How many of the items carry most of what they say: all of a few; the clusters where there are three at most; else the knee
-    of the curve of new word pairs, lifted by diversity, times ``bias``, checked by how well the rest compresses."""
+def novelty(items: list[str]) -> list[int]:
+    """How many different word pairs the items up to each one hold; an item of fewer than two words counts as a pair of its own."""
+    seen: set[tuple[str, str]] = set()
+    out = []
+    for x in items:
+        words = x.lower().split()
+        seen.update(zip(words, words[1:], strict=False) if len(words) > 1 else [(words[0] if words else "", "")])
+        out.append(len(seen))
+    return out
+
+
+def bend(curve: list[int]) -> int | None:
+    """Where a rising curve is highest above its chord, counted from 1; 1 if it does not rise, nothing if it is nowhere well above."""
+    first, rise, run = curve[0], curve[-1] - curve[0], len(curve) - 1
+    if rise == 0:
+        return 1
+    above = [(y - first) / rise - i / run for i, y in enumerate(curve)]
+    top = max(above)
+    return None if top < 0.05 else above.index(top) + 1
+
+
+def adaptive_k(items: list[str], bias: float = 1.0, least: int = 3, most: int = 0) -> int:
+    """How many of the items, the most important first, carry most of what they say. All of eight or fewer; as many as there are
+    clusters if these are three at most. Else the bend of the curve of new word pairs; without a bend a share of the items that
+    rises with their diversity, which is also the floor where they are very diverse. That times ``bias``, a fifth more if the part
+    compresses very unlike the whole, between ``least`` and ``most`` (0: no bound)."""
     n = len(items)
+    most = most if most > 0 else n
     if n <= 8:
         return n
     groups = clusters(items)
     if groups <= 3:
         return min(max(least, groups), most)
-    seen: set[tuple[str, str]] = set()
-    curve = []
-    for x in items:
-        words = x.lower().split()
-        seen.update(zip(words, words[1:], strict=False))
-        curve.append(len(seen))
-    if curve[-1] > curve[0]:
-        rise = [(y - curve[0]) / (curve[-1] - curve[0]) - i / (n - 1) for i, y in enumerate(curve)]
-        knee = max(range(n), key=rise.__getitem__) + 1 if max(rise) > 0.05 else n
-    else:
-        knee = 1
-    k = max(knee, int(n * (0.3 + 0.7 * groups / n) * 0.5))
-    k = min(max(least, int(k * bias)), most, n)
-    if k < n and bias:
-        ratio = lambda part: len(zlib.compress("\n".join(part).encode())) / max(1, len("\n".join(part).encode()))
-        if abs(ratio(items[:k]) - ratio(items)) > 0.15:
-            k = min(n, most, int(k * 1.2))
-    return k
+    spread, knee = groups / n, bend(novelty(items))
+    share = max(least, int(n * (0.3 + 0.7 * spread)))
+    wanted = share if knee is None else max(knee, share) if spread > 0.7 else knee
+    k = min(max(least, int(wanted * bias)), most)
+    whole, part = ("\n".join(x).encode() for x in (items, items[:k]))
+    if k < n and len(whole) >= 200:
+        ratio = lambda x: len(zlib.compress(x, 1)) / len(x) if x else 1.0
+        if abs(ratio(whole) - ratio(part)) > 0.15:
+            k = min(int(k * 1.2), most)
+    return max(least, min(k, most))
 
 
 def csv_line(values: list[str]) -> str:

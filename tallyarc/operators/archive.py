@@ -119,10 +119,13 @@ def dossier(entries: DataFrame) -> DataFrame:
     return out
 
 
-def dossier_text(sections: DataFrame) -> DataFrame:
-    """One rendered text per project."""
-    lines = F.array_sort(F.collect_list(F.struct("section", "rank", F.concat(F.lit("- "), "title").alias("line"))))
-    return sections.groupBy("project_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text"))
+def dossier_text(sections: DataFrame, entries: DataFrame, most: int = 300) -> DataFrame:
+    """One rendered text per project: title and summary, blanks joined, of ``most`` characters at most, of each entry listed."""
+    said = entries.select("id", compact(F.col("summary"), most).alias("said"))
+    line = F.concat(F.lit("- "), "title", F.lit(": "), F.coalesce("said", F.lit("")))
+    rows = sections.join(said, "id", "left").select("project_id", F.struct("section", "rank", line.alias("line")).alias("row"))
+    lines = F.array_sort(F.collect_list("row"))  # 35 rows a project at most
+    return rows.groupBy("project_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text"))
 
 
 def approx_tokens(text: Column) -> Column:

@@ -125,14 +125,16 @@ def bounties(status: DataFrame, specs: DataFrame) -> DataFrame:
     free = status.where("status = 'next' AND claimed_by IS NULL").join(specs, KEY, "left")
     none = F.array().cast("array<string>")
     free = free.select(*KEY, priority_rank(F.col("priority")).alias("rank"), F.coalesce("files", none).alias("files"), F.coalesce("depends_on", none).alias("deps"))
-    order = W.partitionBy("project_id").orderBy("rank", "task_id")
-    free = free.withColumn("rn", F.row_number().over(order))
-    top = free.where("rn = 1").select("project_id", F.col("task_id").alias("top"), F.col("files").alias("top_files"), F.col("deps").alias("top_deps"))
-    beside = free.where("rn > 1").join(top, "project_id")
-    safe = beside.where(~F.arrays_overlap("files", "top_files") & ~F.array_contains("deps", F.col("top")) & ~F.array_contains("top_deps", F.col("task_id")))
-    ranked = safe.withColumn("place", F.row_number().over(order)).withColumn("n", F.count("*").over(W.partitionBy("project_id")))
+    best = F.struct("rank", "task_id")
+    top = free.groupBy("project_id").agg(F.min_by(F.struct("task_id", "files", "deps"), best).alias("t")).select("project_id", F.col("t.task_id").alias("top"), F.col("t.files").alias("top_files"), F.col("t.deps").alias("top_deps"))
+    beside = free.join(top, "project_id").where("task_id <> top")
+    safe = beside.where(~F.arrays_overlap("files", "top_files") & ~F.array_contains("deps", F.col("top")) & ~F.array_contains("top_deps", F.col("task_id"))).select("project_id", "rank", "task_id")
+    # The best five of each share of a project's tasks first, so no task has all of a project's.
+    shared = safe.withColumn("share", F.pmod(F.xxhash64("task_id"), F.lit(256)))
+    few = shared.withColumn("place", F.row_number().over(W.partitionBy("project_id", "share").orderBy("rank", "task_id"))).where("place <= 5")
+    ranked = few.withColumn("place", F.row_number().over(W.partitionBy("project_id").orderBy("rank", "task_id"))).where("place <= 5")
     first = top.select("project_id", F.col("top").alias("task_id"), F.lit(0).alias("place"))
-    return first.unionByName(ranked.where("place <= 5").select("project_id", "task_id", "place"))
+    return first.unionByName(ranked.select("project_id", "task_id", "place"))
 
 
 def first_claim_wins(claims: DataFrame) -> DataFrame:

@@ -130,3 +130,18 @@ def recall_misses(entries: DataFrame, index, sample: int = 10) -> DataFrame:
     top = full.groupBy("qid").agg(F.min_by("id", F.struct(F.round("score", 9), "id")).alias("top"))
     missed = (F.size("long") >= 3) & ~F.coalesce(F.col("top") == F.col("qid"), F.lit(False))
     return asked.join(top, "qid", "left").agg(F.count("*").alias("recall_sample"), F.count_if(missed).alias("recall_misses"))
+
+
+def task_search(bodies: DataFrame, allowed: DataFrame, index, tokens: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int = 10, k: int = 60) -> DataFrame:
+    """The best tasks ``(qid, task_id, position)`` of a search in two arms: ``tokens(qid, token)`` in the kept index of ``bodies(id, task_id,
+    body)``, and ``queries(qid, qv)`` against ``vectors(id, q)``, both among ``allowed(id)`` and ``k`` deep, fused by best rank. A task with several
+    bodies counts once, at the best of their positions; positions are those of the fused list, so bodies that are passed over
+    leave gaps. Without vectors the first arm stands alone."""
+    from tallyarc.operators.vectors import top_dot
+
+    place = W.partitionBy("qid")
+    lex = index.top(tokens, k, allowed).withColumn("rank", F.row_number().over(place.orderBy(F.round("score", 9), "id"))).select("qid", "id", "rank")
+    arm = top_dot(vectors.join(allowed.select("id"), "id", "left_semi"), queries, k).select("qid", "id", "rank")
+    fused = best_rank_fusion(lex, arm).withColumn("position", F.row_number().over(place.orderBy(F.desc("score"), "id")))
+    once = fused.join(bodies.select("id", "task_id"), "id").groupBy("qid", "task_id").agg(F.min("position").alias("position"))
+    return once.withColumn("rn", F.row_number().over(place.orderBy("position"))).where(F.col("rn") <= limit).drop("rn")

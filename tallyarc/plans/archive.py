@@ -105,9 +105,12 @@ def dossier(v: Views):
     return A.dossier(v.entries)
 
 
-@query("dossier_text", f"""SELECT project_id, string_agg(concat('- ', title), chr(10) ORDER BY section, rank) AS text FROM ({_SECTIONS}) x WHERE rank <= most GROUP BY project_id""")
+_SAID = r"(SELECT id, CASE WHEN length(s) > 300 THEN concat(substr(s, 1, 300), '…') ELSE s END AS said FROM (SELECT id, trim(regexp_replace(summary, '\s+', ' ', 'g')) AS s FROM entries) y)"
+
+
+@query("dossier_text", f"""SELECT project_id, string_agg(concat('- ', title, ': ', coalesce(said, '')), chr(10) ORDER BY section, rank) AS text FROM ({_SECTIONS}) x LEFT JOIN {_SAID} z USING (id) WHERE rank <= most GROUP BY project_id""")
 def dossier_text(v: Views):
-    return A.dossier_text(A.dossier(v.entries))
+    return A.dossier_text(A.dossier(v.entries), v.entries)
 
 
 @query("dossier_compact_summary", r"""SELECT id, CASE WHEN length(s) > 300 THEN concat(substr(s, 1, 300), '…') ELSE s END AS summary FROM (SELECT id, trim(regexp_replace(summary, '\s+', ' ', 'g')) AS s FROM entries) x""")

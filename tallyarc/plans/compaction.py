@@ -152,4 +152,4 @@ def simhash64(v: Views):
 def dossier_compact(v: Views):
     from tallyarc.operators import archive as A
 
-    return A.dossier_text(A.dossier(v.entries)).select("project_id", _map(C.compress_log)("text").alias("text"))
+    return A.dossier_text(A.dossier(v.entries), v.entries).select("project_id", _map(C.compress_log)("text").alias("text"))

@@ -3,24 +3,37 @@
 from pyspark.sql import functions as F
 
 from tallyarc.catalogue import query
+from tallyarc.functions.text import STOP_WORDS
 from tallyarc.operators import evaluation as E
+from tallyarc.plans import search as Q
 from tallyarc.views import Views
 
-#: The stated queries are the ids divisible by 20, against all entries. Query q ranks the entries in a stride of it, those of every
-#: fifth query none; the relevant ones are where the stride meets a residue.
-_RANKED = "ranked AS (SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY (id * 7919 + qid * 31) % 1009, id) AS INTEGER) AS rank, ((id * 37 + qid * 11) % 100) / 100e0 AS similarity FROM (SELECT q.id AS qid, e.id FROM entries q JOIN entries e ON e.id % 23 = q.id % 23 WHERE q.id % 20 = 0 AND q.id % 100 <> 0) x)"
-_REL = "rel AS (SELECT qid, id FROM ranked WHERE qid % 80 <> 0 AND (id + qid) % 6 = 0)"
+#: The stated queries are the entries whose ids are divisible by 20, asked for by the words of their titles among all entries; the 20
+#: best answers count. Relevant are the entry itself and the first one of its title; every fourth query has none.
+_EVERY = "regexp_extract_all(lower(title), '[a-z0-9_]+')"
+_LEFT = f"list_filter({_EVERY}, lambda w: w NOT IN ({', '.join(repr(w) for w in STOP_WORDS)}))"
+_ASKED = f"(SELECT id AS qid, unnest(list_distinct(list_filter(CASE WHEN len({_LEFT}) > 0 THEN {_LEFT} ELSE {_EVERY} END, lambda w: length(w) >= 2))) AS token FROM entries WHERE id % 20 = 0) AS q"
+_RANKED = Q._BM25.replace(Q._values(Q.TOKENS, "q(qid, token)"), _ASKED) + """, rk AS (SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9), id) AS INTEGER) AS rank FROM bm),
+    ranked AS (SELECT qid, id, rank, round(score / min(score) OVER (PARTITION BY qid), 6) AS similarity FROM rk WHERE rank <= 20)"""
+_REL = "rel AS (SELECT qid, unnest(list_distinct([qid, first])) AS id FROM (SELECT id AS qid, first FROM entries JOIN (SELECT lower(title) AS k, min(id) AS first FROM entries GROUP BY 1) t ON t.k = lower(title) WHERE id % 20 = 0 AND id % 80 <> 0) x)"
 _QS = "qs AS (SELECT id AS qid FROM entries WHERE id % 20 = 0)"
 
 
 def _judged(v: Views):
     from pyspark.sql import Window as W
 
-    q = v.entries.where("id % 20 = 0 AND id % 100 <> 0").select(F.col("id").alias("qid"), (F.col("id") % 23).alias("m"))
-    e = v.entries.select("id", (F.col("id") % 23).alias("m"))
-    order = W.partitionBy("qid").orderBy(F.expr("(id * 7919 + qid * 31) % 1009"), "id")
-    ranked = q.join(e, "m").select("qid", "id").withColumn("rank", F.row_number().over(order)).withColumn("similarity", F.expr("((id * 37 + qid * 11) % 100) / 100e0"))
-    return v.entries.where("id % 20 = 0").select(F.col("id").alias("qid")), ranked, ranked.where("qid % 80 <> 0 AND (id + qid) % 6 = 0").select("qid", "id")
+    from tallyarc.functions.text import words
+
+    asked = v.entries.where("id % 20 = 0").select(F.col("id").alias("qid"), "title")
+    every = words(F.col("title"))
+    left = F.filter(every, lambda w: ~w.isin(*STOP_WORDS))
+    used = F.array_distinct(F.filter(F.when(F.size(left) > 0, left).otherwise(every), lambda w: F.length(w) >= 2))
+    top = Q.index(v).top(asked.select("qid", F.explode(used).alias("token")), 20)
+    own = W.partitionBy("qid")
+    ranked = top.withColumn("rank", F.row_number().over(own.orderBy(F.round("score", 9), "id"))).withColumn("similarity", F.round(F.col("score") / F.min("score").over(own), 6)).drop("score")
+    first = v.entries.groupBy(F.lower("title").alias("k")).agg(F.min("id").alias("first"))
+    wanted = asked.where("qid % 80 <> 0").join(first, F.lower("title") == F.col("k")).select("qid", F.explode(F.array_distinct(F.array("qid", "first"))).alias("id"))
+    return asked.select("qid"), ranked, wanted
 
 
 def _metrics(where: str = "true") -> str:

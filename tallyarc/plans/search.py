@@ -149,21 +149,32 @@ def dedup_hits(v: Views):
     return S.dedup_hits(v.entries, _frame(v, TITLE_TOKENS, "t(qid, token)"), index(v)).select("qid", "id", "rank")
 
 
-@query("quest_search", f"""WITH qd AS (SELECT seq AS id, concat('work ', @str(seq), ' P', @str(seq % 5), ' epic E', @str(seq % 6)) AS body FROM task_status), tok AS (SELECT id, unnest(regexp_extract_all(lower(body), '[a-z0-9_]+')) AS term FROM qd),
-    post AS (SELECT term, id, count(*) AS tf FROM tok GROUP BY ALL), dl AS (SELECT id, count(*) AS dl FROM tok GROUP BY id), stats AS (SELECT CAST(count(*) AS DOUBLE) AS n_docs, avg(dl) AS avgdl FROM dl),
+@query("quest_search", f"""WITH bodies AS (SELECT seq * 2 AS id, project_id, task_id, concat('work ', @str(seq), ' P', @str(seq % 5), ' epic E', @str(seq % 6)) AS body FROM task_status
+        UNION ALL SELECT seq * 2 + 1, project_id, task_id, CASE WHEN status = 'done' THEN concat('report on work ', @str(seq), ' epic E', @str(seq % 6)) ELSE '' END FROM task_status),
+    tok AS (SELECT id, unnest(regexp_extract_all(lower(body), '[a-z0-9_]+')) AS term FROM bodies), post AS (SELECT term, id, count(*) AS tf FROM tok GROUP BY ALL),
+    dl AS (SELECT b.id, coalesce(n, 0) AS dl FROM bodies b LEFT JOIN (SELECT id, count(*) AS n FROM tok GROUP BY id) t USING (id)), stats AS (SELECT CAST(count(*) AS DOUBLE) AS n_docs, avg(dl) AS avgdl FROM dl),
     q AS (SELECT * FROM (VALUES (1, 'e3'), (1, '14')) AS q(qid, token)), hits AS (SELECT qid, token, id, CAST(sum(tf) AS DOUBLE) AS f FROM q JOIN post ON starts_with(term, token) GROUP BY ALL),
     df AS (SELECT qid, token, CAST(count(*) AS DOUBLE) AS df FROM hits GROUP BY ALL),
     bm AS (SELECT qid, id, -sum(CASE WHEN ln((n_docs - df + 5e-1) / (df + 5e-1)) <= 0 THEN 1e-6 ELSE ln((n_docs - df + 5e-1) / (df + 5e-1)) END * f * 22e-1 / (f + 12e-1 * (25e-2 + 75e-2 * dl / avgdl))) AS score
-        FROM hits JOIN df USING (qid, token) JOIN dl USING (id) CROSS JOIN stats GROUP BY qid, id)
-    SELECT id, round(1e0 / (60 + rank), 9) AS score FROM (SELECT id, row_number() OVER (ORDER BY round(score, 9), id) AS rank FROM bm) x WHERE rank <= 10""")
+        FROM hits JOIN df USING (qid, token) JOIN dl USING (id) CROSS JOIN stats GROUP BY qid, id),
+    ok AS (SELECT id FROM bodies WHERE project_id = 'p3' AND body <> ''), q8 AS (SELECT id, list_transform(embedding, lambda x: CAST(greatest(least(round(CAST(x AS DOUBLE) * 127), 127), -128) AS INTEGER)) AS q FROM vectors),
+    a AS (SELECT id, row_number() OVER (ORDER BY round(score, 9), id) AS rank FROM bm JOIN ok USING (id)),
+    b AS (SELECT x.id, row_number() OVER (ORDER BY CAST(list_dot_product(x.q::DOUBLE[], y.q::DOUBLE[]) AS BIGINT) DESC, x.id) AS rank FROM q8 x JOIN ok ON ok.id = x.id, q8 y WHERE y.id = 2),
+    f AS (SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NOT NULL AND b.id IS NOT NULL THEN 1e0 / least(a.rank, b.rank) + 1e0 / (60 + greatest(a.rank, b.rank)) ELSE 1e0 / coalesce(a.rank, b.rank) END AS score
+        FROM (SELECT * FROM a WHERE rank <= 60) a FULL JOIN (SELECT * FROM b WHERE rank <= 60) b ON a.id = b.id),
+    p AS (SELECT task_id, min(position) AS position FROM (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS position FROM f) x JOIN bodies USING (id) GROUP BY task_id)
+    SELECT task_id, CAST(position AS INTEGER) AS position FROM p ORDER BY position LIMIT 10""")
 def quest_search(v: Views):
-    bodies = v.task_status.selectExpr("seq AS id", "concat('work ', seq, ' P', seq % 5, ' epic E', seq % 6) AS body")
-    found, sizes = S.postings(bodies, ["body"])
-    scored = S.bm25(found, sizes, _frame(v, [(1, "e3"), (1, "14")], "q(qid, token)")).withColumn("score", F.round("score", 9))
-    top = scored.orderBy("score", "id").limit(10)  # a top-k report
-    from pyspark.sql import Window as W
-
-    return top.withColumn("rank", F.row_number().over(W.orderBy("score", "id"))).select("id", F.round(F.lit(1.0) / (60 + F.col("rank")), 9).alias("score"))
+    """One project's tasks by words and by vectors; a task has a body and, once it is done, a report."""
+    from tallyarc.operators.vectors import quantize
+
+    body = "concat('work ', seq, ' P', seq % 5, ' epic E', seq % 6)"
+    report = "CASE WHEN status = 'done' THEN concat('report on work ', seq, ' epic E', seq % 6) ELSE '' END"
+    bodies = v.task_status.selectExpr("seq * 2 AS id", "project_id", "task_id", f"{body} AS body").union(v.task_status.selectExpr("seq * 2 + 1", "project_id", "task_id", report))
+    vectors = v.vectors.select("id", quantize(F.col("embedding")).alias("q"))
+    asked = vectors.where("id = 2").select(F.lit(1).alias("qid"), F.col("q").alias("qv"))
+    found = S.task_search(bodies, bodies.where("project_id = 'p3' AND body <> ''"), kept_index(bodies, f"{v.sf_dir} tasks", ["body"]), _frame(v, [(1, "e3"), (1, "14")], "q(qid, token)"), vectors, asked)
+    return found.select("task_id", "position")
 
 
 @query("join_fts_tasks", """SELECT n.task_id, n.id, t.status FROM task_notes n JOIN task_status t USING (project_id, task_id) WHERE contains(n.note, 'f7.py') AND t.status <> 'done'""")

@@ -117,9 +117,35 @@ def decision_record(v: Views):
     return own.unpivot([], own.columns, "name", "value").select("name", F.lit("counter").alias("kind"), "value")
 
 
-@query("metrics_exposition", f"SELECT string_agg(concat('# HELP ', name, ' ', replace(name, '_', ' '), chr(10), '# TYPE ', name, ' ', kind, chr(10), name, ' ', @str(value), chr(10)), '' ORDER BY name) AS text FROM ({_VALUES}) x")
+_METRICS = """SELECT 'decisions_total' AS name, 'counter' AS kind, count(*) AS value FROM decision_log UNION ALL SELECT 'events_logged_total', 'counter', count(*) FROM events
+    UNION ALL SELECT 'idle_passes_total', 'counter', count(*) FILTER (allow AND kind = 'view') FROM decision_log UNION ALL SELECT 'lease_grants_total', 'counter', count(*) FROM leases
+    UNION ALL SELECT 'lease_forfeits_total', 'counter', count(*) FILTER (expires_at < @ts'2024-01-20 00:00:00') FROM leases
+    UNION ALL SELECT 'reaper_sweeps_total', 'counter', count(DISTINCT CASE WHEN expires_at < @ts'2024-01-20 00:00:00' THEN date_trunc('hour', expires_at) END) FROM leases
+    UNION ALL SELECT 'renewal_tasks_total', 'counter', count(*) FILTER (starts_with(note, '[renewal] ')) FROM task_notes
+    UNION ALL SELECT 'sessions_opened_total', 'counter', count(DISTINCT session_id) FROM tool_calls
+    UNION ALL SELECT 'stale_signals_total', 'counter', (SELECT count(*) FROM (SELECT DISTINCT e.id FROM entries e JOIN file_events f ON f.project_id = e.project_id AND f.path = e.file_path WHERE e.status = 'current') x)
+    UNION ALL SELECT 'sessions_active', 'gauge', count(DISTINCT CASE WHEN ts >= @ts'2024-01-29 00:00:00' THEN session_id END) FROM tool_calls
+    UNION ALL SELECT 'decision_recorder_enabled', 'gauge', CAST(count(*) > 0 AS BIGINT) FROM decision_log"""
+
+
+@query("metrics_exposition", f"SELECT string_agg(concat('# HELP ', name, ' ', replace(name, '_', ' '), chr(10), '# TYPE ', name, ' ', kind, chr(10), name, ' ', @str(value), chr(10)), '' ORDER BY name) AS text FROM ({_METRICS}) x")
 def metrics_exposition(v: Views):
-    return U.exposition(decision_record(v))
+    """The eleven metrics of the service as text: leases, sweeps, sessions, passes, signals, renewals, decisions, events."""
+    at = lambda t: F.lit(t).cast("timestamp_ntz")
+    expired = F.col("expires_at") < at("2024-01-20 00:00:00")
+    log = v.decision_log.agg(F.count("*").alias("decisions_total"), F.count_if(F.col("allow") & (F.col("kind") == "view")).alias("idle_passes_total"), (F.count("*") > 0).cast("long").alias("decision_recorder_enabled"))
+    leases = v.leases.agg(F.count("*").alias("lease_grants_total"), F.count_if(expired).alias("lease_forfeits_total"), F.count_distinct(F.when(expired, F.date_trunc("hour", "expires_at"))).alias("reaper_sweeps_total"))
+    calls = v.tool_calls.agg(F.count_distinct("session_id").alias("sessions_opened_total"), F.count_distinct(F.when(F.col("ts") >= at("2024-01-29 00:00:00"), F.col("session_id"))).alias("sessions_active"))
+    renewals = v.task_notes.agg(F.count_if(F.col("note").startswith("[renewal] ")).alias("renewal_tasks_total"))
+    files = v.file_events.select("project_id", F.col("path").alias("file_path")).distinct()
+    stale = v.entries.where("status = 'current'").join(files, ["project_id", "file_path"], "left_semi").agg(F.count("*").alias("stale_signals_total"))
+    logged = v.events.agg(F.count("*").alias("events_logged_total"))
+    values = None
+    for one in (log, leases, calls, renewals, stale, logged):
+        own = one.unpivot([], one.columns, "name", "value")
+        values = own if values is None else values.unionByName(own)
+    gauge = F.col("name").isin("sessions_active", "decision_recorder_enabled")
+    return U.exposition(values.select("name", F.when(gauge, "gauge").otherwise("counter").alias("kind"), "value"))
 
 
 _OPS = "SELECT user_id AS pass_id, CASE event_type WHEN 'click' THEN 'meld' WHEN 'signup' THEN 'renewal' WHEN 'view' THEN 'embed' WHEN 'error' THEN 'partial' ELSE 'other' END AS kind, CASE WHEN event_id % 3 = 0 THEN 'approval' ELSE 'auto' END AS policy, event_id % 2 = 0 AS applied, event_id FROM events"

@@ -1,5 +1,6 @@
 """Queries of writing, budgets and renderers."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyarc.catalogue import query
@@ -254,6 +255,9 @@ def _relevance_sql() -> str:
     from tallyarc.plans import search as Q
     from tallyarc.plans.evaluation import _metrics
 
+    from tallyarc.plans.vectors import _COVER, _Q
+
+    V_COVER, V_Q = _COVER[5:], _Q
     stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
     asked = "(SELECT id AS qid, title AS query FROM entries WHERE id % 20 = 0 AND status IN ('current', 'seed', 'exploring', 'imported'))"
     every = "regexp_extract_all(lower(query), '[a-z0-9_]+')"
@@ -261,20 +265,37 @@ def _relevance_sql() -> str:
     tokens = f"(SELECT qid, unnest(list_distinct(list_filter(CASE WHEN len({kept}) > 0 THEN {kept} ELSE {every} END, lambda w: length(w) >= 2))) AS token FROM {asked} a)"
     ranked = Q._RANKED.replace(Q._values(Q.TOKENS, "q(qid, token)"), f"{tokens} AS q").replace(Q._values(Q.QUERIES, "qs(qid, query)"), f"{asked} AS qs")
     ranked = ranked.replace("ranked AS (", "every_ AS (")
-    return f"""{ranked}, ranked AS (SELECT qid, id, rank FROM every_ WHERE rank <= 10), wish AS (SELECT qid, qid AS id FROM qs), mine AS (SELECT qid FROM qs), {_metrics().replace("FROM qs ", "FROM mine ").replace("SELECT count(wanted)", "rel AS (SELECT * FROM wish) SELECT count(wanted)", 1)} -- entries"""
+    measure = _metrics().replace("FROM qs ", "FROM mine ")
+    modes = " UNION ALL ".join(f"SELECT '{mode}' AS mode, * FROM ({measure.replace('ranked ', f'{table} ')}) m{mode}" for mode, table in (("lexical", "ranked_l"), ("vector", "ranked_v"), ("hybrid", "ranked_h")))
+    return f"""{ranked}, ranked_l AS (SELECT qid, id, rank FROM every_ WHERE rank <= 10), rel AS (SELECT qid, qid AS id FROM qs), mine AS (SELECT qid FROM qs), {V_COVER},
+    q8 AS (SELECT id, {V_Q} AS q FROM vectors JOIN c USING (id) WHERE state = 'fresh'),
+    ranked_v AS (SELECT * FROM (SELECT x.id AS qid, y.id, row_number() OVER (PARTITION BY x.id ORDER BY CAST(list_dot_product(x.q::DOUBLE[], y.q::DOUBLE[]) AS BIGINT) DESC, y.id) AS rank FROM q8 x JOIN mine ON mine.qid = x.id, q8 y) d WHERE rank <= 10),
+    fused AS (SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NOT NULL AND b.id IS NOT NULL THEN 1e0 / least(a.rank, b.rank) + 1e0 / (60 + greatest(a.rank, b.rank)) ELSE 1e0 / coalesce(a.rank, b.rank) END AS score
+        FROM ranked_l a FULL JOIN ranked_v b ON a.qid = b.qid AND a.id = b.id), ranked_h AS (SELECT * FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM fused) f WHERE rank <= 10)
+    {modes} -- entries"""
 
 
 @query("eval_relevance", _relevance_sql())
 def eval_relevance(v: Views):
-    """Known items: how well the lexical search finds an entry by its title."""
+    """Known items: how well a search finds an entry by its title, by its vector, and by both."""
     from tallyarc.operators import evaluation as E
     from tallyarc.operators import search as S
+    from tallyarc.operators import vectors as V
     from tallyarc.operators.archive import eligible
     from tallyarc.plans.search import index
+    from tallyarc.plans.vectors import _cover, _quantized
 
     asked, tokens = _known_items(v)
-    ranked = S.lexical(v.entries, eligible(v.entries), asked, tokens, 10, index=index(v)).select("qid", "id", "rank")
-    return E.metrics(asked.select("qid"), ranked, asked.select("qid", F.col("qid").alias("id")))
+    lexical = S.lexical(v.entries, eligible(v.entries), asked, tokens, 10, index=index(v)).select("qid", "id", "rank")
+    q = _quantized(v).join(_cover(v).where("state = 'fresh'").select("id"), "id", "left_semi")
+    vector = V.top_dot(q, q.join(asked.select("qid"), F.col("id") == F.col("qid"), "left_semi").select(F.col("id").alias("qid"), F.col("q").alias("qv")), 10).select("qid", "id", "rank")
+    best = W.partitionBy("qid").orderBy(F.desc("score"), "id")
+    hybrid = S.best_rank_fusion(lexical, vector).withColumn("rank", F.row_number().over(best)).where("rank <= 10").select("qid", "id", "rank")
+    wanted, out = asked.select("qid", F.col("qid").alias("id")), None
+    for mode, ranked in (("lexical", lexical), ("vector", vector), ("hybrid", hybrid)):
+        own = E.metrics(asked.select("qid"), ranked, wanted).select(F.lit(mode).alias("mode"), "*")
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 @query("deterministic_corpus_seed", f"SELECT id, replace(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), ' ', '-') AS slug, kind, CAST(floor(epoch_us(@ts'{NOW}') / 86400000000 - epoch_us(created_at) / 86400000000) AS BIGINT) AS age_days FROM entries")

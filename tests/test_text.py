@@ -145,3 +145,14 @@ def test_reducers_keep_what_matters():
     assert C.adaptive_k(["same"] * 50) == 3 and C.adaptive_k([str(i) for i in range(8)]) == 8
     varied = [f"{chr(97 + i % 26)}{i * 7919} words {i * i} of {i}" for i in range(60)]
     assert 3 <= C.adaptive_k(varied) <= 60
+
+
+def test_adaptive_k_by_its_branches():
+    rising = [f"w{i} x{i}" for i in range(40)]  # every item is new: no bend, all of it is wanted
+    assert C.bend(C.novelty(rising)) is None and C.adaptive_k(rising) == 40
+    assert C.adaptive_k(rising, most=12) == 12 and C.adaptive_k(rising, bias=0.1) >= 4
+    front = [f"alpha{i} beta{i} gamma{i * 7} delta{i * 3}" for i in range(10)] + ["the very same words again"] * 40
+    assert C.bend(C.novelty(front)) == 11 and C.clusters(front) / 50 <= 0.7
+    assert C.adaptive_k(front) in (11, 13)  # a fifth more where the part compresses unlike the whole
+    assert C.novelty(["one", "one", "", "two words", "two words"]) == [1, 1, 2, 3, 3]
+    assert C.bend([5, 5, 5]) == 1
