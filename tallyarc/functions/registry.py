@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from string import ascii_lowercase
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +51,44 @@ def register(spark: SparkSession) -> list[str]:
     return sorted(FUNCTIONS)
 
 
+#: Embedders by name: how many numbers a vector has, and the function from texts to vectors.
+EMBEDDERS: dict[str, tuple[int, Callable[[pd.Series], Iterable[Sequence[float]]]]] = {}
+
+
+def register_embedder(name: str, dim: int, f: Callable[[pd.Series], Iterable[Sequence[float]]]) -> None:
+    """Make ``f`` known: it gets a batch of texts (null: empty) on an executor and gives a vector of ``dim`` numbers for each."""
+    EMBEDDERS[name] = dim, f
+
+
+def letters(texts: pd.Series) -> list[list[int]]:
+    """How often each letter from a to z stands in a text, in either case: an embedder without a model."""
+    return [[t.count(c) + t.count(c.upper()) for c in ascii_lowercase] for t in texts]
+
+
+register_embedder("letters", len(ascii_lowercase), letters)
+
+
+def embed(texts: DataFrame, name: str) -> DataFrame:
+    """``(id, embedding)`` of ``texts(id, text)`` by a registered embedder, batch by batch: unit vectors, or null where a vector is zero or not
+    finite. A vector of another length is an error."""
+    dim, f = EMBEDDERS[name]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        for frame in frames:
+            out = []
+            for v in f(frame["text"].fillna("")):
+                x = np.asarray(v, np.float64)
+                if x.shape != (dim,):
+                    raise ValueError(f"{name} gave a vector of another length than {dim}")
+                size = np.sqrt((x * x).sum())
+                out.append((x / size).tolist() if np.isfinite(size) and size > 0 else None)
+            yield pd.DataFrame({"id": frame["id"], "embedding": out})
+
+    return texts.select("id", F.col("text").cast("string").alias("text")).mapInPandas(run, "id long, embedding array<double>")
+
+
 def search(query: str, corpus: DataFrame, limit: int = 10, stem: bool = False) -> DataFrame:
     """The best entries of ``corpus(id, title, summary, tags)`` for one query: ``(id, title, score, rank)``."""
     from tallyarc.functions.text import _porter

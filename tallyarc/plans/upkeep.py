@@ -153,12 +153,14 @@ def embed_deterministic(v: Views):
     return own.select("id", F.size("e").alias("dim"), F.round(norm, 4).alias("norm"), F.transform(F.slice("e", 1, 16), lambda x: F.round(x, 6)).alias("tile"))
 
 
-@query("embed_model", "SELECT vec_id + 1 AS id, len(embedding) AS dim, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 5) AS total FROM embeddings")
+@query("embed_model", """SELECT id, CASE WHEN size > 0 THEN 26 END AS dim, CASE WHEN size > 0 THEN round(list_sum(x) / size, 5) END AS total FROM (SELECT id, x, sqrt(list_sum(list_transform(x, lambda y: y * y))) AS size FROM
+    (SELECT id, list_transform(generate_series(97, 122), lambda c: CAST(2 * length(summary) - length(replace(summary, chr(CAST(c AS INTEGER)), '')) - length(replace(summary, chr(CAST(c - 32 AS INTEGER)), '')) AS DOUBLE)) AS x FROM entries) a) b""")
 def embed_model(v: Views):
-    """The bound model's vectors are given; they are made unit vectors. Another embedder is a function from text to vector in their
-    place."""
-    own = v.embeddings.select((F.col("vec_id") + 1).alias("id"), V.unit(F.col("embedding")).alias("u"))
-    return own.select("id", F.size("u").alias("dim"), F.round(F.aggregate("u", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+    """All entries by a registered embedder (here one that counts letters): unit vectors."""
+    from tallyarc.functions.registry import embed
+
+    own = embed(v.entries.select("id", F.col("summary").alias("text")), "letters")
+    return own.select("id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
 @query("cosine_probe", "WITH q AS (SELECT id, CAST(embedding AS DOUBLE[]) AS x, list_transform(embedding, lambda x: greatest(least(round(CAST(x AS DOUBLE) * 127), 127), -128) / 127e0) AS y FROM vectors) SELECT id, round(list_cosine_similarity(x, y), 4) AS cosine, list_cosine_similarity(x, y) >= 999e-3 AS ok FROM q")

@@ -143,3 +143,17 @@ def test_epochs_with_a_gap(spark):
     assert tuple(state.first()) == (8, 1, True)
     assert tuple(V.splice(base, late.where("epoch <= 6"), 5)[1].first()) == (6, 0, False)
     assert tuple(V.splice(base, late.limit(0), 5)[1].first()) == (5, 0, False)
+
+
+def test_registered_embedders(spark):
+    from tallyarc.functions import registry as G
+
+    texts = spark.createDataFrame([(1, "aAb"), (2, None), (3, ""), (4, "123 é")], "id long, text string")
+    got = {r.id: r.embedding for r in G.embed(texts, "letters").collect()}
+    assert got[2] is None and got[3] is None and got[4] is None
+    assert [round(x, 6) for x in got[1][:3]] == [round(2 / 5**0.5, 6), round(1 / 5**0.5, 6), 0] and len(got[1]) == 26
+    G.register_embedder("sizes", 2, lambda t: [(len(x), float("nan") if x == "" else 1) for x in t])
+    assert {r.id: r.embedding is None for r in G.embed(texts, "sizes").collect()} == {1: False, 2: True, 3: True, 4: False}
+    G.register_embedder("wrong", 3, lambda t: [(1, 2)] * len(t))
+    with pytest.raises(Exception, match="another length"):
+        G.embed(texts, "wrong").collect()
