@@ -140,11 +140,9 @@ def format_age(v: Views):
 @query("renewal_step", f"""WITH s AS ({_SIGNALS}), c AS (SELECT id, project_id, row_number() OVER (PARTITION BY project_id ORDER BY id) AS rn FROM entries WHERE status = 'current' AND id IN (SELECT entry_id FROM s))
     SELECT project_id, count(*) FILTER (rn <= 3) AS posted, count(*) FILTER (rn > 3) AS over_cap FROM c GROUP BY project_id""")
 def renewal_step(v: Views):
-    from pyspark.sql import Window as W
-
-    rn = F.row_number().over(W.partitionBy("project_id").orderBy("entry_id"))
-    ranked = T.stale_by_path(v.entries, v.file_events).withColumn("rn", rn)
-    return ranked.groupBy("project_id").agg(F.count_if(F.col("rn") <= 3).alias("posted"), F.count_if(F.col("rn") > 3).alias("over_cap"))
+    """Renewals of a project: three at most are posted, so their numbers follow from the count of its signals."""
+    stale = T.stale_by_path(v.entries, v.file_events).groupBy("project_id").agg(F.count("*").alias("n"))
+    return stale.select("project_id", F.least("n", F.lit(3)).cast("long").alias("posted"), F.greatest(F.col("n") - 3, F.lit(0)).cast("long").alias("over_cap"))
 
 
 @query("journal_ops", """WITH l AS (SELECT session_id AS pass_id, id, CASE tool WHEN 'session_start' THEN 'begin' WHEN 'quest_fulfill' THEN 'end' WHEN 'lore_inscribe' THEN 'tell' ELSE 'op' END AS what FROM tool_calls),
