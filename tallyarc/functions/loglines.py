@@ -2,29 +2,40 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyarc.functions.compact import LEVEL_SCORE, LEVELS, SUMMARY_COUNTS, SUMMARY_RULE, SUMMARY_STARTS, TRACE
 
 
+def _bytes(rule: str) -> str:
+    """A rule of ``compact`` as SQL engines read it: ASCII classes and word bounds, a dot for all but a line feed, an end that is the text's end."""
+    plain = {r"\b": f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))", r"\s": r"[\t\n\f\r ]", r"\w": _WORD, r"\d": "[0-9]", "$": r"\z"}
+    return re.sub(r"\\.|\$|\.", lambda m: plain.get(m[0], "[^\n]" if m[0] == "." else m[0]), rule)
+
+
+_WORD = "[0-9A-Za-z_]"
+
+
 def level(line: Column) -> Column:
     """The level whose word comes first in the line, or unknown."""
     low = F.lower(line)
-    at = lambda word: F.nullif(F.regexp_instr(low, F.lit(rf"\b{word}\b")), F.lit(0))
+    at = lambda word: F.nullif(F.regexp_instr(low, F.lit(_bytes(rf"\b{word}\b"))), F.lit(0))
     spots = [F.struct(F.coalesce(*map(at, words), F.lit(1 << 30)).alias("at"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, (name, words) in enumerate(LEVELS)]
     first = F.array_min(F.array(*spots))
     return F.when(first["at"] < (1 << 30), first["name"]).otherwise("unknown")
 
 
 def is_trace(line: Column) -> Column:
-    return line.rlike(TRACE)
+    return line.rlike(_bytes(TRACE))
 
 
 def is_summary(line: Column) -> Column:
     low = F.lower(line)
     starts = low.rlike(f"^({'|'.join(SUMMARY_STARTS)})")
-    return line.rlike(SUMMARY_RULE) | low.rlike(SUMMARY_COUNTS) | starts
+    return line.rlike(_bytes(SUMMARY_RULE)) | low.rlike(_bytes(SUMMARY_COUNTS)) | starts
 
 
 def score(line: Column) -> Column:
