@@ -23,12 +23,15 @@ def _judged(v: Views):
     from pyspark.sql import Window as W
 
     from tallyarc.functions.text import words
+    from tallyarc.session import scratch_path
 
     asked = v.entries.where("id % 20 = 0").select(F.col("id").alias("qid"), "title")
     every = words(F.col("title"))
     left = F.filter(every, lambda w: ~w.isin(*STOP_WORDS))
     used = F.array_distinct(F.filter(F.when(F.size(left) > 0, left).otherwise(every), lambda w: F.length(w) >= 2))
-    top = Q.index(v).top(asked.select("qid", F.explode(used).alias("token")), 20)
+    path = scratch_path(v.spark, "judged")  # read by several metrics
+    Q.index(v).top_of_many(asked.select("qid", F.explode(used).alias("token")), 20).write.parquet(path)
+    top = v.spark.read.parquet(path)
     own = W.partitionBy("qid")
     ranked = top.withColumn("rank", F.row_number().over(own.orderBy(F.round("score", 9), "id"))).withColumn("similarity", F.round(F.col("score") / F.min("score").over(own), 6)).drop("score")
     first = v.entries.groupBy(F.lower("title").alias("k")).agg(F.min("id").alias("first"))
