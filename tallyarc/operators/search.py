@@ -70,11 +70,12 @@ def like_fallback(docs: DataFrame, query: str) -> DataFrame:
     return docs.where(F.lower("title").contains(q) | F.lower("summary").contains(q) | F.lower("tags").contains(q)).orderBy(F.desc("created_at"), F.desc("id"))
 
 
-def lexical(docs: DataFrame, eligible: DataFrame, queries: DataFrame, tokens: DataFrame, limit: int = 10, stem: bool = False, index=None) -> DataFrame:
+def lexical(docs: DataFrame, eligible: DataFrame, queries: DataFrame, tokens: DataFrame, limit: int = 10, stem: bool = False, index=None, many: bool = False) -> DataFrame:
     """Top entries ``(qid, id, title, score, rank)`` of each query ``(qid, query)``: three times the limit by BM25, exact titles
-    added, then by exact title, score with boosts, and id. With a kept ``index`` (index.py) of the same documents no text is read."""
+    added, then by exact title, score with boosts, and id. With a kept ``index`` (index.py) of the same documents no text is read; ``many`` is for queries
+    that grow with the documents."""
     if index is not None:
-        cut = index.top(tokens, 3 * limit, eligible)
+        cut = (index.top_of_many if many else index.top)(tokens, 3 * limit, eligible)
     else:
         found, sizes = postings(docs, ["title", "summary", "tags"], stem)
         scored = bm25(found, sizes, tokens).join(eligible.select("id"), "id", "left_semi")
