@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from tallyarc.llm.common import Scratch, components
 
-#: Vectors in a block, children of an interval, principal dimensions, vectors that the basis is fitted on, smallest strip.
-BLOCK, FANOUT, DIMS, SAMPLE, STRIP = 2048, 8, 6, 4096, 256
+#: Vectors in a block, children of an interval, principal dimensions, vectors that the basis is fitted on, smallest strip, bytes of a
+#: band's vectors.
+BLOCK, FANOUT, DIMS, SAMPLE, STRIP, BAND = 2048, 8, 6, 4096, 256, 32_000_000
 
 
 def _checked(it):
@@ -144,20 +145,48 @@ def join_blocks(a, b, same: bool, t: float, eps: float, basis: np.ndarray):
 
 
 def _joined(basis: np.ndarray, t: float, eps: float):
+    """Rows of blocks ``(tile, seq, held, meets, ids, copies, x, lo, hi)``, sorted by tile and seq: one that ``meets`` is joined with those
+    of its tile that are ``held`` and come before it, and with itself if it is both."""
+
     def run(it):
+        tile, held = None, []
         for batch in it:
             for i in range(batch.num_rows):
                 row = {c: batch[c][i].as_py() for c in batch.schema.names}
-                side = lambda s, r=row: (np.frombuffer(r[f"ids{s}"], np.int64), np.frombuffer(r[f"copies{s}"], np.int64), np.frombuffer(r[f"x{s}"], np.float64).reshape(-1, len(basis)))
-                ids, links, forest = join_blocks(side("a"), side("b"), row["a"] == row["b"], t, eps, basis)
-                some = links > 0
-                ends = np.array(forest, np.int64).reshape(-1, 2)
-                u, v = np.concatenate([ids[some], ends[:, 0]]), np.concatenate([ids[some], ends[:, 1]])
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.concatenate([links[some], np.zeros(len(ends), np.int64)]))], ["a", "b", "n"])
+                if row["tile"] != tile:
+                    tile, held = row["tile"], []
+                now = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["copies"], np.int64), np.frombuffer(row["x"], np.float64).reshape(-1, len(basis))
+                lo, hi = np.array(row["lo"]), np.array(row["hi"])
+                if row["held"]:
+                    held.append((row["seq"], now, lo, hi))
+                for seq, other, low, high in held if row["meets"] else ():
+                    gap = np.maximum(0, np.maximum(low - hi, lo - high))
+                    if float(gap @ gap) > (eps + 1e-9) ** 2:
+                        continue
+                    ids, links, forest = join_blocks(other, now, seq == row["seq"], t, eps, basis)
+                    some = links > 0
+                    ends = np.array(forest, np.int64).reshape(-1, 2)
+                    u, v = np.concatenate([ids[some], ends[:, 0]]), np.concatenate([ids[some], ends[:, 1]])
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.concatenate([links[some], np.zeros(len(ends), np.int64)]))], ["a", "b", "n"])
 
     return run
 
 
+def _sent(blocks: DataFrame, pairs: DataFrame, total: int, most: int) -> DataFrame:
+    """Blocks with the tiles, pairs of bands, that they are needed in, in the order that ``_joined`` reads. Bands are as many as give the
+    cluster enough tiles, or more where a band would have over ``most`` blocks."""
+    wanted = math.isqrt(8 * blocks.sparkSession.sparkContext.defaultParallelism) + 1
+    width = max(1, min(most, -(-total // wanted)))
+    bands = -(-total // width)
+    of = lambda c: F.floor(F.col(c) / width)
+    first, second = of("a"), of("b")
+    tile = first * bands - F.floor(first * (first - 1) / 2) + second - first  # the upper triangle, row by row
+    part = lambda c, held, meets: F.struct(F.col(c).alias("seq"), held.alias("held"), meets.alias("meets"))
+    both = F.explode(F.array(part("a", F.lit(True), first == second), part("b", first == second, F.lit(True))))
+    needed = pairs.select(tile.cast("int").alias("tile"), both.alias("of")).select("tile", "of.*").distinct()
+    return needed.join(blocks, "seq").repartitionById(bands * (bands + 1) // 2, F.col("tile")).sortWithinPartitions("tile", "seq")
+
+
 def near_vectors(vectors: DataFrame, t: float = 0.95, block: int = BLOCK) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for each vector of ``vectors(vec_id, embedding)``; links have cosine >= t."""
     spark = vectors.sparkSession
@@ -213,9 +242,7 @@ def _linked(classes: DataFrame, dim: int, t: float, eps: float, block: int, scra
         side = lambda s, level=level: level.select(*(F.col(c).alias(f"{s}_{c}") for c in level.columns))
         gap = sum((F.pow(F.greatest(F.lit(0.0), F.col(f"x_lo{i}") - F.col(f"y_hi{i}"), F.col(f"y_lo{i}") - F.col(f"x_hi{i}")), 2) for i in range(dims)), F.lit(0.0))
         pairs = pairs.join(side("x"), F.col("a") == F.col("x_up")).join(side("y"), F.col("b") == F.col("y_up")).where((F.col("x_id") <= F.col("y_id")) & (gap <= (eps + 1e-9) ** 2)).select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
-    pairs = scratch.keep(pairs)
-    side = lambda s: blocks.select(F.col("seq").alias(s), *(F.col(c).alias(f"{c}{s}") for c in ("ids", "copies", "x")))
-    work = pairs.repartition(max(1, pairs.count() // 2), "a", "b").join(side("a"), "a").join(side("b"), "b")
+    work = _sent(blocks, scratch.keep(pairs), total, max(1, BAND // (8 * dim * block)))
     found = scratch.keep(work.mapInArrow(_joined(basis, t, eps), "a long, b long, n long"))
 
     links = found.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))

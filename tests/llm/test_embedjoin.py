@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from tallyarc.llm import embedjoin as E
 
@@ -68,3 +69,39 @@ def test_a_row_for_each_row(spark):
     got = sorted((tuple(r) for r in E.near_vectors(df).collect()), key=str)
     want = [(1, 2, 1, True)] * 2 + [(2, 2, 1, False), (3, 0, 3, True), (3, 0, 3, True), (4, 2, 1, False)] + [(None, 0, None, True)] * 2
     assert got == sorted(want, key=str)
+
+
+def test_blocks_are_sent_once_a_band(spark, monkeypatch):
+    """Where no pair of blocks can be skipped, the vectors that are sent do not grow with the number of pairs."""
+    r = np.random.default_rng(7)
+    x = r.standard_normal((800, 12))
+    x[1::40] = x[::40] + 0.01 * r.standard_normal((20, 12))
+    ids, sent, plain = np.arange(1, 801), spark.sparkContext.accumulator(0), E._joined
+
+    def counted(*args):
+        run = plain(*args)
+
+        def rows(it):
+            def each():
+                for batch in it:
+                    for name in batch.schema.names:
+                        if name.startswith("x"):
+                            sent.add(sum(len(v) for v in batch[name].to_pylist()))
+                    yield batch
+
+            yield from run(each())
+
+        return rows
+
+    monkeypatch.setattr(E, "_joined", counted)
+    df = spark.createDataFrame([(int(i), [float(y) for y in v]) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = {v.vec_id: (v.n_links, v.component_id) for v in E.near_vectors(df, 0.95, block=10).collect()}
+    links, label = brute(x, ids, 0.95)
+    assert got == {int(i): (int(n), int(c)) for i, n, c in zip(ids, links, label, strict=True)} and links.sum() >= 40
+    assert sent.value <= 8 * x.nbytes  # each of 80 blocks with each of 7 bands; by pairs it was 80 times
+    many = E._sent(spark.range(40).select(F.col("id").alias("seq")), spark.sql("SELECT x.id AS a, y.id AS b FROM range(40) x JOIN range(40) y ON x.id <= y.id"), 40, 2).collect()
+    own = {}
+    for v in many:
+        own.setdefault(v.tile, []).append((v.seq, v.held, v.meets))
+    met = [(a, b) for rows in own.values() for a, held, _ in rows if held for b, _, meets in rows if meets and a <= b]
+    assert sorted(met) == [(a, b) for a in range(40) for b in range(a, 40)] and max(len(v) for v in own.values()) <= 4
