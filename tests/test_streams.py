@@ -85,6 +85,29 @@ def test_hints_in_any_batches(spark, tmp_path, seed):
     assert {tuple(x) for x in got.collect()} == want and len(want) > 10
 
 
+def test_hints_of_many_sessions_take_few_groups(spark, tmp_path, monkeypatch):
+    """Over four days, so that sessions end; a group of state for each session would be 300."""
+    r, groups, plain = random.Random(5), spark.sparkContext.accumulator(0), J._hints
+    tools = ["session_start", "lore_appraise", "lore_inscribe", "quest_journal", "quest_accept", "quest_fulfill", "quest_brief"]
+    rows = [(i, f"s{i // 400}-{r.randrange(75)}", f"2026-01-{1 + i // 400:02d} {i % 400 // 60:02d}:{i % 400 % 60:02d}:00", r.choice(tools), r.choice(["we need to x", "login-page-redirect", None]), r.random() < 0.5, r.random() < 0.5) for i in range(1600)]
+    schema = "id long, session_id string, ts timestamp, tool string, arg string, empty_result boolean, brief_stale boolean"
+    calls = spark.createDataFrame(rows, schema.replace("timestamp", "string")).withColumn("ts", F.col("ts").cast("timestamp"))
+
+    def counted(key, batches, state):
+        groups.add(1)
+        yield from plain(key, batches, state)
+
+    monkeypatch.setattr(J, "_hints", counted)
+    monkeypatch.setattr(J, "DEALT", 8, raising=False)
+    for part in (calls.where("id < 900"), calls.where("id >= 900")):
+        put(part, tmp_path / "log")
+        got = J.finish(J.hints(spark.readStream.schema(schema).parquet(str(tmp_path / "log"))), "append", str(tmp_path / "job"))
+    want = {(x.id, x.session_id, x.rule_id) for x in H.evaluate(calls.withColumn("ts", F.col("ts").cast("timestamp_ntz"))).collect() if x.id < 1599 - 60}
+    found = [tuple(x) for x in got.collect()]
+    assert set(found) == want and len(found) == len(want) > 300
+    assert groups.value <= 6 * 8
+
+
 def test_signals_go_on_from_their_offsets(spark, tmp_path):
     entries = spark.createDataFrame([(1, "p", "a.md", "current"), (2, "p", "b.md", "current")], "id long, project_id string, file_path string, status string")
     schema, log, path = "id long, project_id string, path string, ts timestamp, op string", tmp_path / "log", str(tmp_path / "signals")
