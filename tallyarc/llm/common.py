@@ -94,8 +94,10 @@ class Scratch:
         return out
 
     def sweep(self) -> None:
-        """Let Spark remove the shuffle files of plans that have run: its cleaner learns of them from the garbage collectors."""
+        """Let Spark remove the shuffle files of plans that have run: its cleaner learns of them from the garbage collectors. What the
+        driver's Python no longer uses goes back to the system."""
         gc.collect()
+        release()
         self.spark._jvm.System.gc()
 
     def drop(self, *frames: DataFrame) -> None:

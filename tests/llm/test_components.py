@@ -28,3 +28,12 @@ def test_bitmap_lets_all_members_through(spark):
     ids = [3, -5, 1 << 40, -(1 << 62)]
     words = bitmap(spark.createDataFrame([(i,) for i in ids], "x long"), "x", 12, spark)
     assert in_bitmap(words.value, np.array(ids)).all() and in_bitmap(words.value, np.arange(4096)).sum() <= 8
+
+
+def test_a_sweep_gives_memory_of_the_driver_back(spark, monkeypatch):
+    from tallyarc.llm import common
+
+    given = []
+    monkeypatch.setattr(common, "release", lambda: given.append(True))
+    common.Scratch(spark, "swept").sweep()
+    assert given
