@@ -66,5 +66,18 @@ def test_line_feeds_stay():
     assert without("a b\nc d\ne", [1], [-1], 2) == "a\nd\ne" and without("a b c", [0], [-1], 3) == ""
 
 
+def test_a_very_common_passage_is_found_without_a_join_of_its_anchors(spark, monkeypatch):
+    r = random.Random(7)
+    say = lambda n: " ".join(r.choice("abcdefgh") + str(r.randint(0, 9999)) for _ in range(n))
+    passage = say(60)
+    rows = [(i, f"{say(20)} {passage} {say(20)}") for i in range(300)]
+    df, joined = spark.createDataFrame(rows, "doc_id long, text string"), []
+    plain = type(df).join
+    monkeypatch.setattr(type(df), "join", lambda self, other, on=None, how=None: joined.append(how) or plain(self, other, on, how))
+    got = {x.doc_id: x.text.split() for x in passage_dedup(df).collect()}
+    assert got == brute(rows) and sum(len(x) for x in got.values()) < 300 * 45
+    assert "left_semi" not in joined
+
+
 def test_empty(nothing):
     assert passage_dedup(nothing).count() == 0
