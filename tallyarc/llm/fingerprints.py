@@ -20,7 +20,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyarc.llm.common import Scratch, worker_cache
@@ -150,14 +150,17 @@ def edited_fingerprints(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> Data
     return rows.select("bucket", "doc_id", "text", "lent").mapInArrow(_edited_rows, _SCHEMA)
 
 
-def with_near(rows: DataFrame, radius: int, every: int = 20) -> DataFrame:
-    """``rows(doc_id, fingerprint, ...)`` with ``n_near``: for the asked ones, whose doc_id is divisible by ``every``, how many other
-    fingerprints (not documents) of all rows lie within ``radius`` bits; null for the rest."""
+def with_near(rows: DataFrame, radius: int, wide: int, every: int = 20) -> DataFrame:
+    """``rows(doc_id, fingerprint, ...)`` with ``n_near`` and ``n_near_<wide>``: for the asked ones, whose doc_id is divisible by ``every``,
+    how many other fingerprints (not documents) of all rows lie within ``radius`` and within ``wide`` bits; null for the rest. One
+    search within the wider radius gives both."""
     rows = Scratch(rows.sparkSession, "fingerprinted").keep(rows)
     fps = rows.select(F.unhex("fingerprint").alias("fp"), (F.col("doc_id") % every == 0).alias("asked"))
-    near = near_fingerprints(fps, radius, radius + 1, fps.where("asked")).groupBy(F.lower(F.hex("a")).alias("own")).agg(F.count("*").alias("n"))
+    near = near_fingerprints(fps, max(radius, wide), queries=fps.where("asked")).groupBy(F.lower(F.hex("a")).alias("own"))
+    counts = {"n_near": radius, f"n_near_{wide}": wide}
+    near = near.agg(*(F.count_if(F.col("distance") <= r).alias(f"_{name}") for name, r in counts.items()))
     out = rows.join(near, (F.col("fingerprint") == F.col("own")) & (F.col("doc_id") % every == 0), "left")
-    return out.select(*rows.columns, F.when(F.col("doc_id") % every == 0, F.coalesce("n", F.lit(0))).alias("n_near"))
+    return out.select(*rows.columns, *(F.when(F.col("doc_id") % every == 0, F.coalesce(f"_{name}", F.lit(0))).alias(name) for name in counts))
 
 
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -170,25 +173,28 @@ def near_fingerprints(fps: DataFrame, radius: int = 12, blocks: int | None = Non
     the radius, so each table has one block as its key. ``queries`` limits the left side to some fingerprints."""
     blocks = blocks or radius + 1
     bounds = [i * BITS // blocks for i in range(blocks + 1)]
-
-    def keyed(it):
-        for batch in it:
-            values = batch.column(0).to_pylist()
-            keys, tables, own = [], [], []
-            for value in values:
-                n = int.from_bytes(value, "big")
-                cut = [(n >> (BITS - hi)) & ((1 << (hi - lo)) - 1) for lo, hi in itertools.pairwise(bounds)]
-                for t, chosen in enumerate(itertools.combinations(range(blocks), blocks - radius)):
-                    keys.append(hashlib.blake2b(repr([cut[c] for c in chosen]).encode(), digest_size=8).digest())
-                    tables.append(t)
-                    own.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(tables, pa.int32()), pa.array(keys, pa.binary()), pa.array(own, pa.binary())], ["t", "k", "fp"])
-
-    scratch = Scratch(fps.sparkSession, "near")
-    classes = fps.select("fp").distinct()
-    table = scratch.keep(classes.mapInArrow(keyed, "t int, k binary, fp binary"))
-    left = table if queries is None else queries.select("fp").distinct().mapInArrow(keyed, "t int, k binary, fp binary")
-    order = F.col("a") < F.col("b") if queries is None else F.col("a") != F.col("b")
-    pairs = left.withColumnRenamed("fp", "a").join(table.withColumnRenamed("fp", "b"), ["t", "k"]).where(order).select("a", "b").distinct()
-    words = [F.bit_count(F.conv(F.substring(F.hex("a"), 8 * i + 1, 8), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring(F.hex("b"), 8 * i + 1, 8), 16, 10).cast("long"))) for i in range(BITS // 32)]
-    return pairs.withColumn("distance", sum(words[1:], words[0])).where(F.col("distance") <= radius)
+    lanes = range(BITS // 64)
+
+    def cut(lo: int, hi: int) -> list[Column]:
+        """The bits of a block, from each lane that it lies in."""
+        ends = [(max(lo, 64 * i) - 64 * i, min(hi, 64 * i + 64) - 64 * i, i) for i in lanes if lo < 64 * i + 64 and hi > 64 * i]
+        return [F.shiftrightunsigned(F.shiftleft(F.col(f"w{i}"), x), x + 64 - y) for x, y, i in ends]
+
+    def tables(own: DataFrame) -> DataFrame:
+        """A row a table of each different fingerprint, as numbers: its key there (hashed) and its lanes."""
+        own = own.select("fp").distinct().select(*(F.conv(F.hex(F.substring("fp", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"w{i}") for i in lanes))
+        pieces = [cut(lo, hi) for lo, hi in itertools.pairwise(bounds)]
+        keys = [F.xxhash64(F.lit(t), *(x for c in chosen for x in pieces[c])) for t, chosen in enumerate(itertools.combinations(range(blocks), blocks - radius))]
+        return own.select(F.explode(F.array(*keys)).alias("k"), *(f"w{i}" for i in lanes))
+
+    def named(own: DataFrame, name: str) -> DataFrame:
+        return own.select("k", *(F.col(f"w{i}").alias(f"{name}{i}") for i in lanes))
+
+    # Fingerprints that meet are compared in the join; only those within the radius are rows.
+    left, right = named(tables(fps if queries is None else queries), "a"), named(tables(fps), "b")
+    differ = [F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in lanes]
+    distance = sum(differ[1:], differ[0])
+    pairs = right.join(left, (right.k == left.k) & (distance > 0) & (distance <= radius)).drop("k").distinct()
+    whole = lambda name: F.unhex(F.concat(*(F.lpad(F.hex(f"{name}{i}"), 16, "0") for i in lanes)))
+    pairs = pairs.select(whole("a").alias("a"), whole("b").alias("b"), distance.cast("int").alias("distance"))
+    return pairs.where("a < b") if queries is None else pairs

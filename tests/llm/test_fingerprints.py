@@ -104,3 +104,25 @@ def test_query_equals_plain_python(spark, tmp_path):
         own = {int(y.fingerprint, 16) for y in got.values()}
         assert x.n_near == (None if i % 20 else sum(0 < (f ^ int(x.fingerprint, 16)).bit_count() <= 3 for f in own))
     assert got[0].n_near > 0
+
+
+def test_near_in_two_radii(spark):
+    import random
+
+    r = random.Random(4)
+    flip = lambda x, n: x ^ sum(1 << b for b in r.sample(range(256), n))
+    bases = [r.getrandbits(256) for _ in range(8)] + [(1 << 255) | 1, (1 << 256) - 1]
+    own = dict(enumerate([*bases, 0, *(flip(b, n) for b in bases for n in (1, 3, 4, 8, 12, 15, 16, 17, 20)), bases[0]]))
+    df = spark.createDataFrame([(i, f"{x:064x}") for i, x in own.items()], "doc_id long, fingerprint string").repartition(3)
+    got = {x.doc_id: x for x in P.with_near(df, 3, 16, 2).collect()}
+    assert len(got) == len(own)
+    for i, x in own.items():
+        near = [(x ^ y).bit_count() for y in set(own.values()) - {x}]
+        assert (got[i].n_near, got[i].n_near_16) == ((None, None) if i % 2 else (sum(d <= 3 for d in near), sum(d <= 16 for d in near)))
+    assert got[0].n_near_16 > got[0].n_near > 0
+    for radius, blocks in ((0, None), (1, 3), (2, 4)):
+        fps = spark.createDataFrame([(bytearray(x.to_bytes(32, "big")),) for x in own.values()], "fp binary")
+        found = {(bytes(x.a), bytes(x.b)): x.distance for x in P.near_fingerprints(fps, radius, blocks).collect()}
+        every = sorted({x.to_bytes(32, "big") for x in own.values()})
+        dist = lambda a, b: (int.from_bytes(a, "big") ^ int.from_bytes(b, "big")).bit_count()
+        assert found == {(a, b): dist(a, b) for i, a in enumerate(every) for b in every[i + 1 :] if dist(a, b) <= radius}
