@@ -159,8 +159,11 @@ def with_near(rows: DataFrame, radius: int, wide: int, every: int = 20) -> DataF
     near = near_fingerprints(fps, max(radius, wide), queries=fps.where("asked")).groupBy(F.lower(F.hex("a")).alias("own"))
     counts = {"n_near": radius, f"n_near_{wide}": wide}
     near = near.agg(*(F.count_if(F.col("distance") <= r).alias(f"_{name}") for name, r in counts.items()))
-    out = rows.join(near, (F.col("fingerprint") == F.col("own")) & (F.col("doc_id") % every == 0), "left")
-    return out.select(*rows.columns, *(F.when(F.col("doc_id") % every == 0, F.coalesce(f"_{name}", F.lit(0))).alias(name) for name in counts))
+    # Only the asked rows are joined: the rest need no place by fingerprint, where copies would come together.
+    asked = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
+    found = rows.where(asked).join(near, F.col("fingerprint") == F.col("own"), "left")
+    found = found.select(*rows.columns, *(F.coalesce(f"_{name}", F.lit(0)).cast("long").alias(name) for name in counts))
+    return found.unionByName(rows.where(~asked).select("*", *(F.lit(None).cast("long").alias(name) for name in counts)))
 
 
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
