@@ -19,13 +19,20 @@ def _bytes(rule: str) -> str:
 _WORD = "[0-9A-Za-z_]"
 
 
+def _first(line: Column) -> Column:
+    """The first word of a level in the line, or an empty text: one search for all of them."""
+    words = "|".join(w for _, names in LEVELS for w in names)
+    return F.regexp_extract(F.lower(line), f"(?<!{_WORD})({words})(?!{_WORD})", 1)
+
+
+def _of(values: dict[str, object]) -> Column:
+    """What ``values`` have for the level of each word, as a map."""
+    return F.create_map(*(F.lit(x) for name, names in LEVELS if name in values for w in names for x in (w, values[name])))
+
+
 def level(line: Column) -> Column:
     """The level whose word comes first in the line, or unknown."""
-    low = F.lower(line)
-    at = lambda word: F.nullif(F.regexp_instr(low, F.lit(_bytes(rf"\b{word}\b"))), F.lit(0))
-    spots = [F.struct(F.coalesce(*map(at, words), F.lit(1 << 30)).alias("at"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, (name, words) in enumerate(LEVELS)]
-    first = F.array_min(F.array(*spots))
-    return F.when(first["at"] < (1 << 30), first["name"]).otherwise("unknown")
+    return F.coalesce(F.try_element_at(_of({name: name for name, _ in LEVELS}), _first(line)), F.when(line.isNotNull(), "unknown"))
 
 
 def is_trace(line: Column) -> Column:
@@ -40,9 +47,7 @@ def is_summary(line: Column) -> Column:
 
 def score(line: Column) -> Column:
     """What the line's level says, more for traces and summaries, one at most."""
-    own = F.lit(0.1)
-    for name, value in LEVEL_SCORE.items():
-        own = F.when(level(line) == name, value).otherwise(own)
+    own = F.coalesce(F.try_element_at(_of(LEVEL_SCORE), _first(line)), F.lit(0.1))
     return F.least(F.lit(1.0), own + F.when(is_trace(line), 0.3).otherwise(0.0) + F.when(is_summary(line), 0.4).otherwise(0.0))
 
 
