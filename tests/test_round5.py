@@ -20,3 +20,20 @@ def test_stems_read_a_text_once(spark, tmp_path):
     assert index._prepared(docs.limit(0), ["title", "summary"], True).count() == 0
     found = index.build(docs, ["title", "summary"], stem=True).scores(spark.createDataFrame([(1, "run")], "qid int, token string"))
     assert [r.id for r in found.collect()] == [1]
+
+
+def test_a_line_is_searched_once_for_its_level(spark):
+    """The leftmost word counts, as in the SQL, though another word of its level comes later; one search a line."""
+    import duckdb
+
+    from tallyarc.functions import loglines as L
+    from tallyarc.plans import compaction as P
+
+    lines = ["fatal: warn then error", "xerror warn_ing INFO", "debug failed", "nothing", "", "trace\r", "warnings warning", "a critical fail"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i long, line string")
+    got = df.select("i", L.level(F.col("line")).alias("level"), F.round(L.score(F.col("line")), 6).alias("score"))
+    assert _plan(df.select(L.score(F.col("line")).alias("s"))).lower().count("critical") == 1 + 1  # in the pattern and in the map
+    want = duckdb.sql(f"SELECT {P._LEVEL} FROM (VALUES {', '.join(f'({i}, {x!r})' for i, x in enumerate(lines))}) t(i, line) ORDER BY i").fetchall()
+    rows = got.orderBy("i").collect()
+    assert [r.level for r in rows] == [x for (x,) in want]
+    assert [r.score for r in rows] == [1.0, 0.3, 0.1, 0.1, 0.1, 0.1, 0.6, 1.0]
