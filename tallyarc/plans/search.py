@@ -194,5 +194,5 @@ def index_updates(v: Views):
     gone = v.entries.where("id % 5 = 0").select((-F.col("id")).alias("id"), *columns)
     kept = Index(v.spark, scratch_path(v.spark, "index")).build(old.unionByName(gone), columns)
     kept.update(v.entries.where("id % 2 = 0").select("id", *columns), gone.select("id"))
-    kept.update(v.entries.where("id % 9 = 0").select("id", *columns))
+    kept.update(v.entries.where("id % 9 = 0").select("id", *columns)).merge()
     return kept.scores(_frame(v, TOKENS, "q(qid, token)")).select("qid", "id", F.round("score", 6).alias("score"))

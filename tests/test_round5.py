@@ -37,3 +37,15 @@ def test_a_line_is_searched_once_for_its_level(spark):
     rows = got.orderBy("i").collect()
     assert [r.level for r in rows] == [x for (x,) in want]
     assert [r.score for r in rows] == [1.0, 0.3, 0.1, 0.1, 0.1, 0.1, 0.6, 1.0]
+
+
+def test_log_compress_keeps_what_stands_around():
+    """The lines around a kept one stay as the adaptive number allows; a bias of 0 made that number the least one at any text."""
+    from tallyarc.functions import compact as C
+
+    lines = [f"step {i} {chr(97 + i % 26)}{i * 7919} did {i * 104729 % 9973} of {i * 31} in {i * i}" for i in range(400)]
+    for i in range(20, 400, 30):
+        lines[i] = f"ERROR: part {i} broke"
+    out = C.compress_log("\n".join(lines)).split("\n")
+    assert sum(x in out for x in lines if not x.startswith("ERROR")) > 20
+    assert len(C.compress_log("\n".join(lines), 0.0).split("\n")) < len(out) < len(lines)
