@@ -78,3 +78,12 @@ def test_many_searches_read_documents_not_postings(spark, tmp_path, monkeypatch)
     assert "postings" not in "".join(many.inputFiles()) and _plan(many).count("MapInArrow") == 1 and "Join" not in _plan(many)
     rows = lambda df: sorted((x.qid, x.id, round(x.score, 9)) for x in df.collect())
     assert rows(many) == rows(index.top(tokens, 6))
+
+
+def test_title_pairs_has_all_different_titles(spark):
+    """A title that has the words of another is a title of its own: its links are there too."""
+    from tallyarc.operators import similarity as D
+
+    rows = [(1, "Red fox runs", "current"), (2, "runs red: fox", "current"), (3, "red fox", "current"), (4, "a b", "current"), (5, "a b", "current"), (6, "red fox", "stale"), (7, "red fox", "current"), (0, "runs red: fox", "current")]
+    df = spark.createDataFrame(rows, "id long, title string, status string")
+    assert sorted(tuple(r) for r in D.title_pairs(df).collect()) == [(0, 1, 1.0), (0, 2, 1.0), (0, 3, 0.667), (1, 3, 0.667), (3, 7, 1.0)]
