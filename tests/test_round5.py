@@ -87,3 +87,22 @@ def test_title_pairs_has_all_different_titles(spark):
     rows = [(1, "Red fox runs", "current"), (2, "runs red: fox", "current"), (3, "red fox", "current"), (4, "a b", "current"), (5, "a b", "current"), (6, "red fox", "stale"), (7, "red fox", "current"), (0, "runs red: fox", "current")]
     df = spark.createDataFrame(rows, "id long, title string, status string")
     assert sorted(tuple(r) for r in D.title_pairs(df).collect()) == [(0, 1, 1.0), (0, 2, 1.0), (0, 3, 0.667), (1, 3, 0.667), (3, 7, 1.0)]
+
+
+def test_scope_links_equals_all_pairs(spark, monkeypatch):
+    """Topics, prompts and tags, none or many of them: each entry's links as a join of all pairs counts them."""
+    import random
+
+    from tallyarc.operators import similarity as D
+
+    r = random.Random(6)
+    rows = [(i, r.choice("pq"), r.choice(["x", "y", "z", None]), r.choice(["", None, "u", "v", "w"]), r.choice([None, "", ", ,"] + [",".join(r.choices("abcdefghijklmn", k=r.randint(1, 6)))] * 3)) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, project_id string, topic string, prompted_by string, tags string")
+    tags = lambda x: {t.strip() for t in (x[4] or "").lower().split(",")} - {""}
+    met = lambda a, b: a[1] == b[1] and ((a[2] and a[2] == b[2]) or (a[3] and a[3] == b[3]) or tags(a) & tags(b))
+    want = {a[0]: (min([b[0] for b in rows if met(a, b)] + [a[0]]), sum(bool(met(a, b)) for b in rows if b[0] != a[0])) for a in rows}
+    for most in (10, 3):
+        monkeypatch.setattr(D, "SCOPES", most)
+        assert {x.id: (x.rep_id, x.n_links) for x in D.scope_links(df).where("scope = 'any'").collect()} == want
+    got = D.scope_links(df).where("scope = 'topic' AND id = 0").collect()
+    assert [x.n_links for x in got] == ([sum(a[1:3] == rows[0][1:3] for a in rows) - 1] if rows[0][2] else [])
