@@ -66,7 +66,7 @@ def write_snapshot(path: str, tables: dict[str, DataFrame], part_rows: int = 100
         schema, order = PARTS[part]
         rows = df.select(*(F.col(c) for c in _names(schema)))
         keyed = rows.withColumn("project", F.col("project_id"))
-        keyed.repartitionByRange("project_id", *order).sortWithinPartitions("project_id", *order).write.option("maxRecordsPerFile", part_rows).partitionBy("project").json(f"{aside}/{part}")
+        keyed.repartitionByRange("project_id", *order).sortWithinPartitions("project_id", *order).write.option("maxRecordsPerFile", part_rows).option("compression", "gzip").partitionBy("project").json(f"{aside}/{part}")
         sums = _sums(spark.read.schema(schema).json(f"{aside}/{part}").select(*_names(schema)), part)
         manifest = sums if manifest is None else manifest.union(sums)
     manifest.coalesce(1).write.json(f"{aside}/manifest")  # a row for each project and part

@@ -106,3 +106,12 @@ def test_scope_links_equals_all_pairs(spark, monkeypatch):
         assert {x.id: (x.rep_id, x.n_links) for x in D.scope_links(df).where("scope = 'any'").collect()} == want
     got = D.scope_links(df).where("scope = 'topic' AND id = 0").collect()
     assert [x.n_links for x in got] == ([sum(a[1:3] == rows[0][1:3] for a in rows) - 1] if rows[0][2] else [])
+
+
+def test_snapshot_parts_are_compressed(spark, tmp_path):
+    from tallyarc.sources import snapshot as N
+
+    status = spark.range(30).selectExpr("'p' AS project_id", "concat('QUEST-', id) AS task_id", "'done' AS status", "'a' AS claimed_by", "timestamp_ntz'2024-01-01' AS updated_at")
+    N.write_snapshot(f"file://{tmp_path}", {"task_status": status})
+    assert all(f.name.endswith(".gz") for f in tmp_path.glob("snapshot-*/task_status/*/part-*"))
+    assert N.read_snapshot(spark, f"file://{tmp_path}")["task_status"].count() == 30
